@@ -1,15 +1,411 @@
-"""Queries and their SQL, by name."""
+"""Queries and their SQL, by name. A query without SQL is covered by tests of its own."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from trellis.functions import expr as X
+from trellis.operators import curves, expression, markers, neighbors, pseudotime, tree
+from trellis.plans import fixtures as fx
+from trellis.plans.fixtures import SQL, created_sql
+from trellis.plans.scratch import Scratch
+from trellis.sources import ingest
+
+_Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_S: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _Q[f.__name__] = f
+        if sql:
+            _S[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_S)
+
+
+def _created(spark: SparkSession, sf_dir: str) -> ingest.Container:
+    return ingest.create(fx.customer_counts(spark, sf_dir), min_cells=3, min_genes=3, min_counts=10, gene_max_cut=100000)
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.load(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("cell"), F.col("c_mktsegment").alias("grp"))
+
+
+def _one_group(spark: SparkSession, sf_dir: str, c: ingest.Container, name: str = "BUILDING") -> DataFrame:
+    side = F.when(F.col("grp") == name, 1).otherwise(2).alias("side")
+    return c.cells.select("cell").join(_segments(spark, sf_dir), "cell").select(F.lit(name).alias("cmp"), "cell", side)
+
+
+CREATED = created_sql("m2", 3, 3, 10, 100000)
+
+
+@query(f"with {created_sql('m1', 3, 100, 10, 5000)} select gene, cell, value from ex")
+def create_filter_normalize(spark, sf_dir):
+    return ingest.create(fx.supplier_counts(spark, sf_dir), min_genes=100).expr
+
+
+@query(f"with {created_sql('m1', 3, 100, 10, 5000)} select cell, n_genes::bigint n_genes, n_trans from tot")
+def cell_metadata(spark, sf_dir):
+    return ingest.create(fx.supplier_counts(spark, sf_dir), min_genes=100).cells
+
+
+@query(f"""with {CREATED}, sd as (select tot.cell, case when c_mktsegment = 'BUILDING' then 1 else 2 end side from tot join customer on c_custkey::varchar = tot.cell),
+z as (select count(*) filter (side = 1) n1, count(*) filter (side = 2) n2 from sd), mt as (select ex.*, side from ex join sd using (cell)),
+u as (select gene, n1, n2, coalesce(sum(power(2, value) - 1) filter (side = 1), 0) u1, coalesce(sum(power(2, value) - 1) filter (side = 2), 0) u2, count(*) filter (side = 1 and value > 0) k1, count(*) filter (side = 2 and value > 0) k2 from mt, z group by all),
+g as (select gene, n1, n2, round(k1 / n1, 3) frac_1, round(k2 / n2, 3) frac_2, round(log2(u1 / n1 + 1), 3) exp_1, round(log2(u2 / n2 + 1), 3) exp_2 from u),
+f as (select *, case when exp_2 = 0 and exp_1 > 0 then 'infinity'::double when exp_1 > 0 then log2((power(2, exp_1) - 1) / (power(2, exp_2) - 1)) end exp_fc from g),
+p as (select * from f where greatest(frac_1, frac_2) > 0.1 and abs(frac_1 - frac_2) > 0 and exp_fc > 0),
+r as (select gene, value, count(*) filter (side = 1) p, count(*) filter (side = 2) n from mt semi join p using (gene) where value <> 0 group by 1, 2),
+al as (select * from r union all select gene, 0, n1 - coalesce(sp, 0), n2 - coalesce(sn, 0) from p left join (select gene, sum(p) sp, sum(n) sn from r group by 1) using (gene) where n1 - coalesce(sp, 0) + n2 - coalesce(sn, 0) > 0),
+c as (select gene, value, sum(p) over w / sum(p) over (partition by gene) rec, sum(p) over w / (sum(p) over w + sum(n) over w) prec from al window w as (partition by gene order by value desc)),
+st as (select gene, (rec - lag(rec) over w) * (prec + lag(prec) over w) / 2 s from c window w as (partition by gene order by value desc)),
+au as (select gene, round(coalesce(sum(s), 0), 3) auc from st group by 1)
+select 'BUILDING' cmp, gene, frac_1, frac_2, exp_1, exp_2, round(exp_fc, 6) exp_fc, auc, round(auc / (n1 / (n1 + n2)), 6) ratio from p join au using (gene) where auc >= least(n1 / (n1 + n2), 1)""")
+def markers_auc_pr(spark, sf_dir):
+    c = _created(spark, sf_dir)
+    out = markers.markers_auc_pr(c.expr, _one_group(spark, sf_dir, c), effect=0.0)
+    return out.withColumns({"exp_fc": F.round("exp_fc", 6), "ratio": F.round("ratio", 6)})
+
+
+@query()
+def markers_binomial(spark, sf_dir):
+    c = _created(spark, sf_dir)
+    return markers.markers_binom(c.expr, c.counts, _one_group(spark, sf_dir, c), effect=0.0, p_max=1.0)
+
+
+@query()
+def markers_welch(spark, sf_dir):
+    c = _created(spark, sf_dir)
+    return markers.welch(expression.dense(c.expr, c.cells).toDF("name", "cell", "v"), _one_group(spark, sf_dir, c), 1.0, 0.0)
+
+
+@query(f"""with {SQL['e1']} select c1.grp, gene, round(log2(sum(power(2, value) - 1) / any_value(n) + 1), 6) mean_of_logs, round(sum(value) / any_value(n), 6) as mean, round(count(*) / any_value(n), 6) prop_exp
+from c1 join sz on sz.grp = c1.grp group by 1, 2""")
+def summary_by_cluster(spark, sf_dir):
+    s = expression.summary_by_group(fx.clamped(spark, sf_dir), fx.vectors(spark, sf_dir).select("cell", "grp"))
+    return s.select("grp", "gene", *[F.round(c, 6).alias(c) for c in ("mean_of_logs", "mean", "prop_exp")])
+
+
+@query(f"""with {SQL['e1']}, ce as (select grp, g, avg(v) m from e1 group by 1, 2), d as (select a.grp, b.grp other, sqrt(sum((a.m - b.m) * (a.m - b.m))) d from ce a join ce b on a.g = b.g and a.grp <> b.grp group by 1, 2)
+select grp, arg_min(other, d) nearest, round(min(d), 6) dist from d group by 1""")
+def nearest_cluster(spark, sf_dir):
+    long = fx.vectors(spark, sf_dir).select("grp", F.posexplode("vec").alias("g", "v"))
+    m = long.groupBy("grp", "g").agg(F.avg("v").alias("m"))
+    d = m.join(m.toDF("other", "g", "m2"), "g").where("grp <> other").groupBy("grp", "other").agg(F.sqrt(F.sum(F.pow(F.col("m") - F.col("m2"), 2.0))).alias("d"))
+    return d.groupBy("grp").agg(F.min_by("other", "d").alias("nearest"), F.round(F.min("d"), 6).alias("dist"))
+
+
+KNN = "v as (select vec_id, embedding::double[] e from embeddings), kd as (select a.vec_id cell, b.vec_id nbr, list_distance(a.e, b.e) dist from v a join v b on a.vec_id <> b.vec_id), kn as (select *, row_number() over (partition by cell order by dist, nbr) rank from kd qualify rank <= 20)"
+
+
+def _knn(spark, sf_dir, k: int = 20):
+    return neighbors.knn_exact(fx.vectors(spark, sf_dir), k)
+
+
+@query(f"with {KNN} select cell, rank::int rank, nbr, round(dist, 6) dist from kn")
+def knn_exact(spark, sf_dir):
+    return _knn(spark, sf_dir).withColumn("dist", F.round("dist", 6))
+
+
+@query(f"with {KNN}, d as (select cell, max(dist) filter (rank = 1) d1, max(dist) filter (rank = 20) d2 from kn group by 1) select cell from d where d1 > 1.2 or d2 > 0.4 + d1 or d2 > 1.0 + 0.3 * d1")
+def knn_outliers(spark, sf_dir):
+    return neighbors.knn_outliers(_knn(spark, sf_dir), 1, 20, 1.2, 1.0, 0.4, 0.3, 1.0)
+
+
+@query(f"""with {KNN}, n as (select * from kn where rank <= 10), e as (select distinct least(cell, nbr) a, greatest(cell, nbr) b from n),
+s as (select e.a, e.b, count(*) i from e join n x on x.cell = e.a join n y on y.cell = e.b and y.nbr = x.nbr group by 1, 2), w as (select a, b, i / (20 - i) w from s)
+select a, b, round(w / (select max(w) from w), 6) w from w""")
+def jaccard_edges(spark, sf_dir):
+    return neighbors.jaccard_edges(_knn(spark, sf_dir, 10), 10).withColumn("w", F.round("w", 6))
+
+
+@query()
+def graph_clusters(spark, sf_dir):
+    return neighbors.louvain(neighbors.jaccard_edges(_knn(spark, sf_dir, 10), 10))
+
+
+@query(f"""with {SQL['e1']}, k as (select count(*) n from embeddings), s as (select gene, sum(value) s, sum(value * value) q from c1 group by 1),
+m as (select gene, s / n mu, sqrt((q - s * s / n) / (n - 1)) sd from s, k), d as (select vec_id cell, gene from embeddings, (select distinct gene from c1))
+select d.cell, d.gene, round((coalesce(value, 0) - mu) / sd, 5) z from d join m using (gene) left join c1 on c1.cell = d.cell and c1.gene = d.gene""")
+def dense_zscore(spark, sf_dir):
+    e = fx.clamped(spark, sf_dir)
+    return expression.z_scores(e, fx.vectors(spark, sf_dir).select("cell")).select("cell", "gene", F.round("z", 5).alias("z"))
+
+
+@query(f"""with {SQL['m1']}, k as (select count(distinct cell) n from m1), s as (select gene, sum(count) s, sum(count * count) q from m1 group by 1)
+select gene, round(s / n, 6) as mean, round(sqrt((q - s * s / n) / (n - 1)) / (s / n), 6) cv from s, k""")
+def variable_gene_stats(spark, sf_dir):
+    c = fx.supplier_counts(spark, sf_dir)
+    return neighbors.variable_gene_stats(c, c.select("cell").distinct()).select("gene", F.round("mean", 6).alias("mean"), F.round("cv", 6).alias("cv"))
+
+
+@query()
+def variable_genes(spark, sf_dir):
+    c = fx.supplier_counts(spark, sf_dir)
+    return neighbors.variable_genes(c, c.select("cell").distinct(), cutoff=0.0, mean_max=1e9)
+
+
+@query()
+def principal_components(spark, sf_dir):
+    e = fx.vectors(spark, sf_dir).select("cell", F.posexplode("vec").alias("gene", "value")).withColumn("gene", F.col("gene").cast("string"))
+    return neighbors.pca(expression.z_scores(e, fx.vectors(spark, sf_dir).select("cell")))[0]
+
+
+PAIRS = f"""{SQL['e1']}, f as (select cell, gene m, (value >= 0.2)::int h from c1 where value >= 0.1), s as (select m, sum(h) nh, count(*) nl from f group by 1),
+o as (select a.m m1, b.m m2, sum(a.h * b.h) oh, count(*) ol from f a join f b on a.cell = b.cell and a.m < b.m group by 1, 2),
+pr as (select a.m m1, b.m m2, coalesce(oh, 0) oh, coalesce(ol, 0) ol, round_even(coalesce(coalesce(oh, 0) / nullif(least(a.nh, b.nh), 0), 0), 4) fh, round_even(coalesce(coalesce(ol, 0) / nullif(least(a.nl, b.nl), 0), 0), 4) fl from s a join s b on a.m < b.m left join o on o.m1 = a.m and o.m2 = b.m)"""
+
+
+def _modules(spark, sf_dir):
+    return fx.clamped(spark, sf_dir).select("cell", F.col("gene").alias("module"), F.col("value").alias("v"))
+
+
+@query(f"with {PAIRS} select m1, m2, oh::bigint overlap_high, ol::bigint overlap_low, fh frac_high, fl frac_low, round_even(fl - fh, 4) frac_diff from pr")
+def doublet_module_pairs(spark, sf_dir):
+    return expression.doublet_pairs(_modules(spark, sf_dir), 0.2, 0.1)
+
+
+@query(f"with {PAIRS}, k as (select m1, m2 from pr where fh < 0.15 and round_even(fl - fh, 4) < 0.3) select distinct a.cell from c1 a join c1 b on a.cell = b.cell join k on k.m1 = a.gene and k.m2 = b.gene where a.value > 0.25 and b.value > 0.25")
+def doublet_cells(spark, sf_dir):
+    m = _modules(spark, sf_dir)
+    return expression.doublet_cells(m, expression.doublet_pairs(m, 0.2, 0.1), 0.25, 0.15, 0.3)
+
+
+HOPS = f"{SQL['w1']}, ln as (select walk, max(pos) len from w1 group by 1), hp as (select w1.*, pos / len hop from w1 join ln using (walk))"
+
+
+@query(f"with {HOPS} select cell, count(*) visits, round(avg(hop), 6) pseudotime, round(log10(count(*) + 1), 6) visits_log from hp group by 1")
+def walk_positions(spark, sf_dir):
+    return pseudotime.process_walks(fx.walks(spark, sf_dir)).select("cell", "visits", F.round("pseudotime", 6).alias("pseudotime"), F.round("visits_log", 6).alias("visits_log"))
+
+
+PREFIX = f"{HOPS}, nr as (select walk, dense_rank() over (order by walk) nr from (select distinct walk from w1)), px as (select c n_walks, cell, count(*) visits, avg(hop) pt from hp join nr using (walk), (values (5), (10), (20)) k(c) where nr <= c group by 1, 2)"
+
+
+@query(f"with {PREFIX} select n_walks::int n_walks, cell, visits, round(pt, 6) pseudotime from px")
+def walk_visits_prefix(spark, sf_dir):
+    return pseudotime.walk_prefixes(fx.walks(spark, sf_dir), [5, 10, 20]).withColumn("pseudotime", F.round("pseudotime", 6))
+
+
+@query(f"with {PREFIX}, d as (select n_walks, abs(pt - lag(pt) over (partition by cell order by n_walks)) d from px) select n_walks::int n_walks, round(sum(d), 6) as change from d group by 1")
+def stability_total_change(spark, sf_dir):
+    return pseudotime.stability_change(pseudotime.walk_prefixes(fx.walks(spark, sf_dir), [5, 10, 20])).withColumn("change", F.round("change", 6))
+
+
+PT = f"{HOPS}, pt as (select cell, avg(hop) pt from hp group by 1)"
+PARAMS = f"{PT}, lg as (select pt - lead(pt, 4) over w b, lead(pt, 2) over w - pt f from pt window w as (order by pt desc, cell)), pa as (select avg(b) b, avg(f) f from lg), lp as (select b, f, (b + f) / 2 x0, ln(0.01) / ((b + f) / 2 - f) k from pa)"
+STEPS = "st as (select cell i, lead(cell) over (partition by walk order by pos) j from w1), ed as (select i, j, count(*)::double w from st where j is not null group by 1, 2)"
+
+
+def _pt(spark, sf_dir):
+    return pseudotime.process_walks(fx.walks(spark, sf_dir))
+
+
+def _steps(spark, sf_dir):
+    w = fx.walks(spark, sf_dir).select(F.col("cell").alias("i"), F.lead("cell").over(W.partitionBy("walk").orderBy("pos")).alias("j"))
+    return w.where("j is not null").groupBy("i", "j").agg(F.count("*").cast("double").alias("w"))
+
+
+@query(f"with {PARAMS} select round(b, 8) back, round(f, 8) forward, round(x0, 8) x0, round(k, 5) k from lp")
+def logistic_params(spark, sf_dir):
+    p = pseudotime.logistic_params(_pt(spark, sf_dir), 2, 4)
+    return p.select(*[F.round(c, 8).alias(c) for c in ("back", "forward", "x0")], F.round("k", 5).alias("k"))
+
+
+@query(f"with {PARAMS}, {STEPS} select i, j, round(w / (1 + exp(-k * (b.pt - a.pt - x0))), 6) w from ed join pt a on a.cell = i join pt b on b.cell = j, lp")
+def weighted_edges(spark, sf_dir):
+    pt = _pt(spark, sf_dir)
+    return pseudotime.weighted_edges(_steps(spark, sf_dir), pt, pseudotime.logistic_params(pt, 2, 4)).withColumn("w", F.round("w", 6))
+
+
+@query(f"with {SQL['w1']}, {STEPS}, rs as (select i, sum(w) s from ed group by 1) select i, j, round(w / (select max(s) from rs), 8) w from ed")
+def flood_matrix(spark, sf_dir):
+    return pseudotime.flood_matrix(_steps(spark, sf_dir)).withColumn("w", F.round("w", 8))
+
+
+@query(f"""with {SQL['w1']}, f as (select walk sim, cell, min(pos) - 1 step from w1 group by 1, 2), k as (select count(distinct sim) n from f), ok as (select cell from f, k group by cell having 1 - count(*) / any_value(n) <= 0.9),
+t as (select sim, max(step) t from f group by 1) select cell, round(avg(step / t), 6) pseudotime, count(step / t) visits, round(log10(count(step / t) + 1), 6) visits_log from f join t using (sim) semi join ok using (cell) group by 1""")
+def flood_normalize(spark, sf_dir):
+    f = fx.walks(spark, sf_dir).groupBy(F.col("walk").alias("sim"), "cell").agg((F.min("pos") - 1).alias("step"))
+    return pseudotime.process_floods(f, max_missing=0.9)[0].select("cell", F.round("pseudotime", 6).alias("pseudotime"), "visits", F.round("visits_log", 6).alias("visits_log"))
+
+
+@query()
+def flood_simulation(spark, sf_dir):
+    e = pseudotime.flood_matrix(_steps(spark, sf_dir))
+    roots = [r["cell"] for r in _pt(spark, sf_dir).orderBy("pseudotime", "cell").limit(12).collect()]
+    return pseudotime.flood(e, roots, 4, Scratch(spark, f"flood-{uuid.uuid4().hex}"))
+
+
+@query()
+def biased_walks(spark, sf_dir):
+    pt = _pt(spark, sf_dir)
+    e = pseudotime.weighted_edges(_steps(spark, sf_dir), pt, pseudotime.logistic_params(pt, 2, 4))
+    order = [r["cell"] for r in pt.orderBy("pseudotime", "cell").collect()]
+    tips = spark.createDataFrame([("a", c) for c in order[-3:]] + [("b", c) for c in order[-6:-3]], "tip string, cell string")
+    return pseudotime.process_walks(pseudotime.random_walks(e, tips, order[:3], 200), ["tip"])
+
+
+UP = f"{SQL['t1']}, up as (select child segment, parent ancestor, 1 depth from t1 union all select up.segment, t1.parent, depth + 1 from up join t1 on t1.child = up.ancestor)"
+
+
+@query(f"with recursive {UP} select segment, ancestor, depth from up")
+def segment_parents_all(spark, sf_dir):
+    return tree.ancestors(fx.tree(spark, sf_dir))
+
+
+@query(f"with recursive {UP} select ancestor, segment as descendant from up where ancestor in ('r1', 'n3')")
+def children_all(spark, sf_dir):
+    return tree.ancestors(fx.tree(spark, sf_dir)).where(F.col("ancestor").isin("r1", "n3")).select("ancestor", F.col("segment").alias("descendant"))
+
+
+@query(f"with {SQL['t1']} select a.child segment, b.child sibling from t1 a join t1 b on a.parent = b.parent and a.child <> b.child")
+def siblings(spark, sf_dir):
+    return tree.siblings(fx.tree(spark, sf_dir), include_self=False)
+
+
+@query(f"with {SQL['t1']} select distinct child segment from t1 where child not in (select parent from t1)")
+def terminals(spark, sf_dir):
+    return tree.terminals(fx.tree(spark, sf_dir))
+
+
+@query(f"""with recursive {UP}, ch as (select ancestor s from up where segment in ('s3', 's7') and ancestor <> 'world' union select unnest(['s3', 's7']))
+select c_custkey cell from customer where 'n' || c_nationkey in (select s from ch)""")
+def cells_along_lineage(spark, sf_dir):
+    cells = fx.load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cell"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("segment"))
+    return tree.cells_along_lineage(fx.tree(spark, sf_dir), cells, ["s3", "s7"])
+
+
+VISITS = f"{SQL['w1']}, vs as (select 's' || (walk % 3) segment, cell, count(*) v from w1 group by 1, 2)"
+
+
+def _visits(spark, sf_dir):
+    return fx.walks(spark, sf_dir).groupBy(F.concat(F.lit("s"), (F.col("walk") % 3).cast("string")).alias("segment"), "cell").agg(F.count("*").alias("v"))
+
+
+@query(f"with {VISITS}, t as (select *, max(v) over (partition by cell) top from vs) select cell, segment from t where top >= 10 and v >= 0.7 * top")
+def segment_membership(spark, sf_dir):
+    return tree.membership(_visits(spark, sf_dir), 10, 0.7)
+
+
+EQUAL = f"{SQL['w1']}, nn as (select walk, pos, cell, count(*) over (partition by walk) m from w1), nk as (select *, greatest(round_even(m / 20, 0), 1) n from nn), ng as (select walk, pos, cell, (select count(*) from range(1, n::int + 1) r(g) where round_even(m / n * g, 0) < pos) + 1 grp from nk)"
+
+
+@query(f"with {EQUAL} select walk, pos::int pos, cell, grp::int grp from ng")
+def near_equal_nodes(spark, sf_dir):
+    return tree.near_equal(fx.walks(spark, sf_dir), ["walk"], ["pos"], 20)
+
+
+@query(f"with {EQUAL}, tp as (select walk, max(grp) top from ng group by 1) select walk, s::int as window, count(*) n from ng join tp using (walk), range(1, 100) r(s) where s <= top - 2 + 1 and grp between s and s + 1 group by 1, 2")
+def moving_windows(spark, sf_dir):
+    g = tree.near_equal(fx.walks(spark, sf_dir), ["walk"], ["pos"], 20)
+    return tree.moving_windows(g, 2, ["walk"]).groupBy("walk", "window").agg(F.count("*").alias("n"))
+
+
+@query("""with p as (select p_partkey k, (p_partkey % 97 + 1) / 200 p, row_number() over (order by (p_partkey % 97 + 1) / 200, p_partkey) r, count(*) over () n from part)
+select k, p, round(least(1, min(p * n / r) over (order by r rows between current row and unbounded following)), 8) p_adj from p""")
+def bh_adjust(spark, sf_dir):
+    p = fx.load(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), ((F.col("p_partkey") % 97 + 1) / 200).alias("p"))
+    return markers.adjust_bh(p, "p").withColumn("p_adj", F.round("p_adj", 8))
+
+
+@query("""with p as (select p_partkey k, (p_partkey % 97 + 1) / 2e6 p, row_number() over (order by (p_partkey % 97 + 1) / 2e6, p_partkey) r, count(*) over () n from part)
+select k, p, round(least(1, max(p * (n - r + 1)) over (order by p)), 7) p_adj from p""")
+def holm_adjust(spark, sf_dir):
+    p = fx.load(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), ((F.col("p_partkey") % 97 + 1) / 2e6).alias("p"))
+    h = markers.adjust_holm(p, "p")
+    # equal p-values share the largest adjusted value
+    return h.withColumn("p_adj", F.round(F.max("p_adj").over(W.partitionBy("p")), 7))
+
+
+@query("select vec_id cell, (embedding[1]::double > 0 and embedding[1]::double < 0.3)::int::varchar || (embedding[2]::double > -0.1 and embedding[2]::double < 0.1)::int::varchar bits from embeddings")
+def label_threshold_bits(spark, sf_dir):
+    d = fx.vectors(spark, sf_dir).select("cell", F.get("vec", 0).alias("a"), F.get("vec", 1).alias("b"))
+    return expression.threshold_bits(d, [("a", 0.0, 0.3), ("b", -0.1, 0.1)]).select("cell", "bits")
+
+
+@query("select vec_id cell from embeddings where label in (1, 3) and embedding[1]::double between 0 and 0.2")
+def which_cells(spark, sf_dir):
+    d = fx.vectors(spark, sf_dir).withColumn("x", F.get("vec", 0))
+    return d.where(F.col("grp").isin("1", "3") & expression.between("x", 0.0, 0.2)).select("cell")
+
+
+@query("select c_custkey cell from customer where c_mktsegment = 'BUILDING' and c_nationkey % 5 = 2")
+def highlight_intersect(spark, sf_dir):
+    c = fx.load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cell"), F.col("c_mktsegment").alias("segment"), (F.col("c_nationkey") % 5).cast("string").alias("rest"))
+    return expression.highlight(c.unpivot("cell", ["segment", "rest"], "name", "value"), [("segment", "BUILDING"), ("rest", "2")])
+
+
+@query(f"with {SQL['m1']}, t as (select cell, sum(count) n from m1 group by 1) select cell as key, row_number() over (order by n desc, cell) rank, round(sum(n) over (order by n desc, cell rows unbounded preceding) / sum(n) over (), 6) share from t")
+def read_knee_curve(spark, sf_dir):
+    t = fx.supplier_counts(spark, sf_dir).groupBy("cell").agg(F.sum("count").alias("n"))
+    return ingest.knee_curve(t, "cell", "n").withColumn("share", F.round("share", 6))
+
+
+@query("select o_orderkey barcode, list_aggregate(list_transform(range(15, -1, -1), lambda k: substr('ACGT', ((o_orderkey * 2654435) >> (2 * k)::int & 3)::int + 1, 1)), 'string_agg', '') cell from orders")
+def decode_barcode(spark, sf_dir):
+    o = fx.load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("barcode"), (F.col("o_orderkey") * 2654435).alias("x"))
+    return o.select("barcode", X.decode_barcode("x").alias("cell"))
+
+
+MATH = "select l_orderkey, l_linenumber, l_quantity x, l_extendedprice / 1000 y, l_discount p from lineitem"
+
+
+@query(f"""with m as ({MATH}) select l_orderkey, l_linenumber, x, y, p, case when abs(x) > abs(y) then x else y end pmax, round(abs(coalesce((x - y) / nullif(x + y, 0), 0)), 6) pref,
+round(1 / (1 + exp(-0.1 * (x - 25))), 6) logi, round(3 / (1 + exp(-0.1 * (x - 25))) + 1, 6) sig, round(0.5 + 1.5 / (1 + exp(-0.2 * (x - 20))), 6) imp1,
+round((0.5 + 1.5 / (1 + exp(-0.2 * (x - 20)))) * (1 + 1 / (1 + exp(0.3 * (x - 35)))) / 2, 6) imp2, ceil(y) = floor(y) whole from m""")
+def scalar_math(spark, sf_dir):
+    line = fx.load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"), F.col("l_discount").alias("p"))
+    r = lambda c: F.round(c, 6)
+    return line.withColumns({"pmax": X.pmax_abs("x", "y"), "pref": r(X.preference("x", "y")), "logi": r(X.logistic("x", 25.0, 0.1)), "sig": r(X.sigmoid("x", 0.1, 25.0, 3.0, 1.0)), "imp1": r(X.impulse_single("x", -0.2, 0.5, 2.0, 20.0)), "imp2": r(X.impulse_double("x", -0.2, 0.3, 0.5, 2.0, 1.0, 20.0, 35.0)), "whole": X.is_whole("y")})
+
+
+@query(f"""with m as ({MATH}) select p, round(avg(x) filter (x > 0), 6) mp, round(log2(avg(power(2, y / 20) - 1) + 1), 6) ml, round(log2(sum(power(2, y / 20) - 1) + 1), 6) sl, round(count(*) filter (x > 25) / count(*), 6) pe,
+case when count(distinct l_linenumber) = 1 then max(l_linenumber) end ou from m group by 1""")
+def aggregate_math(spark, sf_dir):
+    line = fx.load(spark, sf_dir, "lineitem").select("l_linenumber", F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000 / 20).alias("y"), F.col("l_discount").alias("p"))
+    return line.groupBy("p").agg(F.round(X.mean_pos("x"), 6).alias("mp"), F.round(X.mean_of_logs("y"), 6).alias("ml"), F.round(X.sum_of_logs("y"), 6).alias("sl"), F.round(X.prop_exp("x", 25.0), 6).alias("pe"), X.output_uniform("l_linenumber").alias("ou"))
+
+
+@query()
+def diffusion_edges(spark, sf_dir):
+    return neighbors.diffusion_edges(_knn(spark, sf_dir, 10))
+
+
+def _window_means(spark, sf_dir):
+    e = fx.clamped(spark, sf_dir)
+    pt = fx.vectors(spark, sf_dir).select("cell", F.get("vec", 0).alias("pseudotime"))
+    w = tree.moving_windows(tree.near_equal(pt, [], ["pseudotime", "cell"], 40), 3)
+    return curves.window_means(e, w)
+
+
+@query()
+def smoothed_expression(spark, sf_dir):
+    return curves.smooth(_window_means(spark, sf_dir))
+
+
+@query()
+def impulse_cascade(spark, sf_dir):
+    return curves.cascade(_window_means(spark, sf_dir), starts=3)
+
+
+@query()
+def segment_divergence(spark, sf_dir):
+    v = _visits(spark, sf_dir)
+    pairs = spark.createDataFrame([("s0", "s1"), ("s0", "s2"), ("s1", "s2")], "s1 string, s2 string")
+    return tree.divergence(v, _pt(spark, sf_dir).select("cell", "pseudotime"), pairs, threshold=0.2, cuts=10, width=3)
