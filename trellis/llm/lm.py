@@ -276,7 +276,7 @@ def score(docs: DataFrame, scratch: Scratch, vocabulary_path: str, held_out, id_
                 index = coded.indices.to_numpy(zero_copy_only=False)
                 doc = np.repeat(np.arange(len(per)), per)
                 hit = at[index] if len(vocab) else np.zeros(0, np.int64)
-                add_up = lambda x, doc=doc, n=len(per): np.bincount(doc, x, minlength=n)
+                add_up = lambda x, doc=doc, n=len(per): np.bincount(doc, x, minlength=n).astype(float)
                 tail = np.flatnonzero(hit < 0)
                 starts = np.searchsorted(doc[tail], np.arange(len(per) + 1))
                 rest = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), coded.dictionary.take(pa.array(index[tail])))
