@@ -95,6 +95,24 @@ def test_lines(spark, odd, none):
     assert out.count() == 7 and out.columns == odd.columns
 
 
+@pytest.mark.parametrize(("small", "found"), [(16, 38), (2, 30)])
+def test_lines_of_one_template_settle(spark, small, found):
+    """Buckets full of lines that are half alike: no line may go that resembles none; of the near copies, the share that the bands find goes."""
+    rng = random.Random(8)
+    head = "every line of this report opens with the same few words and goes on like so:"
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    own = [f"{head} {' '.join(word() for _ in range(6))}" for _ in range(150)]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate([*own, *(x + " again" for x in own[:40])])], "doc_id long, text string")
+
+    def similar(a, b):
+        a, b = ({x[m.start() : m.start() + 10] for m in re.finditer(r"\S+", x)} for x in (a, b))
+        return len(a & b) / len(a | b) >= 0.8
+
+    assert not any(similar(a, b) for i, a in enumerate(own) for b in own[:i]) and all(similar(x, x + " again") for x in own[:40])
+    got = {r.doc: r.kept_doc for r in lines.near_duplicate_lines(docs, scratch(spark), small=small).collect()}
+    assert set(got) <= set(range(150, 190)) and len(got) >= found and all(got[k] == k - 150 for k in got)
+
+
 def test_lattice_sums_all_segmentations():
     w = dict(lm.vocabulary(registry.tokenizer_path("piece_bpe_32k.model")))
     lattice = lm.Lattice(w)
