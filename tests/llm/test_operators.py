@@ -267,6 +267,16 @@ def test_passages(spark, odd, none):
     passages.repeated_passages(odd, scratch(spark)).collect()
 
 
+@pytest.mark.parametrize("gap", [60, 100, 200])
+def test_passages_on_both_sides_of_a_rewritten_middle(spark, gap):
+    rng = random.Random(gap)
+    make = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    one, two = make(60), make(60)
+    docs = [(i, " ".join(make(30) + one + make(gap) + two + make(30))) for i in range(2)]
+    got = passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string"), scratch(spark)).collect()
+    assert sorted((r.doc_id, r.start_word, r.end_word, r.ref_doc_id, r.n_match) for r in got) == [(1, 30, 90, 0, 60), (1, 90 + gap, 150 + gap, 0, 60)]
+
+
 def test_chains_are_best():
     x, y = [0, 10, 20, 30, 40], [5, 100, 25, 35, 45]
     assert passages.chains(x, y, 6.0, 0.05)[0] == [0, 2, 3, 4]
