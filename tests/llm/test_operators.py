@@ -277,6 +277,19 @@ def test_passages_on_both_sides_of_a_rewritten_middle(spark, gap):
     assert sorted((r.doc_id, r.start_word, r.end_word, r.ref_doc_id, r.n_match) for r in got) == [(1, 30, 90, 0, 60), (1, 90 + gap, 150 + gap, 0, 60)]
 
 
+@pytest.mark.parametrize(("size", "cut"), [(60, 30), (50, 25), (60, 45), (150, 49)])
+def test_passages_whose_parts_occur_first_elsewhere(spark, size, cut):
+    """Each part of a passage occurs first in another document; of the last two documents, one repeats the other."""
+    rng = random.Random(size + cut)
+    make = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    both = make(size)
+    parts = [both[i : i + cut] for i in range(0, size, cut)]
+    docs = [(i, " ".join(make(40) + p + make(40))) for i, p in enumerate([*parts, both, both])]
+    got = passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string"), scratch(spark)).collect()
+    covered = {w for r in got if (r.doc_id, r.ref_doc_id) == (len(parts) + 1, len(parts)) for w in range(r.start_word, r.end_word)}
+    assert covered >= set(range(40, 40 + size))
+
+
 def test_chains_are_best():
     x, y = [0, 10, 20, 30, 40], [5, 100, 25, 35, 45]
     assert passages.chains(x, y, 6.0, 0.05)[0] == [0, 2, 3, 4]
