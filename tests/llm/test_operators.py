@@ -113,6 +113,18 @@ def test_lines_of_one_template_settle(spark, small, found):
     assert set(got) <= set(range(150, 190)) and len(got) >= found and all(got[k] == k - 150 for k in got)
 
 
+def test_lines_link_through_those_like_the_smallest(spark):
+    """Of three lines the middle one is like both others, which are unlike each other: all are one component."""
+    rng = random.Random(6)
+    make = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(n)]
+    docs = []
+    for i in range(60):
+        mid = make(20)
+        docs += [(3 * i, " ".join(make(2) + mid[2:])), (3 * i + 1, " ".join(mid)), (3 * i + 2, " ".join(mid[:10] + make(2) + mid[12:]))]
+    got = {r.doc: r.kept_doc for r in lines.near_duplicate_lines(spark.createDataFrame(docs, "doc_id long, text string"), scratch(spark), bands=5, rows=1).collect()}
+    assert got == {3 * i + k: 3 * i for i in range(60) for k in (1, 2)}
+
+
 def test_lattice_sums_all_segmentations():
     w = dict(lm.vocabulary(registry.tokenizer_path("piece_bpe_32k.model")))
     lattice = lm.Lattice(w)
