@@ -3,6 +3,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import uuid
 import zlib
 
@@ -16,6 +17,7 @@ from trellis.llm.common import Scratch, load
 from trellis.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, fp long, t string, id long, doc long, pos long, v double, kept boolean"
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 LONG = " ".join(f"word{i % 700}," for i in range(30000))
 
 
@@ -139,12 +141,28 @@ def test_lattice_sums_all_segmentations():
         assert lattice.score([word])[0] == pytest.approx(math.log(f[-1]), abs=1e-9)
 
 
+def test_lm_score_is_the_sum_over_segmentations_of_the_text(spark):
+    """One recursion over all characters of the text, pieces free to lie anywhere, against the operator's score."""
+    path = registry.tokenizer_path("piece_bpe_32k.model")
+    w = dict(lm.vocabulary(path))
+    texts = ["The cat sat", "unheard-of wordlings, 日本 x", "", "a\tb  c\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in lm.score(docs, scratch(spark), path, F.col("doc_id") == 0).collect():
+        t = "".join(lm.START + x for x in texts[r.doc_id].lower().split())
+        f = [1.0] + [0.0] * len(t)
+        for i in range(len(t)):
+            if t[i] not in w:
+                f[i + 1] += f[i] * math.prod(w[f"<0x{b:02X}>"] for b in t[i].encode())
+            for j in range(i + 1, min(len(t), i + 40) + 1):
+                f[j] += f[i] * w.get(t[i:j], 0.0)
+        assert r.score == pytest.approx(math.log10(f[-1] * w[lm.END]), abs=1e-9)
+
+
 def test_lm_base(spark, sf, odd, none):
     out = (F.crc32(F.col("doc_id").cast("string")) % 7) == 2
     path = registry.tokenizer_path("piece_bpe_32k.model")
     docs = load(spark, sf, "documents")
-    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    tokens = {r.doc_id: [w.translate(low) for w in words(r.text)] + [" "] for r in docs.collect()}
+    tokens = {r.doc_id: [w.translate(LOW) for w in words(r.text)] + [" "] for r in docs.collect()}
     c = collections.Counter(w for k, t in tokens.items() if zlib.crc32(str(k).encode()) % 7 != 2 for w in t)
     n, v = sum(c.values()), len(c)
     for head in (50, 100000):
@@ -172,6 +190,20 @@ def test_quality(spark, sf, odd, none):
     assert quality.assess(none).count() == 0 and quality.assess(odd).count() == 7
 
 
+def test_quality_takes_wide_gaps_in_its_stride(spark):
+    gaps = [(i, (" " * 10).join(f"w{j}" for j in range(n)) * k) for i, (n, k) in enumerate([(11, 1), (4, 1), (40, 200)])]
+    gaps.append((3, " " * 200_000))
+    began = time.time()
+    assert {r.doc_id: r.n_words for r in quality.assess(spark.createDataFrame(gaps, "doc_id long, text string")).collect()} == {0: 11, 1: 4, 2: 40 * 200 - 199, 3: 0}
+    assert time.time() - began < 20
+
+
+def test_quality_weighs_a_phrase_by_its_share_of_the_line(spark):
+    body = "A sentence of some words that says a thing or two. " * 30
+    rows = [(0, body + "click here"), (1, body + "\nclick here"), (2, body)]
+    assert {r.doc_id: r.clean_text for r in quality.assess(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0: rows[0][1], 1: body, 2: body}
+
+
 def test_html(spark):
     page = '<html><head><title>t</title><script>var a="<p>no";</script></head><body><nav><a href=x>menu</a></nav><div class="cookie-notice">We use cookies</div><article><h1>Head &amp; line</h1><p>First, a long paragraph, with commas, and more words.<p>Second&nbsp;one is   here,<br>and it goes on for a while too.<form>no</form><div class="comments"><p>Great article, really, I liked it, very much.</p></div></article><aside>side</aside><footer>foot</footer>'
     assert html.extract(page) == "Head & line\nFirst, a long paragraph, with commas, and more words.\nSecond one is here, and it goes on for a while too."
@@ -182,9 +214,26 @@ def test_html(spark):
     assert html.main_text(df.limit(0)).count() == 0
 
 
+ARTICLE = "<p>First, a long paragraph, with commas, and more words here, yes.</p><p>Second paragraph, it goes on for a while, and then on.</p>"
+
+
+@pytest.mark.parametrize("wrap", ['div class="content no-sidebar"', 'div class="main-content has-sidebar"', 'div class="ad-free"', 'div class="post social-share-enabled"', "form id=aspnet", 'div class="sidebar-layout"', 'div class="comments-open"', 'div class="widget"'])
+def test_html_marks_that_name_the_page(wrap):
+    """Class words of a wrapper of the whole page take nothing away; marked parts inside it still go."""
+    inner = '<div class="sidebar"><p>Other stuff, junk of a sidebar.</p></div>' + ARTICLE + '<div class="comments"><p>Nice article, really, I mean it.</p></div>'
+    assert html.extract(f"<body><{wrap}>{inner}</{wrap.split()[0]}></body>") == "\n".join(re.findall("<p>(.*?)</p>", ARTICLE))
+
+
+@pytest.mark.parametrize("bad", ['<a href="', "<div class='x>", "<p", "<!-- x ", "< a ", '<b x="y>'])
+def test_html_broken_markup_takes_linear_time(bad):
+    began = time.time()
+    assert "First" in html.extract(ARTICLE + bad * 40_000)
+    assert time.time() - began < 5
+
+
 def test_simhash(spark, odd, none):
     def brute(t):
-        w = [x.translate(simhash._LOWER) for x in words(t)]
+        w = [x.translate(LOW) for x in words(t)]
         g = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
         h = [simhash.xxhash.xxh64_intdigest(x, 42) for x in g]
         return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
@@ -313,14 +362,14 @@ def test_packing_cuts_are_cheapest():
         pos = sorted(rng.sample(range(1, 60), 12))
         pen = [rng.choice([0.0, 2.0]) for _ in pos[:-1]] + [0.0]
         pos = [p for p in pos]
-        size = max(16, max(b - a for a, b in zip([0, *pos], pos, strict=False)))
+        size = 16 if max(b - a for a, b in zip([0, *pos], pos, strict=False)) <= 16 else 32
         best = {0: 0.0}
         for p, q in zip(pos, pen, strict=True):
-            best[p] = min(best[s] + (0 if p - s in (size, size // 2) else size - p + s) for s in best if p - s <= size) + q
+            best[p] = min(best[s] + (0 if p - s == size or (p - s).bit_count() == 1 else size - p + s) for s in best if p - s <= size) + q
         ends = packing.cut(pos, pen, size)
         cost, at = 0.0, 0
         for e in ends:
-            cost += (0 if e - at in (size, size // 2) else size - e + at) + pen[pos.index(e)]
+            cost += (0 if e - at == size or (e - at).bit_count() == 1 else size - e + at) + pen[pos.index(e)]
             at = e
         assert cost == pytest.approx(best[pos[-1]])
 

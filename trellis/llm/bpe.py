@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.packing import slices
+from trellis.llm.common import slices
 
 #: A cut falls where ten bits of the hash are zero: about 1 KB a chunk; at most this many bytes.
 CUT_MASK, LONGEST = np.uint32(0x3FF << 16), 1 << 14
@@ -258,7 +258,7 @@ def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
         c = codec(tokenizer)
         for whole in batches:
             for b in slices(whole, 4 << 20):
-                t = b.column(1)
+                t = b.column(1).cast(pa.string())  # 32-bit offsets; a slice is far from 2 GB
                 bounds = np.frombuffer(t.buffers()[1], np.int32)[t.offset : t.offset + len(t) + 1].astype(np.int64)
                 x = np.frombuffer(t.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
                 bounds = bounds - bounds[0]

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +19,12 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one is set only where none is configured."""
+    """The shared folder of the session. Only a session on this one machine gets a temporary one
+    where none is configured; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         root = tempfile.mkdtemp(prefix="trellis-scratch-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -41,8 +48,9 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        drop_path(self.spark, f"{self.base}/{name}")
+    def drop(self, *names: str) -> None:
+        for name in names:
+            drop_path(self.spark, f"{self.base}/{name}")
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -63,3 +71,29 @@ def words_of(text: Column) -> Column:
     """Words of a text, as an array; none for a null or blank text."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{SPACE}]+"))
+
+
+def slices(batch: pa.RecordBatch, most: int = 8 << 20, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``most`` bytes of text each, in order; ``column`` holds the text."""
+    n = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        done = n[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(n, done + most, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def bit_table(ids: DataFrame, log_bits: int = 21) -> DataFrame:
+    """(word, bits): which hashes modulo 2^``log_bits`` occur in the column ``id``. It never has more
+    than 2^(log_bits - 6) rows, whatever the input, and so can be broadcast."""
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << log_bits))
+    return ids.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
+
+
+def marked_by(rows: DataFrame, table: DataFrame, how: str, log_bits: int = 21) -> DataFrame:
+    """``rows`` whose ``id`` may be in a bit table, never losing one that is (how: left_semi); or
+    all rows, with a column ``word`` that is null where the id is certainly not in it (how: left)."""
+    rows = rows.withColumn("p", F.pmod(F.xxhash64("id"), F.lit(1 << log_bits)))
+    hit = (F.shiftright(rows["p"], 6) == table["word"]) & (F.getbit(table["bits"], rows["p"].bitwiseAND(F.lit(63)).cast("int")) == 1)
+    return rows.join(F.broadcast(table), hit, how).drop("p")

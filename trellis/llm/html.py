@@ -15,7 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)""", re.S)
+from trellis.llm.common import slices
+
+_OTHER = r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({})>|<[!?/][^>]*(?:>|\Z)"
+_TOKEN = re.compile(_OTHER.format(r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""), re.S)
+#: For what follows a tag whose quotes don't close: a tag ends at the next >.
+_LOOSE = re.compile(_OTHER.format(r"[^>]*+"), re.S)
+_TAG_START = re.compile(r"</?[a-zA-Z]")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 #: Fixed values of HTML: elements without content, with raw content, and inline ones.
@@ -27,35 +33,44 @@ SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("t
 #: What bounds the search for an open element that a start tag closes.
 SCOPE = frozenset("table ul ol dl div section article main body html form nav aside header footer blockquote".split())
 #: Elements that are never article text.
-NEVER = frozenset("head nav footer aside form button select dialog svg canvas object menu template audio video".split()) | RAW
+NEVER = frozenset("head nav footer aside button select dialog svg canvas object menu template audio video".split()) | RAW
 #: Words in class, id or role that mark a part as no article text.
 MARKS = frozenset("ad ads adv advert adverts advertisement adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay comment comments disqus replies respond sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer header masthead related recommended recommendations share sharing social newsletter subscribe subscription signup login widget widgets toolbar skip toc contentinfo complementary search".split())
+#: Marks of readers' comments, which can be longer than the article.
+COMMENTS = frozenset("comment comments disqus replies respond".split())
+#: Words beside a mark that say it's absent, or a state of the page, not its name.
+NEGATIONS = frozenset("no has have without with hide free enabled disabled open closed on off active".split())
 #: Words that make a container likely.
 GOOD = frozenset("article content main body entry post story text blog".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "blocks", "score", "chars", "linked", "skip", "at", "bonus")
+    __slots__ = ("tag", "parent", "score", "chars", "linked", "skip", "mark", "at", "bonus")
 
-    def __init__(self, tag: str, parent: Node | None, skip: bool, at: int, bonus: float):
-        self.tag, self.parent, self.skip, self.at, self.bonus = tag, parent, skip, at, bonus
+    def __init__(self, tag: str, parent: Node | None, skip: bool, at: int, bonus: float, mark: str = ""):
+        self.tag, self.parent, self.skip, self.at, self.bonus, self.mark = tag, parent, skip, at, bonus, mark
         self.score = self.chars = self.linked = 0.0
 
 
-def _kind(tag: str, attributes: str, inside_article: bool) -> tuple[bool, float]:
-    """(never article text, bonus as a container)."""
+def _words(name: str) -> set[str]:
+    return set(re.split(r"[^a-z0-9]+", re.sub("(?<=[a-z])(?=[A-Z])", "-", name).lower()))
+
+
+def _kind(tag: str, attributes: str, inside_article: bool) -> tuple[bool, str, float]:
+    """(never article text, mark against it, bonus as a container). A mark is "part", "comments" or none."""
     if tag in NEVER or (tag == "header" and not inside_article):
-        return True, 0.0
-    bonus = 25.0 if tag in ("article", "main") else 0.0
+        return True, "", 0.0
+    bonus, mark = 25.0 if tag in ("article", "main") else 0.0, "part" if tag == "form" else ""
     if attributes and not attributes.isspace():
         if _HIDDEN.search(attributes):
-            return True, 0.0
-        words = {w for m in _NAMES.finditer(attributes) for w in re.split(r"[^a-z0-9]+", re.sub("(?<=[a-z])(?=[A-Z])", "-", m[1] or m[2] or m[3] or "").lower())}
-        good = bool(words & GOOD)
-        if words & MARKS and tag not in ("body", "html", "article", "main") and not (good and words & MARKS <= {"header"}):
-            return True, 0.0
+            return True, "", 0.0
+        names = [_words(n) for m in _NAMES.finditer(attributes) for n in (m[1] or m[2] or m[3] or "").split()]
+        good = any(n & GOOD for n in names)
+        marks = set().union(*[n & MARKS for n in names if not n & NEGATIONS])
+        if marks and tag not in ("body", "html", "article", "main") and not (good and marks <= {"header"}):
+            mark = "comments" if marks & COMMENTS else "part"
         bonus += 10.0 * good
-    return False, bonus
+    return False, mark, bonus
 
 
 def blocks(html: str) -> list[tuple[Node, str, int]]:
@@ -81,8 +96,19 @@ def blocks(html: str) -> list[tuple[Node, str, int]]:
             articles -= stack.pop().tag == "article"
 
     at, end, count = 0, len(html), 0
+    token = _TOKEN
     while at < end:
-        m = _TOKEN.search(html, at)
+        m, place = None, html.find("<", at)
+        while place >= 0:
+            m = token.match(html, place)
+            if m:
+                break
+            if _TAG_START.match(html, place):
+                if token is _LOOSE:  # no > follows: the rest is text
+                    break
+                token = _LOOSE  # quotes that don't close; once a page
+            else:
+                place = html.find("<", place + 1)
         stop = m.start() if m else end
         if stop > at and not stack[-1].skip:
             text = unescape(html[at:stop])
@@ -107,7 +133,7 @@ def blocks(html: str) -> list[tuple[Node, str, int]]:
             elif tag == "hr":
                 flush()
             if tag in VOID or tag in INLINE:
-                if tag in INLINE and tag != "a" and m[3] and not m[3].isspace() and _kind(tag, m[3], True)[0] and not m[3].rstrip().endswith("/"):
+                if tag in INLINE and tag != "a" and m[3] and not m[3].isspace() and any(_kind(tag, m[3], True)[:2]) and not m[3].rstrip().endswith("/"):
                     stack.append(Node(tag, stack[-1], True, count, 0.0))
                 continue
             flush()
@@ -119,9 +145,9 @@ def blocks(html: str) -> list[tuple[Node, str, int]]:
                 elif stack[k].tag in SCOPE:
                     break
             count += 1
-            skip, bonus = _kind(tag, m[3], articles > 0)
+            skip, mark, bonus = _kind(tag, m[3], articles > 0)
             if tag != "html":
-                stack.append(Node(tag, stack[-1], skip or stack[-1].skip, count, bonus))
+                stack.append(Node(tag, stack[-1], skip or stack[-1].skip, count, bonus, mark))
                 articles += tag == "article"
         elif tag == "a":
             anchor = False
@@ -138,9 +164,36 @@ def blocks(html: str) -> list[tuple[Node, str, int]]:
     return out
 
 
+def unmarked(found: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
+    """The blocks outside marked elements. A mark is ignored on an element that holds most of the
+    page's prose (nearly all of it, for a mark of comments): it names the page, not a part of it."""
+    prose, held = 0, {}
+    for node, text, linked in found:
+        n = len(text) - linked if len(text) >= 25 else 0
+        prose += n
+        while node is not None:
+            if node.mark:
+                held[id(node)] = held.get(id(node), 0) + n
+            node = node.parent
+    known: dict[int, bool] = {}
+
+    def dropped(x: Node | None) -> bool:
+        path = []
+        while x is not None and id(x) not in known:
+            path.append(x)
+            x = x.parent
+        bad = known[id(x)] if x is not None else False
+        for y in reversed(path):
+            most = 0.9 if y.mark == "comments" else 0.5
+            known[id(y)] = bad = bad or (bool(y.mark) and held[id(y)] <= most * prose)
+        return bad
+
+    return [b for b in found if not dropped(b[0])]
+
+
 def extract(html: str | None) -> str:
     """The main text: blocks joined by line feeds, empty if there is none."""
-    found = blocks(html or "")
+    found = unmarked(blocks(html or ""))
     if not found:
         return ""
     nodes: dict[int, Node] = {}
@@ -187,12 +240,14 @@ def main_text(pages: DataFrame, html: str = "html", keys: tuple[str, ...] = ("pa
 
     Null or empty HTML, and pages of nothing but menus and the like, give an empty text and zero.
     Repeated rows are treated alike; an empty table gives an empty result; other columns of the
-    input are ignored. A page takes time in proportion to its length times its nesting.
+    input are ignored. Of containers with equal points the first on the page is taken. A page takes
+    time in proportion to its length times its nesting, its markup sound or broken; a task holds
+    about 8 MB of pages at once, or one page.
     """
     k = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, column=k)):
             texts = [extract(x) for x in b.column(k).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*keys, "text", "n_chars"])
 

@@ -1,11 +1,10 @@
 """Language-model scores from a subword lattice.
 
 A word's probability is the sum over all its segmentations into pieces of an existing vocabulary,
-by forward recursion in log space; a text's is the product over its words and its end. Piece
-weights start from the vocabulary's own scores and are fitted to the training words by expected
-counts. Words seen in training have an arc of their own across the lattice; what the arcs leave
-over (the share of words seen once, after Good and Turing) goes to the pieces, so unseen words
-have a place and the whole is a distribution over tokens.
+weighted by its existing scores, by forward recursion in log space. No piece runs over a word's
+start, so a text's is the product over its words and its end: the sum over all segmentations of
+the whole text. The base score beside it is learnt: smoothed frequencies of whole words in the
+training texts.
 """
 
 from __future__ import annotations
@@ -20,8 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.common import Scratch
-from trellis.llm.packing import slices
+from trellis.llm.common import Scratch, slices
 
 #: The marks of a word start and of the text's end in the vocabulary.
 START, END = "▁", "</s>"
@@ -50,7 +48,7 @@ def vocabulary(path: str) -> tuple[tuple[str, float], ...]:
 
 
 class Lattice:
-    """Forward and backward sums over the segmentations of many words at once.
+    """Forward sums over the segmentations of many words at once.
 
     The pieces form a trie; all words of a batch take each step through it together. Words of
     like length share a batch, so memory follows the batch's characters.
@@ -65,13 +63,10 @@ class Lattice:
         edges = sorted(((nodes[w[:-1]] << 21) | ord(w[-1]), n) for w, n in nodes.items() if w)
         self.keys = np.array([k for k, _ in edges] + [1 << 62], np.int64)
         self.child = np.array([n for _, n in edges] + [0], np.int64)
-        self.names = list(nodes)
         self.log = np.array([log.get(w, -np.inf) for w in nodes])
         self.log[0] = -np.inf
         self.bytes = np.array([log[f"<0x{x:02X}>"] for x in range(256)])
-        self.byte_nodes = np.array([nodes[f"<0x{x:02X}>"] for x in range(256)])
-        open_ = sum(p for w, p in weights.items() if w.startswith(START))
-        self.end = math.log(weights[END] / (open_ + weights[END]))
+        self.end = log[END]
 
     def batches(self, words: list[str], most: int = 60_000) -> Iterator[np.ndarray]:
         """Indices of words of like length, about ``most`` characters together."""
@@ -87,7 +82,7 @@ class Lattice:
             yield order[at:stop]
             at = stop
 
-    def _forward(self, words: list[str]) -> tuple[np.ndarray, list[tuple], np.ndarray, np.ndarray]:
+    def _forward(self, words: list[str]) -> np.ndarray:
         texts = [START + w for w in words]
         n = np.fromiter(map(len, texts), np.int64, len(texts))
         wide = int(n.max())
@@ -95,7 +90,6 @@ class Lattice:
         code[np.arange(wide)[None, :] < n[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         f = np.full((len(texts), wide + 1), -np.inf)
         f[:, 0] = 0.0
-        arcs: list[tuple] = []
         for i in range(wide):
             row = np.flatnonzero(n > i)
             state = np.zeros(len(row), np.int64)
@@ -110,49 +104,28 @@ class Lattice:
                     if len(odd):
                         chars, which = np.unique(code[odd, i], return_inverse=True)
                         spelt = np.array([self.bytes[list(chr(c).encode("utf-8", "replace"))].sum() for c in chars])
-                        arcs.append((odd, i, i + 1, spelt[which], -code[odd, i] - 1))
+                        f[odd, i + 1] = np.logaddexp(f[odd, i + 1], f[odd, i] + spelt[which])
                 row, state = row[ok], self.child[pos[ok]]
                 if not len(row):
                     break
                 x = self.log[state]
                 hit = x > -np.inf
                 if hit.any():
-                    arcs.append((row[hit], i, j + 1, x[hit], state[hit]))
+                    r = row[hit]
+                    f[r, j + 1] = np.logaddexp(f[r, j + 1], f[r, i] + x[hit])
                 inside = n[row] > j + 1
                 row, state = row[inside], state[inside]
                 if not len(row):
                     break
-            k = len(arcs)
-            while k and arcs[k - 1][1] == i:
-                k -= 1
-            for r, _, j, x, _ in arcs[k:]:
-                f[r, j] = np.logaddexp(f[r, j], f[r, i] + x)
-        return f, arcs, n, f[np.arange(len(texts)), n]
+        return f[np.arange(len(texts)), n]
 
     def score(self, words: list[str]) -> np.ndarray:
         """Natural log of the summed probability of all segmentations of each word."""
         out = np.zeros(len(words))
         for at in self.batches(words):
-            out[at] = self._forward([words[i] for i in at])[3]
+            out[at] = self._forward([words[i] for i in at])
         return out
 
-    def expected(self, words: list[str], total: np.ndarray) -> None:
-        """Add the expected uses of each piece over the words to ``total``, by trie node."""
-        for at in self.batches(words):
-            f, arcs, n, z = self._forward([words[i] for i in at])
-            b = np.full_like(f, -np.inf)
-            b[np.arange(len(n)), n] = 0.0
-            for r, i, j, x, node in reversed(arcs):
-                over = x + b[r, j]
-                b[r, i] = np.logaddexp(b[r, i], over)
-                p = np.exp(f[r, i] + over - z[r])
-                if node[0] >= 0:
-                    total += np.bincount(node, p, minlength=len(total))
-                else:
-                    for c, q in zip((-node - 1).tolist(), p.tolist(), strict=True):
-                        for byte in chr(c).encode("utf-8", "replace"):
-                            total[self.byte_nodes[byte]] += q
-
 
 def _words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     """Lower-cased words of all texts as a dictionary array, and how many each text has."""
@@ -195,50 +168,21 @@ def count_words(texts: DataFrame, hold: int = 400_000) -> DataFrame:
     return texts.select(F.lit(0).alias("z"), "t").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def fit_pieces(counts: DataFrame, path: str, rounds: int = 1, prior: float = 200.0) -> dict[str, float]:
-    """Piece weights by expected counts over the training words, each round from the last weights.
-
-    Every distinct word counts once: the pieces are there for words that training has not seen,
-    and those resemble the many rare words, not the few common ones. Only sums per piece reach the driver: no more rows than the public vocabulary has pieces.
-    """
-    base = dict(vocabulary(path))
-    weights = base
-    for _ in range(rounds):
-        now = weights
-
-        def run(batches: Iterator[pa.RecordBatch], now: dict[str, float] = now) -> Iterator[pa.RecordBatch]:
-            lattice = Lattice(now)
-            total, ends = np.zeros(len(lattice.names)), 0.0
-            for b in batches:
-                words = b.column(0).to_pylist()
-                lattice.expected([w for w in words if w != END_KEY], total)
-                ends += sum(c for w, c in zip(words, b.column(1).to_pylist(), strict=True) if w == END_KEY)
-            used = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([lattice.names[i] for i in used] + [END], pa.string()), pa.array([*total[used], ends], pa.float64())], names=["piece", "x"])
-
-        got = counts.mapInArrow(run, "piece string, x double").groupBy("piece").agg(F.sum("x").alias("x")).orderBy("piece").collect()
-        seen = {r.piece: r.x for r in got}
-        total = sum(seen.values()) + prior
-        weights = {w: (seen.get(w, 0.0) + prior * p) / total for w, p in base.items()}
-    return weights
-
-
-def score(docs: DataFrame, scratch: Scratch, vocabulary_path: str, held_out, id_col: str = "doc_id", text: str = "text", head: int = 100_000, rounds: int = 1) -> DataFrame:
+def score(docs: DataFrame, scratch: Scratch, vocabulary_path: str, held_out, id_col: str = "doc_id", text: str = "text", head: int = 100_000) -> DataFrame:
     """One row a document: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     ``held_out`` is the Column that keeps a document out of training. ``head`` bounds what every
     task holds: the commonest training words, with their counts. All other words of the documents,
     whatever they are, are looked up by a shuffle join, so the split changes no result. Null and
-    blank texts are their end alone. With nothing to train on, counts are zero and the pieces keep
-    their first weights. Repeated ids are each scored once a row.
+    blank texts are their end alone. With nothing to train on, counts are zero. Repeated ids are each
+    scored once a row. Texts are read in slices of about 8 MB, or one text; words of any length are
+    scored in batches of like length, whose table is as large as their characters.
     """
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"), held_out.alias("held_out"))
     counts = scratch.table(count_words(source.where("not held_out")), "counts")
-    total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.coalesce(F.sum((F.col("c") == 1).cast("long")), F.lit(0)).alias("once")).first()
-    n, v, once = total.n or 0, total.v or 0, total.once
-    # every word is seen at least once, and the pieces always keep some room
-    spare = min(max(once / n, 1e-4), 0.5) if n else 1.0
-    weights = fit_pieces(counts, vocabulary_path, rounds)
+    total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    n, v = total.n or 0, total.v or 0
+    weights = dict(vocabulary(vocabulary_path))
     add = math.log10(n + v + 1)
 
     def priced(words: DataFrame) -> DataFrame:
@@ -249,10 +193,9 @@ def score(docs: DataFrame, scratch: Scratch, vocabulary_path: str, held_out, id_
             for b in batches:
                 words, c = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False).astype(float)
                 base = np.log10(c + 1) - add
-                full = lattice.score(words) + math.log(spare)
-                full[[w == END_KEY for w in words]] = lattice.end + math.log(spare)
-                with np.errstate(divide="ignore"):
-                    full = np.logaddexp(full, np.log((1 - spare) * c / max(n, 1))) / LN10
+                full = lattice.score(words)
+                full[[w == END_KEY for w in words]] = lattice.end
+                full = full / LN10
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(base, pa.float64()), pa.array(full, pa.float64())], names=["word", "c", "base", "full"])
 
         return words.mapInArrow(run, "word string, c long, base double, full double")

@@ -15,7 +15,7 @@ import zlib
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, combinations
 from unicodedata import is_normalized
 
 import numpy as np
@@ -25,6 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trellis.llm.common import slices
+
 #: Characters that end a sentence.
 SENTENCE_ENDS = ".!?…。！？"
 
@@ -159,12 +161,11 @@ def _sentence_end_ids(path: str) -> np.ndarray:
     return out
 
 
-def cut(positions: list[int], penalties: list[float], size: int, fixed_end: bool = True) -> list[int]:
+def cut(positions: list[int], penalties: list[float], size: int) -> list[int]:
     """Windows' ends among increasing ``positions`` (from 0, excluded), at most ``size`` apart.
 
-    Cost of a window: size - length, nothing when it is full or its length is a power of two (the
-    only such length worth looking at besides is size / 2); plus the penalty of its end. The last
-    position ends the last window.
+    Cost of a window: size - length, nothing when its length is a power of two; plus the penalty of
+    its end. The last position ends the last window.
     """
     pos = [0, *positions]
     pen = [0.0, *penalties]
@@ -172,16 +173,17 @@ def cut(positions: list[int], penalties: list[float], size: int, fixed_end: bool
     back = [0] * len(pos)
     where = {p: i for i, p in enumerate(pos)}
     q: deque[int] = deque([0])  # indices by increasing best + position
-    half = size // 2
+    powers = [1 << b for b in range(size.bit_length() - 1)]
     for i in range(1, len(pos)):
         p = pos[i]
         while q and p - pos[q[0]] > size:
             q.popleft()
         j = q[0]
         cost = best[j] + size - (p - pos[j])
-        k = where.get(p - half)
-        if k is not None and best[k] < cost:
-            j, cost = k, best[k]
+        for length in powers:
+            k = where.get(p - length)
+            if k is not None and best[k] < cost:
+                j, cost = k, best[k]
         best[i], back[i] = cost + pen[i], j
         value = best[i] + p
         while q and best[q[-1]] + pos[q[-1]] >= value:
@@ -194,14 +196,17 @@ def cut(positions: list[int], penalties: list[float], size: int, fixed_end: bool
     return ends[::-1]
 
 
-def tail(length: int) -> list[int]:
-    """Lengths of powers of two, largest first, that add up to ``length``: windows without padding."""
-    return [1 << b for b in range(length.bit_length() - 1, -1, -1) if length >> b & 1]
+@lru_cache(maxsize=2)
+def rests(size: int, most: int = 3) -> np.ndarray:
+    """Sums of at most ``most`` different powers of two below ``size``: what is left of a stream can
+    be cut there into windows without padding."""
+    bits = [1 << b for b in range(size.bit_length() - 1)]
+    return np.unique([sum(c) for k in range(1, most + 1) for c in combinations(bits, k)])
 
 
 class Packer:
-    """Rolling packing of a stream of documents: a block is cut by dynamic programming, its last,
-    open window stays for the next block."""
+    """Rolling packing of a stream of documents: a block is cut by dynamic programming; its last
+    window, the only one whose end it doesn't know, stays open for the next block."""
 
     def __init__(self, size: int, sentence_end: np.ndarray, end_id: int, sentence_penalty: float, hard_penalty: float, block: int):
         self.size, self.sentence_end, self.end_id = size, sentence_end, end_id
@@ -229,18 +234,16 @@ class Packer:
         gaps = np.diff(np.concatenate([[0], soft]))
         wide = np.flatnonzero(gaps > self.size // 16)  # long stretches without a sentence end can be cut anywhere in steps
         extra = [np.arange(soft[g] - gaps[g], soft[g], 32)[1:] for g in wide]
+        if last:  # so near its end a stream can be cut anywhere that leaves windows without padding
+            extra.append(len(ids) - rests(self.size))
         at = np.unique(np.concatenate([soft, *extra])).astype(np.int64)
         at = at[at > 0]
         pen = np.where(np.isfinite(penalty[at]), penalty[at], self.hard_penalty)
         ends = cut(at.tolist(), pen.tolist(), self.size)
-        if last:
-            begin = ends[-2] if len(ends) > 1 else 0
-            rest = ends.pop() - begin
-            ends += (begin + np.cumsum(tail(rest))).tolist() if rest < self.size else [begin + rest]
-        elif len(ends) > 1:
+        if not last:
+            if len(ends) < 2:
+                return
             ends.pop()
-        else:
-            return
         yield from self._emit(ends, ids, lengths)
 
     def _emit(self, ends: list[int], ids: np.ndarray, lengths: np.ndarray) -> Iterator[tuple]:
@@ -265,24 +268,14 @@ class Packer:
         self.parts, self.held = keep, len(ids) - at
 
 
-def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about ``most`` bytes of text each, in order; the text is column 1."""
-    n = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
-    at = 0
-    while at < batch.num_rows:
-        done = n[at - 1] if at else 0
-        stop = max(at + 1, int(np.searchsorted(n, done + most, "right")))
-        yield batch.slice(at, stop - at)
-        at = stop
-
-
 def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2, id_col: str = "doc_id", text: str = "text", sentence_penalty: float = 16.0, hard_penalty: float = 256.0, block: int = 1 << 19) -> DataFrame:
     """One row per piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null and blank texts are the end token alone. Documents keep the order of their input
     partition; repeated rows are packed once each; an empty table gives no pieces; other columns
-    are ignored. The rest of a partition goes into windows whose lengths are powers of two, which
-    need no padding. Sequence ids hold the partition in their upper half, so a task that runs
+    are ignored. The end of a partition is cut by the same programme, with more places to choose from:
+    those that leave powers of two, which need no padding, each at the penalty of its cut. A very long text enters in slices of
+    ``block`` ids. Sequence ids hold the partition in their upper half, so a task that runs
     again gives the same rows.
     """
     fields = pa.schema([("doc", pa.from_numpy_dtype(np.int64))] + [(n, pa.int64()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])

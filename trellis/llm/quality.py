@@ -15,8 +15,8 @@ from trellis.llm.common import SPACE, SPACE_CHARS, let, words_of
 SYMBOLS = "#*$%&|<>"
 #: Phrases of boilerplate lines.
 BOILERPLATE = ("all rights reserved", "cookie policy", "privacy policy", "terms of service", "terms of use", "javascript is disabled", "enable javascript", "subscribe to our newsletter", "click here", "sign up now", "log in to", "powered by", "lorem ipsum", "share this", "read more")
-#: What may end a line of prose.
-ENDS = r"[.!?…。！？][\"'’”»)\]]*$"
+#: A phrase makes a line boilerplate where the line is at most this many times as long.
+PHRASE_SHARE = 20
 
 
 def repeated_words(words: Column, width: int = 3) -> Column:
@@ -47,10 +47,12 @@ def repeated_words(words: Column, width: int = 3) -> Column:
 def line_fails(line: Column, min_prose_words: int = 12) -> Column:
     """A line fails as navigation, symbol junk, shouting, boilerplate, or long text without any sentence mark.
 
-    Cheap tests come first and the costly ones run only behind them; ``let`` keeps a lower-cased
-    line from being computed once per phrase.
+    A phrase counts by its share of the line, at least one in ``PHRASE_SHARE`` characters. Cheap
+    tests come first and the costly ones run only behind them; ``let`` keeps a lower-cased line
+    from being computed once per phrase. No pattern can match a run of characters in two ways, so
+    each takes time in proportion to the line.
     """
-    at_least = lambda n: line.rlike(rf"^(?:[{SPACE}]*[^{SPACE}]+[{SPACE}]+){{{n - 1}}}[^{SPACE}]")
+    at_least = lambda n: line.rlike(rf"^[{SPACE}]*(?:[^{SPACE}]+[{SPACE}]+){{{n - 1}}}[^{SPACE}]")
 
     def marks(bare: Column) -> Column:
         n = F.char_length(bare)
@@ -61,20 +63,22 @@ def line_fails(line: Column, min_prose_words: int = 12) -> Column:
     def phrases(low: Column) -> Column:
         found = F.lit(False)
         for phrase in BOILERPLATE:
-            found = found | low.contains(phrase)
-        return found | ((F.upper(line) == line) & (low != line) & at_least(5))
+            found = found | ((length <= PHRASE_SHARE * len(phrase)) & low.contains(phrase))
+        return found
 
     marked = line.rlike(r"[#*$%&|<>»›·•]") & let(F.translate(line, SPACE_CHARS, ""), marks)
     shout = (F.upper(line) == line) & at_least(5) & line.rlike(r"\p{Lu}")
-    short = F.char_length(line) <= 300
+    length = F.char_length(line)
+    may_hold = length <= PHRASE_SHARE * max(map(len, BOILERPLATE))
     unpunctuated = ~line.rlike(r"[.!?…。！？]") & at_least(min_prose_words)
-    return marked | F.when(short, let(F.lower(line), phrases)).otherwise(shout) | unpunctuated
+    return marked | F.when(may_hold, let(F.lower(line), phrases)).otherwise(F.lit(False)) | shout | unpunctuated
 
 
 def assess(docs: DataFrame, max_lost: float = 0.5, text: str = "text") -> DataFrame:
-    """Add the counts, ``base_failed``, ``clean_text``, ``lost`` (share of word characters removed) and ``kept``.
+    """Add the counts, ``base_failed``, ``clean_text``, ``lost`` (share of characters removed) and ``kept``.
 
-    Null text counts as empty: no words, so it fails. Columns of the input with these names are
+    Null text counts as empty: no words, so it fails. Time is in proportion to the text, however
+    long its lines, but for the sort of the windows of a text that repeats some. Columns of the input with these names are
     replaced. Repeated rows are judged alike; an empty table stays empty.
     """
     t = F.coalesce(F.col(text), F.lit(""))

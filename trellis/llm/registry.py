@@ -79,12 +79,12 @@ def _quality_sql() -> str:
     space = r"[\x20\x09-\x0D]"
     word = r"[^\x20\x09-\x0D]"
     bare = f"regexp_replace(l, '{space}+', '', 'g')"
-    boiler = " or ".join(f"contains(lower(l), '{p}')" for p in quality.BOILERPLATE)
-    at_least = lambda n: f"regexp_matches(l, '^(?:{space}*{word}+{space}+){{{n - 1}}}{word}')"
+    boiler = " or ".join(f"(length(l) <= {quality.PHRASE_SHARE * len(p)} and contains(lower(l), '{p}'))" for p in quality.BOILERPLATE)
+    at_least = lambda n: f"len(regexp_extract_all(l, '{word}+')) >= {n}"
     fails = f"""(regexp_matches(l, '[#*$%&|<>»›·•]') and (
             (length({bare}) - length(regexp_replace({bare}, '[#*$%&|<>]', '', 'g'))) * 10 > length({bare})
             or (length({bare}) - length(regexp_replace({bare}, '[|»›·•]', '', 'g'))) * 4 > len(regexp_extract_all(l, '{word}+'))))
-        or (length(l) <= 300 and ({boiler}))
+        or {boiler}
         or (upper(l) = l and {at_least(5)} and regexp_matches(l, '\\p{{Lu}}'))
         or (not regexp_matches(l, '[.!?…。！？]') and {at_least(12)})"""
     return f"""

@@ -7,7 +7,6 @@ Exact copies of a fingerprint are folded before the join.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -17,32 +16,34 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.common import SPACE, Scratch
+from trellis.llm.common import Scratch, slices
 from trellis.llm.components import connected_components
 
-_WORD = re.compile(rf"[^{SPACE}]+")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Fixed value: the seed of the shingle hash.
 SEED = 42
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
     """Bits set in more than half of the shingle hashes; zero for a text without words."""
-    words = _WORD.findall((text or "").translate(_LOWER))
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z, and ASCII white space
     if not words:
         return 0
     n = max(1, len(words) - width + 1)
     h64 = xxhash.xxh64_intdigest
     counts = np.zeros(64, np.int64)
-    joined = " ".join
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()  # shingles are slices of the joined words
+    stops = ends[min(width, len(words)) - 1 :].tolist()
     for at in range(0, n, 65536):  # bounded memory on very long texts
-        hashes = np.array([h64(joined(words[i : i + width]), SEED) for i in range(at, min(n, at + 65536))], dtype="<u8")
+        part = slice(at, at + 65536)
+        hashes = np.array([h64(joined[s:e], SEED) for s, e in zip(starts[part], stops[part], strict=True)], dtype="<u8")
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in (part for whole in batches for part in slices(whole)):
         fp = np.array([fingerprint(t) for t in b.column(1).to_pylist()], dtype=np.uint64)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
 
@@ -98,7 +99,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, distance: int = 3, blocks
     """(id_col, fp, component_id) for every row: the smallest id reachable by links of fingerprints.
 
     Null and blank texts share fingerprint zero and are linked like any other. Equal texts are
-    always together. An empty table gives an empty result; other columns of the input are ignored.
+    always together. Ids can be of any orderable type. A task holds about 8 MB of texts at once, or
+    one text. An empty table gives an empty result; other columns of the input are ignored.
     """
     fp = scratch.table(fingerprints(docs, id_col, text), "fp")
     groups = scratch.table(fp.groupBy("fp").agg(F.min("id").alias("first")), "groups")

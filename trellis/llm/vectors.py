@@ -9,6 +9,7 @@ links it found.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,13 +58,24 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def near_duplicates(rows: DataFrame, scratch: Scratch, cosine: float = 0.9, passes: int = 8, window: int = 512, block: int = 2048, seed: int = 7, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def passes_for(n: int, cosine: float, window: int, least: int = 8, missed: float = 0.05) -> int:
+    """Passes after which a pair at the threshold is missed with at most that probability: two
+    vectors agree on a sign with one minus their angle over pi, and meet where they agree on as many
+    leading signs as n vectors need to stand ``window`` apart."""
+    signs = max(math.log2(max(n, 1) / window), 0.0)
+    meet = (1 - math.acos(cosine) / math.pi) ** signs
+    return least if meet >= 1 else max(least, math.ceil(math.log(missed) / math.log1p(-meet)))
+
+
+def near_duplicates(rows: DataFrame, scratch: Scratch, cosine: float = 0.9, passes: int | None = None, window: int = 512, block: int = 2048, seed: int = 7, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """One row a vector: id_col, n_links, component_id, kept.
 
     Equal vectors are folded into a class before anything is compared; a class of m gives each
     member m - 1 links to its copies. Vectors that are null, empty, zero or hold null or
     non-finite components link with nothing, nor do vectors of different length with each other,
-    nor rows without an id. An empty table gives an empty result; other columns are ignored.
+    nor rows without an id. Without ``passes`` their number follows that of the vectors, so that
+    recall does not fall with it. In a cluster of more vectors than all windows hold ``n_links`` counts
+    those that met, fewer than there are; its component is whole. An empty table gives an empty result; other columns are ignored.
     """
     v = F.col(vector)
     sound = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
@@ -72,6 +84,7 @@ def near_duplicates(rows: DataFrame, scratch: Scratch, cosine: float = 0.9, pass
     classes = source.where("v is not null").groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("m"))
     classes = scratch.table(classes, "classes")
     kind = classes.schema["rep"].dataType.simpleString()
+    passes = passes or passes_for(classes.count(), cosine, window)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
