@@ -22,31 +22,39 @@ def _measured(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Failing lines go; documents that the rules reject go."""
+    """Failing lines go; documents that the rules reject go. Null, empty and blank texts have no words
+    and are rejected; repeated rows are judged alike."""
     good = quality.assess(docs).where("kept").withColumn("text", F.col("clean_text"))
     return _measured(good, docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal and near lines the first stays; all documents stay."""
+    """Of equal and near lines the first stays; all documents stay, also those that lose all their
+    lines. Null and blank texts have no lines. Rows that repeat an id are one document: a line that
+    goes from one of them goes from all at its place."""
     removed = lines.near_duplicate_lines(docs, Scratch(spark, "pipeline-lines"))
     return _measured(lines.without_lines(docs, removed), docs.columns)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that of the smallest id; rows without an id stay."""
-    found = simhash.near_duplicates(docs.where("doc_id is not null"), Scratch(spark, "pipeline-simhash"))
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).union(docs.where("doc_id is null"))
+    """One row of each group stays: that of the smallest id, and of rows of that id the one of the
+    smallest text hash. Rows of one id with unlike texts are told apart and both stay. Null, empty
+    and blank texts are one group; rows without an id are compared like any others."""
+    keyed = docs.withColumn("_key", F.struct(F.col("doc_id"), F.xxhash64("text").alias("h")))
+    found = simhash.near_duplicates(keyed.select("_key", "text"), Scratch(spark, "pipeline-simhash"), id_col="_key")
+    keep = found.where("_key = component_id").select("_key").distinct()
+    # repeated rows have one key: the least of them stays
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return keyed.join(keep, "_key", "left_semi").groupBy("_key").agg(F.min(row).alias("_row")).select("_row.*")
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each span of personal data becomes its kind in brackets."""
+    """Each span of personal data becomes its kind in brackets. All rows stay, null texts as nulls."""
     return _measured(pii.masked(docs, pii.fit(docs)), docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 4096 tokens."""
+    """Pieces of documents in sequences of at most 4096 tokens. Null and empty texts are an end token."""
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
@@ -68,4 +76,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = scratch.table(docs, f"stage{i}")
+            if i:
+                scratch.drop(f"stage{i - 1}")
     return docs
