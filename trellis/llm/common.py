@@ -84,16 +84,28 @@ def slices(batch: pa.RecordBatch, most: int = 8 << 20, column: int = 1) -> Itera
         at = stop
 
 
-def bit_table(ids: DataFrame, log_bits: int = 21) -> DataFrame:
-    """(word, bits): which hashes modulo 2^``log_bits`` occur in the column ``id``. It never has more
-    than 2^(log_bits - 6) rows, whatever the input, and so can be broadcast."""
-    place = F.pmod(F.xxhash64("id"), F.lit(1 << log_bits))
-    return ids.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
-
-
-def marked_by(rows: DataFrame, table: DataFrame, how: str, log_bits: int = 21) -> DataFrame:
-    """``rows`` whose ``id`` may be in a bit table, never losing one that is (how: left_semi); or
-    all rows, with a column ``word`` that is null where the id is certainly not in it (how: left)."""
-    rows = rows.withColumn("p", F.pmod(F.xxhash64("id"), F.lit(1 << log_bits)))
-    hit = (F.shiftright(rows["p"], 6) == table["word"]) & (F.getbit(table["bits"], rows["p"].bitwiseAND(F.lit(63)).cast("int")) == 1)
-    return rows.join(F.broadcast(table), hit, how).drop("p")
+def bit_table(keys: DataFrame, log_bits: int = 21) -> DataFrame:
+    """(word, bits): which values modulo 2^``log_bits`` the one column of 64-bit hashes takes. It never
+    has more than 2^(log_bits - 6) rows, whatever the input, and so can be broadcast."""
+    place = F.pmod(F.col(keys.columns[0]), F.lit(1 << log_bits))
+    return keys.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
+
+
+def marked(rows: DataFrame, key: Column, table: DataFrame, how: str, log_bits: int = 21) -> DataFrame:
+    """``rows`` whose hash ``key`` may be in a bit table, without losing one that is (how: left_semi);
+    or all rows, with a column ``word`` that is null where it certainly isn't (how: left)."""
+    rows = rows.withColumn("_p", F.pmod(key, F.lit(1 << log_bits)))
+    hit = (F.shiftright(rows["_p"], 6) == table["word"]) & (F.getbit(table["bits"], rows["_p"].bitwiseAND(F.lit(63)).cast("int")) == 1)
+    return rows.join(F.broadcast(table), hit, how).drop("_p", "bits")
+
+
+def join_spread(rows: DataFrame, table: DataFrame, on: list[str], n: str, most: int = 2048, salts: int = 64) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has one row a key and the number ``n`` of rows that
+    meet it. Keys with more than ``most`` are dealt over ``salts`` tasks: both sides read from one
+    bounded bit table whether a key is salted, so they always agree on it."""
+    key = F.xxhash64(*on)
+    bits = bit_table(table.where(F.col(n) > most).select(key.alias("h")))
+    left = marked(rows, key, bits, "left").withColumn("_salt", F.when(F.col("word").isNotNull(), F.pmod(F.xxhash64(*rows.columns), F.lit(salts))).otherwise(0).cast("int"))
+    copies = F.when(F.col("word").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = marked(table, key, bits, "left").withColumn("_salt", F.explode(copies))
+    return left.drop("word").join(right.drop("word", n), [*on, "_salt"]).drop("_salt")
