@@ -6,7 +6,7 @@ result is written as Parquet in the shared folder and read again for the next.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellis.llm import lines, packing, pii, quality, simhash
@@ -21,6 +21,11 @@ def _measured(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def _key() -> Column:
+    """What tells rows apart, also those of one id; ordered by id."""
+    return F.struct(F.col("doc_id"), F.xxhash64("text").alias("h"))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failing lines go; documents that the rules reject go. Null, empty and blank texts have no words
     and are rejected; repeated rows are judged alike."""
@@ -30,17 +35,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal and near lines the first stays; all documents stay, also those that lose all their
-    lines. Null and blank texts have no lines. Rows that repeat an id are one document: a line that
-    goes from one of them goes from all at its place."""
-    removed = lines.near_duplicate_lines(docs, Scratch(spark, "pipeline-lines"))
-    return _measured(lines.without_lines(docs, removed), docs.columns)
+    lines. Null and blank texts have no lines. Rows of one id are told apart by their texts; rows
+    alike in both keep the same lines."""
+    keyed = docs.withColumn("_key", _key())
+    removed = lines.near_duplicate_lines(keyed.select("_key", "text"), Scratch(spark, "pipeline-lines"), id_col="_key")
+    return _measured(lines.without_lines(keyed, removed, id_col="_key"), docs.columns)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group stays: that of the smallest id, and of rows of that id the one of the
     smallest text hash. Rows of one id with unlike texts are told apart and both stay. Null, empty
     and blank texts are one group; rows without an id are compared like any others."""
-    keyed = docs.withColumn("_key", F.struct(F.col("doc_id"), F.xxhash64("text").alias("h")))
+    keyed = docs.withColumn("_key", _key())
     found = simhash.near_duplicates(keyed.select("_key", "text"), Scratch(spark, "pipeline-simhash"), id_col="_key")
     keep = found.where("_key = component_id").select("_key").distinct()
     # repeated rows have one key: the least of them stays
