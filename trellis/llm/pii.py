@@ -1,10 +1,12 @@
 """Personal data: exact patterns, widened by a skip-chain conditional random field.
 
-Patterns find the base spans. The field then labels the other candidate tokens (those with a digit
-or an @; all others are outside by definition). Its graph has chain edges between neighbouring
-candidates and skip edges between successive occurrences of the same or a similarly written token,
-however far apart in the document; loopy belief propagation makes their labels agree. Base spans
-are observed evidence and always stay.
+Patterns find the base spans. The field then labels the other candidate tokens: those with a digit
+or an @, and words that are the local part of an address of the document; all others are outside
+by definition. Its graph has chain edges between neighbouring candidates and skip edges between
+successive occurrences of the same or a similarly written token, however far apart in the
+document; loopy belief propagation makes their labels agree. So a number written without its
+country code, the last digits of a card or an address without its domain get the label of their
+full form. Base spans are observed evidence and always stay.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trellis.llm.common import slices
+
 #: The kinds, in their order among spans that start together.
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("outside", *KINDS)
@@ -74,8 +78,13 @@ def ips(text: str) -> Iterator[tuple[int, int]]:
             at = end + 1
 
 
-def candidates(text: str) -> list[tuple[int, int]]:
-    """Tokens with a digit or an @, without the punctuation around them."""
+def _plain(token: str) -> str:
+    return re.sub(r"[\W_]+", "", token).lower()
+
+
+def candidates(text: str, names: frozenset[str] = frozenset()) -> list[tuple[int, int]]:
+    """Tokens with a digit or an @, or among ``names`` when stripped to letters and digits, without the
+    punctuation around them."""
     out = []
     for m in TOKEN.finditer(text):
         s, e = m.span()
@@ -83,11 +92,24 @@ def candidates(text: str) -> list[tuple[int, int]]:
             s += 1
         while s < e and not (text[e - 1].isalnum() or text[e - 1] == ")"):
             e -= 1
-        if s < e and re.search("[0-9@]", text[s:e]):
+        if s < e and (re.search("[0-9@]", text[s:e]) or (names and _plain(text[s:e]) in names)):
             out.append((s, e))
     return out
 
 
+def likeness(token: str) -> list[str]:
+    """What tokens have in common that skip edges join: all letters and digits, the last digits, the
+    local part of an address. Short ones say nothing."""
+    key, digits = _plain(token), re.sub("[^0-9]", "", token)
+    out = [f"a{key}"] if len(key) >= 4 else []
+    if len(digits) >= 7:
+        out.append(f"d{digits[-7:]}")
+    name = _plain(token.partition("@")[0])
+    if len(name) >= 5:
+        out.append(f"n{name}")
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind index, end) of every valid base match, in order."""
     out = [(s, 0, e) for s, e in emails(text)]
@@ -106,33 +128,33 @@ def _stable(s: str) -> int:
     return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little") % _BUCKETS
 
 
-def _features(text: str, start: int, end: int) -> list[int]:
+def _features(text: str, start: int, end: int) -> tuple[list[int], list[int]]:
+    """Feature buckets of a token: its own, and those of its context."""
     tok = text[start:end]
     digits = re.sub("[^0-9]", "", tok)
     shape = re.sub("a+", "a", re.sub("[^\\W\\d_]", "a", re.sub("[0-9]", "9", tok)))[:24]
-    loose = re.sub("9+", "9", shape)
-    before = text[max(0, start - 24) : start].split()[-1:]
-    names = [f"shape={shape}", f"loose={loose}", f"n={len(digits)}", f"first={tok[0] if not tok[0].isalnum() else 'w'}", f"at={'@' in tok}", f"dots={tok.count('.')}", f"alpha={any(c.isalpha() for c in tok)}", "bias"]
-    if before:
-        names.append(f"prev={re.sub('[0-9]', '9', before[0].lower())[:16]}")
+    own = [f"shape={shape}", f"loose={re.sub('9+', '9', shape)}", f"n={len(digits)}", f"first={tok[0] if not tok[0].isalnum() else 'w'}", f"at={'@' in tok}", f"dots={tok.count('.')}", f"alpha={any(c.isalpha() for c in tok)}"]
     if 12 <= len(digits) <= 19 and len(digits) == len(tok):
-        names.append(f"luhn={luhn(digits)}")
-    return [_stable(n) for n in names]
+        own.append(f"luhn={luhn(digits)}")
+    near = lambda w: re.sub("[0-9]", "9", w.lower())[:16]
+    context = ["bias", *(f"prev={near(w)}" for w in text[max(0, start - 24) : start].split()[-1:]), *(f"next={near(w)}" for w in text[end : end + 24].split()[:1])]
+    return [_stable(n) for n in own], [_stable(n) for n in context]
 
 
 @dataclass
 class Graph:
     spans: list[tuple[int, int]]
-    features: list[list[int]]
+    features: list[tuple[list[int], list[int]]]
     observed: list[int]
     chain: list[tuple[int, int]]
     skip: list[tuple[int, int]]
 
 
 def graph(text: str, base: list[tuple[int, int, int]]) -> Graph:
-    """Nodes and edges of one document. Each node has at most one skip edge to the left, so the
+    """Nodes and edges of one document. Each node has at most three skip edges to the left, so the
     number of edges is linear in the nodes however often a token repeats."""
-    spans = candidates(text)
+    names = frozenset(n for s, k, e in base if k == 0 and len(n := _plain(text[s:e].partition("@")[0])) >= 5)
+    spans = candidates(text, names)
     observed, k = [], 0
     for s, e in spans:
         while k < len(base) and base[k][2] <= s:
@@ -144,10 +166,9 @@ def graph(text: str, base: list[tuple[int, int, int]]) -> Graph:
     for i, (s, e) in enumerate(spans):
         if i and s - spans[i - 1][1] <= 3:
             chain.append((i - 1, i))
-        key = re.sub(r"[\W_]+", "", text[s:e]).lower()
-        if key in last and len(key) >= 4:
-            skip.append((last[key], i))
-        last[key] = i
+        keys = likeness(text[s:e])
+        skip += [(j, i) for j in dict.fromkeys(last[key] for key in keys if key in last)]
+        last.update(dict.fromkeys(keys, i))
     return Graph(spans, [_features(text, s, e) for s, e in spans], observed, chain, skip)
 
 
@@ -166,18 +187,28 @@ class Field:
 
 def train(graphs: list[list], epochs: int = 60, rate: float = 0.5, l2: float = 1e-3) -> Field | None:
     """Piecewise training on base labels: a softmax over features, and smoothed log ratios of how
-    often labels meet across chain and skip edges. None if the sample has no personal data."""
+    often labels meet across chain and skip edges. None if the sample has no personal data.
+
+    A token that no pattern found but that is joined to one that was found has no label: it is
+    what the field is to decide, so neither weights nor ratios learn from it. Every other token is
+    seen twice, once as it is and once with the evidence of its own form hidden, so that the
+    context learns to tell without it.
+    """
     rows, labels = [], []
     meet = {"chain": np.ones((5, 5)), "skip": np.eye(5) * 4 + 0.25}
     for features, observed, chain, skip in graphs:
+        unknown = {i for e in skip for i, j in (e, e[::-1]) if observed[i] < 0 <= observed[j]}
         lab = [max(o, 0) for o in observed]
-        rows += features
-        labels += lab
+        for i, (own, context) in enumerate(features):
+            if i not in unknown:
+                rows += [[*own, *context], context]
+                labels += [lab[i]] * 2
         for name, edges in (("chain", chain), ("skip", skip)):
             for i, j in edges:
-                meet[name][lab[i], lab[j]] += 1
-                if name == "skip":
-                    meet[name][lab[j], lab[i]] += 1
+                if i not in unknown and j not in unknown:
+                    meet[name][lab[i], lab[j]] += 1
+                    if name == "skip":
+                        meet[name][lab[j], lab[i]] += 1
     y = np.array(labels, dtype=int)
     if not len(y) or not y.any():
         return None
@@ -197,47 +228,46 @@ def train(graphs: list[list], epochs: int = 60, rate: float = 0.5, l2: float = 1
         g2 += grad * grad
         w -= rate * grad / np.sqrt(g2)
     ratio = lambda m: np.log(m / m.sum()) - np.log(m.sum(1, keepdims=True) / m.sum()) - np.log(m.sum(0, keepdims=True) / m.sum())
-    return Field(w, np.clip(ratio(meet["chain"]), -3, 3), np.clip(ratio(meet["skip"]), -3, 3))
+    return Field(w, np.clip(ratio(meet["chain"]), -3, 3), np.clip(ratio(meet["skip"]), -6, 6))
 
 
-def marginals(field: Field, graphs: list[Graph], rounds: int = 30, damping: float = 0.3) -> np.ndarray:
-    """Loopy sum-product over all nodes of a batch of documents at once; one row a node."""
+def marginals(field: Field, graphs: list[Graph], rounds: int = 100, damping: float = 0.3) -> np.ndarray:
+    """Loopy sum-product over all nodes of a batch of documents at once; one row a node. Each document
+    stops when its own messages have settled, so the others of the batch don't matter to it."""
     first = np.cumsum([0, *[len(g.spans) for g in graphs]])
-    n = int(first[-1])
-    phi = np.zeros((n, 5))
-    a, b, kind = [], [], []
-    row = 0
-    for g, f0 in zip(graphs, first, strict=False):
-        for feats, seen in zip(g.features, g.observed, strict=True):
-            phi[row] = field.unary[feats].sum(0)
-            if seen >= 0:
-                phi[row] = np.where(np.arange(5) == seen, 0.0, -50.0)
-            row += 1
+    phi = np.zeros((int(first[-1]), 5))
+    a, b, kind, doc = [], [], [], []
+    for d, (g, f0) in enumerate(zip(graphs, first, strict=False)):
+        for i, ((own, context), seen) in enumerate(zip(g.features, g.observed, strict=True)):
+            phi[f0 + i] = field.unary[own + context].sum(0) if seen < 0 else np.where(np.arange(5) == seen, 0.0, -50.0)
         for k, edges in ((0, g.chain), (1, g.skip)):
-            for i, j in edges:
-                a.append(f0 + i)
-                b.append(f0 + j)
-                kind.append(k)
-    if a:
-        a_, b_, k_ = np.array(a), np.array(b), np.array(kind)
-        pot = np.stack([field.chain, field.skip])[k_]
-        ab, ba = np.zeros((len(a), 5)), np.zeros((len(a), 5))
-        for _ in range(rounds):
-            belief = phi.copy()
-            np.add.at(belief, b_, ab)
-            np.add.at(belief, a_, ba)
-            new_ab = np.logaddexp.reduce((belief[a_] - ba)[:, :, None] + pot, axis=1)
-            new_ba = np.logaddexp.reduce((belief[b_] - ab)[:, None, :] + pot, axis=2)
-            new_ab -= new_ab.max(1, keepdims=True)
-            new_ba -= new_ba.max(1, keepdims=True)
-            moved = max(np.abs(new_ab - ab).max(), np.abs(new_ba - ba).max())
-            ab, ba = damping * ab + (1 - damping) * new_ab, damping * ba + (1 - damping) * new_ba
-            if moved < 1e-4:
-                break
-        np.add.at(phi, b_, ab)
-        np.add.at(phi, a_, ba)
-    p = np.exp(phi - phi.max(1, keepdims=True)) if n else phi
-    return p / p.sum(1, keepdims=True) if n else p
+            a += [f0 + i for i, _ in edges]
+            b += [f0 + j for _, j in edges]
+            kind += [k] * len(edges)
+            doc += [d] * len(edges)
+    if not len(phi):
+        return phi
+    belief = phi.copy()
+    on = np.arange(len(a))
+    a_, b_, doc_ = np.array(a, int), np.array(b, int), np.array(doc, int)
+    pot = np.stack([field.chain, field.skip])[np.array(kind, int)]
+    ab, ba = np.zeros((len(a), 5)), np.zeros((len(a), 5))
+    for _ in range(rounds):
+        if not len(on):
+            break
+        i, j = a_[on], b_[on]
+        to_b = np.logaddexp.reduce((belief[i] - ba[on])[:, :, None] + pot[on], axis=1)
+        to_a = np.logaddexp.reduce((belief[j] - ab[on])[:, None, :] + pot[on], axis=2)
+        to_b, to_a = (damping * old[on] + (1 - damping) * (new - new.max(1, keepdims=True)) for old, new in ((ab, to_b), (ba, to_a)))
+        change = np.maximum(np.abs(to_b - ab[on]).max(1), np.abs(to_a - ba[on]).max(1))
+        np.add.at(belief, j, to_b - ab[on])
+        np.add.at(belief, i, to_a - ba[on])
+        ab[on], ba[on] = to_b, to_a
+        moved = np.zeros(len(graphs))
+        np.maximum.at(moved, doc_[on], change)
+        on = on[moved[doc_[on]] >= 1e-4]
+    p = np.exp(belief - belief.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
 
 
 def added_spans(text: str, g: Graph, p: np.ndarray, base: list[tuple[int, int, int]], sure: float) -> list[tuple[int, int, int]]:
@@ -255,7 +285,7 @@ def added_spans(text: str, g: Graph, p: np.ndarray, base: list[tuple[int, int, i
     return [x for x in out if not any(b[0] < x[2] and b[2] > x[0] for b in base)]
 
 
-def find(texts: list[str | None], field: Field | None, sure: float = 0.8) -> list[tuple[list, list]]:
+def find(texts: list[str | None], field: Field | None, sure: float = 0.5) -> list[tuple[list, list]]:
     """(base spans, all spans) of each text."""
     bases = [base_spans(t or "") for t in texts]
     if field is None:
@@ -279,26 +309,32 @@ def fit(docs: DataFrame, sample_docs: int = 2000, id_col: str = "doc_id", text:
     smallest id hashes, whatever the size of the table. Only features and labels leave the tasks."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_json(graph(t, base_spans(t))) for t in b.column(0).to_pylist()], pa.string())], names=["g"])
+        for b in (part for whole in batches for part in slices(whole)):
+            yield pa.RecordBatch.from_arrays([pa.array([_json(graph(t, base_spans(t))) for t in b.column(1).to_pylist()], pa.string())], names=["g"])
 
-    chosen = docs.select(F.col(id_col).alias("id"), _worth_reading(text).alias("t")).where("t is not null").select(F.xxhash64("id", "t").alias("h"), "t").orderBy("h").limit(sample_docs)
-    return train([json.loads(r.g) for r in chosen.select("t").mapInArrow(read, "g string").collect()])
+    rows = docs.select(F.col(id_col).alias("id"), _worth_reading(text).alias("t")).where("t is not null").select(F.xxhash64("id", "t").alias("h"), "t")
+    # only hashes meet in one task; the largest of the smallest says which texts to read
+    bound = rows.select("h").distinct().orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
+    if bound is None:
+        return None
+    chosen = rows.where(F.col("h") <= bound).dropDuplicates(["h"]).select(F.lit(0).alias("z"), "t")
+    return train([json.loads(r.g) for r in chosen.mapInArrow(read, "g string").collect()])
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def detect(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text: str = "text", sure: float = 0.8) -> DataFrame:
+def detect(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text: str = "text", sure: float = 0.5) -> DataFrame:
     """(id_col, base string, spans string, n_added long) of every row; null and blank texts have none.
 
     Repeated rows are treated alike, an empty table gives an empty result, other columns of the
-    input are ignored.
+    input are ignored. Labels that are equally likely go to the first kind. A task holds about 8 MB
+    of texts at once, or one text; time and memory are linear in a text's candidates.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             texts = b.column(1).to_pylist()
             hit = [i for i, t in enumerate(texts) if t]
             got: dict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
@@ -311,7 +347,7 @@ def detect(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text: s
     return docs.select(F.col(id_col), _worth_reading(text).alias("t")).mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, base string, spans string, n_added long")
 
 
-def masked(docs: DataFrame, field: Field | None, text: str = "text", sure: float = 0.8) -> DataFrame:
+def masked(docs: DataFrame, field: Field | None, text: str = "text", sure: float = 0.5) -> DataFrame:
     """The rows with each span replaced by [KIND]; all columns stay, null texts stay null."""
     names = docs.columns
     at = names.index(text)
@@ -325,7 +361,7 @@ def masked(docs: DataFrame, field: Field | None, text: str = "text", sure: float
         return "".join([*out, t[end:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, column=at)):
             texts = b.column(at).to_pylist()
             hit = [i for i, t in enumerate(texts) if t and re.search("[0-9@]", t)]
             for i, (_, spans) in zip(hit, find([texts[i] for i in hit], field, sure), strict=True):
