@@ -412,7 +412,24 @@ def test_passages(spark, odd, none):
         got[r.doc_id].append((r.start_word, r.end_word, r.ref_doc_id))
     assert set(got) == set(range(1, 12)) and all(200 + i <= s[0][0] + 4 and s[0][1] >= 264 + i and s[0][2] == 0 for i, s in got.items())
     assert passages.repeated_passages(none, scratch(spark)).count() == 0
-    passages.repeated_passages(odd, scratch(spark)).collect()
+    assert {(r.doc_id, r.ref_doc_id) for r in passages.repeated_passages(odd, scratch(spark)).collect()} == {(4, 4)}
+    named = spark.createDataFrame([(f"d{i}", " ".join(f"w{j}" for j in range(80))) for i in range(3)], "doc_id string, text string")
+    assert {(r.doc_id, r.ref_doc_id, r.start_word, r.end_word) for r in passages.repeated_passages(named, scratch(spark)).collect()} == {("d1", "d0", 0, 80), ("d2", "d0", 0, 80)}
+
+
+@pytest.mark.parametrize(("size", "replaced"), [(100, 17), (70, 10)])
+def test_passages_that_are_fuzzy(spark, size, replaced):
+    rng = random.Random(size)
+    make = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    docs = []
+    for i in range(60):
+        one = make(size)
+        two = list(one)
+        for j in rng.sample(range(size), replaced):
+            two[j] = make(1)[0]
+        docs += [(2 * i, " ".join(make(60) + one + make(60))), (2 * i + 1, " ".join(make(60) + two + make(60)))]
+    got = passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string"), scratch(spark)).collect()
+    assert all(r.doc_id == r.ref_doc_id + 1 for r in got) and len({r.doc_id for r in got}) >= 0.9 * 60
 
 
 @pytest.mark.parametrize("gap", [60, 100, 200])
