@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from trellis import registry
 from trellis.functions import expr as X
 from trellis.functions import stats
-from trellis.operators import curves, markers, neighbors, pseudotime, tree
+from trellis.operators import along_tree, curves, markers, neighbors, pseudotime, tree
+from trellis.plans.scratch import Scratch
 from trellis.sources import ingest
 
 
@@ -19,7 +20,7 @@ def _norm(v):
     return f"{v:.8g}" if isinstance(v, float) or type(v).__name__ == "Decimal" else str(v)
 
 
-@pytest.mark.parametrize("name", ["create_filter_normalize", "markers_auc_pr", "knn_exact", "jaccard_edges", "doublet_module_pairs", "walk_visits_prefix", "weighted_edges", "segment_parents_all", "near_equal_nodes", "moving_windows", "holm_adjust", "decode_barcode", "read_knee_curve"])
+@pytest.mark.parametrize("name", ["create_filter_normalize", "markers_auc_pr", "knn_exact", "jaccard_edges", "doublet_module_pairs", "walk_visits_prefix", "weighted_edges", "segment_parents_all", "near_equal_nodes", "moving_windows", "holm_adjust", "decode_barcode", "read_knee_curve", "impulse_derivatives", "inverse_curves", "scalar_math", "comparisons_along_tree", "collapsed_segments", "without_only_children", "tree_nodes", "edges_of_cells"])
 def test_against_sql(spark, sf, name):
     import duckdb
 
@@ -62,13 +63,69 @@ def test_area(spark):
 
 
 def test_breakpoints():
+    """Ten cells a group at pseudotime g / 10; windows of two groups."""
+
+    def of(flags, width=2):
+        return tree.breakpoint_of([{"different": x, "min_pt": (i + 1) / 10, "mean_pt": 0.0, "max_pt": (i + width) / 10, "groups": list(range(i + 1, i + 1 + width)), "sums": [float(g) for g in range(i + 1, i + 1 + width)], "counts": [10] * width} for i, x in enumerate(flags)])
+
     f, t = False, True
-    m = [0.1, 0.2, 0.3, 0.4]
-    assert tree.breakpoint_of([f, f, t, t], m, m, m) == pytest.approx(0.25)
-    assert tree.breakpoint_of([t, t], m[:2], m[:2], m[:2]) == 0.1
-    assert tree.breakpoint_of([f, f], m[:2], m[:2], m[:2]) == 0.2
-    assert tree.breakpoint_of([t, f], m[:2], m[:2], m[:2]) is None
-    assert tree.breakpoint_of([], [], [], []) is None
+    assert of([f, f, t, t]) == pytest.approx(0.3)  # the group that the second and the third window share
+    assert of([f, f, t, f, t, t, t], 3) == pytest.approx(0.45)  # of windows 3 and 4 the groups 4 and 5
+    assert of([t, t]) == 0.1 and of([f, f]) == pytest.approx(0.3)
+    assert of([t, f]) is None and of([]) is None
+
+
+def test_tree_reshaping():
+    joins = [("r", "a", 0.1), ("r", "b", 0.1), ("a", "c", 0.2), ("a", "d", 0.2), ("c", "e", 0.5)]
+    limits = {"r": (0.0, 0.1), "a": (0.1, 0.2), "b": (0.1, 0.9), "c": (0.2, 0.5), "d": (0.2, 0.8), "e": (0.5, 1.0)}
+    cells = dict.fromkeys(limits, 5) | {"a": 0}
+    j, lim = tree.collapse_short(joins, limits, cells, "r")
+    assert sorted(j) == [("c", "e", 0.5), ("r", "b", 0.2), ("r", "c", 0.2), ("r", "d", 0.2)]
+    assert lim["r"] == (0.0, 0.2) and lim["b"] == (0.2, 0.9) and lim["c"] == (0.2, 0.5) and "a" not in lim
+    j, lim = tree.remove_unary(j, lim)
+    assert sorted(j) == [("r", "b", 0.2), ("r", "c", 0.2), ("r", "d", 0.2)] and lim["c"] == (0.2, 1.0) and "e" not in lim
+
+
+def test_diffusion_components(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    a = rng.random((12, 12))
+    a = a @ a.T / 40
+    edges = spark.createDataFrame([(i, j, float(a[i, j])) for i in range(12) for j in range(12)], "i long, j long, w double")
+    values, vectors = neighbors.diffusion_components(edges, 3, Scratch(spark, "diffusion"), rounds=12)
+    want, full = np.linalg.eigh(a)
+    assert np.allclose(values, want[::-1][:3], atol=1e-8)
+    got = {(r["cell"], r["k"]): r["v"] for r in vectors.collect()}
+    for k in range(3):
+        v = full[:, 11 - k] * np.sign(full[np.abs(full[:, 11 - k]).argmax(), 11 - k])
+        assert np.allclose([got[i, k + 1] for i in range(12)], v, atol=1e-4)
+
+
+def test_along_tree(spark):
+    """One gene marks the tip's segment, one its sibling, one the parent against the other branch but not the tip."""
+    joins = spark.createDataFrame([("r", "p"), ("r", "q"), ("p", "t"), ("p", "s")], "parent string, child string")
+    segment = spark.createDataFrame([(f"{s}{i}", s) for s in "pqts" for i in range(20)], "cell string, segment string")
+    pt = segment.select("cell", F.lit(0.5).alias("pseudotime"))
+    limits = spark.createDataFrame([(s, 0.0, 1.0) for s in "pqts"], "segment string, start double, end double")
+    c = along_tree.comparisons(joins, limits, segment, pt, "t")
+    assert {(r["segment"], r["opposing"], r["depth"], r["side"], r["n"]) for r in c.groupBy("segment", "opposing", "depth", "side").agg(F.count("*").alias("n")).collect()} == {("t", "s", 0, 1, 20), ("t", "s", 0, 2, 20), ("p", "q", 1, 1, 20), ("p", "q", 1, 2, 20)}
+    rows = [(g, f"{s}{i}", 1.0 + i / 50) for g, on in (("tip", "t"), ("sib", "sp"), ("way", "pt")) for s in on for i in range(20)]
+    expr = spark.createDataFrame(rows, "gene string, cell string, value double")
+    got = {r["gene"]: r for r in along_tree.auc_pr(expr, c, Scratch(spark, "along")).collect()}
+    assert set(got) == {"tip", "way"}  # the sibling's marker is depleted at the tip, so the parent's is none
+    assert got["tip"]["segment_max"] == "t-s" and got["way"]["segment_max"] in ("t-s", "p-q")
+    counts = expr.select("gene", "cell", F.lit(1.0).alias("count"))
+    both = {r["gene"]: r for r in along_tree.binom(expr, counts, c, Scratch(spark, "along-b"), effect=0.1, p_max=0.05).collect()}
+    assert set(both) == {"tip", "way", "sib"} and both["sib"]["segment_max"] == "t-s" and both["sib"]["log_effect_max"] < 0
+    dense = segment.select("cell").crossJoin(spark.createDataFrame([("tip",), ("sib",), ("way",)], "name string")).join(expr.toDF("name", "cell", "x"), ["name", "cell"], "left")
+    values = dense.select("name", "cell", (F.coalesce("x", F.lit(0.0)) + F.pmod(F.xxhash64("cell"), F.lit(10)) / 100 + 0.2).alias("v"))
+    states = along_tree.modules(values, c, Scratch(spark, "along-m"), effect=0.3)
+    assert {(r["name"], r["state"]) for r in states.collect()} == {("tip", "up"), ("way", "up"), ("sib", "up"), ("sib", "down")}
+    members = spark.createDataFrame([("tip", "g1"), ("sib", "g2"), ("way", "g2"), ("way", "g3")], "name string, gene string")
+    assert {r["gene"] for r in along_tree.module_genes(states, members).collect()} == {"g1", "g3"}
+    sets = segment.where("segment in ('t', 's', 'q')").select(F.when(F.col("segment") == "t", "one").otherwise(F.col("segment")).alias("name"), "cell")
+    factor = segment.select("cell", F.when(F.substr("cell", F.lit(2)).cast("int") < 10, "low").otherwise("high").alias("grp"))
+    got = {r["gene"]: r["groups_marked"] for r in along_tree.auc_pr_by_factor(expr, sets, factor, Scratch(spark, "factor")).collect()}
+    assert got == {"tip": 2, "way": 2}
 
 
 def test_special_functions():

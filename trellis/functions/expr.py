@@ -63,8 +63,9 @@ def pmax_abs(x, y) -> Column:
 
 
 def preference(x, y, signed: bool = False) -> Column:
-    p = F.coalesce(F.try_divide(_c(x) - _c(y), _c(x) + _c(y)), F.lit(0.0))
-    return p if signed else F.abs(p)
+    """The difference over the sum, zero where both are; unsigned, the difference alone is absolute."""
+    d = _c(x) - _c(y)
+    return F.coalesce(F.try_divide(d if signed else F.abs(d), _c(x) + _c(y)), F.lit(0.0))
 
 
 def logistic(x, x0, k, c=1.0) -> Column:
@@ -80,8 +81,9 @@ def sigmoid(x, a, b, c, d) -> Column:
 
 
 def d_dx_sigmoid(x, a, b, c) -> Column:
-    a, b, x = _c(a), _c(b), _c(x)
-    return a * _c(c) * F.exp(a * (x + b)) / F.pow(F.exp(a * x) + F.exp(a * b), 2.0)
+    """Slope of the sigmoid, from its share of the height, so that no exponential of a large number is divided by another."""
+    s = logistic(x, b, a)
+    return _c(a) * _c(c) * s * (1 - s)
 
 
 def inv_sigmoid(y, a, b, c, d) -> Column:

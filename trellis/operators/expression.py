@@ -100,3 +100,23 @@ def label_catalog(tables: dict[str, tuple[DataFrame, list[str]]], label: str) ->
     raise KeyError(label)
 
 
+
+
+def cells_in_cluster(groups: DataFrame, clusters: list) -> DataFrame:
+    return groups.where(F.col("grp").isin(clusters)).select("cell")
+
+
+def group_from_cells(cells: DataFrame, name: str, members: dict[str, DataFrame]) -> DataFrame:
+    """(cell, grouping, value): each listed cell under its list's name; of several lists the last counts."""
+    out = None
+    for i, (value, chosen) in enumerate(members.items()):
+        rows = chosen.select("cell", F.lit(i).alias("_i"), F.lit(value).alias("value"))
+        out = rows if out is None else out.union(rows)
+    named = out.groupBy("cell").agg(F.max_by("value", "_i").alias("value"))
+    return cells.select("cell").join(named, "cell").select("cell", F.lit(name).alias("grouping"), "value")
+
+
+def corner(long: DataFrame, n: int = 5) -> DataFrame:
+    """The first n genes of the first n cells, in their order, as far as they have rows."""
+    genes, cells = (long.select(c).distinct().orderBy(c).limit(n) for c in ("gene", "cell"))
+    return long.join(genes, "gene", "left_semi").join(cells, "cell", "left_semi")

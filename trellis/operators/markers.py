@@ -27,6 +27,14 @@ def auc_threshold(n1: Column, n2: Column, factor: float = 1.0, cap: float = floa
     return F.least(n1 / (n1 + n2) * factor, F.lit(cap))
 
 
+def one_against_rest(groups: DataFrame, names: list | None = None) -> DataFrame:
+    """(cmp, cell, side) from (cell, grp): each group against all other cells. Groups are few."""
+    if names is None:
+        names = sorted(r["grp"] for r in groups.select("grp").distinct().collect())
+    cmp = F.explode(F.array(*[F.lit(n) for n in names])).alias("cmp")
+    return groups.select("cell", "grp", cmp).select("cmp", "cell", F.when(F.col("grp") == F.col("cmp"), 1).otherwise(2).alias("side"))
+
+
 def side_counts(expr: DataFrame, sides: DataFrame) -> DataFrame:
     """Sizes of both sides of each comparison: (cmp, n1, n2) from (cmp, cell, side)."""
     return sides.groupBy("cmp").agg(F.count_if(F.col("side") == 1).alias("n1"), F.count_if(F.col("side") == 2).alias("n2"))
@@ -72,7 +80,9 @@ def adjust_holm(df: DataFrame, p: str, keys: list[str] | None = None) -> DataFra
     by = W.partitionBy(*keys)
     ranked = df.withColumns({"_r": F.row_number().over(by.orderBy(p)), "_n": F.count("*").over(by)})
     run = by.orderBy("_r").rowsBetween(W.unboundedPreceding, 0)
-    return ranked.withColumn("p_adj", F.least(F.lit(1.0), F.max(F.col(p) * (F.col("_n") - F.col("_r") + 1)).over(run))).drop("_r", "_n")
+    ranked = ranked.withColumn("p_adj", F.least(F.lit(1.0), F.max(F.col(p) * (F.col("_n") - F.col("_r") + 1)).over(run)))
+    # equal p-values share the largest adjusted value
+    return ranked.withColumn("p_adj", F.max("p_adj").over(W.partitionBy(*keys, p))).drop("_r", "_n")
 
 
 def markers_binom(expr: DataFrame, counts: DataFrame, sides: DataFrame, effect: float = float(np.log(2)), p_max: float = 0.01, min_frac: float = 0.1, either: bool = True) -> DataFrame:

@@ -199,3 +199,60 @@ def diffusion_edges(knn: DataFrame, sigma: float | None = None, density: bool =
         last = _ == density
         sym = sym.join(d, "i").join(d.toDF("j", "dj"), "j").select("i", "j", (F.col("w") / (F.sqrt(F.col("d") * F.col("dj")) if last else F.col("d") * F.col("dj"))).alias("w"))
     return sym
+
+
+def undirected_edges(edges: DataFrame, cells: DataFrame | None = None, connected: bool = False) -> DataFrame:
+    """(a, b, w): each pair of (i, j, w) once, by the larger weight; between chosen cells, or touching one of them."""
+    e = edges.where("i <> j").groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.max("w").alias("w"))
+    if cells is None:
+        return e
+    side = lambda c: cells.select(F.col("cell").alias(c)).distinct()
+    if not connected:
+        return e.join(side("a"), "a", "left_semi").join(side("b"), "b", "left_semi").select("a", "b", "w")
+    flag = lambda c: side(c).withColumn(f"has_{c}", F.lit(True))
+    return e.join(flag("a"), "a", "left").join(flag("b"), "b", "left").where("has_a or has_b").select("a", "b", "w")
+
+
+def diffusion_components(edges: DataFrame, n: int, scratch, rounds: int = 16, spare: int = 4, seed: int = 1) -> tuple[list[float], DataFrame]:
+    """(eigenvalues, (cell, k, v)) of the largest components of a symmetric (i, j, w), by subspace iteration.
+
+    The vectors stay a table of ``n + spare`` numbers a cell; each round joins them to the edges, adds
+    up by cell and makes them orthonormal with a matrix of that few rows, the only thing that
+    reaches the driver. Signs are fixed so that the largest entry is positive; the first component
+    is the trivial one.
+    """
+    m = n + spare
+    kind = edges.schema["i"].dataType.simpleString()
+    normal = [F.sqrt(-2 * F.ln((F.pmod(F.xxhash64("cell", F.lit(seed), F.lit(2 * p)), F.lit(1 << 40)) + 0.5) / float(1 << 40))) * F.cos(2 * math.pi * F.pmod(F.xxhash64("cell", F.lit(seed), F.lit(2 * p + 1)), F.lit(1 << 40)) / float(1 << 40)) for p in range(m)]
+    v = scratch.table(edges.select(F.col("i").alias("cell")).distinct().select("cell", F.array(*normal).alias("v")), "vectors0")
+
+    def products(a: str, b: str, df: DataFrame) -> np.ndarray:
+        r = df.agg(F.array(*[F.array(*[F.sum(F.get(a, p) * F.get(b, q)) for q in range(m)]) for p in range(m)]).alias("x")).first()
+        return np.array(r["x"], float)
+
+    def times(df: DataFrame, matrix: np.ndarray) -> DataFrame:
+        def run(batches):
+            for x in batches:
+                rows = np.stack(x["v"].to_numpy()) @ matrix if len(x) else np.zeros((0, matrix.shape[1]))
+                yield pd.DataFrame({"cell": x["cell"], "v": list(rows)})
+
+        return df.select("cell", "v").mapInPandas(run, f"cell {kind}, v array<double>")
+
+    def applied(df: DataFrame) -> DataFrame:
+        met = edges.join(df.withColumnRenamed("cell", "j"), "j")
+        return met.groupBy(F.col("i").alias("cell")).agg(F.array(*[F.sum(F.col("w") * F.get("v", p)) for p in range(m)]).alias("v"))
+
+    for r in range(1, rounds + 1):
+        y = scratch.table(applied(v), f"applied{r}")
+        gram = products("v", "v", y)
+        values, vectors = np.linalg.eigh(gram)
+        v = scratch.table(times(y, vectors / np.sqrt(np.maximum(values, 1e-300))), f"vectors{r}")
+        scratch.drop(f"applied{r}")
+        scratch.drop(f"vectors{r - 1}")
+    both = scratch.table(v.join(applied(v).withColumnRenamed("v", "y"), "cell"), "both")
+    small = products("v", "y", both)
+    values, vectors = np.linalg.eigh((small + small.T) / 2)
+    order = np.argsort(values)[::-1][:n]
+    out = times(v, vectors[:, order]).select(F.col("cell").cast(kind), F.posexplode("v").alias("k", "v")).withColumn("k", F.col("k") + 1)
+    sign = out.groupBy("k").agg(F.signum(F.max_by("v", F.struct(F.abs("v"), "cell"))).alias("s"))
+    return values[order].tolist(), out.join(F.broadcast(sign), "k").select("cell", "k", (F.col("v") * F.col("s")).alias("v"))

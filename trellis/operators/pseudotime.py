@@ -53,7 +53,7 @@ def process_floods(floods: DataFrame, max_missing: float = 0.4, divisions: int =
     rel = floods.join(top, "sim").join(ok, "cell", "left_semi").select("sim", "cell", F.try_divide("step", "top").alias("t"))
     pt = rel.groupBy("cell").agg(fun("t").alias("pseudotime"), F.count("t").alias("visits")).withColumn("visits_log", F.log10(F.col("visits") + 1))
     cuts = sorted({math.ceil(i / divisions * sims) for i in range(1, divisions + 1)})
-    place = rel.withColumn("at", F.row_number().over(W.partitionBy("cell").orderBy("sim")) * 0 + F.col("sim") + 1)
+    place = rel.withColumn("at", F.col("sim") + 1)
     stab = place.withColumn("n_sims", F.explode(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c >= F.col("at")))).groupBy("cell", "n_sims").agg(fun("t").alias("pseudotime"), F.count("t").alias("visits"))
     return pt, stab
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,12 +14,15 @@ from trellis.functions.stats import dip, ks_asymptotic
 
 
 def ancestors(joins: DataFrame) -> DataFrame:
-    """(segment, ancestor, depth) for all segments of (parent, child)."""
-    joins.createOrReplaceTempView("_joins")
-    return joins.sparkSession.sql("""
-        with recursive up as (select child as segment, parent as ancestor, 1 as depth from _joins
-            union all select up.segment, j.parent, up.depth + 1 from up join _joins j on j.child = up.ancestor)
-        select * from up""")
+    """(segment, ancestor, depth) for all segments of (parent, child), a join for each level of the tree."""
+    up = joins.select(F.col("child").alias("ancestor"), F.col("parent").alias("next"))
+    level = joins.select(F.col("child").alias("segment"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
+    out, depth = level, 1
+    while not level.isEmpty():
+        depth += 1
+        level = level.join(up, "ancestor").select("segment", F.col("next").alias("ancestor"), F.lit(depth).alias("depth"))
+        out = out.union(level)
+    return out
 
 
 def siblings(joins: DataFrame, include_self: bool = True) -> DataFrame:
@@ -70,8 +75,11 @@ def near_equal(df: DataFrame, keys: list[str], order: list, size: int, name: str
     by = W.partitionBy(*keys)
     d = df.withColumns({"_r": F.row_number().over(by.orderBy(*order)), "_m": F.count("*").over(by)})
     d = d.withColumn("_n", F.greatest(F.bround(F.col("_m") / size), F.lit(1)).cast("int"))
-    cuts = F.transform(F.sequence(F.lit(1), F.col("_n")), lambda g: F.bround(F.col("_m") / F.col("_n") * g).cast("long"))
-    return d.withColumn(name, (F.size(F.filter(cuts, lambda c: c < F.col("_r"))) + 1).cast("int")).drop("_r", "_m", "_n")
+    # the first group whose cut is not before the row; rounding moves it by one from r * n / m at most
+    guess = F.ceil(F.col("_r") * F.col("_n") / F.col("_m"))
+    near = F.sequence(F.greatest(guess - 1, F.lit(1)), F.least(guess + 1, F.col("_n")))
+    group = F.array_min(F.filter(near, lambda g: F.bround(F.col("_m") / F.col("_n") * g) >= F.col("_r")))
+    return d.withColumn(name, group.cast("int")).drop("_r", "_m", "_n")
 
 
 def nodes(cell_segment: DataFrame, pt: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
@@ -100,7 +108,8 @@ def moving_windows(groups: DataFrame, width: int, keys: list[str] | None = None)
 
 
 def divergence(visits: DataFrame, pt: DataFrame, pairs: DataFrame, least: float = 10, threshold: float = 0.7, cuts: int = 80, width: int = 5, p_max: float = 0.01, method: str = "ks", pref_max: float = 0.5) -> DataFrame:
-    """Window tests of all segment pairs at once: (s1, s2, window, p, p_adj, different, mean_pt, min_pt, max_pt).
+    """Window tests of all segment pairs at once: (s1, s2, window, p, p_adj, different, mean_pt, min_pt,
+    max_pt), and of each group of cells in the window its number, sum of pseudotimes and size.
 
     One window's cells are one group; its size is bounded by cuts times width.
     """
@@ -124,32 +133,89 @@ def divergence(visits: DataFrame, pt: DataFrame, pairs: DataFrame, least: float
             null = [dip(rng.random(len(x))) for _ in range(100)]
             p, pref = float((np.array(null) >= dip(x)).mean()), float(np.abs(x).mean())
         t = d["pseudotime"]
-        return pd.DataFrame({"s1": [d["s1"].iloc[0]], "s2": [d["s2"].iloc[0]], "window": [d["window"].iloc[0]], "p": [p], "pref": [pref], "mean_pt": [t.mean()], "min_pt": [t.min()], "max_pt": [t.max()]})
+        of = t.groupby(d["grp"]).agg(["sum", "count"])
+        return pd.DataFrame({"groups": [of.index.tolist()], "sums": [of["sum"].tolist()], "counts": [of["count"].tolist()], "s1": [d["s1"].iloc[0]], "s2": [d["s2"].iloc[0]], "window": [d["window"].iloc[0]], "p": [p], "pref": [pref], "mean_pt": [t.mean()], "min_pt": [t.min()], "max_pt": [t.max()]})
 
-    out = windows.groupBy("s1", "s2", "window").applyInPandas(test, f"s1 {kind}, s2 {kind}, window int, p double, pref double, mean_pt double, min_pt double, max_pt double")
+    out = windows.groupBy("s1", "s2", "window").applyInPandas(test, f"s1 {kind}, s2 {kind}, window int, p double, pref double, mean_pt double, min_pt double, max_pt double, groups array<int>, sums array<double>, counts array<long>")
     return adjust_holm(out, "p", ["s1", "s2"]).withColumn("different", (F.col("p_adj") <= p_max) | (F.col("pref") > pref_max))
 
 
-def breakpoint_of(flags: list[bool], mean: list[float], low: list[float], high: list[float]) -> float | None:
-    """Pseudotime at which two segments part, from window flags in order: all alike ends at the
-    last, all different starts at the first; otherwise between the longest alike stretch and the
-    longest different one after it, none if they come the other way round."""
-    if not flags:
+def breakpoint_of(windows: list[dict]) -> float | None:
+    """Pseudotime at which two segments part, from their windows in order.
+
+    All alike ends at the last, all different starts at the first. Otherwise it is the mean
+    pseudotime of the cells in the groups that most of the uncertain windows share, those between the
+    longest alike stretch and the longest different one; the last alike and the first different
+    window, where nothing is between. None if the different stretch comes first.
+    """
+    if not windows:
         return None
+    flags = [w["different"] for w in windows]
     if not any(flags):
-        return high[-1]
+        return windows[-1]["max_pt"]
     if all(flags):
-        return low[0]
+        return min(w["min_pt"] for w in windows)
     runs, at = [], 0
     for i in range(1, len(flags) + 1):
         if i == len(flags) or flags[i] != flags[at]:
             runs.append((flags[at], at, i))
             at = i
-    alike = max((r for r in runs if not r[0]), key=lambda r: r[2] - r[1])
-    apart = max((r for r in runs if r[0]), key=lambda r: r[2] - r[1])
+    alike, apart = (max((r for r in runs if r[0] == kind), key=lambda r: r[2] - r[1]) for kind in (False, True))
     if alike[2] > apart[1]:
         return None
-    return (mean[alike[2] - 1] + mean[apart[1]]) / 2
+    between = windows[alike[2] : apart[1]] or windows[alike[2] - 1 : alike[2] + 1]
+    times = Counter(g for w in between for g in w["groups"])
+    most = max(times.values())
+    cells = {g: (s, n) for w in between for g, s, n in zip(w["groups"], w["sums"], w["counts"], strict=True) if times[g] == most}
+    if len(between) == 2 and not windows[alike[2] : apart[1]] and most < 2:
+        return None
+    return sum(s for s, _ in cells.values()) / sum(n for _, n in cells.values())
+
+
+def interleaved(joins: DataFrame) -> DataFrame:
+    """(parent, child, pseudotime) from joins of two children a row."""
+    return joins.select("parent", F.explode(F.array("child_1", "child_2")).alias("child"), "pseudotime")
+
+
+Joins = list[tuple]
+Limits = dict
+
+
+def collapse_short(joins: Joins, limits: Limits, cells: dict, root, min_cells: int = 1, min_length: float = 0.01, collapse_root: bool = False) -> tuple[Joins, Limits]:
+    """Segments with too few cells or too short a stretch go; their children hang on their parent, and
+    all children of that one start where the latest of the joins was. The tree is small and each step
+    depends on the last, so this runs on (parent, child, pseudotime) rows on the driver."""
+    joins, limits = list(joins), dict(limits)
+    short = [s for s, (lo, hi) in limits.items() if cells.get(s, 0) < min_cells or abs(hi - lo) < min_length]
+    for s in short:
+        own = next((j for j in joins if j[1] == s), None)
+        if own is None or (s == root and not collapse_root):
+            continue
+        parent = own[0]
+        at = max([own[2], *(pt for p, _, pt in joins if p == s)])
+        moved = [(parent if p == s else p, c, pt) for p, c, pt in joins if c != s]
+        joins = [(p, c, at if p == parent else pt) for p, c, pt in moved]
+        del limits[s]
+        if parent in limits:
+            limits[parent] = (limits[parent][0], at)
+        for p, c, _ in joins:
+            if p == parent and c in limits:
+                limits[c] = (at, limits[c][1])
+    return joins, limits
+
+
+def remove_unary(joins: Joins, limits: Limits) -> tuple[Joins, Limits]:
+    """An only child becomes part of its parent, which takes over its end and its children."""
+    joins, limits = list(joins), dict(limits)
+    families = Counter(p for p, _, _ in joins)
+    for s in [c for p, c, _ in joins if families[p] == 1]:
+        parent = next(p for p, c, _ in joins if c == s)
+        joins = [(parent if p == s else p, c, pt) for p, c, pt in joins if c != s]
+        if s in limits:
+            end = limits.pop(s)[1]
+            if parent in limits:
+                limits[parent] = (limits[parent][0], end)
+    return joins, limits
 
 
 def assign_cells(visits: DataFrame, pt: DataFrame, limits: DataFrame, tip_cells: DataFrame | None = None) -> DataFrame:
@@ -176,7 +242,7 @@ def build(visits: DataFrame, pt: DataFrame, tip_cells: DataFrame, scratch, **opt
         rows = divergence(now, pt, spark.createDataFrame(todo, "s1 long, s2 long"), **options).toPandas()
         for a, b in todo:
             d = rows[(rows["s1"] == a) & (rows["s2"] == b)].sort_values("window")
-            known[a, b] = breakpoint_of(d["different"].tolist(), d["mean_pt"].tolist(), d["min_pt"].tolist(), d["max_pt"].tolist())
+            known[a, b] = breakpoint_of(d.to_dict("records"))
         a, b = max(((x, y) for x in alive for y in alive if x < y), key=lambda k: (known[k] or 0.0, -k[0], -k[1]))
         new, following = following, following + 1
         joins += [(new, a, known[a, b] or 0.0), (new, b, known[a, b] or 0.0)]

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:  # only where none is configured, as in tests
+        if not root and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        if not root:  # only on one machine where none is configured, as in tests
             root = tempfile.mkdtemp(prefix="trellis-")
             spark.conf.set("spark.checkpoint.dir", root)
         self.spark, self.base = spark, f"{root.rstrip('/')}/{name}"

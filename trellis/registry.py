@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trellis.functions import expr as X
-from trellis.operators import curves, expression, markers, neighbors, pseudotime, tree
+from trellis.operators import along_tree, curves, expression, markers, neighbors, pseudotime, tree
 from trellis.plans import fixtures as fx
 from trellis.plans.fixtures import SQL, created_sql
 from trellis.plans.scratch import Scratch
@@ -38,17 +38,21 @@ def oracle_sql() -> dict[str, str]:
     return dict(_S)
 
 
+def _scratch(spark: SparkSession, name: str) -> Scratch:
+    return Scratch(spark, f"{name}-{uuid.uuid4().hex}")
+
+
 def _created(spark: SparkSession, sf_dir: str) -> ingest.Container:
-    return ingest.create(fx.customer_counts(spark, sf_dir), min_cells=3, min_genes=3, min_counts=10, gene_max_cut=100000)
+    return ingest.create(fx.customer_counts(spark, sf_dir), min_cells=3, min_genes=3, min_counts=10, gene_max_cut=100000, scratch=_scratch(spark, "container"))
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.load(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("cell"), F.col("c_mktsegment").alias("grp"))
 
 
-def _one_group(spark: SparkSession, sf_dir: str, c: ingest.Container, name: str = "BUILDING") -> DataFrame:
-    side = F.when(F.col("grp") == name, 1).otherwise(2).alias("side")
-    return c.cells.select("cell").join(_segments(spark, sf_dir), "cell").select(F.lit(name).alias("cmp"), "cell", side)
+def _sides(spark: SparkSession, sf_dir: str, c: ingest.Container) -> DataFrame:
+    """Every segment of customers against all others."""
+    return _scratch(spark, "sides").table(markers.one_against_rest(c.cells.select("cell").join(_segments(spark, sf_dir), "cell")), "sides")
 
 
 CREATED = created_sql("m2", 3, 3, 10, 100000)
@@ -56,7 +60,7 @@ CREATED = created_sql("m2", 3, 3, 10, 100000)
 
 @query(f"with {created_sql('m1', 3, 100, 10, 5000)} select gene, cell, value from ex")
 def create_filter_normalize(spark, sf_dir):
-    return ingest.create(fx.supplier_counts(spark, sf_dir), min_genes=100).expr
+    return ingest.create(fx.supplier_counts(spark, sf_dir), min_genes=100, scratch=_scratch(spark, "container")).expr
 
 
 @query(f"with {created_sql('m1', 3, 100, 10, 5000)} select cell, n_genes::bigint n_genes, n_trans from tot")
@@ -64,34 +68,36 @@ def cell_metadata(spark, sf_dir):
     return ingest.create(fx.supplier_counts(spark, sf_dir), min_genes=100).cells
 
 
-@query(f"""with {CREATED}, sd as (select tot.cell, case when c_mktsegment = 'BUILDING' then 1 else 2 end side from tot join customer on c_custkey::varchar = tot.cell),
-z as (select count(*) filter (side = 1) n1, count(*) filter (side = 2) n2 from sd), mt as (select ex.*, side from ex join sd using (cell)),
-u as (select gene, n1, n2, coalesce(sum(power(2, value) - 1) filter (side = 1), 0) u1, coalesce(sum(power(2, value) - 1) filter (side = 2), 0) u2, count(*) filter (side = 1 and value > 0) k1, count(*) filter (side = 2 and value > 0) k2 from mt, z group by all),
-g as (select gene, n1, n2, round(k1 / n1, 3) frac_1, round(k2 / n2, 3) frac_2, round(log2(u1 / n1 + 1), 3) exp_1, round(log2(u2 / n2 + 1), 3) exp_2 from u),
+SIDES = "sd as (select cmp, tot.cell, case when c_mktsegment = cmp then 1 else 2 end side from tot join customer on c_custkey::varchar = tot.cell, (select distinct c_mktsegment cmp from customer))"
+
+
+@query(f"""with {CREATED}, {SIDES}, z as (select cmp, count(*) filter (side = 1) n1, count(*) filter (side = 2) n2 from sd group by 1), mt as (select ex.*, cmp, side from ex join sd using (cell)),
+u as (select cmp, gene, n1, n2, coalesce(sum(power(2, value) - 1) filter (side = 1), 0) u1, coalesce(sum(power(2, value) - 1) filter (side = 2), 0) u2, count(*) filter (side = 1 and value > 0) k1, count(*) filter (side = 2 and value > 0) k2 from mt join z using (cmp) group by all),
+g as (select cmp, gene, n1, n2, round(k1 / n1, 3) frac_1, round(k2 / n2, 3) frac_2, round(log2(u1 / n1 + 1), 3) exp_1, round(log2(u2 / n2 + 1), 3) exp_2 from u where n1 > 0 and n2 > 0),
 f as (select *, case when exp_2 = 0 and exp_1 > 0 then 'infinity'::double when exp_1 > 0 then log2((power(2, exp_1) - 1) / (power(2, exp_2) - 1)) end exp_fc from g),
 p as (select * from f where greatest(frac_1, frac_2) > 0.1 and abs(frac_1 - frac_2) > 0 and exp_fc > 0),
-r as (select gene, value, count(*) filter (side = 1) p, count(*) filter (side = 2) n from mt semi join p using (gene) where value <> 0 group by 1, 2),
-al as (select * from r union all select gene, 0, n1 - coalesce(sp, 0), n2 - coalesce(sn, 0) from p left join (select gene, sum(p) sp, sum(n) sn from r group by 1) using (gene) where n1 - coalesce(sp, 0) + n2 - coalesce(sn, 0) > 0),
-c as (select gene, value, sum(p) over w / sum(p) over (partition by gene) rec, sum(p) over w / (sum(p) over w + sum(n) over w) prec from al window w as (partition by gene order by value desc)),
-st as (select gene, (rec - lag(rec) over w) * (prec + lag(prec) over w) / 2 s from c window w as (partition by gene order by value desc)),
-au as (select gene, round(coalesce(sum(s), 0), 3) auc from st group by 1)
-select 'BUILDING' cmp, gene, frac_1, frac_2, exp_1, exp_2, round(exp_fc, 6) exp_fc, auc, round(auc / (n1 / (n1 + n2)), 6) ratio from p join au using (gene) where auc >= least(n1 / (n1 + n2), 1)""")
+r as (select cmp, gene, value, count(*) filter (side = 1) p, count(*) filter (side = 2) n from mt semi join p using (cmp, gene) where value <> 0 group by 1, 2, 3),
+al as (select * from r union all select cmp, gene, 0, n1 - coalesce(sp, 0), n2 - coalesce(sn, 0) from p left join (select cmp, gene, sum(p) sp, sum(n) sn from r group by 1, 2) using (cmp, gene) where n1 - coalesce(sp, 0) + n2 - coalesce(sn, 0) > 0),
+c as (select cmp, gene, value, sum(p) over w / sum(p) over (partition by cmp, gene) rec, sum(p) over w / (sum(p) over w + sum(n) over w) prec from al window w as (partition by cmp, gene order by value desc)),
+st as (select cmp, gene, (rec - lag(rec) over w) * (prec + lag(prec) over w) / 2 s from c window w as (partition by cmp, gene order by value desc)),
+au as (select cmp, gene, round(coalesce(sum(s), 0), 3) auc from st group by 1, 2)
+select cmp, gene, frac_1, frac_2, exp_1, exp_2, round(exp_fc, 6) exp_fc, auc, round(auc / (n1 / (n1 + n2)), 6) ratio from p join au using (cmp, gene) where auc >= least(n1 / (n1 + n2), 1)""")
 def markers_auc_pr(spark, sf_dir):
     c = _created(spark, sf_dir)
-    out = markers.markers_auc_pr(c.expr, _one_group(spark, sf_dir, c), effect=0.0)
+    out = markers.markers_auc_pr(c.expr, _sides(spark, sf_dir, c), effect=0.0)
     return out.withColumns({"exp_fc": F.round("exp_fc", 6), "ratio": F.round("ratio", 6)})
 
 
 @query()
 def markers_binomial(spark, sf_dir):
     c = _created(spark, sf_dir)
-    return markers.markers_binom(c.expr, c.counts, _one_group(spark, sf_dir, c), effect=0.0, p_max=1.0)
+    return markers.markers_binom(c.expr, c.counts, _sides(spark, sf_dir, c), effect=0.0, p_max=1.0)
 
 
 @query()
 def markers_welch(spark, sf_dir):
     c = _created(spark, sf_dir)
-    return markers.welch(expression.dense(c.expr, c.cells).toDF("name", "cell", "v"), _one_group(spark, sf_dir, c), 1.0, 0.0)
+    return markers.welch(expression.dense(c.expr, c.cells).toDF("name", "cell", "v"), _sides(spark, sf_dir, c), 1.0, 0.0)
 
 
 @query(f"""with {SQL['e1']} select c1.grp, gene, round(log2(sum(power(2, value) - 1) / any_value(n) + 1), 6) mean_of_logs, round(sum(value) / any_value(n), 6) as mean, round(count(*) / any_value(n), 6) prop_exp
@@ -249,7 +255,7 @@ def flood_normalize(spark, sf_dir):
 def flood_simulation(spark, sf_dir):
     e = pseudotime.flood_matrix(_steps(spark, sf_dir))
     roots = [r["cell"] for r in _pt(spark, sf_dir).orderBy("pseudotime", "cell").limit(12).collect()]
-    return pseudotime.flood(e, roots, 4, Scratch(spark, f"flood-{uuid.uuid4().hex}"))
+    return pseudotime.flood(e, roots, 4, _scratch(spark, "flood"))
 
 
 @query()
@@ -269,9 +275,9 @@ def segment_parents_all(spark, sf_dir):
     return tree.ancestors(fx.tree(spark, sf_dir))
 
 
-@query(f"with recursive {UP} select ancestor, segment as descendant from up where ancestor in ('r1', 'n3')")
+@query(f"with recursive {UP} select ancestor, segment as descendant from up")
 def children_all(spark, sf_dir):
-    return tree.ancestors(fx.tree(spark, sf_dir)).where(F.col("ancestor").isin("r1", "n3")).select("ancestor", F.col("segment").alias("descendant"))
+    return tree.ancestors(fx.tree(spark, sf_dir)).select("ancestor", F.col("segment").alias("descendant"))
 
 
 @query(f"with {SQL['t1']} select a.child segment, b.child sibling from t1 a join t1 b on a.parent = b.parent and a.child <> b.child")
@@ -328,9 +334,7 @@ def bh_adjust(spark, sf_dir):
 select k, p, round(least(1, max(p * (n - r + 1)) over (order by p)), 7) p_adj from p""")
 def holm_adjust(spark, sf_dir):
     p = fx.load(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), ((F.col("p_partkey") % 97 + 1) / 2e6).alias("p"))
-    h = markers.adjust_holm(p, "p")
-    # equal p-values share the largest adjusted value
-    return h.withColumn("p_adj", F.round(F.max("p_adj").over(W.partitionBy("p")), 7))
+    return markers.adjust_holm(p, "p").withColumn("p_adj", F.round("p_adj", 7))
 
 
 @query("select vec_id cell, (embedding[1]::double > 0 and embedding[1]::double < 0.3)::int::varchar || (embedding[2]::double > -0.1 and embedding[2]::double < 0.1)::int::varchar bits from embeddings")
@@ -354,7 +358,7 @@ def highlight_intersect(spark, sf_dir):
 @query(f"with {SQL['m1']}, t as (select cell, sum(count) n from m1 group by 1) select cell as key, row_number() over (order by n desc, cell) rank, round(sum(n) over (order by n desc, cell rows unbounded preceding) / sum(n) over (), 6) share from t")
 def read_knee_curve(spark, sf_dir):
     t = fx.supplier_counts(spark, sf_dir).groupBy("cell").agg(F.sum("count").alias("n"))
-    return ingest.knee_curve(t, "cell", "n").withColumn("share", F.round("share", 6))
+    return ingest.knee_curve(t, "cell", "n", _scratch(spark, "knee")).withColumn("share", F.round("share", 6))
 
 
 @query("select o_orderkey barcode, list_aggregate(list_transform(range(15, -1, -1), lambda k: substr('ACGT', ((o_orderkey * 2654435) >> (2 * k)::int & 3)::int + 1, 1)), 'string_agg', '') cell from orders")
@@ -366,7 +370,7 @@ def decode_barcode(spark, sf_dir):
 MATH = "select l_orderkey, l_linenumber, l_quantity x, l_extendedprice / 1000 y, l_discount p from lineitem"
 
 
-@query(f"""with m as ({MATH}) select l_orderkey, l_linenumber, x, y, p, case when abs(x) > abs(y) then x else y end pmax, round(abs(coalesce((x - y) / nullif(x + y, 0), 0)), 6) pref,
+@query(f"""with m as ({MATH}) select l_orderkey, l_linenumber, x, y, p, case when abs(x) > abs(y) then x else y end pmax, round(coalesce(abs(x - y) / nullif(x + y, 0), 0), 6) pref,
 round(1 / (1 + exp(-0.1 * (x - 25))), 6) logi, round(3 / (1 + exp(-0.1 * (x - 25))) + 1, 6) sig, round(0.5 + 1.5 / (1 + exp(-0.2 * (x - 20))), 6) imp1,
 round((0.5 + 1.5 / (1 + exp(-0.2 * (x - 20)))) * (1 + 1 / (1 + exp(0.3 * (x - 35)))) / 2, 6) imp2, ceil(y) = floor(y) whole from m""")
 def scalar_math(spark, sf_dir):
@@ -382,11 +386,6 @@ def aggregate_math(spark, sf_dir):
     return line.groupBy("p").agg(F.round(X.mean_pos("x"), 6).alias("mp"), F.round(X.mean_of_logs("y"), 6).alias("ml"), F.round(X.sum_of_logs("y"), 6).alias("sl"), F.round(X.prop_exp("x", 25.0), 6).alias("pe"), X.output_uniform("l_linenumber").alias("ou"))
 
 
-@query()
-def diffusion_edges(spark, sf_dir):
-    return neighbors.diffusion_edges(_knn(spark, sf_dir, 10))
-
-
 def _window_means(spark, sf_dir):
     e = fx.clamped(spark, sf_dir)
     pt = fx.vectors(spark, sf_dir).select("cell", F.get("vec", 0).alias("pseudotime"))
@@ -409,3 +408,286 @@ def segment_divergence(spark, sf_dir):
     v = _visits(spark, sf_dir)
     pairs = spark.createDataFrame([("s0", "s1"), ("s0", "s2"), ("s1", "s2")], "s1 string, s2 string")
     return tree.divergence(v, _pt(spark, sf_dir).select("cell", "pseudotime"), pairs, threshold=0.2, cuts=10, width=3)
+
+
+# expressions and small operators ------------------------------------------------------------------
+
+
+def _r(c, n: int = 6):
+    return F.round(c, n)
+
+
+#: Published derivatives of the logistic s: k * s * (1 - s), and k^2 * s * (1 - s) * (1 - 2 * s); products by Leibniz' rule.
+PARTS = f"select l_orderkey, l_linenumber, x, 0.5 + 1.5 * s1 f1, 1.5 * 0.2 * s1 * (1 - s1) d1, 1.5 * 0.04 * s1 * (1 - s1) * (1 - 2 * s1) e1, 1 + s2 f2, -0.3 * s2 * (1 - s2) d2, 0.09 * s2 * (1 - s2) * (1 - 2 * s2) e2 from (select l_orderkey, l_linenumber, l_quantity x, 1 / (1 + exp(-0.2 * (l_quantity - 20))) s1, 1 / (1 + exp(0.3 * (l_quantity - 35))) s2 from lineitem)"
+
+
+@query(f"""with m as ({PARTS}) select l_orderkey, l_linenumber, round(d1, 6) slope1, round(e1, 6) bend1, round((d1 * f2 + f1 * d2) / 2, 6) slope2, round((e1 * f2 + 2 * d1 * d2 + f1 * e2) / 2, 6) bend2 from m""")
+def impulse_derivatives(spark, sf_dir):
+    line = fx.load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("x"))
+    one, two = ("x", -0.2, 0.5, 2.0, 20.0), ("x", -0.2, 0.3, 0.5, 2.0, 1.0, 20.0, 35.0)
+    return line.select("l_orderkey", "l_linenumber", _r(X.impulse_slope_single(*one)).alias("slope1"), _r(X.impulse_bend_single(*one)).alias("bend1"), _r(X.impulse_slope_double(*two)).alias("slope2"), _r(X.impulse_bend_double(*two)).alias("bend2"))
+
+
+@query("""select l_orderkey, l_linenumber, round(25 - ln(1 / p - 1) / 0.1, 6) inv_logi, round(25 - ln(3 / p - 1) / 0.1, 6) inv_sig, round(0.3 * exp(-0.1 * (x - 25)) / power(1 + exp(-0.1 * (x - 25)), 2), 6) slope
+from (select l_orderkey, l_linenumber, l_quantity x, (l_discount + 0.01) * 5 p from lineitem)""")
+def inverse_curves(spark, sf_dir):
+    line = fx.load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("x"), ((F.col("l_discount") + 0.01) * 5).alias("p"), ((F.col("l_discount") + 0.01) * 5 + 1).alias("y"))
+    return line.select("l_orderkey", "l_linenumber", _r(X.inv_logistic("p", 25.0, 0.1)).alias("inv_logi"), _r(X.inv_sigmoid("y", 0.1, 25.0, 3.0, 1.0)).alias("inv_sig"), _r(X.d_dx_sigmoid("x", 0.1, 25.0, 3.0)).alias("slope"))
+
+
+@query("""with v as (select label::varchar grp, unnest(embedding)::double x from embeddings) select grp, round(log2(avg(power(2, x) - 1) filter (x > 0) + 1), 6) ml_pos, round(count(*) filter (x <= 0) / count(*), 6) nonexp, round(1 - exp(sum(ln(1 - abs(x) / 1000))), 6) any_of from v group by 1""")
+def more_aggregates(spark, sf_dir):
+    v = fx.vectors(spark, sf_dir).select("grp", F.explode("vec").alias("x")).withColumn("p", F.abs("x") / 1000)
+    return v.groupBy("grp").agg(_r(X.mean_of_logs_pos("x")).alias("ml_pos"), _r(X.prop_nonexp("x")).alias("nonexp"), _r(X.combine_probs("p")).alias("any_of"))
+
+
+@query("select o_orderpriority g, round(avg(try_cast(split_part(o_orderpriority, '-', 1) as double)), 6) num, split_part(o_orderpriority, '-', 2) part from orders group by 1")
+def text_numbers(spark, sf_dir):
+    o = fx.load(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("g"), X.cut_string("o_orderpriority", "-", 1).alias("x"))
+    return o.groupBy("g").agg(_r(X.num_mean("x")).alias("num")).withColumn("part", X.cut_string("g", "-", 2))
+
+
+@query(f"with {SQL['m1']} select cell, gene, least(count, 1)::double as count from m1")
+def binary_counts(spark, sf_dir):
+    return expression.binary(fx.supplier_counts(spark, sf_dir)).withColumn("count", F.col("count").cast("double"))
+
+
+@query(f"with {SQL['e1']} select cell, gene, round(power(2, value) - 1, 6) as value from c1")
+def unlogged_values(spark, sf_dir):
+    return expression.unlogged(fx.clamped(spark, sf_dir)).select("cell", "gene", F.round("value", 6).alias("value"))
+
+
+@query(f"with {SQL['e1']} select cell, round(log2(sum(power(2, value) - 1) + 1), 6) score from c1 where gene in ('1', '5', '9') group by 1")
+def signature_score(spark, sf_dir):
+    return expression.signature_score(fx.clamped(spark, sf_dir), ["1", "5", "9"]).withColumn("score", F.round("score", 6))
+
+
+@query("select c_custkey cell from customer where c_mktsegment in ('BUILDING', 'MACHINERY')")
+def cells_in_cluster(spark, sf_dir):
+    groups = fx.load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cell"), F.col("c_mktsegment").alias("grp"))
+    return expression.cells_in_cluster(groups, ["BUILDING", "MACHINERY"])
+
+
+@query("select c_custkey cell, 'wealth' grouping, case when c_acctbal > 5000 then 'rich' when c_acctbal < 4000 then 'poor' end as value from customer where c_acctbal > 5000 or c_acctbal < 4000")
+def group_from_cells(spark, sf_dir):
+    c = fx.load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cell"), "c_acctbal")
+    return expression.group_from_cells(c, "wealth", {"poor": c.where("c_acctbal < 4000"), "rich": c.where("c_acctbal > 5000")})
+
+
+@query(f"with {SQL['m2']} select cell, gene, count::double as count from m2 where gene in (select distinct gene from m2 order by 1 limit 5) and cell in (select distinct cell from m2 order by 1 limit 5)")
+def corner_of_counts(spark, sf_dir):
+    return expression.corner(fx.customer_counts(spark, sf_dir)).select("cell", "gene", F.col("count").cast("double").alias("count"))
+
+
+@query(f"with {SQL['m1']} select cell, gene, count::double as count from m1 where cell in (select s_suppkey::varchar from supplier where s_acctbal between 0 and 6000) and count <> 0")
+def metadata_trim(spark, sf_dir):
+    meta = fx.load(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("cell"), "s_acctbal")
+    return ingest.meta_trim(fx.supplier_counts(spark, sf_dir), meta, "s_acctbal", 0.0, 6000.0).select("cell", "gene", F.col("count").cast("double").alias("count"))
+
+
+@query("""select l_suppkey barcode, sum(l_partkey) reads, sum(l_linenumber) unmapped_reads, sum(l_orderkey % 5) nonconf_mapped_reads, sum(l_partkey + l_linenumber + l_orderkey % 5) total_reads,
+list_aggregate(list_transform(range(15, -1, -1), lambda k: substr('ACGT', (l_suppkey >> (2 * k)::int & 3)::int + 1, 1)), 'string_agg', '') cell from lineitem group by l_suppkey""")
+def reads_per_cell(spark, sf_dir):
+    m = fx.load(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("long").alias("barcode"), F.col("l_partkey").alias("reads"), F.col("l_linenumber").alias("unmapped_reads"), (F.col("l_orderkey") % 5).alias("nonconf_mapped_reads"))
+    return ingest.reads_per_cell(m)
+
+
+@query(f"with {SQL['m2']} select cell, gene, count::double as count from m2 where cell in (select c_custkey::varchar from customer where c_nationkey < 5) and count <> 0")
+def container_subset(spark, sf_dir):
+    c = ingest.create(fx.customer_counts(spark, sf_dir), min_cells=0, min_genes=0, min_counts=0, gene_max_cut=1e18)
+    keep = fx.load(spark, sf_dir, "customer").where("c_nationkey < 5").select(F.col("c_custkey").cast("string").alias("cell"))
+    return ingest.subset(c, keep).counts.select("cell", "gene", F.col("count").cast("double").alias("count"))
+
+
+# more of the graph ------------------------------------------------------------------------------
+
+
+DIFF = f"""{KNN}, nb as (select * from kn where rank <= 10), lo as (select cell, avg(dist) s from nb where rank between 5 and 7 group by 1), ke as (select nb.cell i, nbr j, exp(-dist * dist / (2 * a.s * b.s)) w from nb join lo a on a.cell = nb.cell join lo b on b.cell = nbr),
+sy as (select i, j, max(w) w from (select * from ke union all select j, i, w from ke) group by 1, 2), d1 as (select i, sum(w) d from sy group by 1), s1 as (select sy.i, sy.j, w / (a.d * b.d) w from sy join d1 a on a.i = sy.i join d1 b on b.i = sy.j),
+d2 as (select i, sum(w) d from s1 group by 1), df as (select s1.i, s1.j, w / sqrt(a.d * b.d) w from s1 join d2 a on a.i = s1.i join d2 b on b.i = s1.j)"""
+
+
+def _diffusion(spark, sf_dir):
+    return neighbors.diffusion_edges(_knn(spark, sf_dir, 10))
+
+
+@query(f"with {DIFF} select i, j, round(w, 6) w from df")
+def diffusion_edges(spark, sf_dir):
+    return _diffusion(spark, sf_dir).withColumn("w", F.round("w", 6))
+
+
+@query(f"with {DIFF} select least(i, j) a, greatest(i, j) b, round(max(w), 6) w from df where i <> j and (i % 7 = 3 or j % 7 = 3) group by 1, 2")
+def edges_of_cells(spark, sf_dir):
+    e = _diffusion(spark, sf_dir)
+    return neighbors.undirected_edges(e, fx.vectors(spark, sf_dir).where("cell % 7 = 3"), connected=True).withColumn("w", F.round("w", 6))
+
+
+@query()
+def diffusion_components(spark, sf_dir):
+    scratch = _scratch(spark, "diffusion")
+    return neighbors.diffusion_components(scratch.table(_diffusion(spark, sf_dir), "edges"), 6, scratch)[1]
+
+
+@query(f"""with {DIFF}, g as (select vec_id cell, label::varchar grp, embedding[1]::double pt from embeddings), me as (select grp, avg(pt) m from g group by 1), ne as (select a.grp, j cell, 1 - exp(sum(ln(1 - w))) p from df join g a on a.cell = i join g b on b.cell = j where a.grp <> b.grp group by 1, 2)
+select ne.grp, round(sum(p) filter (g.pt < m) / sum(p), 6) tip_potential from ne join g using (cell) join me on me.grp = ne.grp group by 1""")
+def cluster_tip_potential(spark, sf_dir):
+    v = fx.vectors(spark, sf_dir)
+    out = pseudotime.cluster_tip_potential(_diffusion(spark, sf_dir), v.select("cell", "grp"), v.select("cell", F.get("vec", 0).alias("pseudotime")))
+    return out.withColumn("tip_potential", F.round("tip_potential", 6))
+
+
+@query("with v as (select vec_id, embedding::double[] e from embeddings), d as (select a.vec_id cell, list_distance(a.e, b.e) d, a.e[1] pa, b.e[1] pb from v a join v b on a.vec_id <> b.vec_id) select cell, round(avg((pb <= pa)::int), 6) tip_potential from d where d between 1.2 and 1.4 group by 1")
+def tip_potential(spark, sf_dir):
+    v = fx.vectors(spark, sf_dir)
+    out = pseudotime.tip_potential(v.select("cell", "vec"), v.select("cell", F.get("vec", 0).alias("pseudotime")), 1.2, 1.4)
+    return out.withColumn("tip_potential", F.round("tip_potential", 6))
+
+
+# more of the tree --------------------------------------------------------------------------------
+
+
+@query(f"""with {VISITS}, t as (select cell, case when segment in ('s0', 's1') then 'new' else segment end tip, sum(v * n) / any_value(tot) v from (select vs.*, case segment when 's0' then 3 when 's1' then 1 else 2 end n, case when segment in ('s0', 's1') then 4 else 2 end tot from vs) group by 1, 2) select tip, cell, round(v, 6) v from t""")
+def combined_tips(spark, sf_dir):
+    cells = spark.createDataFrame([("s0", "a"), ("s0", "b"), ("s0", "c"), ("s1", "d"), ("s2", "e"), ("s2", "f")], "tip string, cell string")
+    return tree.combine_tips(_visits(spark, sf_dir).withColumnRenamed("segment", "tip"), cells, "s0", "s1", "new")[0].withColumn("v", F.round("v", 6))
+
+
+NODES = f"""{PT}, sg as (select cell, split_part(cell, '-', 1) segment, pt from pt), nn as (select *, row_number() over (partition by segment order by pt, cell) r, count(*) over (partition by segment) m from sg), nk as (select *, greatest(round_even(m / 5, 0), 1) n from nn),
+ng as (select cell, segment, pt, (select count(*) from range(1, n::int + 1) x(g) where round_even(m / n * g, 0) < r) + 1 k from nk), nd as (select segment, k, segment || '-' || k node, avg(pt) mean_pt, max(pt) max_pt, count(*) n from ng group by 1, 2)"""
+
+
+def _nodes(spark, sf_dir):
+    pt = _pt(spark, sf_dir)
+    return tree.nodes(pt.select("cell", X.cut_string("cell", "-", 1).alias("segment")), pt.select("cell", "pseudotime"), 5)
+
+
+@query(f"with {NODES} select node, segment, k::int k, round(mean_pt, 6) mean_pt, round(max_pt, 6) max_pt, n from nd")
+def tree_nodes(spark, sf_dir):
+    return _nodes(spark, sf_dir)[1].select("node", "segment", "k", _r("mean_pt").alias("mean_pt"), _r("max_pt").alias("max_pt"), "n")
+
+
+@query(f"""with {NODES}, jn as (select * from (values ('view', 'click'), ('view', 'purchase'), ('click', 'cart')) t(parent, child)), la as (select segment, arg_max(node, k) a from nd group by 1)
+select node a, b from (select node, lead(node) over (partition by segment order by k) b from nd) where b is not null union all select a, node b from jn join la on la.segment = parent join nd on nd.segment = child and k = 1""")
+def tree_node_edges(spark, sf_dir):
+    joins = spark.createDataFrame([("view", "click"), ("view", "purchase"), ("click", "cart")], "parent string, child string")
+    return tree.node_edges(_nodes(spark, sf_dir)[1], joins)
+
+
+@query(f"""with {PT}, vs as (select 's' || (walk % 3) segment, cell, count(*) v from w1 group by 1, 2), li as (select * from (values ('s0', 0.0, 0.5), ('s1', 0.45, 1.0), ('s2', 0.0, 1.0)) t(segment, lo, hi)),
+a as (select vs.cell, segment, case when pt between lo and hi then v else 0 end v from vs join pt using (cell) join li using (segment)) select cell, max(v) visits from a group by 1 having max(v) > 0""")
+def cells_of_segments(spark, sf_dir):
+    limits = spark.createDataFrame([("s0", 0.0, 0.5), ("s1", 0.45, 1.0), ("s2", 0.0, 1.0)], 'segment string, start double, `end` double')
+    v, pt = _visits(spark, sf_dir), _pt(spark, sf_dir).select("cell", "pseudotime")
+    return tree.assign_cells(v, pt, limits).join(v, ["segment", "cell"]).select("cell", F.col("v").alias("visits"))
+
+
+@query("with j as (select n_regionkey parent, min(n_nationkey) c1, max(n_nationkey) c2, n_regionkey / 10.0 pt from nation group by 1) select parent, c1 child, pt pseudotime from j union all select parent, c2, pt from j")
+def interleaved_joins(spark, sf_dir):
+    j = fx.load(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("parent")).agg(F.min("n_nationkey").alias("child_1"), F.max("n_nationkey").alias("child_2")).withColumn("pseudotime", F.col("parent") / 10.0)
+    return tree.interleaved(j)
+
+
+def _deep(spark, sf_dir):
+    rows = [(r["parent"], r["child"], {"w": 0.0, "r": 1.0, "n": 2.0}[r["parent"][0]]) for r in fx.tree(spark, sf_dir).collect()]
+    limits = {c: (pt, pt + 1.0) for _, c, pt in rows} | {"world": (-1.0, 0.0)}
+    return rows, limits
+
+
+@query(f"with {SQL['t1']}, u as (select parent from t1 group by 1 having count(*) = 1) select parent, child from t1 where parent not in (select parent from u)")
+def without_only_children(spark, sf_dir):
+    return spark.createDataFrame([j[:2] for j in tree.remove_unary(*_deep(spark, sf_dir))[0]], "parent string, child string")
+
+
+@query(f"""with {SQL['t1']}, go as (select 'n' || n_nationkey s from nation where n_nationkey % 6 = 1), d as (select parent, child, case substr(parent, 1, 1) when 'w' then 0.0 when 'r' then 1.0 else 2.0 end pt from t1),
+k as (select case when g.s is not null then up.parent else d.parent end parent, d.child, d.pt, g.s from d left join go g on g.s = d.parent left join d up on up.child = g.s where d.child not in (select s from go)),
+mx as (select parent, max(pt) pt from k group by 1) select k.parent, k.child, case when k.parent in (select parent from k where s is not null) then mx.pt else k.pt end::double pseudotime from k join mx on mx.parent = k.parent""")
+def collapsed_segments(spark, sf_dir):
+    rows, limits = _deep(spark, sf_dir)
+    cells = {c: 0 if c[0] == "n" and int(c[1:]) % 6 == 1 else 9 for c in limits}
+    return spark.createDataFrame(tree.collapse_short(rows, limits, cells, "world")[0], "parent string, child string, pseudotime double")
+
+
+# tests along the tree ------------------------------------------------------------------------------
+
+CHAIN = f"""{UP}, cs as (select c_custkey::varchar cell, case when c_custkey % 4 = 0 then 'r' || n_regionkey else 'n' || n_nationkey end segment, c_acctbal / 10000 pt from customer join nation on n_nationkey = c_nationkey),
+pa as (select 'n3' segment, 0 depth union all select ancestor, depth from up where segment = 'n3'), pr as (select pa.segment, pa.depth, b.child opposing from pa join t1 a on a.child = pa.segment join t1 b on b.parent = a.parent and b.child <> a.child),
+be as (select ancestor opposing, segment as at from up union select child, child from t1),
+co as (select depth, pr.segment, opposing, cell, 1 side from pr join cs on cs.segment = pr.segment union select depth, pr.segment, pr.opposing, cell, 2 from pr join be on be.opposing = pr.opposing join cs on cs.segment = be.at where pt between 0.1 and 0.8)"""
+
+
+def _compared(spark, sf_dir):
+    c = fx.load(spark, sf_dir, "customer").join(fx.load(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    at = F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("r"), F.col("n_regionkey").cast("string"))).otherwise(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")))
+    cells = c.select(F.col("c_custkey").cast("string").alias("cell"), at.alias("segment"), (F.col("c_acctbal") / 10000).alias("pseudotime"))
+    joins = fx.tree(spark, sf_dir)
+    limits = joins.select(F.col("child").alias("segment"), F.lit(0.1).alias("start"), F.lit(0.8).alias("end"))
+    return along_tree.comparisons(joins, limits, cells.select("cell", "segment"), cells.select("cell", "pseudotime"), "n3")
+
+
+@query(f"with recursive {CHAIN} select * from co")
+def comparisons_along_tree(spark, sf_dir):
+    return _compared(spark, sf_dir)
+
+
+@query()
+def aucpr_along_tree(spark, sf_dir):
+    return along_tree.auc_pr(_created(spark, sf_dir).expr, _compared(spark, sf_dir), _scratch(spark, "along"), effect=0.0, min_diff=0.0)
+
+
+@query()
+def binom_along_tree(spark, sf_dir):
+    c = _created(spark, sf_dir)
+    return along_tree.binom(c.expr, c.counts, _compared(spark, sf_dir), _scratch(spark, "along"), effect=0.0, p_max=1.0)
+
+
+@query()
+def modules_along_tree(spark, sf_dir):
+    c = _created(spark, sf_dir)
+    values = expression.dense(c.expr, c.cells).select(F.col("gene").alias("name"), "cell", F.col("value").alias("v"))
+    return along_tree.modules(values, _compared(spark, sf_dir), _scratch(spark, "along"), effect=0.0, p_max=1.0)
+
+
+@query()
+def aucpr_by_factor(spark, sf_dir):
+    groups = _segments(spark, sf_dir)
+    sets = fx.load(spark, sf_dir, "customer").select(F.when(F.col("c_nationkey") < 8, "one").when(F.col("c_nationkey") < 16, "two").otherwise("three").alias("name"), F.col("c_custkey").cast("string").alias("cell"))
+    return along_tree.auc_pr_by_factor(_created(spark, sf_dir).expr, sets, groups, _scratch(spark, "factor"), effect=0.0)
+
+
+# coordinates ---------------------------------------------------------------------------------------
+
+XYZ = "p as (select vec_id cell, embedding[1]::double x, embedding[2]::double y, embedding[3]::double z, label from embeddings)"
+
+
+def _points(spark, sf_dir):
+    return fx.vectors(spark, sf_dir).select("cell", F.get("vec", 0).alias("x"), F.get("vec", 1).alias("y"), F.get("vec", 2).alias("z"), "grp")
+
+
+@query(f"with {XYZ} select cell, round(x * cos(0.5) - z * sin(0.5), 6) x, round(y, 6) y, round(x * sin(0.5) + z * cos(0.5), 6) z from p")
+def rotated_points(spark, sf_dir):
+    x, y, z = curves.rotate("x", "y", "z", 0.5, "y")
+    return _points(spark, sf_dir).select("cell", _r(x).alias("x"), _r(y).alias("y"), _r(z).alias("z"))
+
+
+@query(f"with {XYZ} select cell, round(case when label = 1 then x + 0.5 else x end, 6) x, round(y, 6) y, round(case when label = 1 then z - 2 else z end, 6) z from p")
+def translated_points(spark, sf_dir):
+    return curves.translate(_points(spark, sf_dir), F.col("grp") == "1", dx=0.5, dz=-2.0).select("cell", *[_r(c).alias(c) for c in "xyz"])
+
+
+@query(f"""with {XYZ}, l as (select max(z) z0 from (select z from p where label = 2 order by z limit 20))
+select cell, round(case when label = 2 and z > z0 then z0 + (z - z0) * (1 + 2 * least((z - z0) / 0.1, 1)) else z end, 6) z from p, l""")
+def stretched_points(spark, sf_dir):
+    return curves.stretch(_points(spark, sf_dir), F.col("grp") == "2", 3.0).select("cell", _r("z").alias("z"))
+
+
+@query(f"with {XYZ} select cell, round(x * 0.2 + y * 0.3 + z * 0.5, 6) m from p")
+def interpolated_points(spark, sf_dir):
+    return _points(spark, sf_dir).select("cell", _r(curves.interpolate_points({"x": 0.2, "y": 0.3, "z": 0.5})).alias("m"))
+
+
+@query(f"""with {PT}, vs as (select 's' || (walk % 4) segment, cell, count(*) v from w1 group by 1, 2), g as (select cell, coalesce(max(v) filter (segment = 's0'), 0) a, coalesce(max(v) filter (segment = 's1'), 0) b, coalesce(max(v) filter (segment in ('s0', 's1', 's2')), 0) p, coalesce(max(v) filter (segment = 's3'), 0) o from vs group by 1),
+q as (select cell, coalesce((a - b) / nullif(a + b, 0), 0) pref, coalesce((p - o) / nullif(p + o, 0), 0) par, log10(a + b + 1) vis from g) select cell, round(pref, 6) preference, round(par, 6) parent_preference, round(vis, 6) visited, round(pt, 6) pseudotime from q join pt using (cell) where par >= 0.1""")
+def branch_preference(spark, sf_dir):
+    v = fx.walks(spark, sf_dir).groupBy(F.concat(F.lit("s"), (F.col("walk") % 4).cast("string")).alias("segment"), "cell").agg(F.count("*").alias("v"))
+    out = curves.branch_preference(v, _pt(spark, sf_dir).select("cell", "pseudotime"), ["s0"], ["s1"], ["s0", "s1", "s2"], ["s3"])
+    return out.select("cell", *[_r(c).alias(c) for c in ("preference", "parent_preference", "visited", "pseudotime")])

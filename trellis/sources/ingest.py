@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trellis.plans.scratch import Scratch
+
 
 @dataclass(frozen=True)
 class Container:
@@ -24,21 +26,25 @@ class Container:
         return replace(self, tables=self.tables | {name: df})
 
 
-def create(counts: DataFrame, meta: DataFrame | None = None, min_cells: int = 3, min_genes: int = 500, min_counts: float = 10, gene_max_cut: float = 5000) -> Container:
+def create(counts: DataFrame, meta: DataFrame | None = None, min_cells: int = 3, min_genes: int = 500, min_counts: float = 10, gene_max_cut: float = 5000, scratch: Scratch | None = None) -> Container:
     """Filter cells, then genes on those cells, and log-normalise: log2(count * scale + 1), two decimals.
 
-    Genes are counted before, counts after the gene filter. The median of the totals is one row.
+    Genes are counted before, counts after the gene filter. The median of the totals is one row. With
+    ``scratch`` counts, cells and values are written once, so that what is built on the container
+    reads them instead of making them anew for each of its branches.
     """
+    kept_once = scratch.table if scratch else lambda df, name: df
     counts = counts.where("count <> 0")
     n_genes = counts.groupBy("cell").agg(F.count("*").alias("n_genes")).where(F.col("n_genes") > min_genes)
     on_cells = counts.join(n_genes, "cell")
     genes = on_cells.groupBy("gene").agg(F.count("*").alias("nc"), F.sum("count").alias("t"), F.max("count").alias("m"))
     genes = genes.where((F.col("nc") > min_cells) & (F.col("t") > min_counts) & (F.col("m") <= gene_max_cut)).select("gene")
-    kept = on_cells.join(genes, "gene", "left_semi")
+    kept = kept_once(on_cells.join(genes, "gene", "left_semi"), "counts")
     totals = kept.groupBy("cell").agg(F.first("n_genes").alias("n_genes"), F.sum("count").alias("n_trans"))
     middle = totals.agg(F.pow(F.lit(10.0), F.ceil(F.log10(F.expr("percentile(n_trans, 0.5)")))).alias("k"))
-    cells = totals.crossJoin(F.broadcast(middle)).withColumn("scale", F.col("k") / F.col("n_trans")).drop("k")
+    cells = kept_once(totals.crossJoin(F.broadcast(middle)).withColumn("scale", F.col("k") / F.col("n_trans")).drop("k"), "cells")
     expr = kept.drop("n_genes").join(cells.select("cell", "scale"), "cell").select("gene", "cell", F.bround(F.log2(F.col("count") * F.col("scale") + 1), 2).alias("value"))
+    expr = kept_once(expr, "expr")
     groups = cells.select("cell", F.lit("init").alias("grouping"), F.regexp_extract("cell", "^[^_-]*", 0).alias("value"))
     cells = cells.select("cell", "n_genes", "n_trans")
     if meta is not None:
@@ -125,12 +131,14 @@ def meta_trim(counts: DataFrame, meta: DataFrame, column: str, low: float | None
     return counts.join(meta.where(ok).select(F.col(cell).alias("cell")), "cell", "left_semi").where("count <> 0")
 
 
-def knee_curve(reads: DataFrame, key: str, n: str) -> DataFrame:
+def knee_curve(reads: DataFrame, key: str, n: str, scratch: Scratch) -> DataFrame:
     """Cumulative share of reads over barcodes in decreasing order.
 
-    The order is total, so ranges of it are spread over tasks: sums of ranges first, then within.
+    The order is total, so ranges of it are spread over tasks: sums of ranges first, then within. The
+    ranges are written once: both steps must see the same ones.
     """
     spread = reads.select(F.col(key).alias("key"), F.col(n).cast("double").alias("n")).repartitionByRange(F.desc("n"), F.asc("key")).sortWithinPartitions(F.desc("n"), F.asc("key")).withColumn("part", F.spark_partition_id())
+    spread = scratch.table(spread, "ranges")
     sums = spread.groupBy("part").agg(F.sum("n").alias("s"), F.count("*").alias("m"))
     w = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row a partition
     before = sums.select("part", F.coalesce(F.sum("s").over(w), F.lit(0.0)).alias("s0"), F.coalesce(F.sum("m").over(w), F.lit(0)).alias("m0"), F.sum("s").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("total"))
