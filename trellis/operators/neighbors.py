@@ -227,8 +227,18 @@ def diffusion_components(edges: DataFrame, n: int, scratch, rounds: int = 16, sp
     v = scratch.table(edges.select(F.col("i").alias("cell")).distinct().select("cell", F.array(*normal).alias("v")), "vectors0")
 
     def products(a: str, b: str, df: DataFrame) -> np.ndarray:
-        r = df.agg(F.array(*[F.array(*[F.sum(F.get(a, p) * F.get(b, q)) for q in range(m)]) for p in range(m)]).alias("x")).first()
-        return np.array(r["x"], float)
+        def run(batches):
+            total = np.zeros((m, m))
+            for x in batches:
+                if len(x):
+                    total += np.stack(x["a"].to_numpy()).T @ np.stack(x["b"].to_numpy())
+            yield pd.DataFrame({"p": np.arange(m * m), "x": total.ravel()})
+
+        sums = df.select(F.col(a).alias("a"), F.col(b).alias("b")).mapInPandas(run, "p int, x double").groupBy("p").agg(F.sum("x").alias("x"))
+        out = np.zeros(m * m)
+        for r in sums.collect():
+            out[r["p"]] = r["x"]
+        return out.reshape(m, m)
 
     def times(df: DataFrame, matrix: np.ndarray) -> DataFrame:
         def run(batches):
