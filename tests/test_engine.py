@@ -20,7 +20,7 @@ def _norm(v):
     return f"{v:.8g}" if isinstance(v, float) or type(v).__name__ == "Decimal" else str(v)
 
 
-@pytest.mark.parametrize("name", ["create_filter_normalize", "markers_auc_pr", "knn_exact", "jaccard_edges", "doublet_module_pairs", "walk_visits_prefix", "weighted_edges", "segment_parents_all", "near_equal_nodes", "moving_windows", "holm_adjust", "decode_barcode", "read_knee_curve", "impulse_derivatives", "inverse_curves", "scalar_math", "comparisons_along_tree", "collapsed_segments", "without_only_children", "tree_nodes", "edges_of_cells"])
+@pytest.mark.parametrize("name", ["create_filter_normalize", "markers_auc_pr", "knn_exact", "jaccard_edges", "doublet_module_pairs", "walk_visits_prefix", "weighted_edges", "segment_parents_all", "near_equal_nodes", "moving_windows", "holm_adjust", "decode_barcode", "read_knee_curve", "impulse_derivatives", "inverse_curves", "scalar_math", "comparisons_along_tree", "collapsed_segments", "without_only_children", "tree_nodes", "edges_of_cells", "layout_density", "tip_labels", "tip_cells", "modules_in_cells", "batch_corrected"])
 def test_against_sql(spark, sf, name):
     import duckdb
 
@@ -198,3 +198,13 @@ def test_tree_is_built(spark):
     joins, _ = tree.build(v, spark.createDataFrame(pts, "cell long, pseudotime double"), spark.createDataFrame(tips, "tip long, cell long"), Scratch(spark, "t-tree"), cuts=20, width=3, threshold=0.5, method="preference")
     assert {c for p, c, _ in joins if p == 4} == {1, 2} and {c for p, c, _ in joins if p == 5} == {3, 4}
     assert curves.dendrogram(joins)[5] == (curves.dendrogram(joins)[3] + curves.dendrogram(joins)[4]) / 2
+
+
+def test_nearest_groups_and_their_markers(spark):
+    means = spark.createDataFrame([("a", "x", 1.0), ("b", "x", 1.1), ("c", "y", 5.0)], "grp string, gene string, m double")
+    assert {tuple(r) for r in markers.nearest_groups(means).collect()} == {("a", "b"), ("a", "c")}
+    groups = spark.createDataFrame([(f"{g}{i}", g) for g in "abc" for i in range(20)], "cell string, grp string")
+    rows = groups.where("grp = 'c'").select("cell", F.lit("y").alias("gene"), F.lit(5.0).alias("value"))
+    pairs, genes = markers.cluster_de(rows, rows.withColumnRenamed("value", "count"), groups, means)
+    assert {tuple(r) for r in pairs.collect()} == {("a", "b", 0), ("a", "c", 1)}
+    assert [(r.cmp, r.gene) for r in genes.collect()] == [("a-c", "y")]

@@ -205,3 +205,22 @@ def branch_preference(visits: DataFrame, pt: DataFrame, side1: list, side2: list
     g = visits.groupBy("cell").agg(most(side1).alias("v1"), most(side2).alias("v2"), most(parent).alias("vp"), most(opposite).alias("vo"))
     g = g.withColumns({"preference": preference("v1", "v2", signed=True), "parent_preference": preference("vp", "vo", signed=True), "visited": F.log10(F.col("v1") + F.col("v2") + 1)})
     return g.where((F.col("parent_preference") >= 0.1) & (F.col("visited") >= min_visit)).join(pt, "cell").select("cell", "preference", "parent_preference", "visited", "pseudotime")
+
+
+def layout_density(points: DataFrame, neighbor: int = 10) -> DataFrame:
+    """(cell, n_dist): distance to the ``neighbor``-th nearest of all points (x, y, z), itself the first."""
+    from trellis.operators.neighbors import knn_exact
+
+    near = knn_exact(points.select("cell", F.array("x", "y", "z").alias("vec")), neighbor - 1)
+    return near.where(F.col("rank") == neighbor - 1).select("cell", F.col("dist").alias("n_dist"))
+
+
+def tip_labels(points: DataFrame, spacing: float = 5.0) -> DataFrame:
+    """(segment, x, y, z) from (cell, segment, pseudotime, x, y, z): ``spacing`` from the last cell of each
+    segment, in the direction of its fifth last. Segments of fewer cells, or without a direction, have none."""
+    w = W.partitionBy("segment").orderBy(F.desc("pseudotime"), "cell")
+    at = lambda r: F.max(F.when(F.col("r") == r, F.struct("x", "y", "z"))).alias(f"p{r}")
+    ends = points.withColumn("r", F.row_number().over(w)).where("r in (1, 5)").groupBy("segment").agg(at(1), at(5))
+    step = {c: F.col(f"p5.{c}") - F.col(f"p1.{c}") for c in "xyz"}
+    far = F.sqrt(step["x"] * step["x"] + step["y"] * step["y"] + step["z"] * step["z"])
+    return ends.where(far > 0).select("segment", *[(F.col(f"p1.{c}") + step[c] * spacing / far).alias(c) for c in "xyz"])

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-
 def dense(expr: DataFrame, cells: DataFrame, genes: DataFrame | None = None) -> DataFrame:
     """Every gene and cell with its value, zeros included; for the few genes that need it."""
     genes = expr.select("gene").distinct() if genes is None else genes
@@ -64,6 +63,13 @@ def doublet_cells(modules: DataFrame, pairs: DataFrame, threshold: float, max_ov
     return a.join(b, "cell").join(ok, ["m1", "m2"], "left_semi").select("cell").distinct()
 
 
+def modules_in_cells(modules: DataFrame, cells: DataFrame, names: list[str], threshold: float = float("inf")) -> DataFrame:
+    """(cell, module, v, above) of each chosen cell and module, absent values as zeros."""
+    every = cells.select("cell", F.explode(F.array(*[F.lit(n) for n in names])).alias("module"))
+    v = F.coalesce("v", F.lit(0.0))
+    return every.join(modules, ["cell", "module"], "left").select("cell", "module", v.alias("v"), (v >= threshold).alias("above"))
+
+
 def between(col: str, low: float, high: float) -> Column:
     return F.col(col).between(low, high)
 
@@ -100,8 +106,6 @@ def label_catalog(tables: dict[str, tuple[DataFrame, list[str]]], label: str) ->
     raise KeyError(label)
 
 
-
-
 def cells_in_cluster(groups: DataFrame, clusters: list) -> DataFrame:
     return groups.where(F.col("grp").isin(clusters)).select("cell")
 

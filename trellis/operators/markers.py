@@ -107,6 +107,28 @@ def markers_binom(expr: DataFrame, counts: DataFrame, sides: DataFrame, effect:
     return both.where(ok).select("cmp", "gene", "p_adj", "log_effect", "frac_1", "frac_2", "trans_1", "trans_2")
 
 
+def nearest_groups(means: DataFrame) -> DataFrame:
+    """(g1, g2): each group with the one of the nearest centroid, pairs once, from (grp, gene, m); absent
+    genes are zeros. Groups are few."""
+    a, b = means.toDF("g1", "gene", "m1"), means.toDF("g2", "gene", "m2")
+    dots = a.join(b, "gene").groupBy("g1", "g2").agg(F.sum(F.col("m1") * F.col("m2")).alias("dot"))
+    size = means.groupBy("grp").agg(F.sum(F.col("m") * F.col("m")).alias("s"))
+    every = size.toDF("g1", "s1").crossJoin(F.broadcast(size.toDF("g2", "s2"))).where("g1 <> g2").join(dots, ["g1", "g2"], "left")
+    near = every.groupBy("g1").agg(F.min_by("g2", F.struct(F.col("s1") + F.col("s2") - 2 * F.coalesce("dot", F.lit(0.0)), "g2")).alias("g2"))
+    return near.select(F.least("g1", "g2").alias("g1"), F.greatest("g1", "g2").alias("g2")).distinct()
+
+
+def cluster_de(expr: DataFrame, counts: DataFrame, groups: DataFrame, means: DataFrame, effect: float = float(np.log(2)), p_max: float = 0.01, min_frac: float = 0.1) -> tuple[DataFrame, DataFrame]:
+    """((g1, g2, n_genes), marker rows) of each group against its nearest, by the binomial test.
+    ``groups``: (cell, grp); ``means``: (grp, gene, m) over the genes that distances are taken over."""
+    pairs = nearest_groups(means)
+    named = pairs.select(F.concat_ws("-", "g1", "g2").alias("cmp"), "g1", "g2")
+    side = lambda c, s: groups.join(F.broadcast(named), F.col("grp") == F.col(c)).select("cmp", "cell", F.lit(s).alias("side"))
+    genes = markers_binom(expr, counts, side("g1", 1).union(side("g2", 2)), effect, p_max, min_frac)
+    found = genes.groupBy("cmp").agg(F.count("*").alias("n"))
+    return named.join(found, "cmp", "left").select("g1", "g2", F.coalesce("n", F.lit(0)).alias("n_genes")), genes
+
+
 def welch(values: DataFrame, sides: DataFrame, p_max: float, effect: float) -> DataFrame:
     """Welch's t-test for each row name over (name, cell, v), zeros with rows of their own."""
 

@@ -253,3 +253,9 @@ def build(visits: DataFrame, pt: DataFrame, tip_cells: DataFrame, scratch, **opt
         now = scratch.table(now.union(merged), f"tree{new}")
         alive = [x for x in alive if x not in (a, b)] + [new]
     return joins, now
+
+
+def tip_cells(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((tip, cell), (tip, n)) from a grouping (cell, grp) used as tips; cells without a group are in none."""
+    cells = groups.where("grp is not null").select(F.col("grp").alias("tip"), "cell")
+    return cells, cells.groupBy("tip").agg(F.count("*").alias("n"))

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trellis.functions import expr as X
-from trellis.operators import along_tree, curves, expression, markers, neighbors, pseudotime, tree
+from trellis.operators import along_tree, batch, curves, expression, markers, neighbors, pseudotime, tree
 from trellis.plans import fixtures as fx
 from trellis.plans.fixtures import SQL, created_sql
 from trellis.plans.scratch import Scratch
@@ -691,3 +691,51 @@ def branch_preference(spark, sf_dir):
     v = fx.walks(spark, sf_dir).groupBy(F.concat(F.lit("s"), (F.col("walk") % 4).cast("string")).alias("segment"), "cell").agg(F.count("*").alias("v"))
     out = curves.branch_preference(v, _pt(spark, sf_dir).select("cell", "pseudotime"), ["s0"], ["s1"], ["s0", "s1", "s2"], ["s3"])
     return out.select("cell", *[_r(c).alias(c) for c in ("preference", "parent_preference", "visited", "pseudotime")])
+
+
+@query(f"""with {XYZ}, d as (select a.cell, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) dist from p a join p b on a.cell <> b.cell),
+r as (select *, row_number() over (partition by cell order by dist) k from d) select cell, round(dist, 6) n_dist from r where k = 9""")
+def layout_density(spark, sf_dir):
+    return curves.layout_density(_points(spark, sf_dir), 10).withColumn("n_dist", F.round("n_dist", 6))
+
+
+@query(f"""with {XYZ}, o as (select *, row_number() over (partition by label order by z desc, cell) r from p), t as (select label, max(x) filter (r = 1) x1, max(y) filter (r = 1) y1, max(z) filter (r = 1) z1, max(x) filter (r = 5) x5, max(y) filter (r = 5) y5, max(z) filter (r = 5) z5 from o group by 1),
+l as (select *, 5 / sqrt((x5 - x1) * (x5 - x1) + (y5 - y1) * (y5 - y1) + (z5 - z1) * (z5 - z1)) s from t) select label::varchar segment, round(x1 + s * (x5 - x1), 5) x, round(y1 + s * (y5 - y1), 5) y, round(z1 + s * (z5 - z1), 5) z from l where s is not null""")
+def tip_labels(spark, sf_dir):
+    d = _points(spark, sf_dir).withColumnRenamed("grp", "segment").withColumn("pseudotime", F.col("z"))
+    return curves.tip_labels(d, 5.0).select("segment", *[_r(c, 5).alias(c) for c in "xyz"])
+
+
+# cells and batches -----------------------------------------------------------------------------------
+
+
+@query("select c_mktsegment tip, c_custkey cell, count(*) over (partition by c_mktsegment) n from customer where c_mktsegment is not null")
+def tip_cells(spark, sf_dir):
+    groups = fx.load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cell"), F.col("c_mktsegment").alias("grp"))
+    cells, tips = tree.tip_cells(groups)
+    return cells.join(tips, "tip")
+
+
+@query(f"""with {SQL['e1']}, k as (select vec_id cell, m from embeddings, (values ('1'), ('5'), ('9')) t(m) where vec_id % 10 = 0) select k.cell, m as module, round(coalesce(value, 0), 6) v, coalesce(value, 0) >= 0.2 above from k left join c1 on c1.cell = k.cell and gene = m""")
+def modules_in_cells(spark, sf_dir):
+    out = expression.modules_in_cells(_modules(spark, sf_dir), fx.vectors(spark, sf_dir).where("cell % 10 = 0").select("cell"), ["1", "5", "9"], 0.2)
+    return out.withColumn("v", F.round("v", 6))
+
+
+@query(f"""with recursive {SQL['e1']}, ba as (select vec_id cell, vec_id % 3 b from embeddings), nb as (select b, count(*)::double n from ba group by 1), nt as (select count(*) nn, (select ceil(max(value)) + 1 from c1) hi from ba),
+su as (select gene, b, sum(value) s1, sum(value * value) s2 from c1 join ba using (cell) group by 1, 2), ev as (select ge.gene, nb.b, n, coalesce(s1, 0) s1, coalesce(s2, 0) s2 from (select distinct gene from c1) ge cross join nb left join su on su.gene = ge.gene and su.b = nb.b),
+gm as (select gene, sum(s1) / any_value(nn) gm, sum(s2 - s1 * s1 / n) / any_value(nn) pv from ev, nt group by 1), ga as (select gene, b, n, gm, pv, (s1 / n - gm) / sqrt(pv) g, (s2 - s1 * s1 / n) / (n - 1) / pv d, (s2 - s1 * s1 / n + n * (s1 / n - gm) * (s1 / n - gm)) / pv q from ev join gm using (gene)),
+pr as (select b, avg(g) gb, var_samp(g) t2, avg(d) m, var_samp(d) v from ga group by 1), pa as (select ga.*, gb, t2, (2 * v + m * m) / v ap, (m * v + m * m * m) / v bp from ga join pr using (b)),
+it as (select gene, b, g gs, d ds, 0 k from pa union all select gene, b, ng, (0.5 * (q - 2 * ng * n * g + n * ng * ng) + bp) / (n / 2 + ap - 1), k + 1 from (select pa.*, k, (t2 * n * g + ds * gb) / (t2 * n + ds) ng from it join pa using (gene, b) where k < 30)),
+ad as (select ba.cell, pa.gene, (coalesce(value, 0) - gm - gs * sqrt(pv)) / sqrt(ds) + gm y from ba join pa using (b) join it on it.gene = pa.gene and it.b = pa.b and k = 30 left join c1 on c1.cell = ba.cell and c1.gene = pa.gene)
+select cell, gene, round(least(y, hi), 4) as value from ad, nt where y >= 0.05""")
+def batch_corrected(spark, sf_dir):
+    batches = fx.vectors(spark, sf_dir).select("cell", (F.col("cell") % 3).alias("batch"))
+    return batch.combat(fx.clamped(spark, sf_dir), batches)
+
+
+@query()
+def cluster_de(spark, sf_dir):
+    c, groups = _created(spark, sf_dir), _segments(spark, sf_dir)
+    means = c.expr.join(groups, "cell").groupBy("grp", "gene").agg(F.sum("value").alias("s")).join(expression.group_sizes(groups), "grp").select("grp", "gene", (F.col("s") / F.col("n")).alias("m"))
+    return markers.cluster_de(c.expr, c.counts, groups.join(c.cells, "cell", "left_semi"), means, effect=0.0, p_max=1.0)[0]
