@@ -401,6 +401,39 @@ def test_bpe(spark, sf, odd, none):
     assert bpe.digests(none, path).count() == 0
 
 
+@pytest.mark.parametrize("batch", [1, 2, 3, 1000])
+def test_first_and_last_occurrences_over_batches(spark, batch):
+    """Every occurrence of a seed against brute force, wherever batches end; a null width of the longer words stays."""
+    rng = random.Random(7)
+    rows = sorted({(rng.choice([1, 1, 1, 2, 3, 4, 5, 6, 7, 8, 9]), rng.randrange(6), rng.randrange(9)) for _ in range(60)} | {(100 + i, 1, 1) for i in range(5)})
+    want = set()
+    for n, d, p in rows:
+        alike = [(a, b) for m, a, b in rows if m == n]
+        at = alike.index((d, p))
+        if len(alike) > 1:
+            want.add((n, d, p, *(alike[0] if at else (None, None)), *(alike[at - 1] if at else (None, None))))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = passages.repeated_seeds(spark.createDataFrame(rows, "seed long, doc long, pos int")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_hashes_by_doubling():
+    """Equal runs of words have equal hashes, at every place and from chosen places; others do not."""
+    rng = np.random.default_rng(3)
+    run = rng.integers(0, 1 << 63, 60).astype(np.uint64)
+    words = np.concatenate([run, rng.integers(0, 1 << 63, 7).astype(np.uint64), run])
+    sums = passages.doubled(words, 50)
+    for k in (1, 5, 42, 50):
+        h = passages.kmer_hashes(sums, k)
+        assert len(h) == len(words) - k + 1 and (h[: 60 - k + 1] == h[67 : 67 + 60 - k + 1]).all() and len(set(h.tolist())) == len(h) - (60 - k + 1)
+        assert (passages.kmer_hashes(sums, k, np.array([3, 70])) == h[[3, 70]]).all()
+    assert len(passages.kmer_hashes(passages.doubled(words[:3], 50), 5)) == 0
+
+
 def test_passages(spark, odd, none):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
