@@ -14,13 +14,16 @@ from trellis.plans.scratch import Scratch
 from trellis.sources import ingest
 
 
+VIEWS = ["labelled_points", "drawn_edges", "two_colors", "dimension_pairs", "groups_near", "labels_by_group", "group_histograms", "density_grid", "tree_values", "color_limits", "module_thresholds", "module_pair_values", "heatmap_rows", "time_marks", "window_visits", "window_preferences", "faded_points"]
+
+
 def _norm(v):
     if v is None or v != v:
         return "~"
     return f"{v:.8g}" if isinstance(v, float) or type(v).__name__ == "Decimal" else str(v)
 
 
-@pytest.mark.parametrize("name", ["create_filter_normalize", "markers_auc_pr", "knn_exact", "jaccard_edges", "doublet_module_pairs", "walk_visits_prefix", "weighted_edges", "segment_parents_all", "near_equal_nodes", "moving_windows", "holm_adjust", "decode_barcode", "read_knee_curve", "impulse_derivatives", "inverse_curves", "scalar_math", "comparisons_along_tree", "collapsed_segments", "without_only_children", "tree_nodes", "edges_of_cells", "layout_density", "tip_labels", "tip_cells", "modules_in_cells", "batch_corrected"])
+@pytest.mark.parametrize("name", ["create_filter_normalize", "markers_auc_pr", "knn_exact", "jaccard_edges", "doublet_module_pairs", "walk_visits_prefix", "weighted_edges", "segment_parents_all", "near_equal_nodes", "moving_windows", "holm_adjust", "decode_barcode", "read_knee_curve", "impulse_derivatives", "inverse_curves", "scalar_math", "comparisons_along_tree", "collapsed_segments", "without_only_children", "tree_nodes", "edges_of_cells", "layout_density", "tip_labels", "tip_cells", "modules_in_cells", "batch_corrected", "doublet_cells", *VIEWS])
 def test_against_sql(spark, sf, name):
     import duckdb
 

@@ -56,9 +56,9 @@ def doublet_pairs(modules: DataFrame, high: float = 0.3, low: float = 0.15) -> D
 
 
 def doublet_cells(modules: DataFrame, pairs: DataFrame, threshold: float, max_overlap: float, max_diff: float) -> DataFrame:
-    """Cells above the threshold for both modules of a pair that rarely overlaps."""
-    ok = pairs.where((F.col("frac_high") < max_overlap) & (F.col("frac_diff") < max_diff)).select("m1", "m2")
-    on = modules.where(F.col("v") > threshold).select("cell", "module")
+    """Cells at the threshold or above for both modules of a pair that rarely overlaps."""
+    ok = pairs.where((F.col("frac_high") <= max_overlap) & (F.col("frac_diff") <= max_diff)).select("m1", "m2")
+    on = modules.where(F.col("v") >= threshold).select("cell", "module")
     a, b = on.withColumnRenamed("module", "m1"), on.withColumnRenamed("module", "m2")
     return a.join(b, "cell").join(ok, ["m1", "m2"], "left_semi").select("cell").distinct()
 

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trellis.functions import expr as X
-from trellis.operators import along_tree, batch, curves, expression, markers, neighbors, pseudotime, tree
+from trellis.operators import along_tree, batch, curves, expression, markers, neighbors, pseudotime, tree, views
 from trellis.plans import fixtures as fx
 from trellis.plans.fixtures import SQL, created_sql
 from trellis.plans.scratch import Scratch
@@ -186,7 +186,7 @@ def doublet_module_pairs(spark, sf_dir):
     return expression.doublet_pairs(_modules(spark, sf_dir), 0.2, 0.1)
 
 
-@query(f"with {PAIRS}, k as (select m1, m2 from pr where fh < 0.15 and round_even(fl - fh, 4) < 0.3) select distinct a.cell from c1 a join c1 b on a.cell = b.cell join k on k.m1 = a.gene and k.m2 = b.gene where a.value > 0.25 and b.value > 0.25")
+@query(f"with {PAIRS}, k as (select m1, m2 from pr where fh <= 0.15 and round_even(fl - fh, 4) <= 0.3) select distinct a.cell from c1 a join c1 b on a.cell = b.cell join k on k.m1 = a.gene and k.m2 = b.gene where a.value >= 0.25 and b.value >= 0.25")
 def doublet_cells(spark, sf_dir):
     m = _modules(spark, sf_dir)
     return expression.doublet_cells(m, expression.doublet_pairs(m, 0.2, 0.1), 0.25, 0.15, 0.3)
@@ -739,3 +739,138 @@ def cluster_de(spark, sf_dir):
     c, groups = _created(spark, sf_dir), _segments(spark, sf_dir)
     means = c.expr.join(groups, "cell").groupBy("grp", "gene").agg(F.sum("value").alias("s")).join(expression.group_sizes(groups), "grp").select("grp", "gene", (F.col("s") / F.col("n")).alias("m"))
     return markers.cluster_de(c.expr, c.counts, groups.join(c.cells, "cell", "left_semi"), means, effect=0.0, p_max=1.0)[0]
+
+
+# data of plots -----------------------------------------------------------------------------------------
+
+
+@query(f"with {XYZ} select cell, round(x, 6) x, round(y, 6) y, case when label <> 0 then label::varchar end as grp from p")
+def labelled_points(spark, sf_dir):
+    p = _points(spark, sf_dir)
+    return views.labelled(p.select("cell", _r("x").alias("x"), _r("y").alias("y")), p.where("grp <> '0'").select("cell", "grp"))
+
+
+@query(f"""with {XYZ}, e as (select vec_id a, vec_id * 7 % (select count(*) from embeddings) b, vec_id % 5 + 1.0 w from embeddings)
+select a, b, round(p.x, 6) x1, round(p.y, 6) y1, round(q.x, 6) x2, round(q.y, 6) y2, round(w / (select max(w) from e) * 0.4, 6) alpha from e join p on p.cell = a join p q on q.cell = b""")
+def drawn_edges(spark, sf_dir):
+    p = _points(spark, sf_dir)
+    n = p.agg(F.count("*").alias("n"))
+    e = p.crossJoin(n).select(F.col("cell").alias("a"), (F.col("cell") * 7 % F.col("n")).alias("b"), (F.col("cell") % 5 + 1.0).alias("w"))
+    return views.drawn_edges(p, e, 0.4).select("a", "b", *[_r(c).alias(c) for c in ("x1", "y1", "x2", "y2", "alpha")])
+
+
+@query(f"""with {XYZ}, m as (select quantile_cont(x, 0.975) filter (x > 0) mx, quantile_cont(y, 0.975) filter (y > 0) my from p)
+select cell, round(least(greatest(x / mx, 0), 1), 6) red, round(least(greatest(y / my, 0), 1), 6) green from p, m""")
+def two_colors(spark, sf_dir):
+    p = _points(spark, sf_dir).select("cell", F.col("x").alias("red"), F.col("y").alias("green"))
+    return views.two_colors(p).select("cell", _r("red").alias("red"), _r("green").alias("green"))
+
+
+@query("select vec_id cell, a::int dim_x, b::int dim_y, round(embedding[a]::double, 6) x, round(embedding[b]::double, 6) y from embeddings, (values (1, 2), (3, 4), (5, 1)) t(a, b)")
+def dimension_pairs(spark, sf_dir):
+    out = views.dimension_pairs(fx.vectors(spark, sf_dir), [(1, 2), (3, 4), (5, 1)])
+    return out.withColumns({"x": _r("x"), "y": _r("y")})
+
+
+@query(f"with {XYZ} select label::varchar as grp, count(*) n from (select label from p order by sqrt((x - 0.1) * (x - 0.1) + (y + 0.05) * (y + 0.05)), cell limit 40) group by 1")
+def groups_near(spark, sf_dir):
+    return views.groups_near(_points(spark, sf_dir), 0.1, -0.05, 40)
+
+
+@query(f"with {XYZ} select cell, label::varchar as grp, l as label, round(v, 6) as value from (select cell, label, 'x' l, x v from p union all select cell, label, 'y', y from p)")
+def labels_by_group(spark, sf_dir):
+    p = _points(spark, sf_dir)
+    return views.by_group(p.select("cell", "x", "y"), ["x", "y"], p.select("cell", "grp")).withColumn("value", _r("value"))
+
+
+@query("""with v as (select c_mktsegment grp, c_acctbal::double v from customer), r as (select min(v) lo, max(v) hi from v), b as (select grp, least(floor((v - lo) / (hi - lo) * 20), 19)::int bin, lo, hi from v, r)
+select grp, bin, round(lo + (bin + 0.5) * (hi - lo) / 20, 6) as at, count(*) n, round(count(*) / sum(count(*)) over (partition by grp), 6) share from b group by grp, bin, lo, hi""")
+def group_histograms(spark, sf_dir):
+    v = fx.load(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("grp"), F.col("c_acctbal").cast("double").alias("value"))
+    return views.group_histograms(v, 20).withColumns({"at": _r("at"), "share": _r("share")})
+
+
+#: Published rules of binned kernel density estimates: linear binning, a bell cut at 3.4 bandwidths.
+GRID = f"""{XYZ}, q as (select x, y from p where x > 0 or y > 0), hw as (select count(*) n, min(x) ax, max(x) bx, min(y) ay, max(y) by_, (quantile_cont(x, 0.95) - quantile_cont(x, 0.05)) / 30 hx, (quantile_cont(y, 0.95) - quantile_cont(y, 0.05)) / 30 hy from q),
+sz as (select n, hx, hy, ax - 1.5 * hx lx, ay - 1.5 * hy ly, (bx - ax + 3 * hx) / 31 dx, (by_ - ay + 3 * hy) / 31 dy from hw), u as (select (x - lx) / dx ux, (y - ly) / dy uy from q, sz),
+g as (select (floor(ux) + a)::int i, (floor(uy) + b)::int j, sum((case a when 1 then ux - floor(ux) else 1 - ux + floor(ux) end) * (case b when 1 then uy - floor(uy) else 1 - uy + floor(uy) end)) w from u, range(0, 2) r(a), range(0, 2) s(b) group by 1, 2),
+kx as (select k, exp(-(k * dx / hx) * (k * dx / hx) / 2) e, dx d from sz, range(-31, 32) r(k) where abs(k) <= floor(3.4 * hx / dx)), ky as (select k, exp(-(k * dy / hy) * (k * dy / hy) / 2) e, dy d from sz, range(-31, 32) r(k) where abs(k) <= floor(3.4 * hy / dy)),
+fx as (select i + k i, j, sum(w * e / ((select sum(e) from kx) * d)) w from g, kx group by 1, 2), fy as (select i, j + k j, sum(w * e / ((select sum(e) from ky) * d)) w from fx, ky group by 1, 2)"""
+
+
+@query(f"with {GRID} select i::int i, j::int j, round(lx + i * dx, 6) x, round(ly + j * dy, 6) y, round(power(w / n, 0.25), 5) density from fy, sz where i between 0 and 31 and j between 0 and 31")
+def density_grid(spark, sf_dir):
+    out = views.density_grid(_points(spark, sf_dir), bins=32)
+    return out.select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), _r("x").alias("x"), _r("y").alias("y"), _r("density", 5).alias("density"))
+
+
+@query(f"""with {NODES}, la as (select segment, arg_max(node, k) a from nd group by 1), jn as (select * from (values ('view', 'click'), ('view', 'purchase'), ('click', 'cart')) t(parent, child)),
+e as (select node a, b from (select node, lead(node) over (partition by segment order by k) b from nd) where b is not null union all select a, node b from jn join la on la.segment = parent join nd on nd.segment = child and k = 1),
+m as (select segment || '-' || k b, log2(avg(power(2, pt) - 1) + 1) v from ng group by 1) select a, b, round(v, 6) as value from e join m using (b)""")
+def tree_values(spark, sf_dir):
+    cells, summary = _nodes(spark, sf_dir)
+    joins = spark.createDataFrame([("view", "click"), ("view", "purchase"), ("click", "cart")], "parent string, child string")
+    v = _pt(spark, sf_dir).select("cell", F.col("pseudotime").alias("value"))
+    return views.tree_values(v, cells.select("cell", "node"), tree.node_edges(summary, joins).select("a", "b")).withColumn("value", _r("value"))
+
+
+@query("select case when min(c_acctbal) < 0 then -greatest(abs(min(c_acctbal)), abs(max(c_acctbal))) else min(c_acctbal) end::double low, case when min(c_acctbal) < 0 then greatest(abs(min(c_acctbal)), abs(max(c_acctbal))) else max(c_acctbal) end::double high from customer")
+def color_limits(spark, sf_dir):
+    return views.color_limits(fx.load(spark, sf_dir, "customer").select(F.col("c_acctbal").cast("double").alias("value")))
+
+
+@query(f"with {PAIRS} select m1, m2, fh frac_high, round_even(fl - fh, 4) frac_diff, fh <= 0.15 and round_even(fl - fh, 4) <= 0.3 chosen, m1 in ('1', '5', '9') and m2 in ('1', '5', '9') highlighted from pr")
+def module_thresholds(spark, sf_dir):
+    return views.pair_thresholds(expression.doublet_pairs(_modules(spark, sf_dir), 0.2, 0.1), 0.15, 0.3, ["1", "5", "9"])
+
+
+@query(f"""with {SQL['e1']}, k as (select vec_id cell, m1, m2 from embeddings, (values ('1', '5'), ('5', '9')) t(m1, m2) where vec_id % 3 = 0)
+select k.cell, m1, m2, round(coalesce(a.value, 0), 6) v1, round(coalesce(b.value, 0), 6) v2 from k left join c1 a on a.cell = k.cell and a.gene = m1 left join c1 b on b.cell = k.cell and b.gene = m2 where a.value is not null or b.value is not null""")
+def module_pair_values(spark, sf_dir):
+    pairs = spark.createDataFrame([("1", "5"), ("5", "9")], "m1 string, m2 string")
+    out = views.pair_values(_modules(spark, sf_dir), fx.vectors(spark, sf_dir).where("cell % 3 = 0").select("cell"), pairs)
+    return out.withColumns({"v1": _r("v1"), "v2": _r("v2")})
+
+
+TIMING = "tm as (select p_partkey gene, case when p_partkey % 5 > 0 then p_partkey % 7 / 10.0 end::double time_on, case when p_partkey % 3 > 0 then p_partkey % 11 / 10.0 else 'inf'::double end::double time_off from part)"
+
+
+@query(f"with {TIMING} select gene, time_on, time_off, row_number() over (order by case when time_on is null and isinf(time_off) then 'inf'::double else time_on end nulls first, time_off, gene)::int as row from tm")
+def heatmap_rows(spark, sf_dir):
+    k = F.col("p_partkey")
+    t = fx.load(spark, sf_dir, "part").select(k.alias("gene"), F.when(k % 5 > 0, k % 7 / 10).alias("time_on"), F.when(k % 3 > 0, k % 11 / 10).otherwise(float("inf")).alias("time_off"))
+    return views.heatmap_rows(t)
+
+
+@query("with w as (select n_nationkey as window, (n_nationkey * n_nationkey / 600.0)::double pt from nation), h as (select t, min(w.window) as window from w, range(0, 11) r(t) where pt >= t / 10 group by 1) select h.window, max(t / 10) mark from h group by 1")
+def time_marks(spark, sf_dir):
+    k = F.col("n_nationkey")
+    w = fx.load(spark, sf_dir, "nation").select(k.alias("window"), (k * k / 600).alias("pt"))
+    return views.time_marks(w, [i / 10 for i in range(11)])
+
+
+HOURS = f"{VISITS}, wn as (select distinct cell, s::int as window from w1, range(0, 24) r(s) where split_part(cell, '-', 2)::int between s and s + 2), iv as (select cell, wn.window, coalesce(max(v) filter (segment = 's0'), 0) v1, coalesce(max(v) filter (segment = 's1'), 0) v2 from wn join vs using (cell) where segment in ('s0', 's1') group by 1, 2)"
+
+
+def _hours(spark, sf_dir):
+    """Windows of three hours over the cells of walks."""
+    hour = X.cut_string("cell", "-", 2).cast("int")
+    starts = F.filter(F.sequence(hour - 2, hour), lambda s: s >= 0)
+    return fx.walks(spark, sf_dir).select("cell").distinct().select("cell", F.explode(starts).alias("window"))
+
+
+@query(f"with {HOURS} select cell, iv.window, 's0' segment, v1 v from iv union all select cell, iv.window, 's1', v2 from iv")
+def window_visits(spark, sf_dir):
+    return views.window_visits(_visits(spark, sf_dir), _hours(spark, sf_dir), "s0", "s1")
+
+
+@query(f"with {HOURS} select cell, iv.window, round((v1 - v2) / (v1 + v2), 6) preference from iv")
+def window_preferences(spark, sf_dir):
+    return views.window_preferences(_visits(spark, sf_dir), _hours(spark, sf_dir), "s0", "s1").withColumn("preference", _r("preference"))
+
+
+@query(f"""with {XYZ}, r as (select min(abs(x)) lo, (max(abs(x)) - min(abs(x))) * 2 / 9 + min(abs(x)) fr, median(sqrt(abs(y) + 1)) m from p)
+select cell, round((0.8 - 0.7 * greatest((fr - abs(x) + lo) / fr, 0)) * sqrt(abs(y) + 1) / m, 6) alpha from p, r""")
+def faded_points(spark, sf_dir):
+    p = _points(spark, sf_dir).select("cell", F.col("x").alias("value"), (F.abs("y") + 1).alias("n_dist"))
+    return views.thinned(views.faded(p)).select("cell", _r("alpha").alias("alpha"))
