@@ -145,7 +145,53 @@ def test_special_functions():
 def test_impulse_and_lowess():
     x = np.linspace(0, 1, 40)
     r = curves.impulse(x, 1 / (1 + np.exp(-25 * (x - 0.4))))
-    assert r["type"] == 1 and abs(r["time_on"] - 0.4) < 0.05 and r["time_off"] == math.inf
+    half = math.log((2 + math.sqrt(2)) / (2 - math.sqrt(2))) / 25  # before its middle a logistic has half the slope
+    assert r["type"] == 1 and abs(r["time_on"] - 0.4 + half) < 0.01 and r["time_off"] == math.inf
+    r = curves.impulse(x, 1 / (1 + np.exp(25 * (x - 0.4))))
+    assert r["type"] == 1 and abs(r["time_off"] - 0.4 + half) < 0.01 and r["time_on"] == -math.inf
+    r = curves.impulse(x, 1 / (1 + np.exp(-30 * (x - 0.3))) / (1 + np.exp(30 * (x - 0.7))))
+    assert r["type"] == 2 and abs(r["time_on"] - 0.24) < 0.03 and abs(r["time_off"] - 0.64) < 0.03
+    r = curves.impulse(x, 0.2 + 0.5 * x)
+    assert r["type"] == 0 and abs(r["time_on"] + 0.4) < 1e-6
+    assert curves.impulse(x, np.zeros(40))["time_off"] == math.inf
+
+
+def test_fits_keep_their_bounds():
+    x = np.linspace(0, 1, 30)
+    p, _ = curves.fit_curve(curves._single, x, 5 * x, [(-1.0, 0.0, 1.0, 0.5)], (-20, -1, -1, 0), (20, 2, 2, 1))
+    assert (p >= [-20, -1, -1, 0]).all() and (p <= [20, 2, 2, 1]).all()
+
+
+def test_spline_is_the_best_of_all_penalties():
+    rng = np.random.default_rng(4)
+    x = np.round(np.sort(rng.random(40)), 1 + 1)
+    y = np.sin(6 * x) + rng.normal(0, 0.2, 40)
+    u, fit = curves.smoothing_spline(x, y)
+    n, knots = len(u), np.diff(u)
+    # brute force: the penalty is the integral of the squared second derivative of the natural spline through f
+    second = np.zeros((n, n))
+    a = np.eye(n)
+    for j in range(1, n - 1):
+        a[j, j - 1 : j + 2] = knots[j - 1] / 6, (knots[j - 1] + knots[j]) / 3, knots[j] / 6
+        second[j, j - 1 : j + 2] = 1 / knots[j - 1], -1 / knots[j - 1] - 1 / knots[j], 1 / knots[j]
+    m = np.linalg.solve(a, second)
+    gram = np.zeros((n, n))
+    for j in range(n - 1):
+        gram[j : j + 2, j : j + 2] += knots[j] / 6 * np.array([[2, 1], [1, 2]])
+    k = m.T @ gram @ m
+    b = (x[:, None] == u[None, :]).astype(float)
+    best = None
+    for lam in np.exp(np.linspace(-18, 2, 2000)):
+        hat = b @ np.linalg.solve(b.T @ b + lam * k, b.T)
+        gcv = ((y - hat @ y) ** 2).sum() / (1 - np.trace(hat) / len(x)) ** 2
+        if best is None or gcv < best[0]:
+            best = gcv, np.linalg.solve(b.T @ b + lam * k, b.T @ y)
+    assert np.abs(fit - best[1]).max() < 5e-3
+    assert np.abs(curves.smoothing_spline(x, 2 * x + 1)[1] - (2 * u + 1)).max() < 1e-6
+
+
+def test_lowess():
+    x = np.linspace(0, 1, 40)
     assert np.abs(curves.lowess(x, 2 * x + 1) - (2 * x + 1)).max() < 1e-9
 
 

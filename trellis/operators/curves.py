@@ -47,13 +47,50 @@ def lowess(x: np.ndarray, y: np.ndarray, f: float = 2 / 3, rounds: int = 3) -> n
     return fit
 
 
-def smooth(means: DataFrame, f: float = 2 / 3) -> DataFrame:
-    """Adds ``fit`` and ``fit_scaled``; a gene's windows are one group."""
+def smoothing_spline(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Natural cubic smoothing spline at the different x, as smooth as generalised cross-validation asks.
+    Equal x are one point of their mean, weighted by their number."""
+    u, at, w = np.unique(x, return_inverse=True, return_counts=True)
+    mean = np.bincount(at, y) / w
+    n = len(u)
+    if n < 4:
+        return u, mean
+    h = np.diff(u)
+    q, r = np.zeros((n, n - 2)), np.zeros((n - 2, n - 2))
+    for j in range(n - 2):
+        q[j : j + 3, j] = 1 / h[j], -1 / h[j] - 1 / h[j + 1], 1 / h[j + 1]
+        r[j, j] = (h[j] + h[j + 1]) / 3
+        if j + 3 < n:
+            r[j, j + 1] = r[j + 1, j] = h[j + 1] / 6
+    root = np.sqrt(w)
+    d, vec = np.linalg.eigh((q @ np.linalg.solve(r, q.T)) / np.outer(root, root))
+    d, z, within = np.maximum(d, 0), vec.T @ (root * mean), float(((y - mean[at]) ** 2).sum())
+    d[:2] = 0  # a line costs nothing
+
+    def score(log_lam: float) -> float:
+        keep = 1 / (1 + np.exp(log_lam) * d)
+        return (float((((1 - keep) * z) ** 2).sum()) + within) / (1 - keep.sum() / len(x)) ** 2
+
+    tried = np.linspace(-np.log(d[-1]) - 7, -np.log(d[2]) + 7, 60)  # from hardly any smoothing to nearly a line
+    k = int(np.argmin([score(t) for t in tried]))
+    low, high = tried[max(k - 1, 0)], tried[min(k + 1, 59)]
+    for _ in range(40):
+        third = (high - low) / 3
+        low, high = (low, high - third) if score(low + third) < score(high - third) else (low + third, high)
+    return u, vec @ (z / (1 + np.exp((low + high) / 2) * d)) / root
+
+
+def smooth(means: DataFrame, f: float = 2 / 3, method: str = "lowess") -> DataFrame:
+    """Adds ``fit`` and ``fit_scaled``; a gene's windows are one group. A spline leaves one row for each
+    pseudotime, the one of the first window there."""
 
     def run(d: pd.DataFrame) -> pd.DataFrame:
-        d = d.sort_values("pt")
+        d = d.sort_values(["pt", "window"])
         x = d["pt"].to_numpy(float)
-        return d.assign(fit=lowess(x, d["mean"].to_numpy(float), f), fit_scaled=lowess(x, d["scaled"].to_numpy(float), f))
+        fit = [smoothing_spline(x, d[c].to_numpy(float))[1] if method == "spline" else lowess(x, d[c].to_numpy(float), f) for c in ("mean", "scaled")]
+        if method == "spline":
+            d = d.drop_duplicates("pt")
+        return d.assign(fit=fit[0], fit_scaled=fit[1])
 
     return means.groupBy("gene").applyInPandas(run, "gene string, window int, pt double, mean double, scaled double, fit double, fit_scaled double")
 
@@ -80,18 +117,29 @@ def _double(x, p):
     return _single(x, (b1, h0, h1, t1)) * _single(x, (b2, h2, h1, t2)) / (h1 if abs(h1) > 1e-9 else 1e-9)
 
 
-def fit_curve(f, x: np.ndarray, y: np.ndarray, starts: list, rounds: int = 100) -> tuple[np.ndarray, float]:
-    """Best of several Levenberg-Marquardt fits."""
-    best, least = np.array(starts[0], float), math.inf
+def _slope(x, p):
+    s = 1 / (1 + np.exp(np.clip(p[0] * (x - p[3]), -60, 60)))
+    return p[0] * (p[1] - p[2]) * s * (1 - s)
+
+
+def _slope_double(x, p):
+    b1, b2, h0, h1, h2, t1, t2 = p
+    up, down = (b1, h0, h1, t1), (b2, h2, h1, t2)
+    return (_slope(x, up) * _single(x, down) + _single(x, up) * _slope(x, down)) / (h1 if abs(h1) > 1e-9 else 1e-9)
+
+
+def fit_curve(f, x: np.ndarray, y: np.ndarray, starts: list, low=-math.inf, high=math.inf, rounds: int = 100) -> tuple[np.ndarray, float]:
+    """Best of several Levenberg-Marquardt fits whose parameters stay between ``low`` and ``high``."""
+    best, least = np.clip(np.array(starts[0], float), low, high), math.inf
     for p in starts:
-        p, lam = np.array(p, float), 1e-2
+        p, lam = np.clip(np.array(p, float), low, high), 1e-2
         r = f(x, p) - y
         sse = float(r @ r)
         for _ in range(rounds):
             j = np.stack([(f(x, p + e) - f(x, p - e)) / 2e-5 for e in np.eye(len(p)) * 1e-5], 1)
             a, g = j.T @ j, j.T @ r
             step = np.linalg.lstsq(a + lam * np.diag(np.diag(a) + 1e-9), -g, rcond=None)[0]
-            q = p + step
+            q = np.clip(p + step, low, high)
             r2 = f(x, q) - y
             s2 = float(r2 @ r2)
             if s2 < sse:
@@ -108,37 +156,78 @@ def fit_curve(f, x: np.ndarray, y: np.ndarray, starts: list, rounds: int = 100)
     return best, least
 
 
-def impulse(x: np.ndarray, y: np.ndarray, starts: int = 8, seed: int = 1) -> dict:
-    """Line, one step or a pulse, whichever leaves the least error; times of half rise and half fall."""
+def _turns(dy: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.diff(dy >= 0))
+
+
+def is_pulse(y: np.ndarray, dy: np.ndarray, min_slope: float = 0.1) -> bool:
+    """Whether a curve rises and falls: steeply enough, and by enough of its range (a quarter between two
+    turning points, a tenth on both sides of a lone one)."""
+    felt = np.where(np.abs(dy) < min_slope, 0, dy)
+    if (felt >= 0).all() or (felt <= 0).all():
+        return False
+    at, span = _turns(dy), float(np.ptp(y))
+    if len(at) > 1:
+        return bool((np.abs(np.diff(y[at])) >= 0.25 * span).all())
+    return len(at) == 0 or bool((np.abs(np.diff(y[[0, at[0], -1]])) >= 0.1 * span).all())
+
+
+def rises_and_falls(x: np.ndarray, y: np.ndarray, dy: np.ndarray) -> tuple[list[float], list[float]]:
+    """Where each rise and each fall has reached half of its steepest slope. What lies before the first
+    turning point and after the last counts if it covers more than a quarter of the range."""
+    at, on, off = _turns(dy), [], []
+    cuts = [0, *(at + 1), len(x)]
+    for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+        outer = k in (0, len(at))
+        if len(at) and (hi - lo < (2 if k == 0 else 3) or outer and np.ptp(y[lo:hi]) <= 0.25 * np.ptp(y)):
+            continue
+        steep = lo + int(np.argmax(np.abs(dy[lo:hi])))
+        half = lo + int(np.argmin(np.abs(dy[lo : steep + 1] - dy[steep] / 2)))
+        (on if dy[steep] > 0 else off).append(float(x[half]))
+    return on or [-math.inf], off or [math.inf]
+
+
+def impulse(x: np.ndarray, y: np.ndarray, starts: int = 8, seed: int = 1, pulse_only: bool = True, min_slope: float = 0.1) -> dict:
+    """Line (0), one step (1) or two (2), whichever leaves the least error; two steps that make no pulse
+    give way to the next best. Onsets and offsets are where a change has half of its steepest slope, for
+    a line where it meets zero; of several, ``time_on`` is the first and ``time_off`` the last."""
     rng = np.random.default_rng(seed)
     line = np.polyfit(x, y, 1) if len(x) > 1 else np.array([0.0, float(y[0])])
     sse = {0: float(((np.polyval(line, x) - y) ** 2).sum())}
-    lo, hi, span = float(y.min()), float(y.max()), max(float(np.ptp(x)), 1e-6)
-    draw = lambda: float(x.min() + span * rng.random())
+    lo, hi, first, last = (float(v) for v in (y.min(), y.max(), x.min(), x.max()))
+    span, reach = max(last - first, 1e-6), hi - lo
+    draw = lambda: first + span * float(rng.random())
+    inf = math.inf
     s1 = [(s * 10 / span, lo, hi, draw()) for _ in range(starts) for s in (-1, 1)]
-    one, sse[1] = fit_curve(_single, x, y, s1)
+    one, sse[1] = fit_curve(_single, x, y, s1, (-inf, lo - reach / 2, lo - reach / 2, first - 1), (inf, hi + reach / 2, hi + reach / 2, last + 1))
     s2 = [(-10 / span, 10 / span, float(y[0]), hi, float(y[-1]), *sorted((draw(), draw()))) for _ in range(starts)]
-    two, sse[2] = fit_curve(_double, x, y, s2)
-    peak = float(_double(x, two).max())
-    pulse = peak - float(y[0]) > 0.1 * (hi - lo) and peak - float(y[-1]) > 0.25 * (hi - lo)
-    kind = min((k for k in sse if k != 2 or pulse), key=lambda k: sse[k] * (1 + 0.05 * k))
-    on, off = (-math.inf, math.inf)
-    if kind == 1:
-        on, off = (float(one[3]), math.inf) if one[0] * (one[2] - one[1]) < 0 else (-math.inf, float(one[3]))
-    if kind == 2:
-        on, off = float(two[5]), float(two[6])
-    return {"type": kind, "time_on": on, "time_off": off, "sse": sse[kind]}
+    two, sse[2] = fit_curve(_double, x, y, s2, (-inf, -inf, *[lo - reach] * 3, first - 1, first - 1), (inf, inf, *[hi + reach] * 3, last + 1, last + 1))
+    grid = np.linspace(first, last, max(200, len(x)))
+    order = sorted(sse, key=sse.get)
+    kind = order[0]
+    if kind == 2 and pulse_only and not is_pulse(_double(grid, two), _slope_double(grid, two), min_slope):
+        kind = order[1]
+    on, off = [-inf], [inf]
+    if kind == 0 and line[0]:
+        on, off = ([float(-line[1] / line[0])], off) if line[0] > 0 else (on, [float(-line[1] / line[0])])
+    elif kind == 1:
+        level = np.array([2 - math.sqrt(2), 2 + math.sqrt(2)]) / 4 * (one[2] - one[1]) + one[1]  # where the slope is half the steepest
+        near = lambda v: [float(grid[np.argmin(np.abs(_single(grid, one) - v))])]
+        on, off = (near(level.min()), off) if _slope(one[3], one) > 0 else (on, near(level.max()))
+    elif kind == 2:
+        on, off = rises_and_falls(grid, _double(grid, two), _slope_double(grid, two))
+    return {"type": kind, "time_on": min(on), "time_off": max(off), "times_on": on, "times_off": off, "sse": sse[kind]}
 
 
 def cascade(means: DataFrame, starts: int = 8) -> DataFrame:
-    """(gene, type, time_on, time_off, sse), in order of onset and offset."""
+    """(gene, type, time_on, time_off, times_on, times_off, sse), in order of onset and offset."""
 
     def run(d: pd.DataFrame) -> pd.DataFrame:
         d = d.sort_values("pt")
         r = impulse(d["pt"].to_numpy(float), d["scaled"].to_numpy(float), starts)
         return pd.DataFrame({"gene": [d["gene"].iloc[0]], **{k: [v] for k, v in r.items()}})
 
-    return means.groupBy("gene").applyInPandas(run, "gene string, type int, time_on double, time_off double, sse double").orderBy("time_on", "time_off", "gene")
+    return means.groupBy("gene").applyInPandas(run, "gene string, type int, time_on double, time_off double, times_on array<double>, times_off array<double>, sse double").orderBy("time_on", "time_off", "gene")
 
 
 # coordinates ----------------------------------------------------------------------------------

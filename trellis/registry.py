@@ -398,6 +398,17 @@ def smoothed_expression(spark, sf_dir):
     return curves.smooth(_window_means(spark, sf_dir))
 
 
+@query()
+def spline_expression(spark, sf_dir):
+    return curves.smooth(_window_means(spark, sf_dir), method="spline")
+
+
+@query()
+def fit_points(spark, sf_dir):
+    means = _window_means(spark, sf_dir)
+    return views.fit_points({"lowess": curves.smooth(means), "spline": curves.smooth(means, method="spline")}, ["1", "5"], scaled=True)
+
+
 @query()
 def impulse_cascade(spark, sf_dir):
     return curves.cascade(_window_means(spark, sf_dir), starts=3)
