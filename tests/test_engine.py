@@ -1,6 +1,7 @@
 import glob
 import math
 import os
+import uuid
 
 import numpy as np
 import pytest
@@ -17,13 +18,17 @@ from trellis.sources import ingest
 VIEWS = ["labelled_points", "drawn_edges", "two_colors", "dimension_pairs", "groups_near", "labels_by_group", "group_histograms", "density_grid", "tree_values", "color_limits", "module_thresholds", "module_pair_values", "heatmap_rows", "time_marks", "window_visits", "window_preferences", "faded_points"]
 
 
+def scratch(spark):
+    return Scratch(spark, f"test-{uuid.uuid4().hex}")
+
+
 def _norm(v):
     if v is None or v != v:
         return "~"
     return f"{v:.8g}" if isinstance(v, float) or type(v).__name__ == "Decimal" else str(v)
 
 
-@pytest.mark.parametrize("name", ["create_filter_normalize", "markers_auc_pr", "knn_exact", "jaccard_edges", "doublet_module_pairs", "walk_visits_prefix", "weighted_edges", "segment_parents_all", "near_equal_nodes", "moving_windows", "holm_adjust", "decode_barcode", "read_knee_curve", "impulse_derivatives", "inverse_curves", "scalar_math", "comparisons_along_tree", "collapsed_segments", "without_only_children", "tree_nodes", "edges_of_cells", "layout_density", "tip_labels", "tip_cells", "modules_in_cells", "batch_corrected", "doublet_cells", *VIEWS])
+@pytest.mark.parametrize("name", ["create_filter_normalize", "markers_auc_pr", "knn_exact", "jaccard_edges", "doublet_module_pairs", "walk_visits_prefix", "weighted_edges", "segment_parents_all", "near_equal_nodes", "moving_windows", "holm_adjust", "decode_barcode", "read_knee_curve", "impulse_derivatives", "inverse_curves", "scalar_math", "comparisons_along_tree", "collapsed_segments", "without_only_children", "tree_nodes", "edges_of_cells", "layout_density", "tip_labels", "tip_cells", "modules_in_cells", "batch_corrected", "doublet_cells", "markers_binomial", "welch_statistics", "binom_along_tree", "aucpr_along_tree", "modules_along_tree", "aucpr_by_factor", "cluster_de", "flood_chances", "bh_adjust", "logistic_params", "stability_total_change", "tip_potential", "cluster_quality", "force_edges", "force_graph", "neighbor_times", *VIEWS])
 def test_against_sql(spark, sf, name):
     import duckdb
 
@@ -56,8 +61,10 @@ def test_small_expressions(spark):
 
 def test_adjustments(spark):
     p = spark.createDataFrame([(0.01,), (0.04,), (0.03,)], "p double")
-    assert [round(r.p_adj, 6) for r in markers.adjust_holm(p, "p").orderBy("p").collect()] == [0.03, 0.06, 0.06]
-    assert [round(r.p_adj, 6) for r in markers.adjust_bh(p, "p").orderBy("p").collect()] == [0.03, 0.04, 0.04]
+    assert [round(r.p_adj, 6) for r in markers.adjust_holm(p, "p", scratch=scratch(spark)).orderBy("p").collect()] == [0.03, 0.06, 0.06]
+    assert [round(r.p_adj, 6) for r in markers.adjust_bh(p, "p", scratch=scratch(spark)).orderBy("p").collect()] == [0.03, 0.04, 0.04]
+    q = p.withColumn("k", F.lit(1))
+    assert [round(r.p_adj, 6) for r in markers.adjust_holm(q, "p", ["k"]).orderBy("p").collect()] == [0.03, 0.06, 0.06]
 
 
 def test_area(spark):
@@ -121,7 +128,7 @@ def test_along_tree(spark):
     assert set(both) == {"tip", "way", "sib"} and both["sib"]["segment_max"] == "t-s" and both["sib"]["log_effect_max"] < 0
     dense = segment.select("cell").crossJoin(spark.createDataFrame([("tip",), ("sib",), ("way",)], "name string")).join(expr.toDF("name", "cell", "x"), ["name", "cell"], "left")
     values = dense.select("name", "cell", (F.coalesce("x", F.lit(0.0)) + F.pmod(F.xxhash64("cell"), F.lit(10)) / 100 + 0.2).alias("v"))
-    states = along_tree.modules(values, c, Scratch(spark, "along-m"), effect=0.3)
+    states = along_tree.modules(values, segment.select("cell"), c, Scratch(spark, "along-m"), effect=0.3)
     assert {(r["name"], r["state"]) for r in states.collect()} == {("tip", "up"), ("way", "up"), ("sib", "up"), ("sib", "down")}
     members = spark.createDataFrame([("tip", "g1"), ("sib", "g2"), ("way", "g2"), ("way", "g3")], "name string, gene string")
     assert {r["gene"] for r in along_tree.module_genes(states, members).collect()} == {"g1", "g3"}
@@ -156,6 +163,43 @@ def test_impulse_and_lowess():
     assert curves.impulse(x, np.zeros(40))["time_off"] == math.inf
 
 
+@pytest.mark.parametrize("low, high, found", [(0.0, 0.0, True), (0.85, 0.0, True), (0.95, 0.0, False), (0.0, 0.95, False)])
+def test_pulses_stand_out_at_both_ends(low, high, found):
+    """A planted curve that rises from one level to one and falls to another."""
+    p = (-30.0, 30.0, low, 1.0, high, 0.3, 0.7)
+    assert curves.is_pulse(lambda v: curves._double(v, p), lambda v: curves._slope_double(v, p), 0.0, 1.0) is found
+
+
+def test_monotone_and_flat_curves_are_no_pulses():
+    up = (-20.0, 0.0, 1.0, 0.5)
+    assert not curves.is_pulse(lambda v: curves._single(v, up), lambda v: curves._slope(v, up), 0.0, 1.0)
+    assert not curves.is_pulse(lambda v: 0.0, lambda v: 0.0, 0.0, 1.0)
+    # turning points are found to rounding, and the half slope is solved for on each piece
+    cuts = curves.monotone_pieces(math.cos, 0.0, 7.0)
+    assert np.allclose([c[1] for c in cuts], [math.pi / 2, 3 * math.pi / 2, 7.0])
+    on, off = curves.change_times(math.sin, math.cos, -math.pi / 2, 3 * math.pi / 2)
+    assert np.allclose(on, [-math.pi / 3], atol=1e-3) and np.allclose(off, [2 * math.pi / 3], atol=1e-3)
+    # an end that covers little of the range counts for nothing
+    on, off = curves.change_times(math.sin, math.cos, -0.2, math.pi / 2 + 0.3)
+    assert off == [math.inf] and len(on) == 1
+
+
+def test_binomial_test_counts_all_genes_and_has_infinite_effects(spark):
+    cells = [(f"a{i}", 1) for i in range(20)] + [(f"b{i}", 2) for i in range(20)]
+    sides = spark.createDataFrame([("x", c, s) for c, s in cells], "cmp string, cell string, side int")
+    rows = [("only", f"a{i}") for i in range(10)] + [("both", c) for c, _ in cells[::2]] + [("elsewhere", "z")]
+    expr = spark.createDataFrame([(g, c, 1.0) for g, c in rows], "gene string, cell string, value double")
+    counts = expr.withColumnRenamed("value", "count")
+    got = {r.gene: r for r in markers.markers_binom(expr, counts, sides, effect=0.5, p_max=1.0).collect()}
+    tail = sum(math.comb(20, j) * 0.05**j * 0.95 ** (20 - j) for j in range(10, 21))
+    # three genes are tested, though one of them no cell of either side expresses
+    assert set(got) == {"only"} and got["only"].log_effect == math.inf and abs(got["only"].p_adj - 3 * tail) < 1e-12
+    assert (got["only"].frac_1, got["only"].frac_2, got["only"].trans_1) == (0.5, 0.0, 0.5)
+    flipped = sides.withColumn("side", 3 - F.col("side"))
+    assert {r.gene: r.log_effect for r in markers.markers_binom(expr, counts, flipped, effect=0.5, p_max=1.0).collect()} == {"only": -math.inf}
+    assert markers.markers_binom(expr, counts, flipped, effect=0.5, p_max=1.0, either=False).count() == 0  # the rest alone expresses it
+
+
 def test_fits_keep_their_bounds():
     x = np.linspace(0, 1, 30)
     p, _ = curves.fit_curve(curves._single, x, 5 * x, [(-1.0, 0.0, 1.0, 0.5)], (-20, -1, -1, 0), (20, 2, 2, 1))
@@ -204,17 +248,6 @@ def test_readers(spark, tmp_path):
     assert {tuple(r) for r in ingest.read_sparse(spark, str(tmp_path)).collect()} == {("A", "AC", 7.0), ("A", "GT", 7.0)}
 
 
-def test_walks_end_in_roots_and_repeat(spark):
-    e = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("c", "b", 1.0), ("b", "a", 1.0)], "i string, j string, w double")
-    tips = spark.createDataFrame([("t", "c")], "tip string, cell string")
-    one, two = (sorted(map(tuple, pseudotime.random_walks(e, tips, ["a"], 20).collect())) for _ in range(2))
-    assert one == two and {w[1] for w in one} == set(range(20))
-    last = {}
-    for _, walk, _, cell in one:
-        last[walk] = cell
-    assert set(last.values()) == {"a"}
-
-
 def test_flood_reaches_all_with_sure_edges(spark):
     from trellis.plans.scratch import Scratch
 
@@ -223,12 +256,6 @@ def test_flood_reaches_all_with_sure_edges(spark):
     assert {(r.cell, r.step) for r in f.collect() if r.cell < 5} == {(i, i) for i in range(5)}
 
 
-def test_clusters_of_two_cliques(spark):
-    rows = [(a, b, 1.0) for g in (range(5), range(5, 9)) for a in g for b in g if a < b] + [(0, 5, 0.1)]
-    c = {r.cell: r.cluster for r in neighbors.louvain(spark.createDataFrame(rows, "a int, b int, w double")).collect()}
-    assert len({c[i] for i in range(5)}) == 1 and len({c[i] for i in range(5, 9)}) == 1 and c[0] == 1 and c[5] == 2
-
-
 def test_tree_is_built(spark):
     from trellis.plans.scratch import Scratch
 

@@ -77,7 +77,8 @@ def binom(expr: DataFrame, counts: DataFrame, compared: DataFrame, scratch, effe
     compared = scratch.table(_named(compared), "compared")
     sides = compared.select("cmp", "cell", "side")
     names = compared.select("cmp", "segment", "depth").distinct()
-    tested = scratch.table(markers.markers_binom(expr, counts, sides, effect, p_max, min_frac), "tested")
+    genes = expr.select("gene").distinct()
+    tested = scratch.table(markers.markers_binom(expr, counts, sides, effect, p_max, min_frac, genes=genes), "tested")
     kept = scratch.table(_chain(tested, tested.where("log_effect < 0"), names, must_beat), "kept")
     options = (effect, p_max, min_frac) if only_global else (0.0, 1.0, 0.0)
     remain = kept.select("gene").distinct()
@@ -85,10 +86,11 @@ def binom(expr: DataFrame, counts: DataFrame, compared: DataFrame, scratch, effe
     return _summary(kept, every, "log_effect")
 
 
-def modules(values: DataFrame, compared: DataFrame, scratch, effect: float = 0.6931471805599453, p_max: float = 0.01, least: float = 0.1, beat_all: bool = True) -> DataFrame:
+def modules(values: DataFrame, cells: DataFrame, compared: DataFrame, scratch, effect: float = 0.6931471805599453, p_max: float = 0.01, least: float = 0.1, beat_all: bool = True) -> DataFrame:
     """(name, state) of (name, cell, v): "up" where a segment on the way beats all its siblings (any, if
-    not ``beat_all``), "down" where some comparison shows it lower, on either side with enough of it."""
-    compared = scratch.table(_named(compared), "compared")
+    not ``beat_all``), "down" where some comparison shows it lower, on either side with enough of it. Only
+    ``cells`` that have data are compared; those without a row of a name are zeros."""
+    compared = scratch.table(_named(compared.join(cells.select("cell"), "cell", "left_semi")), "compared")
     names = compared.select("cmp", "segment").distinct()
     tested = scratch.table(markers.welch(values, compared.select("cmp", "cell", "side"), p_max, effect), "tested")
     up = tested.where((F.col("log_fc") > 0) & (F.col("m1") >= least)).join(names, "cmp")

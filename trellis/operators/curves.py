@@ -156,67 +156,98 @@ def fit_curve(f, x: np.ndarray, y: np.ndarray, starts: list, low=-math.inf, high
     return best, least
 
 
-def _turns(dy: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.diff(dy >= 0))
-
-
-def is_pulse(y: np.ndarray, dy: np.ndarray, min_slope: float = 0.1) -> bool:
-    """Whether a curve rises and falls: steeply enough, and by enough of its range (a quarter between two
-    turning points, a tenth on both sides of a lone one)."""
-    felt = np.where(np.abs(dy) < min_slope, 0, dy)
-    if (felt >= 0).all() or (felt <= 0).all():
+def _root(f, lo: float, hi: float) -> float:
+    """Where ``f``, of unlike signs at both ends, is zero: by halving."""
+    below = f(lo) < 0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if (f(mid) < 0) == below else (lo, mid)
+    return (lo + hi) / 2
+
+
+def monotone_pieces(slope, first: float, last: float, probes: int = 512) -> list[tuple[float, float]]:
+    """The stretches between the zeros of a slope, and the ends."""
+    x = np.linspace(first, last, probes)
+    d = np.array([float(slope(v)) for v in x])
+    sign = np.sign(d)
+    known = np.flatnonzero(sign)
+    turns = [(x[i], x[j]) for i, j in zip(known, known[1:]) if sign[i] != sign[j]]
+    ends = [first, *(_root(slope, i, j) for i, j in turns), last]
+    return list(zip(ends, ends[1:]))
+
+
+def _steepest(slope, start: float, end: float, probes: int = 128) -> tuple[float, float]:
+    """(place, slope) where a monotone piece is steepest."""
+    x = np.linspace(start, end, probes)
+    d = np.array([float(slope(v)) for v in x])
+    k = int(np.abs(d).argmax())
+    return float(x[k]), float(d[k])
+
+
+def is_pulse(value, slope, first: float, last: float, min_slope: float = 0.1) -> bool:
+    """Whether a curve rises and falls, or falls and rises: steeply enough both ways, and with turning points
+    that stand out. One stands out by what it differs from the next turning point, of which a quarter
+    of the curve's range is asked, and from an end, of which a tenth is."""
+    cut = monotone_pieces(slope, first, last)
+    steep = [_steepest(slope, *c)[1] for c in cut]
+    if max(steep) < min_slope or min(steep) > -min_slope:
         return False
-    at, span = _turns(dy), float(np.ptp(y))
-    if len(at) > 1:
-        return bool((np.abs(np.diff(y[at])) >= 0.25 * span).all())
-    return len(at) == 0 or bool((np.abs(np.diff(y[[0, at[0], -1]])) >= 0.1 * span).all())
-
-
-def rises_and_falls(x: np.ndarray, y: np.ndarray, dy: np.ndarray) -> tuple[list[float], list[float]]:
-    """Where each rise and each fall has reached half of its steepest slope. What lies before the first
-    turning point and after the last counts if it covers more than a quarter of the range."""
-    at, on, off = _turns(dy), [], []
-    cuts = [0, *(at + 1), len(x)]
-    for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
-        outer = k in (0, len(at))
-        if len(at) and (hi - lo < (2 if k == 0 else 3) or outer and np.ptp(y[lo:hi]) <= 0.25 * np.ptp(y)):
+    levels = np.array([float(value(v)) for v in (cut[0][0], *(c[1] for c in cut))])
+    height, span = np.abs(np.diff(levels)), float(np.ptp(levels))
+    asked = np.full(len(cut), 0.25)
+    asked[[0, -1]] = 0.1
+    inner = slice(None) if len(cut) == 2 else slice(1, -1)  # beside two turning points the ends may be low
+    return bool((height[inner] >= asked[inner] * span).all())
+
+
+def change_times(value, slope, first: float, last: float) -> tuple[list[float], list[float]]:
+    """(onsets, offsets): in each piece that rises or falls, the time at which the slope has grown to half of its
+    steepest. Of several pieces the first and the last count if they cover more than a quarter of the
+    curve's range. Minus infinity and infinity stand for none."""
+    cut = monotone_pieces(slope, first, last)
+    ends = [float(value(v)) for v in (cut[0][0], *(c[1] for c in cut))]
+    span = max(ends) - min(ends)
+    found: dict[bool, list[float]] = {True: [], False: []}
+    for k, (start, end) in enumerate(cut):
+        if len(cut) > 1 and k in (0, len(cut) - 1) and abs(ends[k + 1] - ends[k]) <= 0.25 * span:
             continue
-        steep = lo + int(np.argmax(np.abs(dy[lo:hi])))
-        half = lo + int(np.argmin(np.abs(dy[lo : steep + 1] - dy[steep] / 2)))
-        (on if dy[steep] > 0 else off).append(float(x[half]))
-    return on or [-math.inf], off or [math.inf]
+        at, most = _steepest(slope, start, end)
+        if not most:
+            continue
+        lacks = lambda v, most=most: abs(float(slope(v))) - abs(most) / 2
+        found[most > 0].append(_root(lacks, start, at) if lacks(start) < 0 else start)
+    return found[True] or [-math.inf], found[False] or [math.inf]
 
 
 def impulse(x: np.ndarray, y: np.ndarray, starts: int = 8, seed: int = 1, pulse_only: bool = True, min_slope: float = 0.1) -> dict:
     """Line (0), one step (1) or two (2), whichever leaves the least error; two steps that make no pulse
-    give way to the next best. Onsets and offsets are where a change has half of its steepest slope, for
-    a line where it meets zero; of several, ``time_on`` is the first and ``time_off`` the last."""
+    give way to the next best. Onsets and offsets are those of ``change_times``, for a line where it meets
+    zero; of several, ``time_on`` is the first and ``time_off`` the last."""
     rng = np.random.default_rng(seed)
     line = np.polyfit(x, y, 1) if len(x) > 1 else np.array([0.0, float(y[0])])
-    sse = {0: float(((np.polyval(line, x) - y) ** 2).sum())}
     lo, hi, first, last = (float(v) for v in (y.min(), y.max(), x.min(), x.max()))
     span, reach = max(last - first, 1e-6), hi - lo
     draw = lambda: first + span * float(rng.random())
     inf = math.inf
     s1 = [(s * 10 / span, lo, hi, draw()) for _ in range(starts) for s in (-1, 1)]
-    one, sse[1] = fit_curve(_single, x, y, s1, (-inf, lo - reach / 2, lo - reach / 2, first - 1), (inf, hi + reach / 2, hi + reach / 2, last + 1))
     s2 = [(-10 / span, 10 / span, float(y[0]), hi, float(y[-1]), *sorted((draw(), draw()))) for _ in range(starts)]
-    two, sse[2] = fit_curve(_double, x, y, s2, (-inf, -inf, *[lo - reach] * 3, first - 1, first - 1), (inf, inf, *[hi + reach] * 3, last + 1, last + 1))
-    grid = np.linspace(first, last, max(200, len(x)))
-    order = sorted(sse, key=sse.get)
-    kind = order[0]
-    if kind == 2 and pulse_only and not is_pulse(_double(grid, two), _slope_double(grid, two), min_slope):
-        kind = order[1]
-    on, off = [-inf], [inf]
-    if kind == 0 and line[0]:
-        on, off = ([float(-line[1] / line[0])], off) if line[0] > 0 else (on, [float(-line[1] / line[0])])
-    elif kind == 1:
-        level = np.array([2 - math.sqrt(2), 2 + math.sqrt(2)]) / 4 * (one[2] - one[1]) + one[1]  # where the slope is half the steepest
-        near = lambda v: [float(grid[np.argmin(np.abs(_single(grid, one) - v))])]
-        on, off = (near(level.min()), off) if _slope(one[3], one) > 0 else (on, near(level.max()))
-    elif kind == 2:
-        on, off = rises_and_falls(grid, _double(grid, two), _slope_double(grid, two))
-    return {"type": kind, "time_on": min(on), "time_off": max(off), "times_on": on, "times_off": off, "sse": sse[kind]}
+    one, error_1 = fit_curve(_single, x, y, s1, (-inf, lo - reach / 2, lo - reach / 2, first - 1), (inf, hi + reach / 2, hi + reach / 2, last + 1))
+    two, error_2 = fit_curve(_double, x, y, s2, (-inf, -inf, *[lo - reach] * 3, first - 1, first - 1), (inf, inf, *[hi + reach] * 3, last + 1, last + 1))
+    fits = [
+        (float(((np.polyval(line, x) - y) ** 2).sum()), 0, None, None),
+        (error_1, 1, lambda v: _single(v, one), lambda v: _slope(v, one)),
+        (error_2, 2, lambda v: _double(v, two), lambda v: _slope_double(v, two)),
+    ]
+    for sse, kind, value, slope in sorted(fits, key=lambda f: f[0]):
+        if kind < 2 or not pulse_only or is_pulse(value, slope, first, last, min_slope):
+            break
+    if kind:
+        on, off = change_times(value, slope, first, last)
+    else:
+        at = [float(-line[1] / line[0])] if line[0] else []
+        on, off = (at, []) if line[0] > 0 else ([], at)
+    on, off = on or [-inf], off or [inf]
+    return {"type": kind, "time_on": min(on), "time_off": max(off), "times_on": on, "times_off": off, "sse": sse}
 
 
 def cascade(means: DataFrame, starts: int = 8) -> DataFrame:
@@ -296,11 +327,11 @@ def branch_preference(visits: DataFrame, pt: DataFrame, side1: list, side2: list
     return g.where((F.col("parent_preference") >= 0.1) & (F.col("visited") >= min_visit)).join(pt, "cell").select("cell", "preference", "parent_preference", "visited", "pseudotime")
 
 
-def layout_density(points: DataFrame, neighbor: int = 10) -> DataFrame:
+def layout_density(points: DataFrame, scratch, neighbor: int = 10) -> DataFrame:
     """(cell, n_dist): distance to the ``neighbor``-th nearest of all points (x, y, z), itself the first."""
     from trellis.operators.neighbors import knn_exact
 
-    near = knn_exact(points.select("cell", F.array("x", "y", "z").alias("vec")), neighbor - 1)
+    near = knn_exact(points.select("cell", F.array("x", "y", "z").alias("vec")), neighbor - 1, scratch)
     return near.where(F.col("rank") == neighbor - 1).select("cell", F.col("dist").alias("n_dist"))
 
 

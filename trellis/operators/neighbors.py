@@ -11,38 +11,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trellis.functions.stats import gamma_fit
+from trellis.operators import pivots
 
 
-def knn_exact(vectors: DataFrame, k: int, block: int = 1000) -> DataFrame:
-    """(cell, rank, nbr, dist): exact Euclidean neighbours from (cell, vec).
-
-    Quadratic in the cells by definition. Rows are dealt into blocks and each pair of blocks is one
-    matrix product; a task keeps k of a block's candidates before they are shuffled.
-    """
-    n = vectors.count()
-    blocks = max(1, math.ceil(n / block))
-    dealt = vectors.withColumn("b", F.pmod(F.xxhash64("cell"), F.lit(blocks)).cast("int"))
-    left = dealt.withColumnRenamed("b", "b1").withColumn("b2", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = dealt.withColumnRenamed("b", "b2").withColumn("b1", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    kind = vectors.schema["cell"].dataType.simpleString()
-
-    def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"cell": [], "nbr": [], "dist": []})
-        x, y = np.stack(a["vec"].to_numpy()).astype(float), np.stack(b["vec"].to_numpy()).astype(float)
-        d = np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0)
-        same = a["cell"].to_numpy()[:, None] == b["cell"].to_numpy()[None, :]
-        d[same] = np.inf
-        m = min(k, d.shape[1])
-        at = np.argpartition(d, m - 1, axis=1)[:, :m]
-        i = np.repeat(np.arange(len(a)), m)
-        out = pd.DataFrame({"cell": a["cell"].to_numpy()[i], "nbr": b["cell"].to_numpy()[at.ravel()], "dist": d[i, at.ravel()]})
-        out["dist"] = np.sqrt(((x[i] - y[at.ravel()]) ** 2).sum(1))
-        return out[~same[i, at.ravel()]]
-
-    pairs = left.groupBy("b1", "b2").cogroup(right.groupBy("b1", "b2")).applyInPandas(near, f"cell {kind}, nbr {kind}, dist double")
-    w = W.partitionBy("cell").orderBy("dist", "nbr")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("cell", "rank", "nbr", "dist")
+def knn_exact(vectors: DataFrame, k: int, scratch) -> DataFrame:
+    """(cell, rank, nbr, dist): exact Euclidean neighbours from (cell, vec), ties by nbr."""
+    return pivots.knn(vectors, k, scratch)[0]
 
 
 def knn_outliers(knn: DataFrame, nn_1: int, nn_2: int, x_max: float, slope_r: float, int_r: float, slope_b: float, int_b: float, invert: bool = False) -> DataFrame:
@@ -98,19 +72,20 @@ def pca(z: DataFrame, factor: float = 1.0, store: float = 2.0, keep: int | None
     rows = z.groupBy("cell").agg(F.collect_list(F.struct("gene", "z")).alias("g"))  # one cell's variable genes
 
     def products(batches):
-        total, n = np.zeros((len(genes), len(genes))), 0
+        total = np.zeros((len(genes), len(genes)))
         for b in batches:
             m = np.zeros((len(b), len(genes)))
             for i, row in enumerate(b["g"]):
                 for x in row:
                     m[i, at[x["gene"]]] = x["z"]
             total += m.T @ m
-            n += len(b)
-        yield pd.DataFrame({"n": [n], "m": [total.ravel()]})
+        yield pd.DataFrame({"i": np.arange(len(genes)), "m": list(total)})
 
-    parts = rows.mapInPandas(products, "n long, m array<double>").toPandas()
-    n = int(parts["n"].sum())
-    gram = np.sum(np.stack(parts["m"].to_numpy()), axis=0).reshape(len(genes), len(genes))
+    # a row of the matrix from each task is added up in Spark; one matrix of the chosen genes comes to the driver
+    parts = rows.mapInPandas(products, "i int, m array<double>").select("i", F.posexplode("m").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x"))
+    gram, n = np.zeros((len(genes), len(genes))), rows.count()
+    for r in parts.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "x"))).alias("m")).collect():
+        gram[r["i"]] = [x["x"] for x in r["m"]]
     values, vectors = np.linalg.eigh(gram / max(n - 1, 1))
     order = np.argsort(values)[::-1]
     sdev, vectors = np.sqrt(np.maximum(values[order], 0)), vectors[:, order]
@@ -130,60 +105,6 @@ def top_loadings(loadings: DataFrame, n: int = 20) -> DataFrame:
     return loadings.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n)
 
 
-def louvain(edges: DataFrame, seed: int = 1) -> DataFrame:
-    """(cell, cluster) by modularity, labels by decreasing size. The graph of the chosen cells is
-    gathered on the driver, as the method is sequential; for graphs of some million edges."""
-    rows = edges.collect()
-    names = sorted({x for r in rows for x in (r["a"], r["b"])})
-    at = {c: i for i, c in enumerate(names)}
-    graph: list[dict[int, float]] = [{} for _ in names]
-    for r in rows:
-        a, b, w = at[r["a"]], at[r["b"]], float(r["w"])
-        graph[a][b] = graph[a].get(b, 0) + w
-        graph[b][a] = graph[b].get(a, 0) + w
-    member = list(range(len(names)))
-    rng = np.random.default_rng(seed)
-    while True:
-        label = list(range(len(graph)))
-        degree = [sum(g.values()) for g in graph]
-        total = sum(degree) or 1.0
-        weight = degree[:]
-        moved_any = True
-        changed = False
-        while moved_any:
-            moved_any = False
-            for v in rng.permutation(len(graph)):
-                own = label[v]
-                to: dict[int, float] = {}
-                for u, w in graph[v].items():
-                    if u != v:
-                        to[label[u]] = to.get(label[u], 0) + w
-                weight[own] -= degree[v]
-                best, gain = own, to.get(own, 0) - degree[v] * weight[own] / total
-                for c in sorted(to):
-                    g = to[c] - degree[v] * weight[c] / total
-                    if g > gain + 1e-12:
-                        best, gain = c, g
-                weight[best] += degree[v]
-                if best != own:
-                    label[v] = best
-                    moved_any = changed = True
-        if not changed:
-            break
-        ids = {c: i for i, c in enumerate(sorted(set(label)))}
-        member = [ids[label[m]] for m in member]
-        merged: list[dict[int, float]] = [{} for _ in ids]
-        for v, g in enumerate(graph):
-            for u, w in g.items():
-                a, b = ids[label[v]], ids[label[u]]
-                merged[a][b] = merged[a].get(b, 0) + w
-        graph = merged
-    sizes = np.bincount(member) if member else np.zeros(0, int)
-    order = {int(c): i + 1 for i, c in enumerate(np.lexsort((np.arange(len(sizes)), -sizes)))}
-    kind = edges.schema["a"].dataType.simpleString()
-    return edges.sparkSession.createDataFrame([(c, order[m]) for c, m in zip(names, member, strict=True)], f"cell {kind}, cluster int")
-
-
 def diffusion_edges(knn: DataFrame, sigma: float | None = None, density: bool = True) -> DataFrame:
     """(i, j, w): Gaussian kernel on neighbours, made symmetric, divided by densities and degrees."""
     if sigma is None:

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trellis.functions.expr import combine_probs, logistic
+from trellis.operators import pivots
+from trellis.plans import order
 
 
 def flood_matrix(edges: DataFrame) -> DataFrame:
@@ -24,25 +24,46 @@ def _uniform(*cols) -> Column:
     return (F.pmod(F.xxhash64(*cols), F.lit(1 << 40)) + 0.5) / float(1 << 40)
 
 
-def flood(edges: DataFrame, roots: list, n: int, scratch, seed: int = 1, least_new: int = 2, max_steps: int = 500) -> DataFrame:
-    """(sim, cell, step) of n probabilistic floods, all in one table. Each step joins what is
-    visited to its edges and draws every reached cell once; each is written to the shared folder."""
+def _into(edges: DataFrame) -> DataFrame:
+    """(from, cell, miss): the logarithm of the chance that an edge (i, j, w) does not lead from visited j to i."""
+    return edges.where("w > 0").select(F.col("j").alias("from"), F.col("i").alias("cell"), F.when(F.col("w") < 1, F.log1p(-F.col("w"))).otherwise(float("-inf")).alias("miss"))
+
+
+def flood_chances(edges: DataFrame, visited: DataFrame) -> DataFrame:
+    """(cell, chance): with which chance a flood goes on from the ``visited`` cells to each other cell."""
+    met = visited.select(F.col("cell").alias("from")).distinct().join(_into(edges), "from")
+    return met.groupBy("cell").agg((1 - F.exp(F.sum("miss"))).alias("chance")).join(visited, "cell", "left_anti")
+
+
+def flood(edges: DataFrame, roots: list, n: int, scratch, seed: int = 1, least_new: int = 2) -> DataFrame:
+    """(sim, cell, step) of ``n`` probabilistic floods, all in one table.
+
+    A cell i not yet visited is reached with one minus the product of (1 - w) over its edges (i, j, w) to
+    visited cells j. A flood ends when all but one cell are visited or a step visits fewer than
+    ``least_new``; there is no other limit. What a cell has escaped so far is kept as a sum of
+    logarithms, so a step joins only the cells of the step before to their edges.
+    """
     spark = edges.sparkSession
     kind = edges.schema["i"].dataType.simpleString()
-    start = spark.createDataFrame([(s, r, 0) for s in range(n) for r in roots], f"sim int, cell {kind}, step int")
-    total = edges.select("i").distinct().count()
-    seen = scratch.table(start, "flood0")
-    for step in range(1, max_steps + 1):
-        active = seen.groupBy("sim").agg(F.count("*").alias("k"), F.count_if(F.col("step") == step - 1).alias("new")).where((F.col("k") < total - 1) & ((F.col("new") >= least_new) | F.lit(step == 1))).select("sim")
-        near = seen.join(active, "sim", "left_semi").join(edges, seen["cell"] == edges["i"]).select("sim", F.col("j").alias("cell"), "w")
-        chance = near.join(seen.select("sim", "cell"), ["sim", "cell"], "left_anti").groupBy("sim", "cell").agg(combine_probs("w").alias("p"))
-        new = chance.where(_uniform(F.lit(seed), "sim", F.lit(step), "cell") < F.col("p")).select("sim", "cell", F.lit(step).alias("step"))
-        after = scratch.table(seen.union(new), f"flood{step}")
-        if after.where(F.col("step") == step).isEmpty():
-            return after
+    into = scratch.table(_into(edges), "into")
+    total = edges.select("i").union(edges.select("j")).distinct().count()
+    start = spark.range(n).select(F.col("id").cast("int").alias("sim")).crossJoin(F.broadcast(spark.createDataFrame([(r,) for r in roots], f"cell {kind}").distinct()))
+    seen = scratch.table(start.select("sim", "cell", F.lit(0.0).alias("miss"), F.lit(0).alias("step")), "flood0")
+    step = 0
+    while True:
+        going = seen.where("step is not null").groupBy("sim").agg(F.count("*").alias("k"), F.count_if(F.col("step") == step).alias("new")).where((F.col("k") < total - 1) & ((F.col("new") >= least_new) | F.lit(step == 0))).select("sim")
+        front = seen.where(F.col("step") == step).join(going, "sim", "left_semi").select("sim", F.col("cell").alias("from"))
+        if front.isEmpty():
+            break
+        step += 1
+        more = front.join(into, "from").groupBy("sim", "cell").agg(F.sum("miss").alias("_more"))
+        both = seen.join(more, ["sim", "cell"], "full").withColumn("miss", F.coalesce("miss", F.lit(0.0)) + F.coalesce("_more", F.lit(0.0)))
+        live = both.join(going.withColumn("live", F.lit(True)), "sim", "left")
+        drawn = F.col("step").isNull() & F.col("live") & (_uniform(F.lit(seed), "sim", F.lit(step), "cell") < 1 - F.exp("miss"))
+        after = live.select("sim", "cell", "miss", F.when(drawn, step).otherwise(F.col("step")).cast("int").alias("step"))
+        seen = scratch.table(after, f"flood{step}")
         scratch.drop(f"flood{step - 1}")
-        seen = after
-    return seen
+    return seen.where("step is not null").select("sim", "cell", "step")
 
 
 def process_floods(floods: DataFrame, max_missing: float = 0.4, divisions: int = 10, fun=F.avg) -> tuple[DataFrame, DataFrame]:
@@ -58,12 +79,13 @@ def process_floods(floods: DataFrame, max_missing: float = 0.4, divisions: int =
     return pt, stab
 
 
-def logistic_params(pt: DataFrame, forward: int, back: int) -> DataFrame:
+def logistic_params(pt: DataFrame, forward: int, back: int, scratch) -> DataFrame:
     """One row (back, forward, x0, k): mean distances to the cells so far back and forward in
     decreasing pseudotime, the midpoint, and the slope that leaves one per cent at the far end."""
-    w = W.orderBy(F.desc("pseudotime"), "cell")
-    lags = pt.where("pseudotime is not null").select((F.col("pseudotime") - F.lead("pseudotime", back).over(w)).alias("b"), (F.lead("pseudotime", forward).over(w) - F.col("pseudotime")).alias("f"))
-    m = lags.agg(F.avg("b").alias("back"), F.avg("f").alias("forward"))
+    rows = order.ranked(pt.where("pseudotime is not null").select("cell", "pseudotime"), [F.desc("pseudotime"), "cell"], scratch, "by_time")
+    gap = lambda k: order.shifted(rows, k, {"pseudotime": "other"})
+    b = gap(back).agg(F.avg(F.col("pseudotime") - F.col("other")).alias("back"))
+    m = b.crossJoin(gap(forward).agg(F.avg(F.col("other") - F.col("pseudotime")).alias("forward")))
     return m.withColumn("x0", (F.col("back") + F.col("forward")) / 2).withColumn("k", F.ln(F.lit(0.01)) / (F.col("x0") - F.col("forward")))
 
 
@@ -74,52 +96,6 @@ def weighted_edges(edges: DataFrame, pt: DataFrame, params: DataFrame) -> DataFr
     return e.select("i", "j", (F.col("w") * logistic(F.col("pj") - F.col("pi"), F.col("x0"), F.col("k"))).alias("w"))
 
 
-def random_walks(edges: DataFrame, tips: DataFrame, roots: list, per_tip: int, root_visits: int = 1, max_steps: int = 5000, seed: int = 1) -> DataFrame:
-    """(tip, walk, pos, cell): walks from each tip's cells until they have met the roots; those that
-    take too long are left out. The weighted graph of the cells goes to every task as arrays, and
-    a walk has a generator of its own, so it is the same wherever it runs."""
-    spark = edges.sparkSession
-    e = edges.where("w > 0").orderBy("i", "j").toPandas()
-    names = np.unique(np.concatenate([e["i"].to_numpy(), e["j"].to_numpy()])) if len(e) else np.zeros(0)
-    i, j = np.searchsorted(names, e["i"].to_numpy()), np.searchsorted(names, e["j"].to_numpy())
-    ptr = np.searchsorted(i, np.arange(len(names) + 1))
-    cum = np.cumsum(e["w"].to_numpy(float))
-    begin = {}
-    for r in tips.orderBy("tip", "cell").collect():
-        k = np.searchsorted(names, r["cell"])
-        if k < len(names) and names[k] == r["cell"]:
-            begin.setdefault(r["tip"], []).append(int(k))
-    ends = frozenset(int(np.searchsorted(names, r)) for r in roots if r in set(names.tolist()))
-    held = spark.sparkContext.broadcast((names, ptr, j, cum, begin, ends))
-    kind, tip_kind = edges.schema["i"].dataType.simpleString(), tips.schema["tip"].dataType.simpleString()
-    jobs = spark.range(per_tip).withColumnRenamed("id", "walk").crossJoin(tips.select("tip").distinct())
-
-    def run(batches):
-        names, ptr, to, cum, begin, ends = held.value
-        for b in batches:
-            out = []
-            for tip, walk in zip(b["tip"], b["walk"], strict=True):
-                cells = begin.get(tip)
-                if not cells:
-                    continue
-                rng = np.random.default_rng((seed, int(walk), *str(tip).encode()))
-                at = cells[int(rng.integers(len(cells)))]
-                path, met = [at], 0
-                while met < root_visits and len(path) <= max_steps:
-                    lo, hi = ptr[at], ptr[at + 1]
-                    if lo == hi:
-                        break
-                    base = cum[lo - 1] if lo else 0.0
-                    at = int(to[min(lo + int(np.searchsorted(cum[lo:hi], base + rng.random() * (cum[hi - 1] - base), "right")), hi - 1)])
-                    path.append(at)
-                    met += at in ends
-                if met >= root_visits:
-                    out.append(pd.DataFrame({"tip": tip, "walk": walk, "pos": np.arange(1, len(path) + 1), "cell": names[path]}))
-            yield pd.concat(out) if out else pd.DataFrame({"tip": [], "walk": [], "pos": [], "cell": []})
-
-    return jobs.repartition(max(8, per_tip // 500), "walk").mapInPandas(run, f"tip {tip_kind}, walk long, pos int, cell {kind}")
-
-
 def process_walks(walks: DataFrame, keys: list[str] | None = None, fun=F.avg) -> DataFrame:
     """Visits and mean relative position of each cell over (keys, walk, pos, cell)."""
     keys = keys or []
@@ -129,12 +105,15 @@ def process_walks(walks: DataFrame, keys: list[str] | None = None, fun=F.avg) ->
     return out.withColumn("visits_log", F.log10(F.col("visits") + 1))
 
 
-def walk_prefixes(walks: DataFrame, cuts: list[int], fun=F.avg) -> DataFrame:
-    """The same over the first of the walks, numbered from 1 by their id."""
-    number = walks.select("walk").distinct().withColumn("nr", F.dense_rank().over(W.orderBy("walk")))
+def walk_prefixes(walks: DataFrame, scratch, divisions: int = 10, fun=F.avg) -> DataFrame:
+    """The same over the first tenth of the walks, the first two tenths, and so on to all of them; walks are
+    numbered by their id and cut at the upward rounded parts of their number."""
+    number = order.ranked(walks.select("walk").distinct(), ["walk"], scratch, "numbers").select("walk", F.col("rank").alias("nr"))
+    n = number.count()
+    cuts = sorted({math.ceil(i / divisions * n) for i in range(1, divisions + 1)} - {0})
     length = walks.groupBy("walk").agg(F.max("pos").alias("len"))
     hop = walks.join(length, "walk").join(number, "walk").withColumn("hop", F.col("pos") / F.col("len"))
-    part = hop.withColumn("n_walks", F.explode(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c >= F.col("nr"))))
+    part = hop.withColumn("n_walks", F.explode(F.filter(F.array(*[F.lit(c).cast("int") for c in cuts]), lambda c: c >= F.col("nr"))))
     return part.groupBy("n_walks", "cell").agg(F.count("*").alias("visits"), fun("hop").alias("pseudotime"))
 
 
@@ -144,13 +123,12 @@ def stability_change(prefixes: DataFrame, n: str = "n_walks") -> DataFrame:
     return prefixes.withColumn("d", F.abs(F.col("pseudotime") - F.lag("pseudotime").over(w))).groupBy(n).agg(F.sum("d").alias("change"))
 
 
-def tip_potential(vectors: DataFrame, pt: DataFrame, low: float, high: float) -> DataFrame:
-    """Share of the cells at such distances whose pseudotime is not later. All pairs, by definition."""
-    v = vectors.join(pt.select("cell", "pseudotime"), "cell")
-    a, b = v.toDF("cell", "va", "pa"), v.toDF("other", "vb", "pb")
-    d = F.sqrt(F.aggregate(F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    met = a.crossJoin(b).where("cell <> other").withColumn("d", d).where(F.col("d").between(low, high))
-    return met.groupBy("cell").agg(F.avg((F.col("pb") - F.col("pa") <= 0).cast("double")).alias("tip_potential"))
+def tip_potential(vectors: DataFrame, pt: DataFrame, low: float, high: float, scratch) -> DataFrame:
+    """(cell, tip_potential): share of the cells at distances of ``low`` to ``high`` whose pseudotime is not later.
+    Exact; pivots tell which cells need not be compared."""
+    v = scratch.table(vectors.join(pt.where("pseudotime is not null").select("cell", F.col("pseudotime").cast("double").alias("t")), "cell").select(F.col("cell").alias("id"), "vec", "t"), "timed")
+    found = pivots.Index(v, scratch).earlier_within(v, low, high)
+    return found.where("n > 0").select(F.col("id").alias("cell"), (F.col("earlier") / F.col("n")).alias("tip_potential"))
 
 
 def cluster_tip_potential(edges: DataFrame, groups: DataFrame, pt: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trellis.functions.stats import dip, ks_asymptotic
+from trellis.plans.order import ranked
 
 
 def ancestors(joins: DataFrame) -> DataFrame:
@@ -70,10 +71,14 @@ def membership(visits: DataFrame, least: float, threshold: float) -> DataFrame:
     return visits.withColumn("top", top).where((F.col("top") >= least) & (F.col("v") >= threshold * F.col("top"))).select("cell", "segment")
 
 
-def near_equal(df: DataFrame, keys: list[str], order: list, size: int, name: str = "grp") -> DataFrame:
-    """Runs of near-equal length: n = max(round(rows / size), 1) groups with cuts at round(rows / n * g)."""
-    by = W.partitionBy(*keys)
-    d = df.withColumns({"_r": F.row_number().over(by.orderBy(*order)), "_m": F.count("*").over(by)})
+def near_equal(df: DataFrame, keys: list[str], order: list, size: int, name: str = "grp", scratch=None) -> DataFrame:
+    """Runs of near-equal length: n = max(round(rows / size), 1) groups with cuts at round(rows / n * g). Without
+    ``keys`` the runs are those of the whole table, whose order is kept over range partitions in ``scratch``."""
+    if keys:
+        by = W.partitionBy(*keys)
+        d = df.withColumns({"_r": F.row_number().over(by.orderBy(*order)), "_m": F.count("*").over(by)})
+    else:
+        d = ranked(df, order, scratch, "runs", "_r").drop("part").withColumn("_m", F.lit(df.count()))
     d = d.withColumn("_n", F.greatest(F.bround(F.col("_m") / size), F.lit(1)).cast("int"))
     # the first group whose cut is not before the row; rounding moves it by one from r * n / m at most
     guess = F.ceil(F.col("_r") * F.col("_n") / F.col("_m"))

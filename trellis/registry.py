@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trellis.functions import expr as X
-from trellis.operators import along_tree, batch, curves, expression, markers, neighbors, pseudotime, tree, views
+from trellis.operators import along_tree, batch, clusters, curves, expression, layout, markers, neighbors, pseudotime, tree, views, walks
 from trellis.plans import fixtures as fx
 from trellis.plans.fixtures import SQL, created_sql
 from trellis.plans.scratch import Scratch
@@ -88,16 +88,47 @@ def markers_auc_pr(spark, sf_dir):
     return out.withColumns({"exp_fc": F.round("exp_fc", 6), "ratio": F.round("ratio", 6)})
 
 
-@query()
+def _binom_sql(sd: str, frac: str, genes: str = "(select distinct gene from ex)", x: str = "") -> str:
+    """CTEs ending in ``bi``: the binomial test in both directions over (cmp, cell, side) of ``sd``; names end in ``x``.
+    The upper tail is a sum of its terms."""
+    tail = lambda k, n, q: f"case when {k} <= 0 or {q} >= 1 then 1 else list_sum(list_transform(range({k}, {n} + 1), lambda j: exp(lgamma({n} + 1) - lgamma(j + 1) - lgamma({n} - j + 1) + j * ln({q}) + ({n} - j) * ln(1 - ({q}))))) end"
+    return f"""z{x} as (select cmp, count(*) filter (side = 1) n1, count(*) filter (side = 2) n2 from {sd} group by 1),
+kk{x} as (select cmp, gene, count(*) filter (side = 1) k1, count(*) filter (side = 2) k2 from ex join {sd} using (cell) where value > 0 group by 1, 2),
+tt{x} as (select cmp, gene, coalesce(sum(count) filter (side = 1), 0) t1, coalesce(sum(count) filter (side = 2), 0) t2 from kp join {sd} using (cell) group by 1, 2),
+gg{x} as (select cmp, gene, n1, n2, coalesce(k1, 0) k1, coalesce(k2, 0) k2, coalesce(t1, 0) t1, coalesce(t2, 0) t2 from {genes} cross join z{x} left join kk{x} using (cmp, gene) left join tt{x} using (cmp, gene) where n1 > 0 and n2 > 0),
+q{x} as (select *, least(greatest(k2, 1) / n2, 1) q2, least(greatest(k1, 1) / n1, 1) q1 from gg{x}),
+pv{x} as materialized (select *, 1 dir, {tail("k1", "n1", "q2")} p from q{x} union all select *, -1, {tail("k2", "n2", "q1")} from q{x}),
+ad{x} as (select *, least(1, min(p * m / r) over (partition by cmp, dir order by r rows between current row and unbounded following)) p_adj from (select *, row_number() over (partition by cmp, dir order by p) r, count(*) over (partition by cmp, dir) m from pv{x})),
+le{x} as (select *, case when k1 > 0 and k2 > 0 then ln(k1 * n2 / (k2 * n1)) when k1 > 0 then 'inf'::double when k2 > 0 then '-inf'::double end log_effect, round(k1 / n1, 3) frac_1, round(k2 / n2, 3) frac_2, round(t1 / n1, 3) trans_1, round(t2 / n2, 3) trans_2 from ad{x}),
+bi{x} as (select cmp, gene, p_adj, log_effect, frac_1, frac_2, trans_1, trans_2 from le{x} where log_effect * dir >= 0 and {frac})"""
+
+
+@query(f"with {CREATED}, {SIDES}, {_binom_sql('sd', 'frac_1 >= 0.1')} select cmp, gene, round(p_adj, 8) p_adj, round(log_effect, 6) log_effect, frac_1, frac_2, trans_1, trans_2 from bi")
 def markers_binomial(spark, sf_dir):
     c = _created(spark, sf_dir)
-    return markers.markers_binom(c.expr, c.counts, _sides(spark, sf_dir, c), effect=0.0, p_max=1.0)
+    out = markers.markers_binom(c.expr, c.counts, _sides(spark, sf_dir, c), effect=0.0, p_max=1.0, either=False)
+    return out.withColumns({"p_adj": F.round("p_adj", 8), "log_effect": F.round("log_effect", 6)})
+
+
+def _welch(spark, sf_dir):
+    c = _created(spark, sf_dir)
+    return markers.welch(c.expr.select(F.col("gene").alias("name"), "cell", F.col("value").alias("v")), _sides(spark, sf_dir, c), 1.0, 0.0)
 
 
 @query()
 def markers_welch(spark, sf_dir):
-    c = _created(spark, sf_dir)
-    return markers.welch(expression.dense(c.expr, c.cells).toDF("name", "cell", "v"), _sides(spark, sf_dir, c), 1.0, 0.0)
+    return _welch(spark, sf_dir).drop("t", "df")
+
+
+WELCH = """z as (select cmp, count(*) filter (side = 1) n1, count(*) filter (side = 2) n2 from sd group by 1),
+su as (select cmp, gene, coalesce(sum(value) filter (side = 1), 0) s1, coalesce(sum(value * value) filter (side = 1), 0) q1, coalesce(sum(value) filter (side = 2), 0) s2, coalesce(sum(value * value) filter (side = 2), 0) q2 from ex join sd using (cell) group by 1, 2),
+mo as (select cmp, gene, n1, n2, s1 / n1 m1, s2 / n2 m2, case when q1 - s1 * s1 / n1 > 1e-12 * q1 then (q1 - s1 * s1 / n1) / (n1 - 1) else 0 end / n1 a, case when q2 - s2 * s2 / n2 > 1e-12 * q2 then (q2 - s2 * s2 / n2) / (n2 - 1) else 0 end / n2 b from su join z using (cmp) where n1 > 1 and n2 > 1),
+wl as (select cmp, gene as name, m1, m2, (m1 - m2) / sqrt(a + b) t, (a + b) * (a + b) / (a * a / (n1 - 1) + b * b / (n2 - 1)) df, case when m1 > 0 and m2 > 0 then ln(m1 / m2) when m1 > 0 then 'inf'::double when m2 > 0 then '-inf'::double end log_fc from mo where a + b > 0)"""
+
+
+@query(f"with {CREATED}, {SIDES}, {WELCH} select cmp, name, round(m1, 6) m1, round(m2, 6) m2, round(log_fc, 6) log_fc, round(t, 5) t, round(df, 4) df from wl")
+def welch_statistics(spark, sf_dir):
+    return _welch(spark, sf_dir).select("cmp", "name", *[F.round(c, n).alias(c) for c, n in (("m1", 6), ("m2", 6), ("log_fc", 6), ("t", 5), ("df", 4))])
 
 
 @query(f"""with {SQL['e1']} select c1.grp, gene, round(log2(sum(power(2, value) - 1) / any_value(n) + 1), 6) mean_of_logs, round(sum(value) / any_value(n), 6) as mean, round(count(*) / any_value(n), 6) prop_exp
@@ -120,7 +151,7 @@ KNN = "v as (select vec_id, embedding::double[] e from embeddings), kd as (selec
 
 
 def _knn(spark, sf_dir, k: int = 20):
-    return neighbors.knn_exact(fx.vectors(spark, sf_dir), k)
+    return neighbors.knn_exact(fx.vectors(spark, sf_dir), k, _scratch(spark, "knn"))
 
 
 @query(f"with {KNN} select cell, rank::int rank, nbr, round(dist, 6) dist from kn")
@@ -140,9 +171,30 @@ def jaccard_edges(spark, sf_dir):
     return neighbors.jaccard_edges(_knn(spark, sf_dir, 10), 10).withColumn("w", F.round("w", 6))
 
 
+def _jaccard(spark, sf_dir):
+    return _scratch(spark, "jaccard").table(neighbors.jaccard_edges(_knn(spark, sf_dir, 10), 10), "edges")
+
+
 @query()
 def graph_clusters(spark, sf_dir):
-    return neighbors.louvain(neighbors.jaccard_edges(_knn(spark, sf_dir, 10), 10))
+    return clusters.communities(_jaccard(spark, sf_dir), _scratch(spark, "clusters"))
+
+
+@query()
+def graph_clusters_codelength(spark, sf_dir):
+    return clusters.communities(_jaccard(spark, sf_dir), _scratch(spark, "clusters"), method="codelength")
+
+
+JACCARD = f"{KNN}, n as (select * from kn where rank <= 10), je as (select distinct least(cell, nbr) a, greatest(cell, nbr) b from n), js as (select je.a, je.b, count(*) i from je join n x on x.cell = je.a join n y on y.cell = je.b and y.nbr = x.nbr group by 1, 2), jw as (select a, b, i / (20 - i) w from js), jr as (select a, b, w / (select max(w) from jw) w from jw)"
+
+
+@query(f"""with {JACCARD}, la as (select vec_id cell, label c from embeddings), en as (select p.cell v, p.c, w, p.c = q.c same from jr join la p on p.cell = a join la q on q.cell = b union all select q.cell, q.c, w, p.c = q.c from jr join la p on p.cell = a join la q on q.cell = b),
+m as (select sum(w) m2 from en), no as (select sum(d / m2 * log2(d / m2)) node from (select v, sum(w) d from en group by 1), m), gr as (select c, sum(w) / any_value(m2) p, sum(w) filter (same) / any_value(m2) inn from en, m group by 1),
+qs as (select sum(coalesce(inn, 0) - p * p) modularity, sum(p - coalesce(inn, 0)) q, sum(case when p - coalesce(inn, 0) > 1e-12 then (p - coalesce(inn, 0)) * log2(p - coalesce(inn, 0)) else 0 end) ql, sum((2 * p - coalesce(inn, 0)) * log2(2 * p - coalesce(inn, 0))) pl, count(*) clusters from gr)
+select round(modularity, 6) modularity, round(case when q > 0 then q * log2(q) else 0 end - 2 * ql - node + pl, 6) codelength, clusters from qs, no""")
+def cluster_quality(spark, sf_dir):
+    labels = fx.vectors(spark, sf_dir).select("cell", F.col("grp").alias("cluster"))
+    return clusters.quality(_jaccard(spark, sf_dir), labels).withColumns({"modularity": F.round("modularity", 6), "codelength": F.round("codelength", 6)})
 
 
 @query(f"""with {SQL['e1']}, k as (select count(*) n from embeddings), s as (select gene, sum(value) s, sum(value * value) q from c1 group by 1),
@@ -200,17 +252,17 @@ def walk_positions(spark, sf_dir):
     return pseudotime.process_walks(fx.walks(spark, sf_dir)).select("cell", "visits", F.round("pseudotime", 6).alias("pseudotime"), F.round("visits_log", 6).alias("visits_log"))
 
 
-PREFIX = f"{HOPS}, nr as (select walk, dense_rank() over (order by walk) nr from (select distinct walk from w1)), px as (select c n_walks, cell, count(*) visits, avg(hop) pt from hp join nr using (walk), (values (5), (10), (20)) k(c) where nr <= c group by 1, 2)"
+PREFIX = f"{HOPS}, nr as (select walk, dense_rank() over (order by walk) nr from (select distinct walk from w1)), ct as (select distinct ceil(i / 10 * n)::int c from range(1, 11) r(i), (select count(*) n from nr)), px as (select c n_walks, cell, count(*) visits, avg(hop) pt from hp join nr using (walk), ct where nr <= c group by 1, 2)"
 
 
 @query(f"with {PREFIX} select n_walks::int n_walks, cell, visits, round(pt, 6) pseudotime from px")
 def walk_visits_prefix(spark, sf_dir):
-    return pseudotime.walk_prefixes(fx.walks(spark, sf_dir), [5, 10, 20]).withColumn("pseudotime", F.round("pseudotime", 6))
+    return pseudotime.walk_prefixes(fx.walks(spark, sf_dir), _scratch(spark, "prefixes")).withColumn("pseudotime", F.round("pseudotime", 6))
 
 
 @query(f"with {PREFIX}, d as (select n_walks, abs(pt - lag(pt) over (partition by cell order by n_walks)) d from px) select n_walks::int n_walks, round(sum(d), 6) as change from d group by 1")
 def stability_total_change(spark, sf_dir):
-    return pseudotime.stability_change(pseudotime.walk_prefixes(fx.walks(spark, sf_dir), [5, 10, 20])).withColumn("change", F.round("change", 6))
+    return pseudotime.stability_change(pseudotime.walk_prefixes(fx.walks(spark, sf_dir), _scratch(spark, "prefixes"))).withColumn("change", F.round("change", 6))
 
 
 PT = f"{HOPS}, pt as (select cell, avg(hop) pt from hp group by 1)"
@@ -229,14 +281,18 @@ def _steps(spark, sf_dir):
 
 @query(f"with {PARAMS} select round(b, 8) back, round(f, 8) forward, round(x0, 8) x0, round(k, 5) k from lp")
 def logistic_params(spark, sf_dir):
-    p = pseudotime.logistic_params(_pt(spark, sf_dir), 2, 4)
+    p = pseudotime.logistic_params(_pt(spark, sf_dir), 2, 4, _scratch(spark, "order"))
     return p.select(*[F.round(c, 8).alias(c) for c in ("back", "forward", "x0")], F.round("k", 5).alias("k"))
 
 
+def _weighted(spark, sf_dir):
+    pt = _pt(spark, sf_dir)
+    return pseudotime.weighted_edges(_steps(spark, sf_dir), pt, pseudotime.logistic_params(pt, 2, 4, _scratch(spark, "order")))
+
+
 @query(f"with {PARAMS}, {STEPS} select i, j, round(w / (1 + exp(-k * (b.pt - a.pt - x0))), 6) w from ed join pt a on a.cell = i join pt b on b.cell = j, lp")
 def weighted_edges(spark, sf_dir):
-    pt = _pt(spark, sf_dir)
-    return pseudotime.weighted_edges(_steps(spark, sf_dir), pt, pseudotime.logistic_params(pt, 2, 4)).withColumn("w", F.round("w", 6))
+    return _weighted(spark, sf_dir).withColumn("w", F.round("w", 6))
 
 
 @query(f"with {SQL['w1']}, {STEPS}, rs as (select i, sum(w) s from ed group by 1) select i, j, round(w / (select max(s) from rs), 8) w from ed")
@@ -251,20 +307,31 @@ def flood_normalize(spark, sf_dir):
     return pseudotime.process_floods(f, max_missing=0.9)[0].select("cell", F.round("pseudotime", 6).alias("pseudotime"), "visits", F.round("visits_log", 6).alias("visits_log"))
 
 
+def _earliest(spark, sf_dir, n: int) -> list:
+    return [r["cell"] for r in _pt(spark, sf_dir).orderBy("pseudotime", "cell").limit(n).collect()]
+
+
+@query(f"""with {PT}, {STEPS}, ro as (select cell from pt order by pt, cell limit 12), fl as (select i, j, w / (select max(s) from (select sum(w) s from ed group by i)) w from ed)
+select i cell, round(1 - exp(sum(ln(1 - w))), 8) chance from fl join ro on ro.cell = j where i not in (select cell from ro) and w > 0 group by 1""")
+def flood_chances(spark, sf_dir):
+    e = pseudotime.flood_matrix(_steps(spark, sf_dir))
+    roots = spark.createDataFrame([(r,) for r in _earliest(spark, sf_dir, 12)], "cell string")
+    return pseudotime.flood_chances(e, roots).withColumn("chance", F.round("chance", 8))
+
+
 @query()
 def flood_simulation(spark, sf_dir):
     e = pseudotime.flood_matrix(_steps(spark, sf_dir))
-    roots = [r["cell"] for r in _pt(spark, sf_dir).orderBy("pseudotime", "cell").limit(12).collect()]
-    return pseudotime.flood(e, roots, 4, _scratch(spark, "flood"))
+    return pseudotime.flood(e, _earliest(spark, sf_dir, 12), 50, _scratch(spark, "flood"))
 
 
 @query()
 def biased_walks(spark, sf_dir):
-    pt = _pt(spark, sf_dir)
-    e = pseudotime.weighted_edges(_steps(spark, sf_dir), pt, pseudotime.logistic_params(pt, 2, 4))
-    order = [r["cell"] for r in pt.orderBy("pseudotime", "cell").collect()]
-    tips = spark.createDataFrame([("a", c) for c in order[-3:]] + [("b", c) for c in order[-6:-3]], "tip string, cell string")
-    return pseudotime.process_walks(pseudotime.random_walks(e, tips, order[:3], 200), ["tip"])
+    pt, scratch = _pt(spark, sf_dir), _scratch(spark, "walks")
+    last = [r["cell"] for r in pt.orderBy(F.desc("pseudotime"), F.desc("cell")).limit(6).collect()]
+    tips = spark.createDataFrame([("a", c) for c in last[:3]] + [("b", c) for c in last[3:]], "tip string, cell string")
+    made = walks.random_walks(scratch.table(_weighted(spark, sf_dir), "edges"), tips, _earliest(spark, sf_dir, 3), 5000, scratch, order=pt.select("cell", "pseudotime"))
+    return pseudotime.process_walks(made, ["tip"])
 
 
 UP = f"{SQL['t1']}, up as (select child segment, parent ancestor, 1 depth from t1 union all select up.segment, t1.parent, depth + 1 from up join t1 on t1.child = up.ancestor)"
@@ -327,14 +394,14 @@ def moving_windows(spark, sf_dir):
 select k, p, round(least(1, min(p * n / r) over (order by r rows between current row and unbounded following)), 8) p_adj from p""")
 def bh_adjust(spark, sf_dir):
     p = fx.load(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), ((F.col("p_partkey") % 97 + 1) / 200).alias("p"))
-    return markers.adjust_bh(p, "p").withColumn("p_adj", F.round("p_adj", 8))
+    return markers.adjust_bh(p, "p", scratch=_scratch(spark, "order")).withColumn("p_adj", F.round("p_adj", 8))
 
 
 @query("""with p as (select p_partkey k, (p_partkey % 97 + 1) / 2e6 p, row_number() over (order by (p_partkey % 97 + 1) / 2e6, p_partkey) r, count(*) over () n from part)
 select k, p, round(least(1, max(p * (n - r + 1)) over (order by p)), 7) p_adj from p""")
 def holm_adjust(spark, sf_dir):
     p = fx.load(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), ((F.col("p_partkey") % 97 + 1) / 2e6).alias("p"))
-    return markers.adjust_holm(p, "p").withColumn("p_adj", F.round("p_adj", 7))
+    return markers.adjust_holm(p, "p", scratch=_scratch(spark, "order")).withColumn("p_adj", F.round("p_adj", 7))
 
 
 @query("select vec_id cell, (embedding[1]::double > 0 and embedding[1]::double < 0.3)::int::varchar || (embedding[2]::double > -0.1 and embedding[2]::double < 0.1)::int::varchar bits from embeddings")
@@ -389,7 +456,7 @@ def aggregate_math(spark, sf_dir):
 def _window_means(spark, sf_dir):
     e = fx.clamped(spark, sf_dir)
     pt = fx.vectors(spark, sf_dir).select("cell", F.get("vec", 0).alias("pseudotime"))
-    w = tree.moving_windows(tree.near_equal(pt, [], ["pseudotime", "cell"], 40), 3)
+    w = tree.moving_windows(tree.near_equal(pt, [], ["pseudotime", "cell"], 40, scratch=_scratch(spark, "order")), 3)
     return curves.window_means(e, w)
 
 
@@ -550,7 +617,7 @@ def cluster_tip_potential(spark, sf_dir):
 @query("with v as (select vec_id, embedding::double[] e from embeddings), d as (select a.vec_id cell, list_distance(a.e, b.e) d, a.e[1] pa, b.e[1] pb from v a join v b on a.vec_id <> b.vec_id) select cell, round(avg((pb <= pa)::int), 6) tip_potential from d where d between 1.2 and 1.4 group by 1")
 def tip_potential(spark, sf_dir):
     v = fx.vectors(spark, sf_dir)
-    out = pseudotime.tip_potential(v.select("cell", "vec"), v.select("cell", F.get("vec", 0).alias("pseudotime")), 1.2, 1.4)
+    out = pseudotime.tip_potential(v.select("cell", "vec"), v.select("cell", F.get("vec", 0).alias("pseudotime")), 1.2, 1.4, _scratch(spark, "potential"))
     return out.withColumn("tip_potential", F.round("tip_potential", 6))
 
 
@@ -640,29 +707,65 @@ def comparisons_along_tree(spark, sf_dir):
     return _compared(spark, sf_dir)
 
 
-@query()
+def _auc_sql(x: str, sd: str, least_frac: float, bound: str, genes: str = "true") -> str:
+    """CTEs ending in ``au{x}``: markers by precision and recall over (cmp, cell, side) of ``sd``."""
+    return f"""z{x} as (select cmp, count(*) filter (side = 1) n1, count(*) filter (side = 2) n2 from {sd} group by 1), mt{x} as (select gene, cell, value, cmp, side from ex join {sd} using (cell) where {genes}),
+u{x} as (select cmp, gene, n1, n2, coalesce(sum(power(2, value) - 1) filter (side = 1), 0) u1, coalesce(sum(power(2, value) - 1) filter (side = 2), 0) u2, count(*) filter (side = 1 and value > 0) k1, count(*) filter (side = 2 and value > 0) k2 from mt{x} join z{x} using (cmp) group by all),
+g{x} as (select cmp, gene, n1, n2, round(k1 / n1, 3) frac_1, round(k2 / n2, 3) frac_2, round(log2(u1 / n1 + 1), 3) exp_1, round(log2(u2 / n2 + 1), 3) exp_2 from u{x} where n1 > 0 and n2 > 0),
+f{x} as (select *, case when exp_2 = 0 and exp_1 > 0 then 'infinity'::double when exp_1 > 0 then log2((power(2, exp_1) - 1) / (power(2, exp_2) - 1)) end exp_fc from g{x}),
+p{x} as (select * from f{x} where greatest(frac_1, frac_2) > {least_frac} and abs(frac_1 - frac_2) > 0 and exp_fc > 0),
+r{x} as (select cmp, gene, value, count(*) filter (side = 1) p, count(*) filter (side = 2) n from mt{x} semi join p{x} using (cmp, gene) where value <> 0 group by 1, 2, 3),
+al{x} as (select * from r{x} union all select cmp, gene, 0, n1 - coalesce(sp, 0), n2 - coalesce(sn, 0) from p{x} left join (select cmp, gene, sum(p) sp, sum(n) sn from r{x} group by 1, 2) using (cmp, gene) where n1 - coalesce(sp, 0) + n2 - coalesce(sn, 0) > 0),
+c{x} as (select cmp, gene, value, sum(p) over w / sum(p) over (partition by cmp, gene) rec, sum(p) over w / (sum(p) over w + sum(n) over w) prec from al{x} window w as (partition by cmp, gene order by value desc)),
+st{x} as (select cmp, gene, (rec - lag(rec) over w) * (prec + lag(prec) over w) / 2 s from c{x} window w as (partition by cmp, gene order by value desc)),
+au{x} as materialized (select cmp, gene, n1, n2, frac_1, frac_2, exp_1, exp_2, exp_fc, auc, auc / (n1 / (n1 + n2)) ratio from p{x} join (select cmp, gene, round(coalesce(sum(s), 0), 3) auc from st{x} group by 1, 2) using (cmp, gene) where auc >= {bound})"""
+
+
+BEYOND = "least(n1 / (n1 + n2), 1)"
+#: What no segment farther down has against it and half of the siblings at least are beaten in, from (cmp, gene) of ``found`` and ``against``.
+KEPT = """nm as (select distinct cmp, segment, depth from cd), lo as (select gene, min(depth) low from {against} join nm using (cmp) group by 1),
+k0 as (select f.*, segment, depth from {found} f join nm using (cmp) left join lo using (gene) where low is null or low >= depth), sb as (select segment, count(*) siblings from nm group by 1),
+kt as materialized (select * exclude (siblings) from (select k0.*, siblings, count(*) over (partition by segment, gene) beaten from k0 join sb using (segment)) where beaten >= siblings * 0.5)"""
+BEST = "be2 as (select gene, max({{'v': {by}, 'd': -depth, 'c': cmp}}) x, min({{'v': {by}, 'd': depth, 'c': cmp}}) n from kt group by 1)"
+NAMED = f"{CHAIN}, {CREATED}, cd as materialized (select segment || '-' || opposing cmp, segment, depth, cell, side from co)"
+
+
+@query(f"""with recursive {NAMED}, s1 as (select '+' || cmp cmp, cell, side from cd union all select '-' || cmp, cell, 3 - side from cd), {_auc_sql('1', 's1', 0.1, BEYOND)},
+plus as (select substr(cmp, 2) cmp, gene, ratio from au1 where cmp like '+%'), minus as (select substr(cmp, 2) cmp, gene from au1 where cmp like '-%'), {KEPT.format(found='plus', against='minus')},
+s2 as (select 'all' cmp, cell, side from cd), {_auc_sql('2', 's2', 0, BEYOND, 'gene in (select gene from kt)')}, {BEST.format(by='ratio')}
+select gene, frac_1, frac_2, exp_1, exp_2, round(exp_fc, 6) exp_fc, auc, round(ratio, 9) ratio, x.c segment_max, round(x.v, 9) ratio_max, n.c segment_min, round(n.v, 9) ratio_min from au2 join be2 using (gene)""")
 def aucpr_along_tree(spark, sf_dir):
-    return along_tree.auc_pr(_created(spark, sf_dir).expr, _compared(spark, sf_dir), _scratch(spark, "along"), effect=0.0, min_diff=0.0)
+    out = along_tree.auc_pr(_created(spark, sf_dir).expr, _compared(spark, sf_dir), _scratch(spark, "along"), effect=0.0, min_diff=0.0)
+    return out.withColumns({"exp_fc": F.round("exp_fc", 6)} | {c: F.round(c, 9) for c in ("ratio", "ratio_max", "ratio_min")})
 
 
-@query()
+@query(f"""with recursive {NAMED}, {_binom_sql('cd', 'greatest(frac_1, frac_2) >= 0.1', x='1')}, {KEPT.format(found='bi1', against='(select * from bi1 where log_effect < 0)')},
+s2 as (select 'all' cmp, cell, side from cd), {_binom_sql('s2', 'greatest(frac_1, frac_2) >= 0', '(select distinct gene from kt)', '2')}, {BEST.format(by='log_effect')}
+select gene, round(p_adj, 8) p_adj, round(log_effect, 6) log_effect, frac_1, frac_2, trans_1, trans_2, x.c segment_max, round(x.v, 6) log_effect_max, n.c segment_min, round(n.v, 6) log_effect_min from bi2 join be2 using (gene)""")
 def binom_along_tree(spark, sf_dir):
     c = _created(spark, sf_dir)
-    return along_tree.binom(c.expr, c.counts, _compared(spark, sf_dir), _scratch(spark, "along"), effect=0.0, p_max=1.0)
+    out = along_tree.binom(c.expr, c.counts, _compared(spark, sf_dir), _scratch(spark, "along"), effect=0.0, p_max=1.0)
+    return out.withColumns({"p_adj": F.round("p_adj", 8)} | {c: F.round(c, 6) for c in ("log_effect", "log_effect_max", "log_effect_min")})
 
 
-@query()
+@query(f"""with recursive {NAMED}, sd as (select cmp, cell, side from cd semi join tot using (cell)), {WELCH}, nm as (select distinct cmp, segment from cd semi join tot using (cell)), sb as (select segment, count(*) n from nm group by 1),
+up2 as (select name from (select segment, name, count(*) k from wl join nm using (cmp) where log_fc > 0 and m1 >= 0.1 group by 1, 2) join sb using (segment) where k = n)
+select distinct name, 'up' state from up2 union all select distinct name, 'down' from wl where log_fc < 0 and m2 >= 0.1""")
 def modules_along_tree(spark, sf_dir):
     c = _created(spark, sf_dir)
-    values = expression.dense(c.expr, c.cells).select(F.col("gene").alias("name"), "cell", F.col("value").alias("v"))
-    return along_tree.modules(values, _compared(spark, sf_dir), _scratch(spark, "along"), effect=0.0, p_max=1.0)
+    values = c.expr.select(F.col("gene").alias("name"), "cell", F.col("value").alias("v"))
+    return along_tree.modules(values, c.cells, _compared(spark, sf_dir), _scratch(spark, "along"), effect=0.0, p_max=1.0)
 
 
-@query()
+@query(f"""with {CREATED}, se as (select c_custkey::varchar cell, case when c_nationkey < 8 then 'one' when c_nationkey < 16 then 'two' else 'three' end s, c_mktsegment grp from customer), ot as (select distinct s other from se where s <> 'one'),
+sd as (select grp || '|' || other cmp, grp, cell, 1 side from se, ot where s = 'one' union all select grp || '|' || s, grp, cell, 2 from se where s <> 'one'), {_auc_sql('1', 'sd', 0.1, BEYOND.replace(', 1)', ", 'inf'::double)"))},
+pa as (select gene, split_part(cmp, '|', 1) grp from au1 where exp_fc > 0 and auc >= greatest(0.1, n1 / (n1 + n2))), en as (select gene, count(*) groups_marked from (select gene, grp from pa group by 1, 2 having count(*) = (select count(*) from ot)) group by 1),
+be as (select gene, max({{'auc': auc, 'cmp': cmp}}) b from au1 group by 1)
+select gene, groups_marked, cmp comparison_best, auc auc_best, round(exp_fc, 6) exp_fc_best, frac_1, frac_2, exp_1, exp_2 from en join be using (gene) join au1 using (gene) where cmp = b.cmp""")
 def aucpr_by_factor(spark, sf_dir):
     groups = _segments(spark, sf_dir)
     sets = fx.load(spark, sf_dir, "customer").select(F.when(F.col("c_nationkey") < 8, "one").when(F.col("c_nationkey") < 16, "two").otherwise("three").alias("name"), F.col("c_custkey").cast("string").alias("cell"))
-    return along_tree.auc_pr_by_factor(_created(spark, sf_dir).expr, sets, groups, _scratch(spark, "factor"), effect=0.0)
+    return along_tree.auc_pr_by_factor(_created(spark, sf_dir).expr, sets, groups, _scratch(spark, "factor"), effect=0.0).withColumn("exp_fc_best", F.round("exp_fc_best", 6))
 
 
 # coordinates ---------------------------------------------------------------------------------------
@@ -707,7 +810,7 @@ def branch_preference(spark, sf_dir):
 @query(f"""with {XYZ}, d as (select a.cell, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) dist from p a join p b on a.cell <> b.cell),
 r as (select *, row_number() over (partition by cell order by dist) k from d) select cell, round(dist, 6) n_dist from r where k = 9""")
 def layout_density(spark, sf_dir):
-    return curves.layout_density(_points(spark, sf_dir), 10).withColumn("n_dist", F.round("n_dist", 6))
+    return curves.layout_density(_points(spark, sf_dir), _scratch(spark, "density"), 10).withColumn("n_dist", F.round("n_dist", 6))
 
 
 @query(f"""with {XYZ}, o as (select *, row_number() over (partition by label order by z desc, cell) r from p), t as (select label, max(x) filter (r = 1) x1, max(y) filter (r = 1) y1, max(z) filter (r = 1) z1, max(x) filter (r = 5) x5, max(y) filter (r = 5) y5, max(z) filter (r = 5) z5 from o group by 1),
@@ -717,6 +820,51 @@ def tip_labels(spark, sf_dir):
     return curves.tip_labels(d, 5.0).select("segment", *[_r(c, 5).alias(c) for c in "xyz"])
 
 
+FORCE = f"""{{}}{SQL['t1']}, vd as (select vec_id cell, [floor(100 * abs(embedding[1]::double)), floor(100 * abs(embedding[2]::double)), floor(100 * abs(embedding[3]::double)), floor(100 * abs(embedding[4]::double)), abs(embedding[5]::double)] e, abs(embedding[5]::double) pt, 'n' || (vec_id % 25) s from embeddings),
+vp as (select cell, pt, s, list_transform(e, lambda v: v / list_sum(e)) e from vd where list_sum(e) >= 1), kd as (select a.cell, b.cell nbr, list_distance(a.e, b.e) dist from vp a join vp b on a.cell <> b.cell), kn as materialized (select *, row_number() over (partition by cell order by dist, nbr) rank from kd qualify rank <= 40),
+fc as (select quantile_cont(dist, 0.75) + 1.5 * (quantile_cont(dist, 0.75) - min(dist)) f from kn where rank = 2), ea as (select * from kn where cell in (select cell from kn, fc where rank = 2 and dist <= f)), fe as (select quantile_cont(dist, 0.75) + 1.2 * (quantile_cont(dist, 0.75) - min(dist)) f from ea),
+sg as (select distinct child s, parent p from t1), fg as materialized (select ea.cell a, nbr b, dist, 1 / dist weight from ea join vp x on x.cell = ea.cell join vp y on y.cell = nbr join sg m on m.s = x.s join sg n on n.s = y.s, fe where dist <= f and abs(x.pt - y.pt) <= 0.2 and (x.s = y.s or m.p = n.p))"""
+
+
+def _force(spark, sf_dir):
+    """(profiles' neighbours, pseudotime, edges of cells that are near in all ways)."""
+    v, scratch = fx.vectors(spark, sf_dir), _scratch(spark, "force")
+    long = v.select("cell", F.posexplode(F.slice("vec", 1, 4)).alias("tip", "x")).select("tip", "cell", F.floor(100 * F.abs("x")).alias("v"))
+    pt = v.select("cell", F.abs(F.get("vec", 4)).alias("pseudotime"))
+    segment = v.select("cell", F.concat(F.lit("n"), (F.col("cell") % 25).cast("string")).alias("segment"))
+    knn = scratch.table(neighbors.knn_exact(layout.visit_profiles(long, pt), 40, _scratch(spark, "knn")), "near")
+    return knn, pt, layout.neighbor_edges(knn, pt, scratch, segment, fx.tree(spark, sf_dir), cut_cells=1.5, cut_edges=1.2, max_pt_diff=0.2), scratch
+
+
+@query(f"with {FORCE.format('')} select a, b, round(dist, 6) dist, round(weight, 3) weight from fg")
+def force_edges(spark, sf_dir):
+    return _force(spark, sf_dir)[2].select("a", "b", F.round("dist", 6).alias("dist"), F.round("weight", 3).alias("weight"))
+
+
+def _peel_sql(rounds: int, least: int) -> str:
+    """So many rounds, of which those after the last change leave all as it is."""
+    return ", ".join(f"c{i} as materialized (select a, count(*) filter (dist > 0) >= {least} ok from e{i} group by 1), e{i + 1} as materialized (select * from e{i} where (select bool_and(ok) from c{i}) or (a in (select a from c{i} where ok) and b in (select a from c{i} where ok)))" for i in range(rounds))
+
+
+@query(f"with {FORCE.format('')}, e0 as (select * from fg), {_peel_sql(24, 3)} select a, b, round(dist, 6) dist from e24")
+def force_graph(spark, sf_dir):
+    _, _, edges, scratch = _force(spark, sf_dir)
+    return layout.peel(edges, 3, scratch).select("a", "b", F.round("dist", 6).alias("dist"))
+
+
+@query(f"with {FORCE.format('')} select kn.cell, round(sum(vp.pt / dist) / sum(1 / dist), 6) neighbor_pt from kn join vp on vp.cell = nbr group by 1")
+def neighbor_times(spark, sf_dir):
+    knn, pt, _, _ = _force(spark, sf_dir)
+    return layout.neighbor_time(knn, pt).withColumn("neighbor_pt", F.round("neighbor_pt", 6))
+
+
+@query()
+def force_layout(spark, sf_dir):
+    knn, pt, edges, scratch = _force(spark, sf_dir)
+    places = layout.force_layout(layout.undirected(layout.peel(edges, 3, scratch)), _scratch(spark, "layout"), rounds=12)
+    return layout.telescope(places, layout.neighbor_time(knn, pt))
+
+
 # cells and batches -----------------------------------------------------------------------------------
 
 
@@ -745,7 +893,10 @@ def batch_corrected(spark, sf_dir):
     return batch.combat(fx.clamped(spark, sf_dir), batches)
 
 
-@query()
+@query(f"""with {CREATED}, gp as (select tot.cell, c_mktsegment grp from tot join customer on c_custkey::varchar = tot.cell), me as (select c_mktsegment grp, gene, sum(value) / any_value(n) m from ex join customer on c_custkey::varchar = ex.cell join (select c_mktsegment, count(*) n from customer group by 1) using (c_mktsegment) group by 1, 2),
+gn as (select distinct gene from me), fu as (select grp, gene, coalesce(m, 0) m from (select distinct grp from me) cross join gn left join me using (grp, gene)), di as (select a.grp g1, b.grp g2, sum((a.m - b.m) * (a.m - b.m)) d from fu a join fu b on a.gene = b.gene and a.grp <> b.grp group by 1, 2),
+ne as (select g1, arg_min(g2, d) g2 from di group by 1), pr as (select distinct least(g1, g2) g1, greatest(g1, g2) g2 from ne), sd as (select g1 || '-' || g2 cmp, cell, 1 side from pr join gp on grp = g1 union all select g1 || '-' || g2, cell, 2 from pr join gp on grp = g2), {_binom_sql('sd', 'greatest(frac_1, frac_2) >= 0.1')}
+select g1, g2, (select count(*) from bi where cmp = g1 || '-' || g2) n_genes from pr""")
 def cluster_de(spark, sf_dir):
     c, groups = _created(spark, sf_dir), _segments(spark, sf_dir)
     means = c.expr.join(groups, "cell").groupBy("grp", "gene").agg(F.sum("value").alias("s")).join(expression.group_sizes(groups), "grp").select("grp", "gene", (F.col("s") / F.col("n")).alias("m"))
