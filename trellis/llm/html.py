@@ -42,6 +42,9 @@ COMMENTS = frozenset("comment comments disqus replies respond".split())
 NEGATIONS = frozenset("no has have without with hide free enabled disabled open closed on off active".split())
 #: Words that make a container likely.
 GOOD = frozenset("article content main body entry post story text blog".split())
+#: Fixed values of HTML: headings; what holds parts of an article, but is not one.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARTS = frozenset("p pre li blockquote dd dt ul ol dl figure table tbody thead tfoot tr".split()) | HEADINGS
 
 
 class Node:
@@ -165,30 +168,53 @@ def blocks(html: str) -> list[tuple[Node, str, int]]:
 
 
 def unmarked(found: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
-    """The blocks outside marked elements. A mark is ignored on an element that holds most of the
-    page's prose (nearly all of it, for a mark of comments): it names the page, not a part of it."""
-    prose, held = 0, {}
-    for node, text, linked in found:
-        n = len(text) - linked if len(text) >= 25 else 0
-        prose += n
-        while node is not None:
-            if node.mark:
-                held[id(node)] = held.get(id(node), 0) + n
-            node = node.parent
-    known: dict[int, bool] = {}
-
-    def dropped(x: Node | None) -> bool:
-        path = []
-        while x is not None and id(x) not in known:
-            path.append(x)
-            x = x.parent
-        bad = known[id(x)] if x is not None else False
-        for y in reversed(path):
-            most = 0.9 if y.mark == "comments" else 0.5
-            known[id(y)] = bad = bad or (bool(y.mark) and held[id(y)] <= most * prose)
-        return bad
+    """The blocks outside marked elements. Structure, not size, tells whether a mark names a part of the page or
+    the page: it is ignored on an element that holds the likeliest container while there is none as
+    likely outside, and where there is no container, on one that all prose of the page is in. Comments
+    are only kept where nothing else is likely or prose. Outer marks are judged before those within."""
+    while True:
+        likely: list[set[int]] = [set(), set(), set()]  # blocks by how likely their container below any mark is
+        inside: dict[int, list[set[int]]] = {}  # the same by marked element
+        marked: dict[int, Node] = {}
+        outer: set[int] = set()
+        for i, (node, text, linked) in enumerate(found):
+            n = len(text) - linked
+            if n <= 0:
+                continue
+            path, kind, x = [], 0, node
+            while x is not None:
+                if x.mark:
+                    path.append(x)
+                elif not path:
+                    kind = max(kind, 2 if x.tag in ("article", "main") else int(x.bonus > 0))
+                x = x.parent
+            if kind or (n >= 25 and not path):
+                likely[kind].add(i)
+            for y in path:
+                marked[id(y)] = y
+                inside.setdefault(id(y), [set(), set(), set()])[kind].add(i)
+            if path:
+                outer.add(id(path[-1]))
+        named = set()
+        for k in outer:
+            own = inside[k]
+            within, out = (max((r for r in (1, 2) if s[r]), default=0) for s in (own, [a - b for a, b in zip(likely, own)]))
+            plain = bool(likely[0] - own[0])
+            if (within > 0 and not out and not plain) if marked[k].mark == "comments" else (within > out or not (within or out or plain)):
+                named.add(tuple(frozenset(s) for s in own))
+        if not named:
+            return [b for b in found if not _marked(b[0])]
+        for k, own in inside.items():  # an element that holds the same blocks says no more
+            if (k in outer or marked[k].mark != "comments") and tuple(frozenset(s) for s in own) in named:
+                marked[k].mark = ""
+
 
-    return [b for b in found if not dropped(b[0])]
+def _marked(x: Node | None) -> bool:
+    while x is not None:
+        if x.mark:
+            return True
+        x = x.parent
+    return False
 
 
 def extract(html: str | None) -> str:
@@ -207,19 +233,22 @@ def extract(html: str | None) -> str:
             nodes[id(up)] = up
             up.chars += n
             up.linked += linked
-            if depth or up.tag not in ("p", "pre", "td", "li", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "dd", "dt"):
+            if depth or (up.tag not in PARTS and up.tag != "td"):
                 up.score += points * share
                 share = 0.5 if share == 1 else share * 2 / 3
             depth += 1
             up = up.parent
     value = lambda x: (x.score + x.bonus * (x.score > 0)) * (1 - x.linked / x.chars)
-    best = max(nodes.values(), key=lambda x: (value(x), -x.at))
+    best = max((x for x in nodes.values() if x.tag not in PARTS), key=lambda x: (value(x), -x.at))
     top = value(best)
     keep = {id(best)}
+    heads = {id(node) for node, _, linked in found if node.tag in HEADINGS and not linked}
+    sections = {id(node.parent) for node, text, linked in found if (node.tag == "p" or id(node) in heads) and linked < len(text) / 4}
     for x in nodes.values():
         if x.parent is best.parent and x is not best and best.parent is not None:
             prose = x.tag == "p" and x.linked / x.chars < 0.25 and (x.chars > 80 or not x.linked)
-            if value(x) >= max(10.0, 0.2 * top) or (prose and best.tag not in ("article", "main")):
+            section = x.tag == best.tag and x.linked / x.chars < 0.25 and id(x) in sections
+            if value(x) >= max(10.0, 0.2 * top) or ((prose or section or id(x) in heads) and best.tag not in ("article", "main")):
                 keep.add(id(x))
     inside: dict[int, bool] = {}
 
