@@ -6,6 +6,9 @@ result is written as Parquet in the shared folder and read again for the next.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,11 +24,25 @@ def _measured(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def _apart(stage: Callable) -> Callable:
+    """A stage that sees doc_id, text and n_chars by their names and all other columns by names of their own,
+    which none of its columns has; they get their names back after it."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        own = {c: f"__carried_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "n_chars")}
+        out = stage(spark, docs.select(*[F.col(f"`{c}`").alias(own.get(c, c)) for c in docs.columns]), sf_dir)
+        return out.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
+
+    return run
+
+
 def _key() -> Column:
     """What tells rows apart, also those of one id; ordered by id."""
     return F.struct(F.col("doc_id"), F.xxhash64("text").alias("h"))
 
 
+@_apart
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failing lines go; documents that the rules reject go. Null, empty and blank texts have no words
     and are rejected; repeated rows are judged alike."""
@@ -33,6 +50,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _measured(good, docs.columns)
 
 
+@_apart
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal and near lines the first stays; all documents stay, also those that lose all their
     lines. Null and blank texts have no lines. Rows of one id are told apart by their texts; rows
@@ -42,6 +60,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _measured(lines.without_lines(keyed, removed, id_col="_key"), docs.columns)
 
 
+@_apart
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group stays: that of the smallest id, and of rows of that id the one of the
     smallest text hash. Rows of one id with unlike texts are told apart and both stay. Null, empty
@@ -54,6 +73,7 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keyed.join(keep, "_key", "left_semi").groupBy("_key").agg(F.min(row).alias("_row")).select("_row.*")
 
 
+@_apart
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each span of personal data becomes its kind in brackets. All rows stay, null texts as nulls."""
     return _measured(pii.masked(docs, pii.fit(docs)), docs.columns)
