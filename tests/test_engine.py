@@ -28,7 +28,7 @@ def _norm(v):
     return f"{v:.8g}" if isinstance(v, float) or type(v).__name__ == "Decimal" else str(v)
 
 
-@pytest.mark.parametrize("name", ["create_filter_normalize", "markers_auc_pr", "knn_exact", "jaccard_edges", "doublet_module_pairs", "walk_visits_prefix", "weighted_edges", "segment_parents_all", "near_equal_nodes", "moving_windows", "holm_adjust", "decode_barcode", "read_knee_curve", "impulse_derivatives", "inverse_curves", "scalar_math", "comparisons_along_tree", "collapsed_segments", "without_only_children", "tree_nodes", "edges_of_cells", "layout_density", "tip_labels", "tip_cells", "modules_in_cells", "batch_corrected", "doublet_cells", "markers_binomial", "welch_statistics", "binom_along_tree", "aucpr_along_tree", "modules_along_tree", "aucpr_by_factor", "cluster_de", "flood_chances", "bh_adjust", "logistic_params", "stability_total_change", "tip_potential", "cluster_quality", "force_edges", "force_graph", "neighbor_times", *VIEWS])
+@pytest.mark.parametrize("name", ["create_filter_normalize", "markers_auc_pr", "knn_exact", "jaccard_edges", "doublet_module_pairs", "walk_visits_prefix", "weighted_edges", "segment_parents_all", "near_equal_nodes", "moving_windows", "holm_adjust", "decode_barcode", "read_knee_curve", "impulse_derivatives", "inverse_curves", "scalar_math", "comparisons_along_tree", "collapsed_segments", "without_only_children", "tree_nodes", "edges_of_cells", "layout_density", "tip_labels", "tip_cells", "modules_in_cells", "batch_corrected", "doublet_cells", "markers_binomial", "welch_statistics", "binom_along_tree", "aucpr_along_tree", "modules_along_tree", "aucpr_by_factor", "cluster_de", "flood_chances", "bh_adjust", "logistic_params", "stability_total_change", "tip_potential", "cluster_quality", "force_edges", "force_graph", "neighbor_times", "kernel_sweep", "tsne_affinities", "mutual_neighbors", "mutual_corrected", "module_mixtures", "elaborated_tree", "window_divergence", "variable_genes", "assigned_segments", "module_overlaps", "module_links", "module_chains", "module_programmes", "windows_of_time", "windows_merged", "dot_values", "plotted_counts", "batch_corrected_reference", "tree_two_colors", *VIEWS])
 def test_against_sql(spark, sf, name):
     import duckdb
 

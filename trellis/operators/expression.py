@@ -42,6 +42,14 @@ def summary_by_group(expr: DataFrame, groups: DataFrame, min_exp: float = 0.0) -
     return sums.join(group_sizes(groups), "grp").select("grp", "gene", F.log2(F.col("u") / n + 1).alias("mean_of_logs"), (F.col("s") / n).alias("mean"), (F.col("k") / n).alias("prop_exp"))
 
 
+def dot_values(expr: DataFrame, groups: DataFrame, min_exp: float = 0.05, expressing_only: bool = False) -> DataFrame:
+    """(grp, gene, mean, prop_exp) of a dot plot: mean of logs over all cells of a group, or over its expressing
+    ones only, where the share of these is at least ``min_exp``."""
+    sums = expr.where("value > 0").join(groups, "cell").groupBy("grp", "gene").agg(F.sum(F.pow(F.lit(2.0), "value") - 1).alias("u"), F.count("*").alias("k")).join(group_sizes(groups), "grp")
+    over = F.col("k") if expressing_only else F.col("n")
+    return sums.select("grp", "gene", F.log2(F.col("u") / over + 1).alias("mean"), (F.col("k") / F.col("n")).alias("prop_exp")).where(F.col("prop_exp") >= min_exp)
+
+
 def doublet_pairs(modules: DataFrame, high: float = 0.3, low: float = 0.15) -> DataFrame:
     """For each two modules: cells above both thresholds, their overlap, and its share of the smaller."""
     flags = modules.where(F.col("v") >= low).select("cell", "module", (F.col("v") >= high).cast("int").alias("h"))

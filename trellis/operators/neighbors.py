@@ -122,6 +122,43 @@ def diffusion_edges(knn: DataFrame, sigma: float | None = None, density: bool =
     return sym
 
 
+def neighbors_for(cells: int, least: int = 100, small: int = 1000, big: int = 10000) -> int:
+    """How many neighbours a diffusion map takes: all, of few cells; a hundredth, but ``least`` at least, of many; in
+    between what lies between on a scale of logarithms."""
+    few, many = max(small - 1, 1), max(least, big // 100)
+    if cells <= small:
+        return max(cells - 1, 1)
+    if cells >= big:
+        return max(least, cells // 100)
+    share = math.log(cells / small) / math.log(big / small)
+    return round(math.exp(math.log(few) * (1 - share) + math.log(many) * share))
+
+
+def kernel_sweep(knn: DataFrame, steps: int = 25) -> DataFrame:
+    """(step, sigma, mean_log, slope, chosen): the mean logarithm of a cell's kernel sum, itself included, over widths
+    in equal ratios from the least distance above zero to the largest; the slope to the next width, and
+    whether that is the steepest, where the kernel feels the most dimensions. One pass for all widths."""
+    r = knn.agg(F.min(F.when(F.col("dist") > 0, F.col("dist"))).alias("lo"), F.max("dist").alias("hi")).first()
+    if r["lo"] is None:
+        return knn.sparkSession.createDataFrame([], "step int, sigma double, mean_log double, slope double, chosen boolean")
+    lo, hi = math.log10(r["lo"]), math.log10(r["hi"])
+    widths = [10 ** (lo + (hi - lo) * s / (steps - 1)) for s in range(steps)]
+    sums = knn.groupBy("cell").agg(*[(1 + F.sum(F.exp(-F.pow("dist", 2.0) / (2 * w * w)))).alias(f"s{i}") for i, w in enumerate(widths)])
+    row = sums.agg(*[F.avg(F.log10(f"s{i}")).alias(f"m{i}") for i in range(steps)]).first()
+    gap = (hi - lo) / (steps - 1) or 1.0
+    slopes = [(row[i + 1] - row[i]) / gap for i in range(steps - 1)]
+    best = max(range(steps - 1), key=lambda i: (slopes[i], -i))
+    rows = [(i, widths[i], row[i], slopes[i] if i < steps - 1 else None, i == best) for i in range(steps)]
+    return knn.sparkSession.createDataFrame(rows, "step int, sigma double, mean_log double, slope double, chosen boolean")
+
+
+def optimal_sigma(knn: DataFrame, steps: int = 25) -> float | None:
+    """The width in the middle, by ratio, of the steepest interval of the sweep."""
+    rows = kernel_sweep(knn, steps).orderBy("step").collect()
+    at = next((i for i, r in enumerate(rows) if r["chosen"]), None)
+    return None if at is None else math.sqrt(rows[at]["sigma"] * rows[at + 1]["sigma"])
+
+
 def undirected_edges(edges: DataFrame, cells: DataFrame | None = None, connected: bool = False) -> DataFrame:
     """(a, b, w): each pair of (i, j, w) once, by the larger weight; between chosen cells, or touching one of them."""
     e = edges.where("i <> j").groupBy(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.max("w").alias("w"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trellis.functions.stats import dip, ks_asymptotic
+from trellis.functions.stats import DIP_SIZES, dip, dip_p, ks_asymptotic
 from trellis.plans.order import ranked
 
 
@@ -112,11 +113,51 @@ def moving_windows(groups: DataFrame, width: int, keys: list[str] | None = None)
     return d.withColumn("window", F.explode(starts)).drop("_top")
 
 
-def divergence(visits: DataFrame, pt: DataFrame, pairs: DataFrame, least: float = 10, threshold: float = 0.7, cuts: int = 80, width: int = 5, p_max: float = 0.01, method: str = "ks", pref_max: float = 0.5) -> DataFrame:
+def equal_times(pt: DataFrame, width: float, name: str = "grp") -> DataFrame:
+    """(cell, pseudotime, ...) with the stretch of pseudotime each cell lies in: as many equal ones as have a length of
+    about ``width``, one at least, closed to the right. Cells without pseudotime are left out."""
+    r = pt.agg(F.min("pseudotime").alias("_lo"), F.max("pseudotime").alias("_hi"))
+    d = pt.where("pseudotime is not null").crossJoin(F.broadcast(r)).withColumn("_n", F.greatest(F.bround((F.col("_hi") - F.col("_lo")) / width), F.lit(1)).cast("int"))
+    at = F.ceil(F.try_divide((F.col("pseudotime") - F.col("_lo")) * F.col("_n"), F.col("_hi") - F.col("_lo")))
+    return d.withColumn(name, F.least(F.greatest(F.coalesce(at, F.lit(1)), F.lit(1)), F.col("_n")).cast("int")).drop("_lo", "_hi", "_n")
+
+
+def window_names(windows: DataFrame, by: str = "mean") -> DataFrame:
+    """(window, name): the mean, least or greatest pseudotime of a window's cells, to three decimals."""
+    fold = {"mean": F.avg, "min": F.min, "max": F.max}[by]
+    return windows.groupBy("window").agg(F.round(fold("pseudotime"), 3).alias("name"))
+
+
+def merged_windows(windows: DataFrame, width: float, by: str = "mean") -> DataFrame:
+    """Windows of cells whose names lie in the same stretch of pseudotime of the ``width`` become one, named by the
+    stretch: (window, cell, pseudotime), each cell once."""
+    at = window_names(windows, by).select("window", F.floor(F.col("name") / width).cast("int").alias("to"))
+    return windows.join(at, "window").select(F.col("to").alias("window"), "cell", "pseudotime").distinct()
+
+
+def dip_null(spark, draws: int = 2000, seed: int = 1) -> dict[int, np.ndarray]:
+    """Sorted dips of uniform values for ``DIP_SIZES`` numbers of values. Draws are dealt over tasks, each with a
+    generator of its own; the table's size is fixed by the parameters."""
+    chunk = 100
+
+    def run(batches):
+        for b in batches:
+            for n, c in zip(b["n"], b["c"], strict=True):
+                rng = np.random.default_rng((seed, int(n), int(c)))
+                yield pd.DataFrame({"n": int(n), "dip": [dip(rng.random(int(n))) for _ in range(chunk)]})
+
+    jobs = spark.createDataFrame([(n, c) for n in DIP_SIZES for c in range(max(1, draws // chunk))], "n int, c int").repartition(spark.sparkContext.defaultParallelism * 2, "n", "c")
+    rows = jobs.mapInPandas(run, "n int, dip double").collect()
+    return {n: np.sort([r["dip"] for r in rows if r["n"] == n]) for n in DIP_SIZES}
+
+
+def divergence(visits: DataFrame, pt: DataFrame, pairs: DataFrame, least: float = 10, threshold: float = 0.7, cuts: int = 80, width: int = 5, p_max: float = 0.01, method: str = "ks", pref_max: float = 0.5, null: dict[int, np.ndarray] | None = None) -> DataFrame:
     """Window tests of all segment pairs at once: (s1, s2, window, p, p_adj, different, mean_pt, min_pt,
     max_pt), and of each group of cells in the window its number, sum of pseudotimes and size.
 
-    One window's cells are one group; its size is bounded by cuts times width.
+    One window's cells are one group; its size is bounded by cuts times width. ``method``: "ks" compares the
+    visits of both sides, "preference" asks whether the preference for one of them has two modes, by the
+    dip against ``null``, the dips of uniform values (``dip_null``, drawn here if not given).
     """
     from trellis.operators.markers import adjust_holm
 
@@ -128,15 +169,16 @@ def divergence(visits: DataFrame, pt: DataFrame, pairs: DataFrame, least: float
     windows = moving_windows(grouped, width, ["s1", "s2"])
     kind = visits.schema["segment"].dataType.simpleString()
 
+    if method != "ks" and null is None:
+        null = dip_null(visits.sparkSession)
+
     def test(d: pd.DataFrame) -> pd.DataFrame:
         a, b = d["v1"].to_numpy(float), d["v2"].to_numpy(float)
         if method == "ks":
             p, pref = ks_asymptotic(a, b)[1], 0.0
         else:
             x = np.where(a + b > 0, (a - b) / np.maximum(a + b, 1e-300), 0)
-            rng = np.random.default_rng(len(x))
-            null = [dip(rng.random(len(x))) for _ in range(100)]
-            p, pref = float((np.array(null) >= dip(x)).mean()), float(np.abs(x).mean())
+            p, pref = dip_p(dip(x), len(x), null), float(np.abs(x).mean())
         t = d["pseudotime"]
         of = t.groupby(d["grp"]).agg(["sum", "count"])
         return pd.DataFrame({"groups": [of.index.tolist()], "sums": [of["sum"].tolist()], "counts": [of["count"].tolist()], "s1": [d["s1"].iloc[0]], "s2": [d["s2"].iloc[0]], "window": [d["window"].iloc[0]], "p": [p], "pref": [pref], "mean_pt": [t.mean()], "min_pt": [t.min()], "max_pt": [t.max()]})
@@ -177,6 +219,31 @@ def breakpoint_of(windows: list[dict]) -> float | None:
     return sum(s for s, _ in cells.values()) / sum(n for _, n in cells.values())
 
 
+def elaborate_layout(edges: DataFrame, summary: DataFrame, places: DataFrame, root, limits: DataFrame | None = None) -> DataFrame:
+    """(node_1, node_2, segment_1, segment_2, x1, y1, x2, y2, do_mean): a line for each edge of the tree of nodes.
+
+    ``edges``: (a, b); ``summary``: (node, segment, k, max_pt); ``places``: (segment, x). A line goes from the
+    pseudotime of one node to that of the next; a stub leads from zero to the first node of ``root``.
+    Where a node has no pseudotime, its segment begins or ends by ``limits`` (segment, start, end). An edge
+    between segments at unlike places has a corner: across at the first node's time to a node of number
+    zero, marked ``do_mean``, and from there on along the second segment.
+    """
+    node = lambda n: summary.select(F.col("node").alias(f"node_{n}"), F.col("segment").alias(f"segment_{n}"), F.col("max_pt").alias(f"y{n}"))
+    x = lambda n: places.select(F.col("segment").alias(f"segment_{n}"), F.col("x").alias(f"x{n}"))
+    lines = edges.toDF("node_1", "node_2").join(node(1), "node_1").join(node(2), "node_2")
+    first = summary.where((F.col("segment") == F.lit(root)) & (F.col("k") == 1))
+    stub = first.select(F.concat_ws("-", F.col("segment").cast("string"), F.lit("0")).alias("node_1"), F.col("node").alias("node_2"), F.col("segment").alias("segment_1"), F.lit(0.0).alias("y1"), F.col("segment").alias("segment_2"), F.col("max_pt").alias("y2"))
+    lines = lines.select(*stub.columns).union(stub)
+    if limits is not None:
+        lines = lines.join(limits.select(F.col("segment").alias("segment_1"), F.col("start").alias("_s")), "segment_1", "left").join(limits.select(F.col("segment").alias("segment_2"), F.col("end").alias("_e")), "segment_2", "left")
+        lines = lines.withColumns({"y1": F.coalesce("y1", "_s"), "y2": F.coalesce("y2", "_e")})
+    lines = lines.join(x(1), "segment_1").join(x(2), "segment_2")
+    corner = F.concat_ws("-", F.col("segment_2").cast("string"), F.lit("0"))
+    row = lambda **over: F.struct(*[(over[c] if c in over else F.col(c)).alias(c) for c in ("node_1", "node_2", "segment_1", "segment_2", "x1", "y1", "x2", "y2")], over.get("do_mean", F.lit(False)).alias("do_mean"))
+    across, along = row(node_2=corner, y2=F.col("y1"), do_mean=F.lit(True)), row(node_1=corner, x1=F.col("x2"), segment_1=F.col("segment_2"))
+    return lines.select(F.explode(F.when(F.col("x1") != F.col("x2"), F.array(across, along)).otherwise(F.array(row()))).alias("l")).select("l.*")
+
+
 def interleaved(joins: DataFrame) -> DataFrame:
     """(parent, child, pseudotime) from joins of two children a row."""
     return joins.select("parent", F.explode(F.array("child_1", "child_2")).alias("child"), "pseudotime")
@@ -232,8 +299,9 @@ def assign_cells(visits: DataFrame, pt: DataFrame, limits: DataFrame, tip_cells:
     return top.where("v > 0").select("cell", "segment")
 
 
-def build(visits: DataFrame, pt: DataFrame, tip_cells: DataFrame, scratch, **options) -> tuple[list[tuple[int, int, float]], DataFrame]:
-    """(joins, visits of all segments): the pair that parts latest is joined, again and again.
+def build(visits: DataFrame, pt: DataFrame, tip_cells: DataFrame, scratch, weighted: bool = True, **options) -> tuple[list[tuple[int, int, float]], DataFrame]:
+    """(joins, visits of all segments): the pair that parts latest is joined, again and again. The visits of a new
+    segment are the mean of its tips', weighted by their cells or, if not ``weighted``, alike.
 
     Segments are few, so the loop over them runs on the driver; each round's tests are one job
     over the new pairs only.
@@ -241,7 +309,9 @@ def build(visits: DataFrame, pt: DataFrame, tip_cells: DataFrame, scratch, **opt
     ids = sorted(int(r["segment"]) for r in visits.select("segment").distinct().collect())
     size = {int(r["tip"]): int(r["n"]) for r in tip_cells.groupBy("tip").agg(F.count("*").alias("n")).collect()}
     spark, known, joins, alive, now = visits.sparkSession, {}, [], list(ids), visits
-    following = max(ids) + 1
+    if options.get("method", "ks") != "ks" and "null" not in options:
+        options["null"] = dip_null(spark)
+    following, tips = max(ids) + 1, {}
     while len(alive) > 1:
         todo = [(a, b) for a in alive for b in alive if a < b and (a, b) not in known]
         rows = divergence(now, pt, spark.createDataFrame(todo, "s1 long, s2 long"), **options).toPandas()
@@ -251,8 +321,8 @@ def build(visits: DataFrame, pt: DataFrame, tip_cells: DataFrame, scratch, **opt
         a, b = max(((x, y) for x in alive for y in alive if x < y), key=lambda k: (known[k] or 0.0, -k[0], -k[1]))
         new, following = following, following + 1
         joins += [(new, a, known[a, b] or 0.0), (new, b, known[a, b] or 0.0)]
-        na, nb = size.get(a, 1), size.get(b, 1)
-        size[new] = na + nb
+        na, nb = (size.get(a, 1), size.get(b, 1)) if weighted else (tips.pop(a, 1), tips.pop(b, 1))
+        size[new] = tips[new] = na + nb
         two = now.where(F.col("segment").isin(a, b)).withColumn("n", F.when(F.col("segment") == a, na).otherwise(nb))
         merged = two.groupBy("cell").agg((F.sum(F.col("v") * F.col("n")) / (na + nb)).alias("v")).select(F.lit(new).cast("long").alias("segment"), "cell", "v")
         now = scratch.table(now.union(merged), f"tree{new}")
@@ -264,3 +334,55 @@ def tip_cells(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((tip, cell), (tip, n)) from a grouping (cell, grp) used as tips; cells without a group are in none."""
     cells = groups.where("grp is not null").select(F.col("grp").alias("tip"), "cell")
     return cells, cells.groupBy("tip").agg(F.count("*").alias("n"))
+
+
+@dataclass
+class Tree:
+    """A tree and all that lies on it; every field but ``root`` is a DataFrame."""
+
+    root: int
+    joins: DataFrame  # (parent, child, pseudotime)
+    limits: DataFrame  # (segment, start, end)
+    cells: DataFrame  # (cell, segment)
+    nodes: DataFrame  # (cell, segment, node)
+    summary: DataFrame  # (node, segment, k, mean_pt, max_pt, n)
+    edges: DataFrame  # (a, b) of nodes
+    places: DataFrame  # (segment, x)
+    lines: DataFrame  # as of elaborate_layout
+    layout: DataFrame  # (cell, x, y)
+
+
+def assemble(visits: DataFrame, pt: DataFrame, tip_cells: DataFrame, scratch, weighted: bool = True, least: float = 10, threshold: float = 0.7, min_cells: int = 1, min_length: float = 0.01, node_size: int = 100, jitter: float = 0.15, push: float = 0.05, **options) -> Tree:
+    """The tree of (segment, cell, v) of the tips, from joining to layout.
+
+    Tips are joined, each cell goes to the most visited segment whose pseudotimes hold it, segments with
+    too few cells or too short a stretch and only children are taken out, cells are assigned again to
+    what is left and strung into nodes, and all is laid out. Only what is as small as the tree itself
+    comes to the driver: joins, limits, numbers of cells.
+    """
+    from trellis.operators.curves import dendrogram, layout_cells
+
+    spark = visits.sparkSession
+    joins, every = build(visits, pt, tip_cells, scratch, weighted, least=least, threshold=threshold, **options)
+    spans = membership(visits, least, threshold).join(pt, "cell").groupBy("segment").agg(F.min("pseudotime").alias("lo"), F.max("pseudotime").alias("hi")).collect()
+    limits: Limits = {int(r["segment"]): (r["lo"], r["hi"]) for r in spans}
+    for k in range(0, len(joins), 2):
+        (new, a, at), (_, b, _) = joins[k : k + 2]
+        known = [limits[x] for x in (a, b) if x in limits]
+        limits[new] = (min((lo for lo, _ in known), default=0.0), at)
+        for x in (a, b):
+            limits[x] = (at, limits.get(x, (at, at))[1])
+    root = joins[-1][0] if joins else next(iter(limits))
+    frame = lambda held: spark.createDataFrame([(s, float(lo), float(hi)) for s, (lo, hi) in held.items()], "segment long, start double, `end` double")
+    place = lambda held: assign_cells(every.join(frame(held).select("segment"), "segment", "left_semi"), pt, frame(held), tip_cells)
+    sizes = {int(r["segment"]): r["n"] for r in place(limits).groupBy("segment").agg(F.count("*").alias("n")).collect()}
+    joins, limits = remove_unary(*collapse_short(joins, limits, sizes, root, min_cells, min_length))
+    cells = scratch.table(place(limits), "cells")
+    joined = spark.createDataFrame([(int(p), int(c), float(t)) for p, c, t in joins], "parent long, child long, pseudotime double")
+    of, summary = nodes(cells, pt, node_size)
+    summary = scratch.table(summary, "summary")
+    edges = scratch.table(node_edges(summary, joined).select("a", "b"), "edges")
+    places = spark.createDataFrame([(int(s), float(x)) for s, x in (dendrogram(joins) if joins else {root: 0.0}).items()], "segment long, x double")
+    lines = elaborate_layout(edges, summary, places, root, frame(limits))
+    node_x = summary.join(places, "segment").select("node", "x")
+    return Tree(root, joined, frame(limits), cells, of, summary, edges, places, lines, layout_cells(of.select("cell", "node"), node_x, pt, jitter, push))

@@ -16,6 +16,37 @@ def labelled(points: DataFrame, labels: DataFrame) -> DataFrame:
     return points.join(labels, "cell", "left")
 
 
+#: Where a label is looked for, in this order; which kinds are always discrete, or asked about.
+LABEL_ORDER = ("meta", "group", "sig", "gene", "counts", "pseudotime", "nmf", "pca", "diff.data")
+DISCRETE = {"group": True, "meta": None}
+
+
+def plot_data(tables: dict[str, DataFrame], cells: DataFrame, label: str, kind: str = "search") -> tuple[DataFrame, bool]:
+    """((cell, value), whether it is discrete) of a label for the ``cells``.
+
+    ``tables`` by kind: wide ones (cell, and a column a label), or long ones (cell, gene, value) and (cell, gene,
+    count) for "gene" and "counts", whose absent rows are zeros. "search" takes the first kind that has the label.
+    Counts are given as log2(count + 1). Of "meta", text that is no number is discrete, numbers are not.
+    Values are numbers unless discrete.
+    """
+    long = {"gene": "value", "counts": "count"}
+    has = lambda k: k in tables and (label in tables[k].columns if k not in long else not tables[k].where(F.col("gene") == label).isEmpty())
+    found = next((k for k in (LABEL_ORDER if kind == "search" else [kind.lower()]) if has(k)), None)
+    if found is None:
+        raise KeyError(label)
+    own = tables[found]
+    if found in long:
+        value = F.coalesce(F.col(long[found]).cast("double"), F.lit(0.0))
+        rows = cells.select("cell").join(own.where(F.col("gene") == label), "cell", "left")
+        return rows.select("cell", (F.log2(value + 1) if found == "counts" else value).alias("value")), False
+    rows = cells.select("cell").join(own.select("cell", F.col(f"`{label}`").alias("value")), "cell", "left")
+    discrete = DISCRETE.get(found, False)
+    if discrete is None:
+        text = F.col("value").cast("string")
+        discrete = own.schema[label].dataType.simpleString() in ("string", "boolean") and not rows.where(text.isNull() | text.try_cast("double").isNull()).isEmpty()
+    return rows.select("cell", F.col("value").cast("string" if discrete else "double").alias("value")), discrete
+
+
 def drawn_edges(points: DataFrame, edges: DataFrame, alpha: float = 1.0) -> DataFrame:
     """(a, b, x1, y1, x2, y2, alpha) of (a, b, w): an edge is as opaque as its weight is near the largest."""
     end = lambda k, name: points.select(F.col("cell").alias(name), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"))
@@ -101,6 +132,12 @@ def tree_values(values: DataFrame, cell_node: DataFrame, edges: DataFrame) -> Da
     return edges.join(m.withColumnRenamed("node", "b"), "b", "left").select("a", "b", "value")
 
 
+def tree_two_colors(red: DataFrame, green: DataFrame, cell_node: DataFrame, edges: DataFrame, share: float = 0.975) -> DataFrame:
+    """(a, b, red, green) of tree edges: two labels' values at the node where an edge ends, each scaled as in ``two_colors``."""
+    one, other = (tree_values(v, cell_node, edges).withColumnRenamed("value", c) for v, c in ((red, "red"), (green, "green")))
+    return two_colors(one.join(other, ["a", "b"]), share=share)
+
+
 def color_limits(values: DataFrame) -> DataFrame:
     """(low, high) of (value): the range, symmetric about zero if there are negative values."""
     far = F.greatest(F.abs(F.min("value")), F.abs(F.max("value")))

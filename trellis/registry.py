@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trellis.functions import expr as X
-from trellis.operators import along_tree, batch, clusters, curves, expression, layout, markers, neighbors, pseudotime, tree, views, walks
+from trellis.operators import along_tree, batch, clusters, curves, embed, expression, integrate, layout, markers, neighbors, pseudotime, stages, tree, views, walks
 from trellis.plans import fixtures as fx
 from trellis.plans.fixtures import SQL, created_sql
 from trellis.plans.scratch import Scratch
@@ -212,10 +212,22 @@ def variable_gene_stats(spark, sf_dir):
     return neighbors.variable_gene_stats(c, c.select("cell").distinct()).select("gene", F.round("mean", 6).alias("mean"), F.round("cv", 6).alias("cv"))
 
 
-@query()
+def _digamma(x: str) -> str:
+    """By recurrence to twelve above and the asymptotic series there."""
+    y = f"({x} + 12)"
+    shifted = " - ".join(f"1 / ({x} + {i})" for i in range(12))
+    return f"(ln({y}) - 1 / (2 * {y}) - 1 / (12 * {y} * {y}) + 1 / (120 * power({y}, 4)) - 1 / (252 * power({y}, 6)) - {shifted})"
+
+
+@query(f"""with recursive {SQL['m1']}, k as (select count(distinct cell) n from m1), s as (select gene, sum(count) s, sum(count * count) q from m1 group by 1), st as (select gene, s / n mean, sqrt((q - s * s / n) / (n - 1)) / (s / n) cv from s, k),
+to2 as (select cell, sum(count)::double t from m1 group by 1), ra as (select avg(t / m) mean, avg(ln(t / m)) lg from to2, (select avg(t) m from to2)), s0 as (select mean, ln(mean) - lg s from ra),
+ga as (select (3 - s + sqrt((s - 3) * (s - 3) + 24 * s)) / (12 * s) a, s, mean, 0 k from s0 union all select greatest(a - (ln(a) - {_digamma('a')} - s) / (1 / a - ({_digamma('(a * 1.00001)')} - {_digamma('(a * 0.99999)')}) / (2e-5 * a)), a / 2), s, mean, k + 1 from ga where k < 50),
+sh as (select a, a / mean rate from ga where k = 50), d as (select gene, st.mean, cv, ln(cv) - ln(sqrt(a * st.mean / rate + a * power(st.mean / rate, 2)) / (a * st.mean / rate)) diff_cv from st, sh)
+select gene, round(mean, 6) as mean, round(cv, 6) cv, round(diff_cv, 5) diff_cv from d where diff_cv > 0 and mean > 0.005""")
 def variable_genes(spark, sf_dir):
     c = fx.supplier_counts(spark, sf_dir)
-    return neighbors.variable_genes(c, c.select("cell").distinct(), cutoff=0.0, mean_max=1e9)
+    out = neighbors.variable_genes(c, c.select("cell").distinct(), cutoff=0.0, mean_max=1e9)
+    return out.withColumns({"mean": F.round("mean", 6), "cv": F.round("cv", 6), "diff_cv": F.round("diff_cv", 5)})
 
 
 @query()
@@ -390,6 +402,40 @@ def moving_windows(spark, sf_dir):
     return tree.moving_windows(g, 2, ["walk"]).groupBy("walk", "window").agg(F.count("*").alias("n"))
 
 
+TIMED = "tw as (select vec_id cell, embedding[1]::double pt from embeddings), tr as (select min(pt) lo, max(pt) hi, greatest(round_even((max(pt) - min(pt)) / 0.05, 0), 1)::int n from tw), tg as (select cell, pt, n, least(greatest(ceil((pt - lo) * n / (hi - lo)), 1), n)::int grp from tw, tr)"
+
+
+def _by_dimension(spark, sf_dir):
+    return fx.vectors(spark, sf_dir).select("cell", F.get("vec", 0).alias("pseudotime"))
+
+
+@query(f"with {TIMED} select s::int as window, count(*) n, round(avg(pt), 3) as name from tg, range(1, 1000) r(s) where s <= (select max(grp) from tg) - 3 + 1 and grp between s and s + 2 group by 1")
+def windows_of_time(spark, sf_dir):
+    w = tree.moving_windows(tree.equal_times(_by_dimension(spark, sf_dir), 0.05), 3)
+    return w.groupBy("window").agg(F.count("*").alias("n")).join(tree.window_names(w), "window")
+
+
+@query("""with tw as (select vec_id cell, embedding[1]::double pt from embeddings), q as (select *, row_number() over (order by pt, cell) r, count(*) over () m from tw), nw as (select *, greatest(round_even(m / 20, 0), 1) n from q), g as (select *, (select count(*) from range(1, n::int + 1) x(g) where round_even(m / n * g, 0) < r) + 1 grp from nw),
+w as (select s win, cell, pt from g, range(1, 1000) x(s) where s <= (select max(grp) from g) - 2 and grp between s and s + 2), nm as (select win, floor(round(avg(pt), 3) / 0.1)::int t from w group by 1)
+select t::int as window, cell, round(pt, 6) pseudotime from (select distinct t, cell, pt from w join nm using (win))""")
+def windows_merged(spark, sf_dir):
+    grouped = tree.near_equal(_by_dimension(spark, sf_dir), [], ["pseudotime", "cell"], 20, scratch=_scratch(spark, "order"))
+    return tree.merged_windows(tree.moving_windows(grouped, 3), 0.1).withColumn("pseudotime", F.round("pseudotime", 6))
+
+
+@query(f"with {SQL['e1']} select c1.grp, gene, round(log2(sum(power(2, value) - 1) / count(*) + 1), 6) as mean, round(count(*) / any_value(n), 6) prop_exp from c1 join sz on sz.grp = c1.grp group by 1, 2 having count(*) / any_value(n) >= 0.4")
+def dot_values(spark, sf_dir):
+    out = expression.dot_values(fx.clamped(spark, sf_dir).select("cell", "gene", "value"), fx.vectors(spark, sf_dir).select("cell", "grp"), 0.4, expressing_only=True)
+    return out.withColumns({"mean": F.round("mean", 6), "prop_exp": F.round("prop_exp", 6)})
+
+
+@query(f"with {SQL['m2']} select c_custkey::varchar cell, round(log2(coalesce(count, 0) + 1), 6) as value from customer left join m2 on m2.cell = c_custkey::varchar and gene = 'Brand#12'")
+def plotted_counts(spark, sf_dir):
+    cells = fx.load(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("cell"), "c_acctbal")
+    data, _ = views.plot_data({"meta": cells, "counts": fx.customer_counts(spark, sf_dir)}, cells, "Brand#12")
+    return data.withColumn("value", F.round("value", 6))
+
+
 @query("""with p as (select p_partkey k, (p_partkey % 97 + 1) / 200 p, row_number() over (order by (p_partkey % 97 + 1) / 200, p_partkey) r, count(*) over () n from part)
 select k, p, round(least(1, min(p * n / r) over (order by r rows between current row and unbounded following)), 8) p_adj from p""")
 def bh_adjust(spark, sf_dir):
@@ -488,6 +534,20 @@ def segment_divergence(spark, sf_dir):
     return tree.divergence(v, _pt(spark, sf_dir).select("cell", "pseudotime"), pairs, threshold=0.2, cuts=10, width=3)
 
 
+@query(f"""with {VISITS}, {PT.replace(SQL['w1'] + ', ', '')}, t as (select *, max(v) over (partition by cell) top from vs), sg as (select cell, segment from t where top >= 10 and v >= 0.2 * top), pr as (select * from (values ('s0', 's1'), ('s0', 's2'), ('s1', 's2')) t(s1, s2)),
+ip as (select s1, s2, cell from pr join sg on segment = s1 union select s1, s2, cell from pr join sg on segment = s2), vv as (select s1, s2, ip.cell, a.v v1, b.v v2, pt from ip join vs a on a.segment = s1 and a.cell = ip.cell join vs b on b.segment = s2 and b.cell = ip.cell join pt on pt.cell = ip.cell),
+nq as (select *, row_number() over (partition by s1, s2 order by pt, cell) r, count(*) over (partition by s1, s2) m from vv), nw as (select *, greatest(round_even(m / 10, 0), 1) n from nq), gw as (select *, (select count(*) from range(1, n::int + 1) x(g) where round_even(m / n * g, 0) < r) + 1 grp from nw), tw as (select s1, s2, max(grp) top from gw group by 1, 2),
+wi as (select s1, s2, s as win, list(v1) a, list(v2) b, count(*) n, avg(pt) mean_pt, min(pt) min_pt, max(pt) max_pt from gw join tw using (s1, s2), range(1, 1000) q(s) where s <= top - 2 and grp between s and s + 2 group by 1, 2, 3),
+ks as (select *, list_max(list_transform(list_concat(a, b), lambda x: abs(len(list_filter(a, lambda y: y <= x)) / n - len(list_filter(b, lambda y: y <= x)) / n))) * sqrt(n / 2) z from wi),
+pp as (select *, case when z < 0.2 then 1 else least(1, greatest(0, 2 * list_sum(list_transform(range(1, 101), lambda k: power(-1, k - 1) * exp(-2 * k * k * z * z))))) end p from ks), ho as (select *, row_number() over (partition by s1, s2 order by p) r, count(*) over (partition by s1, s2) m from pp), hp2 as (select *, least(1, max(p * (m - r + 1)) over (partition by s1, s2 order by r)) h from ho)
+select s1, s2, win::int as window, round(p, 7) p, round(max(h) over (partition by s1, s2, p), 7) p_adj, round(mean_pt, 6) mean_pt, round(min_pt, 6) min_pt, round(max_pt, 6) max_pt, n from hp2""")
+def window_divergence(spark, sf_dir):
+    pairs = spark.createDataFrame([("s0", "s1"), ("s0", "s2"), ("s1", "s2")], "s1 string, s2 string")
+    out = tree.divergence(_visits(spark, sf_dir), _pt(spark, sf_dir).select("cell", "pseudotime"), pairs, threshold=0.2, cuts=10, width=3)
+    n = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
+    return out.select("s1", "s2", "window", _r("p", 7).alias("p"), _r("p_adj", 7).alias("p_adj"), *[_r(c).alias(c) for c in ("mean_pt", "min_pt", "max_pt")], n.alias("n"))
+
+
 # expressions and small operators ------------------------------------------------------------------
 
 
@@ -600,6 +660,14 @@ def edges_of_cells(spark, sf_dir):
     return neighbors.undirected_edges(e, fx.vectors(spark, sf_dir).where("cell % 7 = 3"), connected=True).withColumn("w", F.round("w", 6))
 
 
+@query(f"""with {KNN}, nb as (select * from kn where rank <= 15), r as (select log10(min(dist) filter (dist > 0)) lo, log10(max(dist)) hi from nb), w as (select s step, lo + (hi - lo) * s / 24 e from r, range(25) t(s)),
+ks as (select step, any_value(e) e, cell, log10(1 + sum(exp(-dist * dist / (2 * power(10, e) * power(10, e))))) l from nb, w group by step, cell), m as (select step, any_value(e) e, avg(l) m from ks group by 1), d as (select step, e, m, (lead(m) over (order by step) - m) / ((select (hi - lo) / 24 from r)) slope from m)
+select step::int step, round(power(10, e), 6) sigma, round(m, 6) mean_log, round(slope, 5) slope, step = (select arg_max(step, slope) from d) chosen from d""")
+def kernel_sweep(spark, sf_dir):
+    out = neighbors.kernel_sweep(_knn(spark, sf_dir, 15))
+    return out.withColumns({"sigma": F.round("sigma", 6), "mean_log": F.round("mean_log", 6), "slope": F.round("slope", 5)})
+
+
 @query()
 def diffusion_components(spark, sf_dir):
     scratch = _scratch(spark, "diffusion")
@@ -659,6 +727,18 @@ def cells_of_segments(spark, sf_dir):
     return tree.assign_cells(v, pt, limits).join(v, ["segment", "cell"]).select("cell", F.col("v").alias("visits"))
 
 
+@query(f"""with {PT}, vs as (select 's' || (walk % 3) segment, cell, count(*) v from w1 group by 1, 2), li as (select * from (values ('s0', 0.0, 0.5), ('s1', 0.45, 1.0), ('s2', 0.0, 1.0)) t(segment, lo, hi)),
+a as (select vs.cell, segment, case when pt between lo and hi then v else 0 end v from vs join pt using (cell) join li using (segment)) select cell, any_value(segment) segment from (select *, max(v) over (partition by cell) top from a) where v = top and top > 0 group by 1 having count(*) = 1""")
+def assigned_segments(spark, sf_dir):
+    limits = spark.createDataFrame([("s0", 0.0, 0.5), ("s1", 0.45, 1.0), ("s2", 0.0, 1.0)], 'segment string, start double, `end` double')
+    v, pt = _visits(spark, sf_dir), _pt(spark, sf_dir).select("cell", "pseudotime")
+    chosen = tree.assign_cells(v, pt, limits)
+    # ties are broken by a hash, which SQL does not know: cells that have one are left out of this comparison
+    held = v.join(pt, "cell").join(limits, "segment").withColumn("v", F.when(F.col("pseudotime").between(F.col("start"), F.col("end")), F.col("v")).otherwise(0))
+    best = held.groupBy("cell").agg(F.max("v").alias("v")).join(held, ["cell", "v"]).groupBy("cell").agg(F.count("*").alias("k")).where("k = 1")
+    return chosen.join(best, "cell", "left_semi")
+
+
 @query("with j as (select n_regionkey parent, min(n_nationkey) c1, max(n_nationkey) c2, n_regionkey / 10.0 pt from nation group by 1) select parent, c1 child, pt pseudotime from j union all select parent, c2, pt from j")
 def interleaved_joins(spark, sf_dir):
     j = fx.load(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("parent")).agg(F.min("n_nationkey").alias("child_1"), F.max("n_nationkey").alias("child_2")).withColumn("pseudotime", F.col("parent") / 10.0)
@@ -865,6 +945,19 @@ def force_layout(spark, sf_dir):
     return layout.telescope(places, layout.neighbor_time(knn, pt))
 
 
+@query(f"""with recursive {KNN}, nb as (select cell, list(dist * dist order by dist) d2 from kn where rank <= 15 group by 1), be as (select cell, list_transform(d2, lambda v: v - d2[1]) d, -40.0::double lo, 40.0::double hi, 0 k from nb
+union all select cell, d, case when h > ln(5) then mid else lo end, case when h > ln(5) then hi else mid end, k + 1 from (select *, (lo + hi) / 2 mid, ln(list_sum(list_transform(d, lambda v: exp(-exp((lo + hi) / 2) * v)))) + list_sum(list_transform(d, lambda v: exp((lo + hi) / 2) * v * exp(-exp((lo + hi) / 2) * v))) / list_sum(list_transform(d, lambda v: exp(-exp((lo + hi) / 2) * v))) h from be where k < 60)),
+bt as (select cell, exp((lo + hi) / 2) beta from be where k = 60), e as (select cell, nbr, exp(-beta * (dist * dist - min(dist * dist) over (partition by cell))) w from kn join bt using (cell) where rank <= 15), s as (select cell i, nbr j, w / sum(w) over (partition by cell) p from e),
+b as (select i, j, sum(p) p from (select * from s union all select j, i, p from s) group by 1, 2) select i, j, round(p / (2 * (select count(*) from bt)), 9) p from b""")
+def tsne_affinities(spark, sf_dir):
+    return embed.affinities(_knn(spark, sf_dir, 15), 5.0).withColumn("p", F.round("p", 9))
+
+
+@query()
+def tsne_places(spark, sf_dir):
+    return embed.tsne(embed.affinities(_knn(spark, sf_dir, 30), 10.0), _scratch(spark, "tsne"), rounds=16)
+
+
 # cells and batches -----------------------------------------------------------------------------------
 
 
@@ -893,6 +986,109 @@ def batch_corrected(spark, sf_dir):
     return batch.combat(fx.clamped(spark, sf_dir), batches)
 
 
+@query(f"""with recursive {SQL['e1']}, ba as (select vec_id cell, vec_id % 3 b from embeddings), nb as (select b, count(*)::double n from ba group by 1), nt as (select count(*) nn, (select ceil(max(value)) + 1 from c1) hi from ba),
+su as (select gene, b, sum(value) s1, sum(value * value) s2 from c1 join ba using (cell) group by 1, 2), ev as (select ge.gene, nb.b, n, coalesce(s1, 0) s1, coalesce(s2, 0) s2 from (select distinct gene from c1) ge cross join nb left join su on su.gene = ge.gene and su.b = nb.b),
+gm as (select gene, s1 / n gm, (s2 - s1 * s1 / n) / n pv from ev where b = 0 and s2 - s1 * s1 / n > 1e-12), ga as (select gene, b, n, gm, pv, (s1 / n - gm) / sqrt(pv) g, (s2 - s1 * s1 / n) / (n - 1) / pv d, (s2 - s1 * s1 / n + n * (s1 / n - gm) * (s1 / n - gm)) / pv q from ev join gm using (gene)),
+pr as (select b, avg(g) gb, var_samp(g) t2, avg(d) m, var_samp(d) v from ga group by 1), pa as (select ga.*, gb, t2, (2 * v + m * m) / v ap, (m * v + m * m * m) / v bp from ga join pr using (b)),
+it as (select gene, b, g gs, d ds, 0 k from pa union all select gene, b, ng, (0.5 * (q - 2 * ng * n * g + n * ng * ng) + bp) / (n / 2 + ap - 1), k + 1 from (select pa.*, k, (t2 * n * g + ds * gb) / (t2 * n + ds) ng from it join pa using (gene, b) where k < 30)),
+ad as (select ba.cell, pa.gene, case when ba.b = 0 then coalesce(value, 0) else (coalesce(value, 0) - gm - gs * sqrt(pv)) / sqrt(ds) + gm end y from ba join pa using (b) join it on it.gene = pa.gene and it.b = pa.b and k = 30 left join c1 on c1.cell = ba.cell and c1.gene = pa.gene)
+select cell, gene, round(least(y, hi), 4) as value from ad, nt where y >= 0.05""")
+def batch_corrected_reference(spark, sf_dir):
+    batches = fx.vectors(spark, sf_dir).select("cell", (F.col("cell") % 3).alias("batch"))
+    return batch.combat(fx.clamped(spark, sf_dir), batches, reference=0)
+
+
+BATCHES = "v as (select vec_id cell, embedding::double[] e from embeddings), u as (select cell, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) e from v), ab as (select a.cell a, b.cell b, list_distance(a.e, b.e) d from u a join u b on a.cell % 3 = 0 and b.cell % 3 <> 0), mp as (select a, b from (select *, row_number() over (partition by a order by d, b) r from ab) where r <= 20 intersect select a, b from (select *, row_number() over (partition by b order by d, a) r from ab) where r <= 20)"
+
+
+def _batches(spark, sf_dir):
+    v = fx.vectors(spark, sf_dir).select("cell", "vec")
+    return v.where("cell % 3 = 0"), v.where("cell % 3 <> 0")
+
+
+@query(f"with {BATCHES} select a, b from mp")
+def mutual_neighbors(spark, sf_dir):
+    one, other = _batches(spark, sf_dir)
+    return integrate.mutual_pairs(integrate.unit_vectors(one), integrate.unit_vectors(other), 20, _scratch(spark, "mutual"))
+
+
+@query(f"""with {BATCHES}, {SQL['e1']}, pb as (select b, count(*) n from mp group by 1), ds as (select x.cell, y.cell b, list_distance(x.e, y.e) d from u x join u y on x.cell % 3 <> 0 join pb on pb.b = y.cell),
+nr as (select *, min(d) over (partition by cell) d0 from ds qualify row_number() over (partition by cell order by d, b) <= 50), wt as (select cell, b, exp(-(d * d - d0 * d0)) w from nr), tg as (select b, gene, sum(value) s from mp join c1 on c1.cell = a group by 1, 2),
+mv as (select g.b, g.gene, coalesce(tg.s / n, 0) - coalesce(c1.value, 0) m from (select b, gene from tg union select b, gene from pb join c1 on c1.cell = b) g join pb using (b) left join tg on tg.b = g.b and tg.gene = g.gene left join c1 on c1.cell = g.b and c1.gene = g.gene),
+sh as (select cell, gene, sum(w * m) / any_value(t) s from wt join mv using (b) join (select cell, sum(w) t from wt group by 1) using (cell) group by 1, 2)
+select cell, gene, round(value, 5) as value from (select cell, gene, value from c1 where cell % 3 = 0 union all select cell, gene, coalesce(value, 0) + coalesce(s, 0) from (select cell, gene, value from c1 where cell % 3 <> 0) full join sh using (cell, gene)) where value >= 0.05""")
+def mutual_corrected(spark, sf_dir):
+    one, other = _batches(spark, sf_dir)
+    return integrate.mutual_correction(fx.clamped(spark, sf_dir).select("cell", "gene", "value"), one, other, _scratch(spark, "mutual")).withColumn("value", F.round("value", 5))
+
+
+#: Modules are labels of vectors in five stages; weights of genes and levels of cells come from the components.
+STAGED = f"""{SQL['e1']}, wt as (select cell % 5 stage, grp module, gene, sum(value) w from c1 group by 1, 2, 3), hv as (select distinct stage, gene from wt), gp as (select * from (values (1), (2)) t(gap)),
+wa as (select gap, wt.stage, module, wt.gene, w / max(w) over (partition by gap, wt.stage, module) w from wt cross join gp join hv on hv.stage = wt.stage + gap and hv.gene = wt.gene), wb as (select gap, wt.stage, module, wt.gene, w / max(w) over (partition by gap, wt.stage, module) w from wt cross join gp join hv on hv.stage = wt.stage - gap and hv.gene = wt.gene),
+la as (select gap, stage f, module a, gene, w, sum(w) over (partition by gap, stage, module) t from (select *, row_number() over (partition by gap, stage, module order by w desc, gene) r from wa) where r <= 12),
+lb as (select gap, stage - gap f, module b, gene, w, sum(w) over (partition by gap, stage, module) t from (select *, row_number() over (partition by gap, stage, module order by w desc, gene) r from wb) where r <= 12),
+ov as materialized (select la.gap, la.f, a, b, (sum(la.w) + sum(lb.w)) / (any_value(la.t) + any_value(lb.t)) score from la join lb on la.gap = lb.gap and la.f = lb.f and la.gene = lb.gene group by la.gap, la.f, a, b)"""
+LINKED = f"""{STAGED}, kp as (select f stage, a module from ov where gap = 1 and score > 0.2 union select f + 1, b from ov where gap = 1 and score > 0.2),
+b1 as (select f + 1 t, b, arg_min({{'a': a, 's': score}}, {{'n': -score, 'a': a}}) x from ov where gap = 1 and score > 0.2 and (f, a) in (select (stage, module) from kp) and (f + 1, b) in (select (stage, module) from kp) group by 1, 2), b2 as (select f + 2 t, b, arg_min({{'a': a, 's': score}}, {{'n': -score, 'a': a}}) x from ov where gap = 2 and score > 0.2 group by 1, 2),
+ch as (select t, b, b1.x x1, b2.x x2, b1.x is null or coalesce(b1.x.s < 0.4 and b2.x.s > 0.42, false) far from b1 full join b2 using (t, b)),
+lk as materialized (select t - case when far then 2 else 1 end from_stage, case when far then x2.a else x1.a end a, t to_stage, b, case when far then x2.s else x1.s end score from ch)"""
+
+
+def _staged(spark, sf_dir):
+    c = fx.clamped(spark, sf_dir).join(fx.vectors(spark, sf_dir).select("cell", F.col("grp").alias("module")), "cell")
+    weights = c.groupBy((F.col("cell") % 5).alias("stage"), "module", "gene").agg(F.sum("value").alias("w"))
+    return weights, [stages.overlaps(weights, g, 12) for g in (1, 2)]
+
+
+def _links(spark, sf_dir):
+    _, (one, two) = _staged(spark, sf_dir)
+    return stages.connections(one, two, 0.2, 0.4, 0.42)
+
+
+@query(f"with {STAGED} select f from_stage, f + gap to_stage, a, b, round(score, 6) score from ov")
+def module_overlaps(spark, sf_dir):
+    one, two = _staged(spark, sf_dir)[1]
+    return one.union(two).withColumn("score", F.round("score", 6))
+
+
+@query(f"with {LINKED} select from_stage, a, to_stage, b, round(score, 6) score from lk")
+def module_links(spark, sf_dir):
+    return _links(spark, sf_dir).withColumn("score", F.round("score", 6))
+
+
+CHAINED = f"""{LINKED}, en as (select to_stage, b from lk where (to_stage, b) not in (select (from_stage, a) from lk)), up as (select to_stage es, b e, to_stage st, b m, 0 k, 0.0::double s from en union all select es, e, from_stage, a, k + 1, s + score from up join lk on to_stage = st and b = m),
+go as (select es, e, max_by(s / nullif(k, 0), k) mean_score from up group by 1, 2 having max_by(s / nullif(k, 0), k) >= 0.38), cn as (select es, e, st, m, mean_score from up join go using (es, e))"""
+
+
+@query(f"with recursive {CHAINED} select es end_stage, e as \"end\", st stage, m as module, round(mean_score, 6) mean_score from cn")
+def module_chains(spark, sf_dir):
+    return stages.chains(_links(spark, sf_dir), _scratch(spark, "chains"), 0.38).withColumn("mean_score", F.round("mean_score", 6))
+
+
+@query(f"""with recursive {CHAINED}, lv as (select cell % 5 stage, (gene::int % 10)::varchar as module, cell, sum(value) v from c1 group by 1, 2, 3), ls as (select stage, module, cell, v / max(v) over (partition by stage, module) v from lv)
+select es end_stage, e as "end", cell, round(sum(v), 6) as level from cn join ls on ls.stage = st and ls.module = m group by 1, 2, 3""")
+def module_programmes(spark, sf_dir):
+    levels = fx.clamped(spark, sf_dir).groupBy((F.col("cell") % 5).alias("stage"), (F.col("gene").cast("int") % 10).cast("string").alias("module"), "cell").agg(F.sum("value").alias("v"))
+    chained = stages.chains(_links(spark, sf_dir), _scratch(spark, "chains"), 0.38)
+    return stages.programmes(chained, levels).withColumn("level", F.round("level", 6))
+
+
+def _mixture_sql(rounds: int) -> str:
+    """So many rounds of expectation and maximisation, one after another."""
+    pdf = lambda m, s: f"exp(-power((x - {m}) / {s}, 2) / 2) / ({s} * sqrt(2 * pi()))"
+    steps = ["r0 as (select gene, 0.95 w, avg(x) filter (x < 0.1) a, avg(x) filter (x > 0.2) b, stddev_pop(x) s, stddev_pop(x) t from vx group by 1 having count(*) filter (x < 0.1) > 0 and count(*) filter (x > 0.2) > 0 and stddev_pop(x) > 0)"]
+    for k in range(rounds):
+        steps.append(f"p{k} as (select gene, x, w * {pdf('a', 's')} d1, (1 - w) * {pdf('b', 't')} d2 from vx join r{k} using (gene)), q{k} as (select gene, x, d1 / (d1 + d2) r, ln(d1 + d2) l from p{k}), r{k + 1} as materialized (select gene, avg(r) w, sum(r * x) / sum(r) a, sum((1 - r) * x) / sum(1 - r) b, sqrt(sum(r * x * x) / sum(r) - power(sum(r * x) / sum(r), 2)) s, sqrt(sum((1 - r) * x * x) / sum(1 - r) - power(sum((1 - r) * x) / sum(1 - r), 2)) t, sum(l) l from q{k} group by 1)")
+    return ", ".join(steps)
+
+
+@query(f"with {SQL['e1']}, vx as (select gene, value x from c1), {_mixture_sql(8)} select gene as key, round(l, 4) likelihood, round(w, 5) weight_low, round(a, 5) mean_low, round(b, 5) mean_high, round(s, 5) sd_low, round(t, 5) sd_high from r8")
+def module_mixtures(spark, sf_dir):
+    values = fx.clamped(spark, sf_dir).select(F.col("gene").alias("key"), F.col("value").alias("x"))
+    fit = integrate.mixture_rounds(values, _scratch(spark, "mixture"), 0.1, 0.2, rounds=8, tolerance=float("-inf"))
+    return fit.select("key", F.round("likelihood", 4).alias("likelihood"), *[F.round(c, 5).alias(c) for c in ("weight_low", "mean_low", "mean_high", "sd_low", "sd_high")])
+
+
 @query(f"""with {CREATED}, gp as (select tot.cell, c_mktsegment grp from tot join customer on c_custkey::varchar = tot.cell), me as (select c_mktsegment grp, gene, sum(value) / any_value(n) m from ex join customer on c_custkey::varchar = ex.cell join (select c_mktsegment, count(*) n from customer group by 1) using (c_mktsegment) group by 1, 2),
 gn as (select distinct gene from me), fu as (select grp, gene, coalesce(m, 0) m from (select distinct grp from me) cross join gn left join me using (grp, gene)), di as (select a.grp g1, b.grp g2, sum((a.m - b.m) * (a.m - b.m)) d from fu a join fu b on a.gene = b.gene and a.grp <> b.grp group by 1, 2),
 ne as (select g1, arg_min(g2, d) g2 from di group by 1), pr as (select distinct least(g1, g2) g1, greatest(g1, g2) g2 from ne), sd as (select g1 || '-' || g2 cmp, cell, 1 side from pr join gp on grp = g1 union all select g1 || '-' || g2, cell, 2 from pr join gp on grp = g2), {_binom_sql('sd', 'greatest(frac_1, frac_2) >= 0.1')}
@@ -976,6 +1172,40 @@ def tree_values(spark, sf_dir):
     return views.tree_values(v, cells.select("cell", "node"), tree.node_edges(summary, joins).select("a", "b")).withColumn("value", _r("value"))
 
 
+@query(f"""with {NODES}, jn as (select * from (values ('view', 'click'), ('view', 'purchase'), ('click', 'cart')) t(parent, child)), la as (select segment, arg_max(node, k) a from nd group by 1), px as (select * from (values ('view', 1.5), ('click', 1.0), ('purchase', 2.0), ('cart', 1.0)) t(segment, x)),
+ed as (select node a, b from (select node, lead(node) over (partition by segment order by k) b from nd) where b is not null union all select a, node b from jn join la on la.segment = parent join nd on nd.segment = child and k = 1),
+li as (select a node_1, b node_2, p.segment segment_1, q.segment segment_2, p.max_pt y1, q.max_pt y2 from ed join nd p on p.node = a join nd q on q.node = b union all select 'view-0', node, segment, segment, 0, max_pt from nd where segment = 'view' and k = 1),
+xy as (select li.*, p.x::double x1, q.x::double x2 from li join px p on p.segment = segment_1 join px q on q.segment = segment_2)
+select node_1, node_2, segment_1, segment_2, x1, round(y1, 6) y1, x2, round(y2, 6) y2, false do_mean from xy where x1 = x2 union all select node_1, segment_2 || '-0', segment_1, segment_2, x1, round(y1, 6), x2, round(y1, 6), true from xy where x1 <> x2
+union all select segment_2 || '-0', node_2, segment_2, segment_2, x2, round(y1, 6), x2, round(y2, 6), false from xy where x1 <> x2""")
+def elaborated_tree(spark, sf_dir):
+    joins = spark.createDataFrame([("view", "click"), ("view", "purchase"), ("click", "cart")], "parent string, child string")
+    summary = _nodes(spark, sf_dir)[1]
+    places = spark.createDataFrame([("view", 1.5), ("click", 1.0), ("purchase", 2.0), ("cart", 1.0)], "segment string, x double")
+    return tree.elaborate_layout(tree.node_edges(summary, joins).select("a", "b"), summary, places, "view").withColumns({"y1": _r("y1"), "y2": _r("y2")})
+
+
+@query(f"""with {NODES}, la as (select segment, arg_max(node, k) a from nd group by 1), jn as (select * from (values ('view', 'click'), ('view', 'purchase'), ('click', 'cart')) t(parent, child)),
+e as (select node a, b from (select node, lead(node) over (partition by segment order by k) b from nd) where b is not null union all select a, node b from jn join la on la.segment = parent join nd on nd.segment = child and k = 1),
+vi as (select cell, count(*) / 100.0 v from w1 group by 1), m as (select ng.segment || '-' || k b, log2(avg(power(2, pt) - 1) + 1) r, log2(avg(power(2, v) - 1) + 1) g from ng join vi using (cell) group by 1), d as (select a, e.b, r, g from e join m using (b)), q as (select quantile_cont(r, 0.975) filter (r > 0) mr, quantile_cont(g, 0.975) filter (g > 0) mg from d)
+select a, b, round(least(greatest(r / mr, 0), 1), 6) red, round(least(greatest(g / mg, 0), 1), 6) green from d, q""")
+def tree_two_colors(spark, sf_dir):
+    cells, summary = _nodes(spark, sf_dir)
+    joins = spark.createDataFrame([("view", "click"), ("view", "purchase"), ("click", "cart")], "parent string, child string")
+    time = _pt(spark, sf_dir).select("cell", F.col("pseudotime").alias("value"))
+    visits = fx.walks(spark, sf_dir).groupBy("cell").agg((F.count("*") / 100).alias("value"))
+    out = views.tree_two_colors(time, visits, cells.select("cell", "node"), tree.node_edges(summary, joins).select("a", "b"))
+    return out.select("a", "b", _r("red").alias("red"), _r("green").alias("green"))
+
+
+@query()
+def built_tree(spark, sf_dir):
+    v = fx.walks(spark, sf_dir).groupBy((F.col("walk") % 4 + 1).alias("segment"), "cell").agg(F.count("*").cast("double").alias("v"))
+    pt = _pt(spark, sf_dir).select("cell", "pseudotime")
+    tips = pt.orderBy(F.desc("pseudotime"), "cell").limit(8).select((F.pmod(F.xxhash64("cell"), F.lit(4)) + 1).alias("tip"), "cell")
+    return tree.assemble(v, pt, tips, _scratch(spark, "tree"), threshold=0.4, node_size=4, cuts=8, width=3).lines
+
+
 @query("select case when min(c_acctbal) < 0 then -greatest(abs(min(c_acctbal)), abs(max(c_acctbal))) else min(c_acctbal) end::double low, case when min(c_acctbal) < 0 then greatest(abs(min(c_acctbal)), abs(max(c_acctbal))) else max(c_acctbal) end::double high from customer")
 def color_limits(spark, sf_dir):
     return views.color_limits(fx.load(spark, sf_dir, "customer").select(F.col("c_acctbal").cast("double").alias("value")))
