@@ -264,13 +264,45 @@ def cascade(means: DataFrame, starts: int = 8) -> DataFrame:
 # coordinates ----------------------------------------------------------------------------------
 
 
-def rotate(x: str, y: str, z: str, angle: float, axis: str) -> list[Column]:
+def rotate(x: str | Column, y: str | Column, z: str | Column, angle: float, axis: str) -> list[Column]:
     """Row vectors times the rotation matrix about an axis."""
     c, s = math.cos(angle), math.sin(angle)
-    x, y, z = F.col(x), F.col(y), F.col(z)
+    x, y, z = (F.col(v) if isinstance(v, str) else v for v in (x, y, z))
     return {"x": [x, y * c + z * s, z * c - y * s], "y": [x * c - z * s, y, x * s + z * c], "z": [x * c + y * s, y * c - x * s, z]}[axis]
 
 
+def subtree_cells(joins: DataFrame, cell_segment: DataFrame, segment) -> DataFrame:
+    """(cell) of a segment and of all below it."""
+    from trellis.operators.tree import ancestors
+
+    below = ancestors(joins).where(F.col("ancestor") == F.lit(segment)).select("segment")
+    own = cell_segment.where(F.col("segment") == F.lit(segment)).select("cell")
+    return own.union(cell_segment.join(below, "segment", "left_semi").select("cell")).distinct()
+
+
+def by_age(cells: DataFrame, pt: DataFrame, n: int) -> DataFrame:
+    """(cell, pseudotime) of the ``n`` cells of least pseudotime, ties by cell; the driver asks for so few."""
+    return cells.select("cell").distinct().join(pt.where("pseudotime is not null").select("cell", "pseudotime"), "cell").orderBy("pseudotime", "cell").limit(n)
+
+
+def rotate_cells(points: DataFrame, angle: float, axis: str = "z", cells: DataFrame | None = None, around=None, pt: DataFrame | None = None, spare: int = 0) -> DataFrame:
+    """``points`` (cell, x, y, z, ...) with some of them turned about an axis through a cell, or through the origin.
+
+    ``cells``: which are turned, all if not given, but for the ``spare`` youngest of them. ``around``: a cell's name
+    in a list of one, or a whole number k for the k-th youngest of those turned.
+    """
+    chosen = points.select("cell") if cells is None else cells.select("cell").distinct().join(points.select("cell"), "cell", "left_semi")
+    if spare:
+        chosen = chosen.join(by_age(chosen, pt, spare), "cell", "left_anti")
+    at = (0.0, 0.0, 0.0)
+    if around is not None:
+        name = by_age(chosen, pt, around).orderBy(F.desc("pseudotime"), F.desc("cell")).first()["cell"] if isinstance(around, int) else around[0]
+        at = tuple(points.where(F.col("cell") == F.lit(name)).select("x", "y", "z").first())
+    turned = dict(zip("xyz", rotate(*[F.col(c) - v for c, v in zip("xyz", at)], angle, axis), strict=True))
+    met = points.join(chosen.select("cell", F.lit(True).alias("_turn")), "cell", "left")
+    return met.withColumns({c: F.when(F.col("_turn"), turned[c] + v).otherwise(F.col(c)) for c, v in zip("xyz", at)}).drop("_turn")
+
+
 def translate(df: DataFrame, chosen: Column, dx: float = 0, dy: float = 0, dz: float = 0) -> DataFrame:
     return df.withColumns({c: F.when(chosen, F.col(c) + d).otherwise(F.col(c)) for c, d in (("x", dx), ("y", dy), ("z", dz))})
 

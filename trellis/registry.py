@@ -863,6 +863,16 @@ def rotated_points(spark, sf_dir):
     return _points(spark, sf_dir).select("cell", _r(x).alias("x"), _r(y).alias("y"), _r(z).alias("z"))
 
 
+@query(f"""with recursive {UP}, {XYZ}, sg as (select cell, x, y, z, 'n' || (cell % 25) s from p), ch as (select cell, x, y, z, row_number() over (order by x, cell) r from sg where s in (select segment from up where ancestor = 'r1')), ce as (select x cx, y cy, z cz from ch where r = 5)
+select p.cell, round(case when ch.r > 3 then cx + (p.x - cx) * cos(0.5) - (p.z - cz) * sin(0.5) else p.x end, 6) x, round(p.y, 6) y, round(case when ch.r > 3 then cz + (p.x - cx) * sin(0.5) + (p.z - cz) * cos(0.5) else p.z end, 6) z from p left join ch using (cell), ce""")
+def rotated_subtree(spark, sf_dir):
+    p = _points(spark, sf_dir).select("cell", "x", "y", "z")
+    segment = p.select("cell", F.concat(F.lit("n"), (F.col("cell") % 25).cast("string")).alias("segment"))
+    below = curves.subtree_cells(fx.tree(spark, sf_dir), segment, "r1")
+    out = curves.rotate_cells(p, 0.5, "y", below, around=2, pt=p.select("cell", F.col("x").alias("pseudotime")), spare=3)
+    return out.select("cell", *[_r(c).alias(c) for c in "xyz"])
+
+
 @query(f"with {XYZ} select cell, round(case when label = 1 then x + 0.5 else x end, 6) x, round(y, 6) y, round(case when label = 1 then z - 2 else z end, 6) z from p")
 def translated_points(spark, sf_dir):
     return curves.translate(_points(spark, sf_dir), F.col("grp") == "1", dx=0.5, dz=-2.0).select("cell", *[_r(c).alias(c) for c in "xyz"])
