@@ -69,6 +69,7 @@ def clustered(n, d, seed, copies=0):
 @pytest.mark.parametrize("copies", [0, 120])
 def test_neighbors_by_pivots_equal_all_pairs(spark, copies, monkeypatch):
     monkeypatch.setattr(pivots, "BLOCK", 50)
+    monkeypatch.setattr(pivots, "FEW", 0)
     x = clustered(600, 3, 5, copies)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(-1, None), (-2, [1.0])], "cell long, vec array<double>")
     found, index = pivots.knn(df, 6, scratch(spark))
@@ -80,6 +81,9 @@ def test_neighbors_by_pivots_equal_all_pairs(spark, copies, monkeypatch):
     want = {i: [(round(float(d[i, j]), 9), j) for j in sorted(range(len(x)), key=lambda j: (d[i, j], j))[:6]] for i in range(len(x))}
     assert got == want
     assert index.compared < 0.1 * len(x) ** 2
+    monkeypatch.setattr(pivots, "FEW", 10_000)  # few rows are compared in blocks, with the same result
+    again, index = pivots.knn(df, 6, scratch(spark))
+    assert index is None and sorted(map(tuple, again.collect())) == sorted(map(tuple, found.collect()))
 
 
 def test_neighbors_of_few_and_no_rows(spark):

@@ -21,6 +21,8 @@ PIVOT_BYTES = 32 << 20
 BLOCK = 2000
 #: Rounding of distances, on the safe side of every bound.
 SLACK = 1e-9
+#: Up to so many rows comparing all of them, in blocks, costs less than the jobs that pivots take; results are the same.
+FEW = 10_000
 
 
 def _far(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -31,6 +33,31 @@ def _rows(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(float)
 
 
+def _closest(v: pd.DataFrame, m: pd.DataFrame, k: int) -> pd.DataFrame:
+    """(id, nbr, dist): the ``k`` nearest of the members to each visitor, within its bound if it has one."""
+    if not len(v) or not len(m):
+        return pd.DataFrame({"id": [], "nbr": [], "dist": []})
+    x, y, names = _rows(v["vec"]), _rows(m["vec"]), m["id"].to_numpy()
+    d = _far(x, y)
+    keep = d <= v["bound"].to_numpy()[:, None] + 1e-6 * (1 + d) if "bound" in v else np.ones(d.shape, bool)
+    if y.shape[0] > k:
+        keep &= d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k] * (1 + 1e-6) + 1e-6
+    i, j = np.nonzero(keep)
+    out = pd.DataFrame({"id": v["id"].to_numpy()[i], "nbr": names[j], "dist": np.sqrt(((x[i] - y[j]) ** 2).sum(1))})
+    return out.sort_values(["id", "dist", "nbr"]).groupby("id").head(k).reset_index(drop=True)
+
+
+def all_pairs(queries: DataFrame, members: DataFrame, k: int, n: int) -> DataFrame:
+    """What ``Index.nearest`` gives, by comparing all of few rows in blocks."""
+    blocks = max(1, math.ceil(n / BLOCK))
+    deal = lambda df, own, other: df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    kinds = [df.schema["id"].dataType.simpleString() for df in (queries, members)]
+    met = deal(queries, "vb", "mb").groupBy("vb", "mb").cogroup(deal(members, "mb", "vb").groupBy("vb", "mb"))
+    found = met.applyInPandas(lambda v, m: _closest(v, m, k), f"id {kinds[0]}, nbr {kinds[1]}, dist double")
+    top = W.partitionBy("id").orderBy("dist", "nbr")
+    return found.withColumn("r", F.row_number().over(top)).where(F.col("r") <= k).select("id", "nbr", "dist")
+
+
 class Index:
     """(id, vec, ...) by home, written once. ``compared`` adds up the pairs that were compared."""
 
@@ -95,17 +122,7 @@ class Index:
                     bound = reach[np.arange(len(b)), order[np.arange(len(b)), enough]] if some else np.full(len(b), np.inf)
                     yield b.assign(home=np.where(size[None, :] > 0, d, np.inf).argmin(1).astype(np.int32), bound=bound * (1 + SLACK) + SLACK)
 
-        def compare(v: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
-            if not len(v) or not len(m):
-                return pd.DataFrame({"id": [], "nbr": [], "dist": []})
-            x, y, names = _rows(v["vec"]), _rows(m["vec"]), m["id"].to_numpy()
-            d = _far(x, y)
-            keep = d <= v["bound"].to_numpy()[:, None] + 1e-6 * (1 + d)
-            if y.shape[0] > k:
-                keep &= d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k] * (1 + 1e-6) + 1e-6
-            i, j = np.nonzero(keep)
-            out = pd.DataFrame({"id": v["id"].to_numpy()[i], "nbr": names[j], "dist": np.sqrt(((x[i] - y[j]) ** 2).sum(1))})
-            return out.sort_values(["id", "dist", "nbr"]).groupby("id").head(k).reset_index(drop=True)
+        compare = lambda v, m: _closest(v, m, k)
 
         def others(batches):
             """Homes that can hold something nearer than the bound."""
@@ -178,20 +195,24 @@ class Index:
         return out.groupBy("id").agg(F.sum("n").alias("n"), F.sum("earlier").alias("earlier"))
 
 
-def knn(vectors: DataFrame, k: int, scratch, pivots: int | None = None) -> tuple[DataFrame, Index]:
-    """((cell, rank, nbr, dist), the index used) of (cell, vec): exact Euclidean neighbours, ties by nbr.
+def knn(vectors: DataFrame, k: int, scratch, pivots: int | None = None) -> tuple[DataFrame, Index | None]:
+    """((cell, rank, nbr, dist), the index used, none for few rows) of (cell, vec): exact Euclidean neighbours, ties by nbr.
 
     Equal vectors are one query and at most ``k + 1`` of them, the smallest, are indexed; so a vector that
     very many cells share costs no more than any other. Null vectors and those of another length than the
     commonest are left out.
     """
-    rows = vectors.where("vec is not null").select(F.col("cell").alias("id"), F.transform("vec", lambda x: x.cast("double") + F.lit(0.0)).alias("vec"))
-    width = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    rows = scratch.table(rows.where(F.size("vec") == (width["d"] if width else 0)), "vectors")
-    few = rows.withColumn("c", F.row_number().over(W.partitionBy("vec").orderBy("id"))).where(F.col("c") <= k + 1)
-    index = Index(few.select("id", "vec"), scratch, pivots=pivots)
-    one = rows.groupBy("vec").agg(F.min("id").alias("id"))
-    near = scratch.table(index.nearest(one.select("id", "vec"), k + 1), "near")
+    rows = scratch.table(vectors.where("vec is not null").select(F.col("cell").alias("id"), F.transform("vec", lambda x: x.cast("double") + F.lit(0.0)).alias("vec")), "vectors")
+    widths = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
+    width, n = (widths[0]["d"], widths[0]["count"]) if widths else (0, 0)
+    rows = rows.where(F.size("vec") == width)
+    few = rows.withColumn("c", F.row_number().over(W.partitionBy("vec").orderBy("id"))).where(F.col("c") <= k + 1).select("id", "vec")
+    one = rows.groupBy("vec").agg(F.min("id").alias("id")).select("id", "vec")
+    if n <= FEW and pivots is None:
+        index, near = None, all_pairs(one, few, k + 1, n)
+    else:
+        index = Index(few, scratch, pivots=pivots)
+        near = scratch.table(index.nearest(one, k + 1), "near")
     members = rows.join(one.select(F.col("id").alias("q"), "vec"), "vec").select(F.col("id").alias("cell"), "q")
     met = members.join(near.withColumnRenamed("id", "q"), "q").where("cell <> nbr")
     ranked = met.withColumn("rank", F.row_number().over(W.partitionBy("cell").orderBy("dist", "nbr")))
