@@ -175,12 +175,12 @@ def test_monotone_and_flat_curves_are_no_pulses():
     assert not curves.is_pulse(lambda v: curves._single(v, up), lambda v: curves._slope(v, up), 0.0, 1.0)
     assert not curves.is_pulse(lambda v: 0.0, lambda v: 0.0, 0.0, 1.0)
     # turning points are found to rounding, and the half slope is solved for on each piece
-    cuts = curves.monotone_pieces(math.cos, 0.0, 7.0)
+    cuts = curves.monotone_pieces(np.cos, 0.0, 7.0)
     assert np.allclose([c[1] for c in cuts], [math.pi / 2, 3 * math.pi / 2, 7.0])
-    on, off = curves.change_times(math.sin, math.cos, -math.pi / 2, 3 * math.pi / 2)
+    on, off = curves.change_times(np.sin, np.cos, -math.pi / 2, 3 * math.pi / 2)
     assert np.allclose(on, [-math.pi / 3], atol=1e-3) and np.allclose(off, [2 * math.pi / 3], atol=1e-3)
     # an end that covers little of the range counts for nothing
-    on, off = curves.change_times(math.sin, math.cos, -0.2, math.pi / 2 + 0.3)
+    on, off = curves.change_times(np.sin, np.cos, -0.2, math.pi / 2 + 0.3)
     assert off == [math.inf] and len(on) == 1
 
 

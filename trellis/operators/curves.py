@@ -165,11 +165,14 @@ def _root(f, lo: float, hi: float) -> float:
     return (lo + hi) / 2
 
 
+def _along(f, x: np.ndarray) -> np.ndarray:
+    return np.broadcast_to(np.asarray(f(x), float), x.shape)
+
+
 def monotone_pieces(slope, first: float, last: float, probes: int = 512) -> list[tuple[float, float]]:
     """The stretches between the zeros of a slope, and the ends."""
     x = np.linspace(first, last, probes)
-    d = np.array([float(slope(v)) for v in x])
-    sign = np.sign(d)
+    sign = np.sign(_along(slope, x))
     known = np.flatnonzero(sign)
     turns = [(x[i], x[j]) for i, j in zip(known, known[1:]) if sign[i] != sign[j]]
     ends = [first, *(_root(slope, i, j) for i, j in turns), last]
@@ -179,7 +182,7 @@ def monotone_pieces(slope, first: float, last: float, probes: int = 512) -> list
 def _steepest(slope, start: float, end: float, probes: int = 128) -> tuple[float, float]:
     """(place, slope) where a monotone piece is steepest."""
     x = np.linspace(start, end, probes)
-    d = np.array([float(slope(v)) for v in x])
+    d = _along(slope, x)
     k = int(np.abs(d).argmax())
     return float(x[k]), float(d[k])
 
