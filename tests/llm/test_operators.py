@@ -261,6 +261,29 @@ def test_lm_base(spark, sf, odd, none):
     assert lm.score(none, scratch(spark), path, out).count() == 0
 
 
+def test_lm_learns_from_training_texts(spark, sf, odd, none):
+    """Held-out texts score near their base score, every text has a finite score, whatever the head holds; new held-out
+    texts change no score; and words that are all there is have no more than the whole probability."""
+    path = registry.tokenizer_path("piece_bpe_32k.model")
+    rows = registry.op3_lattice_lm(spark, sf).collect()
+    assert all(math.isfinite(r.score) and r.score < 0 for r in rows)
+    new = [r for r in rows if r.held_out]
+    base, score, prior = (sum(r[c] for r in new) for c in ("base_score", "score", "prior_score"))
+    assert score > 1.3 * base and prior < 2 * base  # the existing scores alone are far below
+    out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    more = load(spark, sf, "documents").withColumn("text", F.when(out, F.lit("etwas ganz anderes 日本")).otherwise(F.col("text")))
+    want = {r.doc_id: r.score for r in rows if not r.held_out}
+    got = {r.doc_id: r.score for r in lm.score(more, scratch(spark), path, out, head=50, rounds=2).collect() if r.doc_id in want}
+    assert got == pytest.approx(want)
+    letters = ["".join(x) for n in (1, 2) for x in itertools.product("abcdefghijklmnopqrstuvwxyzé", repeat=n)]
+    docs = spark.createDataFrame([(i, w) for i, w in enumerate(["a b a ab", "ab a", *letters, ""])], "doc_id long, text string")
+    got = {r.doc_id: 10**r.score for r in lm.score(docs, scratch(spark), path, F.col("doc_id") > 1, rounds=2).collect()}
+    end = got[len(letters) + 2]
+    assert 0.5 < sum(got[i + 2] for i in range(len(letters))) / end + end <= 1 + 1e-9
+    assert lm.score(odd, scratch(spark), path, F.col("doc_id") == 5, rounds=1).where("isnan(score) or score is null or score < -1e6").count() == 0
+    assert lm.score(none, scratch(spark), path, F.lit(False), rounds=1).count() == 0
+
+
 def test_quality(spark, sf, odd, none):
     def plain(t):
         w = words(t)

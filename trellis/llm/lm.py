@@ -3,8 +3,9 @@
 A word's probability is the sum over all its segmentations into pieces of an existing vocabulary,
 weighted by its existing scores, by forward recursion in log space. No piece runs over a word's
 start, so a text's is the product over its words and its end: the sum over all segmentations of
-the whole text. The base score beside it is learnt: smoothed frequencies of whole words in the
-training texts.
+the whole text. Where it learns, the pieces' weights go on from those scores by expected counts
+over the training texts, and each training word is a piece of its own that spans it alone. The base
+score beside it is learnt, too: smoothed frequencies of whole words in the training texts.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ def vocabulary(path: str) -> tuple[tuple[str, float], ...]:
 
 
 class Lattice:
-    """Forward sums over the segmentations of many words at once.
+    """Forward and backward sums over the segmentations of many words at once.
 
     The pieces form a trie; all words of a batch take each step through it together. Words of
     like length share a batch, so memory follows the batch's characters.
@@ -60,12 +61,14 @@ class Lattice:
         for w in log:
             for k in range(1, len(w) + 1):
                 nodes.setdefault(w[:k], len(nodes))
+        self.names = list(nodes)
         edges = sorted(((nodes[w[:-1]] << 21) | ord(w[-1]), n) for w, n in nodes.items() if w)
         self.keys = np.array([k for k, _ in edges] + [1 << 62], np.int64)
         self.child = np.array([n for _, n in edges] + [0], np.int64)
         self.log = np.array([log.get(w, -np.inf) for w in nodes])
         self.log[0] = -np.inf
         self.bytes = np.array([log[f"<0x{x:02X}>"] for x in range(256)])
+        self.byte_nodes = np.array([nodes[f"<0x{x:02X}>"] for x in range(256)])
         self.end = log[END]
 
     def batches(self, words: list[str], most: int = 60_000) -> Iterator[np.ndarray]:
@@ -82,7 +85,9 @@ class Lattice:
             yield order[at:stop]
             at = stop
 
-    def _forward(self, words: list[str]) -> np.ndarray:
+    def _forward(self, words: list[str], arcs: list[tuple] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sums up to each place, numbers of places, sums of whole words. Each use of a piece goes to
+        ``arcs``: (words, from, to, weights, trie nodes, or -1 - character where it is spelt in bytes)."""
         texts = [START + w for w in words]
         n = np.fromiter(map(len, texts), np.int64, len(texts))
         wide = int(n.max())
@@ -105,6 +110,8 @@ class Lattice:
                         chars, which = np.unique(code[odd, i], return_inverse=True)
                         spelt = np.array([self.bytes[list(chr(c).encode("utf-8", "replace"))].sum() for c in chars])
                         f[odd, i + 1] = np.logaddexp(f[odd, i + 1], f[odd, i] + spelt[which])
+                        if arcs is not None:
+                            arcs.append((odd, i, i + 1, spelt[which], -1 - code[odd, i]))
                 row, state = row[ok], self.child[pos[ok]]
                 if not len(row):
                     break
@@ -113,19 +120,39 @@ class Lattice:
                 if hit.any():
                     r = row[hit]
                     f[r, j + 1] = np.logaddexp(f[r, j + 1], f[r, i] + x[hit])
+                    if arcs is not None:
+                        arcs.append((r, i, j + 1, x[hit], state[hit]))
                 inside = n[row] > j + 1
                 row, state = row[inside], state[inside]
                 if not len(row):
                     break
-        return f[np.arange(len(texts)), n]
+        return f, n, f[np.arange(len(texts)), n]
 
     def score(self, words: list[str]) -> np.ndarray:
         """Natural log of the summed probability of all segmentations of each word."""
         out = np.zeros(len(words))
         for at in self.batches(words):
-            out[at] = self._forward([words[i] for i in at])
+            out[at] = self._forward([words[i] for i in at])[2]
         return out
 
+    def expected(self, words: list[str], total: np.ndarray) -> None:
+        """Add the expected uses of each piece over the words to ``total``, by trie node."""
+        for at in self.batches(words):
+            arcs: list[tuple] = []
+            f, n, z = self._forward([words[i] for i in at], arcs)
+            b = np.full_like(f, -np.inf)
+            b[np.arange(len(n)), n] = 0.0
+            for r, i, j, x, node in reversed(arcs):
+                over = x + b[r, j]
+                b[r, i] = np.logaddexp(b[r, i], over)
+                p = np.exp(f[r, i] + over - z[r])
+                if node[0] >= 0:
+                    total += np.bincount(node, p, minlength=len(total))
+                    continue
+                for c, q in zip((-1 - node).tolist(), p.tolist(), strict=True):
+                    for byte in chr(c).encode("utf-8", "replace"):
+                        total[self.byte_nodes[byte]] += q
+
 
 def _words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     """Lower-cased words of all texts as a dictionary array, and how many each text has."""
@@ -168,8 +195,38 @@ def count_words(texts: DataFrame, hold: int = 400_000) -> DataFrame:
     return texts.select(F.lit(0).alias("z"), "t").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def score(docs: DataFrame, scratch: Scratch, vocabulary_path: str, held_out, id_col: str = "doc_id", text: str = "text", head: int = 100_000) -> DataFrame:
-    """One row a document: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score.
+def fit_pieces(counts: DataFrame, weights: dict[str, float], rounds: int, prior: float = 200.0) -> dict[str, float]:
+    """Piece weights by expected counts over the training words (word, c), each round from the last weights.
+
+    Every distinct word counts once, and so does the end: pieces spell what is new, and new words
+    are like the many rare ones. ``prior`` uses are dealt by the first weights, so none becomes zero.
+    Only a sum for each piece of the vocabulary reaches the driver.
+    """
+    first = weights
+    for _ in range(rounds):
+
+        def run(batches: Iterator[pa.RecordBatch], now: dict[str, float] = weights) -> Iterator[pa.RecordBatch]:
+            lattice = Lattice(now)
+            total = np.zeros(len(lattice.names))
+            for b in batches:
+                lattice.expected([w for w in b.column(0).to_pylist() if w != END_KEY], total)
+            used = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array([lattice.names[i] for i in used], pa.string()), pa.array(total[used])], names=["piece", "x"])
+
+        seen = {r.piece: r.x for r in counts.mapInArrow(run, "piece string, x double").groupBy("piece").agg(F.sum("x").alias("x")).collect()}
+        seen[END] = 1.0
+        total = math.fsum(seen.values()) + prior
+        weights = {w: (seen.get(w, 0.0) + prior * p) / total for w, p in first.items()}
+    return weights
+
+
+def score(docs: DataFrame, scratch: Scratch, vocabulary_path: str, held_out, id_col: str = "doc_id", text: str = "text", head: int = 100_000, rounds: int = 0) -> DataFrame:
+    """One row a document: id_col, held_out, n_tokens, n_known, train_tokens, base_score, score, prior_score.
+
+    ``prior_score`` is the sum over segmentations by the vocabulary's existing scores; ``score`` is the
+    same where ``rounds`` is 0. Else the pieces are fitted in so many rounds, and a training word is
+    a piece with its count less a discount; what all discounts leave is the share of words spelt
+    in pieces. So the scores are logs of probabilities that add up to no more than one.
 
     ``held_out`` is the Column that keeps a document out of training. ``head`` bounds what every
     task holds: the commonest training words, with their counts. All other words of the documents,
@@ -180,37 +237,49 @@ def score(docs: DataFrame, scratch: Scratch, vocabulary_path: str, held_out, id_
     """
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"), held_out.alias("held_out"))
     counts = scratch.table(count_words(source.where("not held_out")), "counts")
-    total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).first()
     n, v = total.n or 0, total.v or 0
     weights = dict(vocabulary(vocabulary_path))
+    learns = rounds > 0 and n > 0
+    fitted = fit_pieces(counts, weights, rounds) if learns else weights
+    # absolute discount by the numbers of words seen once and twice; never all of a count, never none
+    less = min(max(total.once / max(total.once + 2 * total.twice, 1), 0.1), 0.9)
     add = math.log10(n + v + 1)
 
     def priced(words: DataFrame) -> DataFrame:
-        """(word, c) to (word, c, base, full) in log10."""
+        """(word, c) to (word, c, base, full, prior) in log10."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            lattice = Lattice(weights)
+            lattices = [Lattice(weights), *[Lattice(fitted)] * learns]
             for b in batches:
                 words, c = b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False).astype(float)
                 base = np.log10(c + 1) - add
-                full = lattice.score(words)
-                full[[w == END_KEY for w in words]] = lattice.end
-                full = full / LN10
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(base, pa.float64()), pa.array(full, pa.float64())], names=["word", "c", "base", "full"])
-
-        return words.mapInArrow(run, "word string, c long, base double, full double")
+                ends = [w == END_KEY for w in words]
+                spelt = []
+                for lattice in lattices:
+                    x = lattice.score(words)
+                    x[ends] = lattice.end
+                    spelt.append(x)
+                full = spelt[-1]
+                if learns:
+                    with np.errstate(divide="ignore"):
+                        full = np.logaddexp(full + math.log(less * v / n), np.log(np.maximum(c - less, 0) / n))
+                cols = [pa.array(x, pa.float64()) for x in (base, full / LN10, spelt[0] / LN10)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["word", "c", "base", "full", "prior"])
+
+        return words.mapInArrow(run, "word string, c long, base double, full double, prior double")
 
     top = counts.where(F.col("word") != END_KEY).orderBy(F.desc("c"), "word").limit(head)
     end_count = counts.where(F.col("word") == END_KEY).select("word", "c").union(docs.sparkSession.createDataFrame([(END_KEY, 0)], "word string, c long")).groupBy("word").agg(F.max("c").alias("c"))
     near = priced(top.union(end_count)).toArrow()
     end = near.filter(pc.equal(near["word"], END_KEY)).to_pylist()[0]
     near = near.filter(pc.not_equal(near["word"], END_KEY))
-    held = docs.sparkSession.sparkContext.broadcast((near["word"].to_pylist(), near["base"].to_numpy(), near["full"].to_numpy()))
+    held = docs.sparkSession.sparkContext.broadcast((near["word"].to_pylist(), *[near[x].to_numpy() for x in ("base", "full", "prior")]))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, base, full = held.value
+        words, *prices = held.value
         place = {w: i for i, w in enumerate(words)}
-        base, full = np.append(base, 0.0), np.append(full, 0.0)
+        prices = [np.append(x, 0.0) for x in prices]
         for whole in batches:
             for b in slices(whole):
                 coded, per = _words(b.column(1))
@@ -224,18 +293,18 @@ def score(docs: DataFrame, scratch: Scratch, vocabulary_path: str, held_out, id_
                 starts = np.searchsorted(doc[tail], np.arange(len(per) + 1))
                 rest = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), coded.dictionary.take(pa.array(index[tail])))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(2), pa.array(per + 1, pa.int64()), pa.array(add_up((hit >= 0).astype(float)).astype(np.int64)), pa.array(add_up(base[hit])), pa.array(add_up(full[hit])), rest],
-                    names=["id", "held_out", "n_tokens", "n_known", "base", "full", "rest"],
+                    [b.column(0), b.column(2), pa.array(per + 1, pa.int64()), pa.array(add_up((hit >= 0).astype(float)).astype(np.int64)), *[pa.array(add_up(x[hit])) for x in prices], rest],
+                    names=["id", "held_out", "n_tokens", "n_known", "base", "full", "prior", "rest"],
                 )
 
     kind = source.schema["id"].dataType.simpleString()
     first = source.withColumn("row", F.monotonically_increasing_id()).select(F.struct("id", "row").alias("id"), "t", "held_out")
-    looked = scratch.table(first.mapInArrow(look, f"id struct<id:{kind},row:bigint>, held_out boolean, n_tokens long, n_known long, base double, full double, rest array<string>"), "looked")
+    looked = scratch.table(first.mapInArrow(look, f"id struct<id:{kind},row:bigint>, held_out boolean, n_tokens long, n_known long, base double, full double, prior double, rest array<string>"), "looked")
     # words outside the head: once per document and word, then priced once per word
     far = looked.select("id", F.explode("rest").alias("word")).groupBy("id", "word").agg(F.count("*").alias("k"))
     far = scratch.table(far, "far")
     prices = priced(far.select("word").distinct().join(counts, "word", "left").select("word", F.coalesce("c", F.lit(0)).cast("long").alias("c")))
-    sums = far.join(prices, "word").groupBy("id").agg(F.sum(F.col("k") * F.col("base")).alias("b"), F.sum(F.col("k") * F.col("full")).alias("f"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("known"))
+    sums = far.join(prices, "word").groupBy("id").agg(F.sum(F.col("k") * F.col("base")).alias("b"), F.sum(F.col("k") * F.col("full")).alias("f"), F.sum(F.col("k") * F.col("prior")).alias("p"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("known"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return looked.join(sums, "id", "left").select(
         F.col("id.id").alias(id_col),
@@ -245,4 +314,5 @@ def score(docs: DataFrame, scratch: Scratch, vocabulary_path: str, held_out, id_
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + zero("b") + F.lit(end["base"])).alias("base_score"),
         (F.col("full") + zero("f") + F.lit(end["full"])).alias("score"),
+        (F.col("prior") + zero("p") + F.lit(end["prior"])).alias("prior_score"),
     )
