@@ -202,6 +202,33 @@ def test_lines_crowd_join_loses_no_component(spark):
     assert set(got) <= set(want) and len(got) >= 0.98 * len(want)
 
 
+def test_lines_of_common_shingles_only(spark):
+    """All shingles are common and most lines unlike: no link of the crowd is lost, though few lines are like the first."""
+    rng = random.Random(9)
+    phrases = [" ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(2)) + ", " for _ in range(14)]
+    chosen = rng.sample(list(itertools.combinations(phrases, 10)), 250)
+    docs = [(2 * i + k, "".join(x)[: -2 - 3 * k]) for i, x in enumerate(chosen) for k in (0, 1)]
+    want = brute_lines(docs)
+    assert len(want) >= 250
+    assert found_lines(spark, docs, small=1, bands=24, rows=1) == want
+
+
+def test_crossing_pairs_are_all_that_can_be_alike(spark):
+    """Over several blocks, against all pairs; pairs of one component are left out, and the bound drops no like pair."""
+    rng = random.Random(3)
+    sets = []
+    for i in range(90):
+        one = {rng.getrandbits(63) for _ in range(rng.randrange(20, 60))}
+        sets += [one, {*sorted(one)[2:], rng.getrandbits(63)}]
+    hashes = spark.createDataFrame([(i, sorted(x)) for i, x in enumerate(sets)], "id long, hs array<long>")
+    hot = spark.createDataFrame([(t, i, len(x), i % 3 > 0) for i, x in enumerate(sets) for t in (5, 6)], "token long, id long, n int, front boolean")
+    parts = spark.createDataFrame([(0, 0), (1, 0)], "node long, component long")
+    got = {(r.a, r.b) for r in lines.crossing_pairs(hot, hashes, parts, scratch(spark), 0.8, block=7).collect()}
+    order = lambda i: (len(sets[i]), i)
+    want = {(a, b) for a in range(len(sets)) for b in range(len(sets)) if order(b) < order(a) and b % 3 and {a, b} != {0, 1} and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert len(want) > 50 and want <= got and len(got) < 2 * len(want)
+
+
 def test_lines_link_through_those_like_the_smallest(spark):
     """Of three lines the middle one is like both others, which are unlike each other: all are one component."""
     rng = random.Random(6)

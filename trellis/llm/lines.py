@@ -4,7 +4,8 @@ Equal lines are folded first. A line's signature is taken over the character shi
 word starts (so an inserted word shifts none of the others); lines that agree on a band of it are
 candidates, whose exact Jaccard similarity over the shingles at all positions decides. In a small
 bucket all lines are compared. The lines of large buckets, whatever their number, are joined by an
-exact prefix filter instead. Links go through distributed union-find and the first line of each
+exact prefix filter instead, and those of its large groups that are not connected yet all with all,
+by an exact bound. Links go through distributed union-find and the first line of each
 component stays.
 """
 
@@ -55,18 +56,17 @@ def word_shingles(line: Column, width: int) -> Column:
     return F.when(n < width, F.array(line)).when(few_spaces, found(".")).otherwise(found("[^ ]+ ?"))
 
 
-def crowd_pairs(texts: DataFrame, scratch: Scratch, similarity: float, width: int, most: int = 16) -> tuple[DataFrame, DataFrame]:
-    """(a, b) candidates among (id, norm): all pairs that can be as alike as that, but for redundant
-    ones. Two tables: pairs with a common partner, and the others.
+def crowd_pairs(texts: DataFrame, scratch: Scratch, similarity: float, width: int, most: int = 16) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(a, b) candidates among (id, norm): all pairs that can be as alike as that are among them, or have
+    a common token in ``hot``. Four tables: pairs with a common partner; other pairs; ``hot``; (id, hs)
+    of all lines, the hashes of their shingles.
 
     The shingles of a line are ordered from rare to common. Two lines that are alike share one among
     the first few of each (the prefix filter; fewer of the shorter line than of the longer one). Where
     at most ``most`` lines have a shingle among the first few of a shorter line, each line there meets
     all of these. A shingle that stays common so far up belongs to lines which differ in little
-    else. Of those, who shares nothing rarer with anybody is at least as like the line with the fewest
-    rarer shingles as to any other, so it meets that one, and the like one among those with the same
-    next shingle; who shares something rarer meets its partner there. So each row makes at most
-    ``most`` pairs, whatever the size of a group.
+    else: each meets the line of fewest rarer shingles, which connects most of them, and
+    ``crossing_pairs`` compares all that this leaves apart.
     """
     cell = lambda h: F.pmod(h, F.lit(_CELLS)).cast("int")
     hashes = texts.select("id", F.array_distinct(shingles(F.col("norm"), width)).alias("hs"))
@@ -82,31 +82,54 @@ def crowd_pairs(texts: DataFrame, scratch: Scratch, similarity: float, width: in
     n = F.col("n")
     first = n - F.ceil(n * similarity - 1e-9).cast("int") + 1
     short = n - F.ceil(n * (2 * similarity / (1 + similarity)) - 1e-9).cast("int") + 1
-    rows = sized.select("id", "n", short.alias("short"), F.posexplode(F.slice("r", 1, first + 1)).alias("at", "token"), first.alias("first"), "r")
-    rows = rows.where(F.col("at") < F.col("first")).select("id", "n", "at", (F.col("at") < F.col("short")).alias("front"), "token", F.get("r", F.col("at") + 1).alias("next"))
-    rows = scratch.table(rows, "prefixes")
-    scratch.drop("hashes")
-    least = F.min(F.struct("at", "n", "id"))
-
-    def met(rows: DataFrame, on: list[str], name: str) -> tuple[DataFrame, DataFrame]:
-        """Rows whose key occurs in front of some line and in another; the cold and the hot ones with their least line."""
-        groups = rows.groupBy(*on).agg(F.count("*").alias("k"), F.count_if("front").alias("fronts"), least.alias("p")).where("k > 1 and fronts > 0")
-        groups = scratch.table(groups.select(*on, "k", (F.col("fronts") > most).alias("hot"), F.when(F.col("fronts") > most, F.col("p.id")).alias("p")), f"groups-{name}")
-        full = scratch.table(join_spread(rows, groups, on, "k"), f"met-{name}")
-        scratch.drop(f"groups-{name}")
-        return full.where("not hot"), full.where("hot")
-
-    def within(cold: DataFrame, on: list[str]) -> DataFrame:
-        """Each line with the shorter ones that have the shingle in front."""
-        y = cold.where("front").select(*on, F.col("id").alias("b"), F.col("n").alias("nb"))
-        shorter = (F.col("nb") < F.col("n")) | ((F.col("nb") == F.col("n")) & (F.col("b") < F.col("id")))
-        return cold.join(y, on).where(shorter & (F.col("nb") >= F.col("n") * similarity - 1e-9)).select(F.col("id").alias("a"), "b")
-
-    cold, hot = met(rows, ["token"], "one")
-    star = lambda hot: hot.where("id <> p").select(F.col("id").alias("a"), F.col("p").alias("b"))
-    again = hot.where("next is not null").select("id", "n", "at", "front", "token", "next")
-    cold2, hot2 = met(again, ["token", "next"], "two")
-    return star(hot).union(star(hot2)), within(cold, ["token"]).union(within(cold2, ["token", "next"]))
+    rows = sized.select("id", "n", short.alias("short"), F.posexplode(F.slice("r", 1, first)).alias("at", "token"))
+    rows = scratch.table(rows.select("id", "n", "at", (F.col("at") < F.col("short")).alias("front"), "token"), "prefixes")
+
+    # tokens that occur in front of some line and in another
+    groups = rows.groupBy("token").agg(F.count("*").alias("k"), F.count_if("front").alias("fronts"), F.min(F.struct("at", "n", "id")).alias("p")).where("k > 1 and fronts > 0")
+    groups = scratch.table(groups.select("token", "k", (F.col("fronts") > most).alias("hot"), F.when(F.col("fronts") > most, F.col("p.id")).alias("p")), "groups")
+    full = scratch.table(join_spread(rows, groups, ["token"], "k"), "met")
+    scratch.drop("groups", "prefixes")
+    cold, hot = full.where("not hot"), full.where("hot")
+    y = cold.where("front").select("token", F.col("id").alias("b"), F.col("n").alias("nb"))
+    within = cold.join(y, "token").where(_shorter(F.col("nb"), F.col("b"), F.col("n"), F.col("id"), similarity)).select(F.col("id").alias("a"), "b")
+    return hot.where("id <> p").select(F.col("id").alias("a"), F.col("p").alias("b")), within, hot.select("token", "id", "n", "front"), hashes
+
+
+def _shorter(nb: Column, b: Column, na: Column, a: Column, similarity: float) -> Column:
+    """Whether line b comes before a by its number of shingles, but not by so many that they are unlike."""
+    return ((nb < na) | ((nb == na) & (b < a))) & (nb >= na * similarity - 1e-9)
+
+
+def crossing_pairs(hot: DataFrame, hashes: DataFrame, parts: DataFrame, scratch: Scratch, similarity: float, block: int = 512) -> DataFrame:
+    """(a, b) candidates among rows (token, id, n, front): of the lines with a common token all pairs that
+    lie in different components of ``parts`` (node, component) and can be as alike as that.
+
+    Each line has a bit for each of 256 classes of hashes: whether it has an odd number of those. Where
+    the bits of two lines differ, their sets do, so the number of such bits bounds the similarity from
+    above and no link is lost. A group of any size is dealt over tasks by pairs of blocks; one that
+    is connected already is left out as a whole.
+    """
+    placed = hot.join(parts.select(F.col("node").alias("id"), "component"), "id", "left")
+    placed = scratch.table(placed.select("token", "id", "n", "front", F.coalesce("component", "id").alias("c")), "crowd")
+    groups = placed.groupBy("token").agg(F.count("*").alias("k"), F.count_if("front").alias("fronts"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi and fronts > 0")
+    groups = scratch.table(groups.select("token", "k", F.ceil(F.col("k") / block).alias("blocks")), "crowd-groups")
+    apart = scratch.table(join_spread(placed, groups, ["token"], "k"), "apart")
+    h = F.col("h")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 2).bitwiseAND(F.lit(63)).cast("int"))
+    odd = [F.bit_xor(F.when(h.bitwiseAND(F.lit(3)) == j, bit).otherwise(F.lit(0).cast("long"))).alias(f"x{j}") for j in range(4)]
+    bits = hashes.join(apart.select("id").distinct(), "id", "left_semi").select("id", F.explode("hs").alias("h")).groupBy("id").agg(*odd)
+    rows = scratch.table(apart.join(bits, "id"), "crowd-bits")
+    own, every = F.pmod(F.xxhash64("id"), "blocks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    side = lambda rows, x: rows.select("token", "i", "j", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "c", "x0", "x1", "x2", "x3")])
+    a = side(rows.withColumn("i", own).withColumn("j", every), "a")
+    b = side(rows.where("front").withColumn("j", own).withColumn("i", every), "b")
+    na, nb = F.col("n_a"), F.col("n_b")
+    differ = sum((F.bit_count(F.col(f"x{j}_a").bitwiseXOR(F.col(f"x{j}_b"))) for j in range(1, 4)), F.bit_count(F.col("x0_a").bitwiseXOR(F.col("x0_b"))))
+    near = (F.col("c_a") != F.col("c_b")) & _shorter(nb, F.col("id_b"), na, F.col("id_a"), similarity) & (differ <= (na + nb) * ((1 - similarity) / (1 + similarity)) + 1e-9)
+    pairs = scratch.table(a.join(b, ["token", "i", "j"]).where(near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "crossing")
+    scratch.drop("crowd", "crowd-groups", "apart", "crowd-bits")
+    return pairs
 
 
 def alike(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str, similarity: float, width: int) -> DataFrame:
@@ -133,7 +156,7 @@ def near_duplicate_lines(docs: DataFrame, scratch: Scratch, similarity: float =
     none. Equal lines are always found, however short. Lines alike in at least ``similarity`` of their
     ``width``-character shingles are found with the recall of ``bands`` bands of ``rows`` minima; within
     a bucket all pairs are compared where it has ``small`` lines or fewer, and the lines of larger
-    ones through ``crowd_pairs``, so none is given up and no row makes more pairs than a constant.
+    ones through ``crowd_pairs`` and ``crossing_pairs``, so none is given up.
     Null and blank texts have no lines; rows that repeat an id are one document, equal places of it one
     line; long texts are lines like any others; an empty table gives an empty result; other columns
     are ignored.
@@ -156,7 +179,7 @@ def near_duplicate_lines(docs: DataFrame, scratch: Scratch, similarity: float =
     texts = scratch.table(held.join(members, "id").withColumn("n", F.size(F.array_distinct(shingles(F.col("norm"), width)))), "texts")
 
     few = placed.where("not many")
-    stars, rest = crowd_pairs(texts.where("many").select("id", "norm"), scratch, similarity, width)
+    stars, rest, hot, hashes = crowd_pairs(texts.where("many").select("id", "norm"), scratch, similarity, width)
     ordered = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     # first the pairs with one partner in common; then, of all pairs, those that these have not connected
     stars = ordered(few.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).union(stars))
@@ -164,12 +187,12 @@ def near_duplicate_lines(docs: DataFrame, scratch: Scratch, similarity: float =
     parts = scratch.table(connected_components(links, scratch, "cc-stars"), "parts")
     few = few.select("key", "id")
     pairs = few.withColumnRenamed("id", "a").join(few.withColumnRenamed("id", "b"), "key").where("a < b").select("a", "b")
-    pairs = ordered(pairs.union(rest))
+    pairs = ordered(pairs.union(rest).union(crossing_pairs(hot, hashes, parts, scratch, similarity)))
     for end in ("a", "b"):
         pairs = pairs.join(parts.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}")), end, "left")
     pairs = pairs.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
     links = links.union(alike(scratch.table(pairs, "pairs"), texts, scratch, "pairs", similarity, width))
-    scratch.drop("placed", "members", "prefixes", "met-one", "met-two", "stars", "parts", "texts", "pairs")
+    scratch.drop("placed", "members", "met", "hashes", "crossing", "stars", "parts", "texts", "pairs")
 
     parts = connected_components(links, scratch).select(F.col("node").alias("id"), F.col("component").alias("root"))
     places = lines.select("id", "check", "doc", "pos")
