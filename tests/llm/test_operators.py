@@ -229,6 +229,19 @@ def test_crossing_pairs_are_all_that_can_be_alike(spark):
     assert len(want) > 50 and want <= got and len(got) < 2 * len(want)
 
 
+def test_crossing_pairs_of_long_lines_are_few(spark):
+    """Sets of 600 that share 450 are not alike enough: sketches tell, at whatever number of common tokens, and each pair that is left is given once."""
+    rng = random.Random(5)
+    draw = lambda n: {rng.getrandbits(63) for _ in range(n)}
+    common = draw(450)
+    sets = [common | draw(150) for _ in range(40)]
+    sets += [{*sorted(x)[20:]} | draw(20) for x in sets[:10]]
+    hashes = spark.createDataFrame([(i, sorted(x)) for i, x in enumerate(sets)], "id long, hs array<long>")
+    hot = spark.createDataFrame([(t, i, len(x), True) for i, x in enumerate(sets) for t in range(6)], "token long, id long, n int, front boolean")
+    got = [(r.a, r.b) for r in lines.crossing_pairs(hot, hashes, spark.createDataFrame([], "node long, component long"), scratch(spark), 0.8, block=16).collect()]
+    assert len(got) == len(set(got)) < 60 and {(40 + i, i) for i in range(10)} <= set(got)
+
+
 def test_lines_link_through_those_like_the_smallest(spark):
     """Of three lines the middle one is like both others, which are unlike each other: all are one component."""
     rng = random.Random(6)

@@ -5,7 +5,7 @@ word starts (so an inserted word shifts none of the others); lines that agree on
 candidates, whose exact Jaccard similarity over the shingles at all positions decides. In a small
 bucket all lines are compared. The lines of large buckets, whatever their number, are joined by an
 exact prefix filter instead, and those of its large groups that are not connected yet all with all,
-by an exact bound. Links go through distributed union-find and the first line of each
+by an exact bound from sketches of their shingles. Links go through distributed union-find and the first line of each
 component stays.
 """
 
@@ -23,6 +23,9 @@ from trellis.llm.components import connected_components
 _FACTORS = [random.Random(f"factor {j}").getrandbits(31) | 1 for j in range(256)]
 #: Shingles are counted in so many cells, which bounds the table of their frequencies.
 _CELLS = 1 << 16
+#: A sketch has so many words of 64 bits.
+_WORDS = 16
+_BITS = [f"x{j}" for j in range(_WORDS)]
 
 
 def split_lines(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -101,51 +104,75 @@ def _shorter(nb: Column, b: Column, na: Column, a: Column, similarity: float) ->
     return ((nb < na) | ((nb == na) & (b < a))) & (nb >= na * similarity - 1e-9)
 
 
+def sketches(hashes: DataFrame) -> DataFrame:
+    """(id, n, x0, x1, ...) of rows (id, hs): the number of hashes, and a bit for each of 1,024 classes of them:
+    whether there is an odd number of those."""
+    h = F.col("h")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 4).bitwiseAND(F.lit(63)).cast("int"))
+    rows = hashes.select("id", F.explode("hs").alias("h")).select("id", (h.bitwiseAND(F.lit(_WORDS - 1))).alias("word"), bit.alias("bit"))
+    odd = [F.bit_xor(F.when(F.col("word") == j, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"x{j}") for j in range(_WORDS)]
+    return rows.groupBy("id").agg(F.count("*").cast("int").alias("n"), *odd)
+
+
+def _can_be_alike(similarity: float) -> Column:
+    """Of two sketches with names in a and b. Where the bits differ, the sets do, so the number of such bits
+    bounds the similarity from above: no pair that is as alike as that is lost."""
+    na, nb = F.col("n_a"), F.col("n_b")
+    differ = sum((F.bit_count(F.col(f"x{j}_a").bitwiseXOR(F.col(f"x{j}_b"))) for j in range(1, _WORDS)), F.bit_count(F.col("x0_a").bitwiseXOR(F.col("x0_b"))))
+    return (F.least(na, nb) >= F.greatest(na, nb) * similarity - 1e-9) & (differ <= (na + nb) * ((1 - similarity) / (1 + similarity)) + 1e-9)
+
+
 def crossing_pairs(hot: DataFrame, hashes: DataFrame, parts: DataFrame, scratch: Scratch, similarity: float, block: int = 512) -> DataFrame:
     """(a, b) candidates among rows (token, id, n, front): of the lines with a common token all pairs that
     lie in different components of ``parts`` (node, component) and can be as alike as that.
 
-    Each line has a bit for each of 256 classes of hashes: whether it has an odd number of those. Where
-    the bits of two lines differ, their sets do, so the number of such bits bounds the similarity from
-    above and no link is lost. A group of any size is dealt over tasks by pairs of blocks; one that
-    is connected already is left out as a whole.
+    A pair meets at each token that both have, and is told by its sketches to be worth a closer look. It is
+    given at the least of these tokens alone, which the tokens before it tell. A group of any size
+    is dealt over tasks by pairs of blocks; one that is connected already is left out as a whole.
     """
     placed = hot.join(parts.select(F.col("node").alias("id"), "component"), "id", "left")
     placed = scratch.table(placed.select("token", "id", "n", "front", F.coalesce("component", "id").alias("c")), "crowd")
     groups = placed.groupBy("token").agg(F.count("*").alias("k"), F.count_if("front").alias("fronts"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi and fronts > 0")
     groups = scratch.table(groups.select("token", "k", F.ceil(F.col("k") / block).alias("blocks")), "crowd-groups")
     apart = scratch.table(join_spread(placed, groups, ["token"], "k"), "apart")
-    h = F.col("h")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 2).bitwiseAND(F.lit(63)).cast("int"))
-    odd = [F.bit_xor(F.when(h.bitwiseAND(F.lit(3)) == j, bit).otherwise(F.lit(0).cast("long"))).alias(f"x{j}") for j in range(4)]
-    bits = hashes.join(apart.select("id").distinct(), "id", "left_semi").select("id", F.explode("hs").alias("h")).groupBy("id").agg(*odd)
-    rows = scratch.table(apart.join(bits, "id"), "crowd-bits")
+    # a line's tokens are no more than its shingles
+    lists = apart.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("token", "front", "blocks"))).alias("own"), F.first("c").alias("c"))
+    rows = lists.join(sketches(hashes.join(apart.select("id").distinct(), "id", "left_semi")), "id")
+    earlier = F.transform(F.slice("own", F.lit(1), F.col("at")), lambda x: x["token"]).alias("before")
+    rows = rows.select("*", F.posexplode("own").alias("at", "x")).select("x.*", "id", "n", "c", earlier, *_BITS)
+    rows = scratch.table(rows, "crowd-bits")
     own, every = F.pmod(F.xxhash64("id"), "blocks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    side = lambda rows, x: rows.select("token", "i", "j", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "c", "x0", "x1", "x2", "x3")])
+    side = lambda rows, x: rows.select("token", "i", "j", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "c", "before", *_BITS)])
     a = side(rows.withColumn("i", own).withColumn("j", every), "a")
     b = side(rows.where("front").withColumn("j", own).withColumn("i", every), "b")
-    na, nb = F.col("n_a"), F.col("n_b")
-    differ = sum((F.bit_count(F.col(f"x{j}_a").bitwiseXOR(F.col(f"x{j}_b"))) for j in range(1, 4)), F.bit_count(F.col("x0_a").bitwiseXOR(F.col("x0_b"))))
-    near = (F.col("c_a") != F.col("c_b")) & _shorter(nb, F.col("id_b"), na, F.col("id_a"), similarity) & (differ <= (na + nb) * ((1 - similarity) / (1 + similarity)) + 1e-9)
-    pairs = scratch.table(a.join(b, ["token", "i", "j"]).where(near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct(), "crossing")
+    near = (F.col("c_a") != F.col("c_b")) & _shorter(F.col("n_b"), F.col("id_b"), F.col("n_a"), F.col("id_a"), similarity) & _can_be_alike(similarity)
+    near = near & ~F.arrays_overlap("before_a", "before_b")
+    pairs = scratch.table(a.join(b, ["token", "i", "j"]).where(near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), "crossing")
     scratch.drop("crowd", "crowd-groups", "apart", "crowd-bits")
     return pairs
 
 
-def alike(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str, similarity: float, width: int) -> DataFrame:
-    """The pairs (a, b) whose exact Jaccard similarity over all shingles is high enough. ``texts``: (id,
-    norm, n), n being the number of different shingles. Pairs whose numbers are too unlike go first."""
+def _both_ends(pairs: DataFrame, table: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b, ...) with the other columns of ``table`` (id, ...) for each end, named for it."""
     for end in ("a", "b"):
         met = pairs.groupBy(end).agg(F.count("*").alias("k"))
-        side = scratch.table(texts.select(F.col("id").alias(end), F.col("norm").alias(f"text_{end}"), F.col("n").alias(f"n_{end}")).join(met, end), f"side-{end}-{name}")
+        side = scratch.table(table.select(*[F.col(c).alias(end if c == "id" else f"{c}_{end}") for c in table.columns]).join(met, end), f"side-{end}-{name}")
         pairs = join_spread(pairs, side, [end], "k")
         if end == "a":
             pairs = scratch.table(pairs, f"half-{name}")
+    return pairs
+
+
+def alike(pairs: DataFrame, texts: DataFrame, bits: DataFrame, scratch: Scratch, name: str, similarity: float, width: int) -> DataFrame:
+    """The pairs (a, b) whose exact Jaccard similarity over all shingles is high enough. ``texts``: (id,
+    norm); ``bits``: their ``sketches``, by which most of the pairs that are unlike go before texts are compared."""
+    close = _both_ends(pairs, bits, scratch, f"{name}-bits").where(_can_be_alike(similarity)).select("a", "b", "n_a", "n_b")
+    close = scratch.table(close, f"close-{name}")
     na, nb = F.col("n_a"), F.col("n_b")
-    close = pairs.where(F.least(na, nb) >= F.greatest(na, nb) * similarity - 1e-9)
-    both = F.size(F.array_intersect(shingles(F.col("text_a"), width), shingles(F.col("text_b"), width)))
-    links = scratch.table(close.where(both >= (na + nb) * (similarity / (1 + similarity)) - 1e-9).select("a", "b"), f"links-{name}")
-    scratch.drop(f"side-a-{name}", f"side-b-{name}", f"half-{name}")
+    both = F.size(F.array_intersect(shingles(F.col("norm_a"), width), shingles(F.col("norm_b"), width)))
+    told = _both_ends(close, texts.select("id", "norm"), scratch, name)
+    links = scratch.table(told.where(both >= (na + nb) * (similarity / (1 + similarity)) - 1e-9).select("a", "b"), f"links-{name}")
+    scratch.drop(*[f"{x}-{name}{y}" for x in ("side-a", "side-b", "half") for y in ("", "-bits")], f"close-{name}")
     return links
 
 
@@ -176,14 +203,15 @@ def near_duplicate_lines(docs: DataFrame, scratch: Scratch, similarity: float =
     members = scratch.table(placed.groupBy("id").agg(F.max("many").alias("many")), "members")
     bits = bit_table(members.select("id"))
     held = marked(lines.select("id", "norm"), F.col("id"), bits, "left_semi").groupBy("id").agg(F.first("norm").alias("norm"))
-    texts = scratch.table(held.join(members, "id").withColumn("n", F.size(F.array_distinct(shingles(F.col("norm"), width)))), "texts")
+    texts = scratch.table(held.join(members, "id"), "texts")
+    bits = scratch.table(sketches(texts.select("id", F.array_distinct(shingles(F.col("norm"), width)).alias("hs"))), "sketches")
 
     few = placed.where("not many")
     stars, rest, hot, hashes = crowd_pairs(texts.where("many").select("id", "norm"), scratch, similarity, width)
     ordered = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     # first the pairs with one partner in common; then, of all pairs, those that these have not connected
     stars = ordered(few.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).union(stars))
-    links = alike(scratch.table(stars, "stars"), texts, scratch, "stars", similarity, width)
+    links = alike(scratch.table(stars, "stars"), texts, bits, scratch, "stars", similarity, width)
     parts = scratch.table(connected_components(links, scratch, "cc-stars"), "parts")
     few = few.select("key", "id")
     pairs = few.withColumnRenamed("id", "a").join(few.withColumnRenamed("id", "b"), "key").where("a < b").select("a", "b")
@@ -191,8 +219,8 @@ def near_duplicate_lines(docs: DataFrame, scratch: Scratch, similarity: float =
     for end in ("a", "b"):
         pairs = pairs.join(parts.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}")), end, "left")
     pairs = pairs.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-    links = links.union(alike(scratch.table(pairs, "pairs"), texts, scratch, "pairs", similarity, width))
-    scratch.drop("placed", "members", "met", "hashes", "crossing", "stars", "parts", "texts", "pairs")
+    links = links.union(alike(scratch.table(pairs, "pairs"), texts, bits, scratch, "pairs", similarity, width))
+    scratch.drop("placed", "members", "met", "hashes", "crossing", "stars", "parts", "texts", "sketches", "pairs")
 
     parts = connected_components(links, scratch).select(F.col("node").alias("id"), F.col("component").alias("root"))
     places = lines.select("id", "check", "doc", "pos")
