@@ -586,6 +586,18 @@ def test_passages_whose_parts_occur_first_elsewhere(spark, size, cut):
     assert covered >= set(range(40, 40 + size))
 
 
+def test_passages_whose_first_and_last_occurrences_are_cut(spark):
+    """The first and the last earlier occurrence lack the first word of 50: the whole passage between them is found."""
+    rng = random.Random(12)
+    make = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    docs = []
+    for i in range(20):
+        p = make(50)
+        docs += [(4 * i + j, " ".join(make(30) + (p[1:] if j in (0, 2) else p) + make(30))) for j in range(4)]
+    got = {(r.doc_id, r.start_word, r.end_word, r.ref_doc_id) for r in passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string"), scratch(spark)).collect()}
+    assert got == {(4 * i + 3, 30, 80, 4 * i + 1) for i in range(20)}
+
+
 def test_chains_are_best():
     x, y = [0, 10, 20, 30, 40], [5, 100, 25, 35, 45]
     assert passages.chains(x, y, 6.0, 0.05)[0] == [0, 2, 3, 4]
