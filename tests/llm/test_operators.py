@@ -242,6 +242,29 @@ def test_crossing_pairs_of_long_lines_are_few(spark):
     assert len(got) == len(set(got)) < 60 and {(40 + i, i) for i in range(10)} <= set(got)
 
 
+def test_near_copies_meet_few_others(spark, monkeypatch):
+    """Lines that are nearly all alike, where none is like the one of fewest rarer shingles: the pairs compared grow with the lines, not with their square."""
+    crowd, seen = lines.crowd_pairs, {}
+
+    def unlike(*args):
+        stars, *rest = crowd(*args)
+        return stars.where("false"), *rest
+
+    class Counting(Scratch):
+        def table(self, df, name):
+            seen[name] = (out := super().table(df, name)).count()
+            return out
+
+    monkeypatch.setattr(lines, "crowd_pairs", unlike)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    base = [word() for _ in range(40)]
+    docs = [(i, " ".join(word() if j == at else w for j, w in enumerate(base))) for i, at in enumerate(rng.randrange(40) for _ in range(160))]
+    found = lines.near_duplicate_lines(spark.createDataFrame(docs, "doc_id long, text string"), Counting(spark, "counting"), small=1)
+    assert {(r.doc, r.pos): (r.kept_doc, r.kept_pos) for r in found.collect()} == brute_lines(docs)
+    assert seen["pairs"] < 5 * len(docs) and seen["stars"] < 10 * len(docs)
+
+
 def test_lines_link_through_those_like_the_smallest(spark):
     """Of three lines the middle one is like both others, which are unlike each other: all are one component."""
     rng = random.Random(6)

@@ -195,7 +195,8 @@ def near_duplicate_lines(docs: DataFrame, scratch: Scratch, similarity: float =
     signatures = signed.groupBy("id").agg(*mins)
     keys = [F.xxhash64(F.lit(b), *[f"m{b * rows + k}" for k in range(rows)]) for b in range(bands)]
     banded = scratch.table(signatures.select("id", F.explode(F.array(*keys)).alias("key")), "banded")
-    buckets = scratch.table(banded.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1"), "buckets")
+    drawn = F.struct(F.xxhash64("key", "id").alias("h"), "id")  # another line for each bucket, also where buckets hold the same lines
+    buckets = scratch.table(banded.groupBy("key").agg(F.count("*").alias("n"), F.min(drawn)["id"].alias("centre")).where("n > 1"), "buckets")
     many = F.col("n") > small
     placed = scratch.table(join_spread(banded, buckets.withColumn("many", many), ["key"], "n"), "placed")
     scratch.drop("banded", "buckets")
@@ -210,7 +211,7 @@ def near_duplicate_lines(docs: DataFrame, scratch: Scratch, similarity: float =
     stars, rest, hot, hashes = crowd_pairs(texts.where("many").select("id", "norm"), scratch, similarity, width)
     ordered = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     # first the pairs with one partner in common; then, of all pairs, those that these have not connected
-    stars = ordered(few.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).union(stars))
+    stars = ordered(placed.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).union(stars))
     links = alike(scratch.table(stars, "stars"), texts, bits, scratch, "stars", similarity, width)
     parts = scratch.table(connected_components(links, scratch, "cc-stars"), "parts")
     few = few.select("key", "id")
