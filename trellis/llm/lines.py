@@ -23,6 +23,8 @@ from trellis.llm.components import connected_components
 _FACTORS = [random.Random(f"factor {j}").getrandbits(31) | 1 for j in range(256)]
 #: Shingles are counted in so many cells, which bounds the table of their frequencies.
 _CELLS = 1 << 16
+#: Keys of buckets are marked in 2 to the power of so many bits, a table of at most 2^17 rows.
+_KEY_BITS = 23
 #: A sketch has so many words of 64 bits.
 _WORDS = 16
 _BITS = [f"x{j}" for j in range(_WORDS)]
@@ -198,7 +200,8 @@ def near_duplicate_lines(docs: DataFrame, scratch: Scratch, similarity: float =
     drawn = F.struct(F.xxhash64("key", "id").alias("h"), "id")  # another line for each bucket, also where buckets hold the same lines
     buckets = scratch.table(banded.groupBy("key").agg(F.count("*").alias("n"), F.min(drawn)["id"].alias("centre")).where("n > 1"), "buckets")
     many = F.col("n") > small
-    placed = scratch.table(join_spread(banded, buckets.withColumn("many", many), ["key"], "n"), "placed")
+    shared = marked(banded, F.col("key"), bit_table(buckets.select("key"), _KEY_BITS), "left_semi", _KEY_BITS)
+    placed = scratch.table(join_spread(shared, buckets.withColumn("many", many), ["key"], "n"), "placed")
     scratch.drop("banded", "buckets")
     # texts of candidates only, once for each distinct line
     members = scratch.table(placed.groupBy("id").agg(F.max("many").alias("many")), "members")
