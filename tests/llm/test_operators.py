@@ -5,6 +5,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import uuid
 import zlib
 
@@ -499,6 +500,24 @@ def test_vectors(spark):
     assert vectors.near_duplicates(df.limit(0), scratch(spark)).count() == 0
 
 
+def test_bpe_memory_counts_objects():
+    """Many short units take many times the bytes of their keys: what is remembered stays within the limit all the same."""
+    path, most = registry.tokenizer_path("byte_bpe_50k.json"), 8 << 20
+    text = lambda i: " ".join(f"w{j:x}" for j in range(4000 * i, 4000 * i + 4000)).encode()
+    c = bpe.ChunkCodec(path, chunk_bytes=1 << 20, unit_bytes=most)
+    encoded = lambda x: c.encode(np.frombuffer(x, np.uint8), np.array([0, len(x)]))[0]
+    encoded(text(0))
+    tracemalloc.start()
+    try:
+        for i in range(1, 40):
+            ids = encoded(text(i))
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert held < 1.25 * (most + (1 << 20))
+    assert ids.tolist() == c.t.encode(text(39).decode(), add_special_tokens=False).ids
+
+
 def test_bpe(spark, sf, odd, none):
     from tokenizers import Tokenizer
 

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 from trellis.llm.common import slices
 
+#: Bytes that Python takes for an entry of a memory besides its key and ids: objects, place in the dict, start.
+ENTRY = 200
 #: A cut falls where ten bits of the hash are zero: about 1 KB a chunk; at most this many bytes.
 CUT_MASK, LONGEST = np.uint32(0x3FF << 16), 1 << 14
 
@@ -113,7 +115,7 @@ def _spread(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 class Memory:
-    """Ids of byte strings, appended to one flat array; starts anew when it holds too much."""
+    """Ids of byte strings, appended to one flat array; starts anew when it takes too many bytes, all told."""
 
     def __init__(self, most: int):
         self.most = most
@@ -127,7 +129,11 @@ class Memory:
         self.known.update(zip(keys, range(len(self.known), len(self.known) + len(keys)), strict=True))
         self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(n)])
-        self.size += sum(map(len, keys))
+        self.size += self.bytes_of(keys) + 4 * len(ids)
+
+    @staticmethod
+    def bytes_of(keys: list[bytes]) -> int:
+        return sum(map(len, keys)) + ENTRY * len(keys)
 
     def get(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = self.starts[at + 1] - self.starts[at]
@@ -135,13 +141,18 @@ class Memory:
 
 
 class ChunkCodec:
-    def __init__(self, path: str, chunk_bytes: int = 32 << 20, unit_bytes: int = 14 << 20):
+    def __init__(self, path: str, chunk_bytes: int = 48 << 20, unit_bytes: int = 64 << 20):
         self.t, self.length, self.raw, self.raw_at = _tables(path)
         self.chunks, self.units = Memory(chunk_bytes), Memory(unit_bytes)
 
-    def _native(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        got = [e.ids for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.fromiter(chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got))
+    def _native(self, texts: list[str], step: int = 64) -> tuple[np.ndarray, np.ndarray]:
+        """A few texts at a time: the library's encodings take many times the bytes of their ids."""
+        ids, n = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for s in range(0, len(texts), step):
+            got = [e.ids for e in self.t.encode_batch_fast(texts[s : s + step], add_special_tokens=False)]
+            ids.append(np.fromiter(chain.from_iterable(got), np.uint32))
+            n.append(np.fromiter(map(len, got), np.int64, len(got)))
+        return np.concatenate(ids), np.concatenate(n)
 
     def _encode_units(self, keys: list[bytes], step: int = 256) -> None:
         """Units that begin with their space and end visibly can stand side by side, and so many
@@ -166,7 +177,7 @@ class ChunkCodec:
         coded = pieces.dictionary_encode()
         keys = coded.dictionary.to_pylist()
         fresh = [k for k in keys if k not in memory.known]
-        if fresh and memory.size + sum(map(len, fresh)) > memory.most:
+        if fresh and memory.size + memory.bytes_of(fresh) > memory.most:
             memory.clear()
             fresh = keys
         if fresh:
@@ -257,7 +268,7 @@ def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(tokenizer)
         for whole in batches:
-            for b in slices(whole, 4 << 20):
+            for b in slices(whole, 2 << 20):
                 t = b.column(1).cast(pa.string())  # 32-bit offsets; a slice is far from 2 GB
                 bounds = np.frombuffer(t.buffers()[1], np.int32)[t.offset : t.offset + len(t) + 1].astype(np.int64)
                 x = np.frombuffer(t.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
