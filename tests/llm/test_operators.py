@@ -640,6 +640,26 @@ def test_passages_whose_first_and_last_occurrences_are_cut(spark):
     assert got == {(4 * i + 3, 30, 80, 4 * i + 1) for i in range(20)}
 
 
+def test_matches_between_seeds():
+    """As long as by the table of all pairs; two long gaps in little time."""
+    rng = random.Random(8)
+
+    def by_table(a, b):
+        t = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, j in itertools.product(range(len(a)), range(len(b))):
+            t[i + 1, j + 1] = t[i, j] + 1 if a[i] == b[j] else max(t[i, j + 1], t[i + 1, j])
+        return t[-1, -1]
+
+    for _ in range(300):
+        a, b = ([rng.choice("abcdeF") for _ in range(rng.randrange(80))] for _ in range(2))
+        assert passages._matches(a, b) == by_table(a, b)
+    a = [str(rng.randrange(500)) for _ in range(6000)]
+    b = [w if i % 5 else "other" for i, w in enumerate(a)]
+    began = time.process_time()
+    assert passages._matches(a, b) == 4800
+    assert time.process_time() - began < 0.5
+
+
 def test_chains_are_best():
     x, y = [0, 10, 20, 30, 40], [5, 100, 25, 35, 45]
     assert passages.chains(x, y, 6.0, 0.05)[0] == [0, 2, 3, 4]
