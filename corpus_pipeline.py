@@ -80,8 +80,9 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 4096 tokens. Null and empty texts are an end token."""
-    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
+    """Pieces of documents in sequences of at most 4096 tokens. Null and empty texts are an end token.
+    Its workers share the executor with what the stages before it left there, so they remember less."""
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), memory=64 << 20)
 
 
 STAGES = [

@@ -683,6 +683,25 @@ def test_packing_cuts_are_cheapest():
         assert cost == pytest.approx(best[pos[-1]])
 
 
+def test_packing_memory_counts_objects():
+    """What is remembered of many short words stays within its limit of bytes, objects included."""
+    from tokenizers import Tokenizer
+
+    path, most = registry.tokenizer_path("word_bpe_49k.json"), 8 << 20
+    text = lambda i: " ".join(f"w{j:x}" for j in range(4000 * i, 4000 * i + 4000))
+    encoder = packing.WordEncoder(path, most=most)
+    encoder.encode(pa.array([text(0)]))
+    tracemalloc.start()
+    try:
+        for i in range(1, 40):
+            ids, _ = encoder.encode(pa.array([text(i)]))
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert held < 1.25 * most
+    assert ids.tolist() == Tokenizer.from_file(path).encode(text(39), add_special_tokens=False).ids
+
+
 def test_packing(spark, sf, odd, none):
     from tokenizers import Tokenizer
 

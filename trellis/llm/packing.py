@@ -29,6 +29,8 @@ from trellis.llm.common import slices
 
 #: Characters that end a sentence.
 SENTENCE_ENDS = ".!?…。！？"
+#: Bytes that Python takes for a remembered word besides its characters and ids: objects, place in the dict, start.
+ENTRY = 200
 
 
 @lru_cache(maxsize=4)
@@ -67,12 +69,12 @@ class WordEncoder:
     """Ids of whole texts from ids of their words.
 
     Holds for tokenizers that drop white space and never join over it, as the word-end kind does:
-    each distinct word is encoded once and its ids are copied. The memory of words is bounded;
-    when it is full it starts anew. The tokenizer ignores case, so A-Z is lowered before words are told
+    each distinct word is encoded once and its ids are copied. The memory of words takes at most
+    ``most`` bytes, all told, or those of one slice; when it is full it starts anew. The tokenizer ignores case, so A-Z is lowered before words are told
     apart, except where a special token, which minds case, could be meant.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 128 << 20):
         self.t, self.most = _tokenizer(path), most
         self.bare, self.word_end = _bare(path)
         self._reset()
@@ -81,18 +83,34 @@ class WordEncoder:
         self.known: dict[str, int] = {}
         self.flat = np.zeros(0, np.uint32)
         self.starts = np.zeros(1, np.int64)
+        self.size = 0
+
+    @staticmethod
+    def _bytes_of(words: list[str]) -> int:
+        return sum(map(len, words)) + ENTRY * len(words)
+
+    def _native(self, t, texts: list[str], step: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, how many of each text). ``step`` texts at a time: the library's encodings take many
+        times the bytes of their ids."""
+        ids, n = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for s in range(0, len(texts), step):
+            got = [e.ids for e in t.encode_batch_fast(texts[s : s + step], add_special_tokens=False)]
+            ids.append(np.fromiter(chain.from_iterable(got), np.uint32))
+            n.append(np.fromiter(map(len, got), np.int64, len(got)))
+        return np.concatenate(ids), np.concatenate(n)
 
     def _append(self, words: list[str], flat: np.ndarray, n: np.ndarray) -> None:
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
         self.flat = np.concatenate([self.flat, flat])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(n)])
+        self.size += self._bytes_of(words) + flat.nbytes
 
     def _learn(self, words: list[str]) -> None:
         """Encode unknown words. A word that is letters or digits before one closing full stop or
         comma is that word and that mark, for marks are tokens apart from letters and digits."""
         known = self.known
         fresh = [w for w in words if w not in known]
-        if len(known) + 2 * len(fresh) > self.most:
+        if fresh and self.size + 2 * self._bytes_of(fresh) > self.most:
             self._reset()
             fresh, known = words, self.known
         if not fresh:
@@ -104,8 +122,7 @@ class WordEncoder:
         letters = [w for w in plain if w.isalpha() and w.lower() == w and is_normalized("NFC", w)]
         if self._append_letters(letters):
             plain = [w for w in plain if w not in known]
-        got = [e.ids for e in self.t.encode_batch_fast(plain, add_special_tokens=False)]
-        self._append(plain, np.fromiter(chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got)))
+        self._append(plain, *self._native(self.t, plain, 1024))
         if marked:
             core = np.fromiter((known[w[:-1]] for w in marked), np.int64, len(marked))
             mark = np.fromiter((self.flat[self.starts[known[w[-1]]]] for w in marked), np.uint32, len(marked))
@@ -116,8 +133,7 @@ class WordEncoder:
     def _append_letters(self, words: list[str], step: int = 256) -> bool:
         """Encode words of lower-case letters many at a time. Normalisation leaves them as they
         are and each is one pre-token, so each gives one token with the word-end mark."""
-        got = self.bare.encode_batch_fast([" ".join(words[i : i + step]) for i in range(0, len(words), step)], add_special_tokens=False)
-        flat = np.fromiter(chain.from_iterable(e.ids for e in got), np.uint32)
+        flat, _ = self._native(self.bare, [" ".join(words[i : i + step]) for i in range(0, len(words), step)], 8)
         stops = np.flatnonzero(self.word_end[flat]) + 1
         if len(stops) != len(words):
             return False
@@ -147,9 +163,9 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> WordEncoder:
+def _encoder(path: str, most: int) -> WordEncoder:
     """One for all tasks of a Python worker."""
-    return WordEncoder(path)
+    return WordEncoder(path, most)
 
 
 @lru_cache(maxsize=4)
@@ -268,20 +284,21 @@ class Packer:
         self.parts, self.held = keep, len(ids) - at
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2, id_col: str = "doc_id", text: str = "text", sentence_penalty: float = 16.0, hard_penalty: float = 256.0, block: int = 1 << 19) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2, id_col: str = "doc_id", text: str = "text", sentence_penalty: float = 16.0, hard_penalty: float = 256.0, block: int = 1 << 19, memory: int = 128 << 20) -> DataFrame:
     """One row per piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null and blank texts are the end token alone. Documents keep the order of their input
     partition; repeated rows are packed once each; an empty table gives no pieces; other columns
     are ignored. The end of a partition is cut by the same programme, with more places to choose from:
     those that leave powers of two, which need no padding, each at the penalty of its cut. A very long text enters in slices of
-    ``block`` ids. Sequence ids hold the partition in their upper half, so a task that runs
+    ``block`` ids. A worker remembers words within ``memory`` bytes and encodes slices of texts of a
+    thirty-second of that; less takes more time and gives the same rows. Sequence ids hold the partition in their upper half, so a task that runs
     again gives the same rows.
     """
     fields = pa.schema([("doc", pa.from_numpy_dtype(np.int64))] + [(n, pa.int64()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer)
+        encoder = _encoder(tokenizer, memory)
         packer = Packer(size, _sentence_end_ids(tokenizer), end_id, sentence_penalty, hard_penalty, block)
         base = TaskContext.get().partitionId() << 32
 
@@ -293,7 +310,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2, id_
         kind = pa.int64()
         for b in batches:
             kind = b.column(0).type
-            for part in slices(b):
+            for part in slices(b, memory // 32):
                 ids, offsets = encoder.encode(part.column(1))
                 rows: list[tuple] = []
                 for i, doc in enumerate(part.column(0).to_pylist()):
