@@ -284,7 +284,7 @@ class Packer:
         self.parts, self.held = keep, len(ids) - at
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2, id_col: str = "doc_id", text: str = "text", sentence_penalty: float = 16.0, hard_penalty: float = 256.0, block: int = 1 << 19, memory: int = 128 << 20) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2, id_col: str = "doc_id", text: str = "text", sentence_penalty: float = 16.0, hard_penalty: float = 256.0, block: int = 1 << 19, memory: int = 256 << 20) -> DataFrame:
     """One row per piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null and blank texts are the end token alone. Documents keep the order of their input
