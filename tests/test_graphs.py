@@ -3,6 +3,7 @@
 import collections
 import itertools
 import math
+import os
 import random
 import uuid
 
@@ -108,6 +109,38 @@ def test_tip_potential_by_pivots_equals_all_pairs(spark, monkeypatch):
         assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in want)
 
 
+def test_a_query_is_copied_once_a_block_not_once_a_home(spark, monkeypatch):
+    """Vectors without structure far from the origin: every home must be visited."""
+    monkeypatch.setattr(pivots, "BLOCK", 150)
+    monkeypatch.setattr(pivots, "FEW", 0)
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(0, 1, (450, 24)), 3) + 1000
+    x[7::50] = x[7] + 0.001 * np.arange(9)[:, None]
+    t = rng.random(len(x))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    near = d + np.diag(np.full(len(x), np.inf))
+    v = spark.createDataFrame([(f"c{i:03}", r.tolist()) for i, r in enumerate(x)], "cell string, vec array<double>")
+
+    def written(s):
+        """The most rows of a table that was kept on the way."""
+        folder = s.base.removeprefix("file://")
+        return max(spark.read.parquet(f"file://{folder}/{name}").count() for name in os.listdir(folder))
+
+    of = scratch(spark)
+    found, index = pivots.knn(v, 5, of)
+    got = collections.defaultdict(list)
+    for r in found.orderBy("cell", "rank").collect():
+        got[r.cell].append(r.nbr)
+    assert got == {f"c{i:03}": [f"c{j:03}" for j in sorted(range(len(x)), key=lambda j: (near[i, j], j))[:5]] for i in range(len(x))}
+    assert len(index.size) > 40 and index.compared > 0.9 * len(x) ** 2 and written(of) <= 6 * len(x)
+    of = scratch(spark)
+    pt = spark.createDataFrame([(f"c{i:03}", float(t[i])) for i in range(len(x))], "cell string, pseudotime double")
+    found = {r.cell: r.tip_potential for r in pseudotime.tip_potential(v, pt, 6.0, 7.0, of).collect()}
+    ok = (near >= 6) & (near <= 7)
+    want = {f"c{i:03}": float((t[ok[i]] <= t[i]).mean()) for i in range(len(x)) if ok[i].any()}
+    assert found.keys() == want.keys() and all(abs(found[c] - want[c]) < 1e-12 for c in want) and written(of) <= 6 * len(x)
+
+
 # walks and floods ----------------------------------------------------------------------------------
 
 
