@@ -118,6 +118,25 @@ def test_dip_p_values(spark):
 # batches and mixtures ------------------------------------------------------------------------------
 
 
+def test_weighted_sums_make_no_row_for_each_cell_and_gene(spark, monkeypatch):
+    monkeypatch.setattr(integrate, "SUM_CELLS", 7)
+    rng = np.random.default_rng(4)
+    w = {(c, f"b{b}"): float(rng.random()) for c in range(40) for b in rng.choice(30, 6, replace=False)}
+    m = {(f"b{b}", f"g{g}"): float(rng.normal()) for b in range(28) for g in rng.choice(9, 5, replace=False)}
+    weights = spark.createDataFrame([(c, b, x) for (c, b), x in w.items()], "cell long, b string, w double")
+    moves = spark.createDataFrame([(b, g, x) for (b, g), x in m.items()], "b string, gene string, move double")
+    want = collections.defaultdict(float)
+    for (c, b), x in w.items():
+        for (o, g), y in m.items():
+            if o == b:
+                want[c, g] += x * y
+    out = integrate.weighted_sums(weights, moves)
+    got = {(r.cell, r.gene): r.s for r in out.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[0]
+    assert integrate.weighted_sums(weights.limit(0), moves).count() == 0
+
+
 def test_mutual_neighbors_remove_a_planted_shift(spark):
     rng = np.random.default_rng(3)
     base = np.abs(np.concatenate([rng.normal(m, 0.2, (40, 6)) for m in ([3, 0.5, 0.5, 1, 1, 1], [0.5, 3, 1, 0.5, 1, 2])]))

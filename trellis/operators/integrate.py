@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trellis.operators import pivots
 
+#: Cells of which a task adds up all genes at once, and the bytes of their sums.
+SUM_CELLS, SUM_BYTES = 16_384, 32 << 20
+
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
     """(cell, vec) at length one; vectors that are null or zero are left out."""
@@ -24,6 +29,75 @@ def mutual_pairs(one: DataFrame, other: DataFrame, k: int, scratch) -> DataFrame
     return to_b.select(F.col("id").alias("a"), F.col("nbr").alias("b")).join(to_a.select(F.col("nbr").alias("a"), F.col("id").alias("b")), ["a", "b"])
 
 
+def weighted_sums(weights: DataFrame, moves: DataFrame) -> DataFrame:
+    """(cell, gene, s): the sum of w * move over (cell, b, w) and (b, gene, move), where either has b.
+
+    A task adds up the cells of one block, a table of fixed size; what its cells need passes by it once, in the order
+    of b, so no row is made for each cell, b and gene."""
+    kinds = {c: weights.schema[c].dataType.simpleString() for c in ("cell", "b")} | {"gene": moves.schema["gene"].dataType.simpleString()}
+    cells, genes = weights.select("cell").distinct().count(), moves.select("gene").distinct().count()
+    size = max(1, min(SUM_CELLS, SUM_BYTES // (8 * max(genes, 1))))
+    blocks = max(math.ceil(cells / size), min(weights.sparkSession.sparkContext.defaultParallelism, math.ceil(cells / 1000)), 1)
+    of = weights.select(F.pmod(F.xxhash64("cell"), F.lit(blocks)).cast("int").alias("block"), "b", "cell", F.col("w").cast("double").alias("w"))
+    packed = moves.groupBy("b").agg(F.collect_list(F.struct("gene", F.col("move").cast("double").alias("move"))).alias("m"))  # one cell's genes
+    packed = packed.select("b", F.col("m.gene").alias("genes"), F.col("m.move").alias("moves"))
+    asked = packed.join(of.select("block", "b").distinct(), "b")
+    rows = of.join(moves.select("b").distinct(), "b", "left_semi").unionByName(asked, allowMissingColumns=True).select("block", "b", "cell", "w", "genes", "moves")
+    rows = rows.repartition(blocks, "block").sortWithinPartitions("block", "b", F.col("cell").isNull())
+
+    def run(batches):
+        block = None
+        at: tuple[dict, dict] = ({}, {})  # places of cells and genes in the sums
+        sums = met = np.zeros((0, 0))
+        own: list[tuple] = []  # places and weights of the cells that what passes next is for
+
+        def places(column: pa.Array, axis: int) -> np.ndarray:
+            coded = column.dictionary_encode()
+            where = np.array([at[axis].setdefault(v, len(at[axis])) for v in coded.dictionary.to_pylist()], np.int64)
+            return where[coded.indices.to_numpy(zero_copy_only=False)]
+
+        def result():
+            i, j = np.nonzero(met[: len(at[0]), : len(at[1])])
+            names = [pa.array(list(at[0]), types[0]), pa.array(list(at[1]), types[1])]
+            for s in range(0, len(i), 100_000):
+                a, b = i[s : s + 100_000], j[s : s + 100_000]
+                yield pa.RecordBatch.from_arrays([names[0].take(pa.array(a)), names[1].take(pa.array(b)), pa.array(sums[a, b])], names=["cell", "gene", "s"])
+
+        for whole in batches:
+            if not whole.num_rows:
+                continue
+            types = (whole["cell"].type, whole["genes"].type.value_type)
+            of = whole["block"].to_numpy()
+            ends = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1), len(of)]
+            for s, e in zip(ends[:-1], ends[1:], strict=True):
+                b = whole.slice(s, e - s)
+                if of[s] != block:
+                    if at[0]:
+                        yield from result()
+                    block, at, own = of[s], ({}, {}), []
+                    sums, met = np.zeros((size, genes)), np.zeros((size, genes), bool)
+                passes = b["cell"].is_null().to_numpy(zero_copy_only=False)
+                cells_, w = places(b["cell"].drop_null(), 0), b["w"].drop_null().to_numpy(zero_copy_only=False)
+                while len(at[0]) > len(sums):  # a hash need not deal evenly
+                    sums, met = np.concatenate([sums, np.zeros_like(sums)]), np.concatenate([met, np.zeros_like(met)])
+                genes_, x = places(b["genes"].flatten(), 1), b["moves"].flatten().to_numpy(zero_copy_only=False)
+                width = np.concatenate([[0], np.cumsum(b["genes"].value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+                before, last = np.cumsum(~passes), 0
+                for row in np.flatnonzero(passes):
+                    own.append((cells_[last : before[row]], w[last : before[row]]))
+                    last, own_now = before[row], [np.concatenate(c) for c in zip(*own, strict=True)]
+                    own = []
+                    g = slice(width[row], width[row + 1])
+                    where = np.ix_(own_now[0], genes_[g])
+                    np.add.at(sums, where, own_now[1][:, None] * x[None, g])
+                    met[where] = True
+                own.append((cells_[last:], w[last:]))
+        if at[0]:
+            yield from result()
+
+    return rows.mapInArrow(run, f"cell {kinds['cell']}, gene {kinds['gene']}, s double")
+
+
 def mutual_correction(expr: DataFrame, one: DataFrame, other: DataFrame, scratch, k: int = 20, sigma: float = 1.0, smooth: int = 50, least: float = 0.05) -> DataFrame:
     """(cell, gene, value): the cells of ``other`` moved to those of ``one``; values below ``least`` become absent zeros.
 
@@ -44,8 +118,9 @@ def mutual_correction(expr: DataFrame, one: DataFrame, other: DataFrame, scratch
     near = near.join(near.groupBy("id").agg(F.min("dist").alias("least")), "id")
     weight = F.exp(-(F.col("dist") * F.col("dist") - F.col("least") * F.col("least")) / (sigma * sigma))
     weights = near.select(F.col("id").alias("cell"), F.col("nbr").alias("b"), weight.alias("w"))
+    weights = scratch.table(weights, "weights")
     total = weights.groupBy("cell").agg(F.sum("w").alias("total"))
-    shift = weights.join(moves, "b").groupBy("cell", "gene").agg(F.sum(F.col("w") * F.col("move")).alias("s")).join(total, "cell").select("cell", "gene", (F.col("s") / F.col("total")).alias("shift"))
+    shift = weighted_sums(weights, scratch.table(moves, "moves")).join(total, "cell").select("cell", "gene", (F.col("s") / F.col("total")).alias("shift"))
     moved = expr.join(other.select("cell"), "cell", "left_semi").join(shift, ["cell", "gene"], "full").select("cell", "gene", (F.coalesce("value", F.lit(0.0)) + F.coalesce("shift", F.lit(0.0))).alias("value"))
     return expr.join(one.select("cell"), "cell", "left_semi").select("cell", "gene", "value").union(moved).where(F.col("value") >= least)
 
