@@ -110,6 +110,19 @@ def test_diffusion_components(spark, tmp_path):
         assert np.allclose([got[i, k + 1] for i in range(12)], v, atol=1e-4)
 
 
+def test_comparisons_join_the_siblings_of_the_path_only(spark, monkeypatch):
+    """A tree of many leaves, whose siblings all with all are quadratic: these are not listed."""
+    listed = []
+    monkeypatch.setattr(tree, "siblings", lambda joins, **_: listed.append(joins) or joins.crossJoin(joins))
+    joins = spark.createDataFrame([("r", "a"), ("r", "b"), ("a", "t"), *[("b", f"b{i}") for i in range(300)], *[("a", f"a{i}") for i in range(5)]], "parent string, child string")
+    segment = spark.createDataFrame([("x", "t"), ("y", "a"), ("z", "a3"), ("v", "b7"), ("late", "b9")], "cell string, segment string")
+    pt = spark.createDataFrame([("x", 0.9), ("y", 0.5), ("z", 0.5), ("v", 0.2), ("late", 0.8)], "cell string, pseudotime double")
+    limits = spark.createDataFrame([("a", 0.0, 0.7), ("t", 0.1, 0.7)], "segment string, start double, end double")
+    got = sorted(tuple(r) for r in along_tree.comparisons(joins, limits, segment, pt, "t").collect())
+    assert got == sorted([(1, "a", "b", "y", 1), (1, "a", "b", "v", 2), (0, "t", "a3", "z", 2), *[(0, "t", f"a{i}", "x", 1) for i in range(5)]])
+    assert not listed
+
+
 def test_along_tree(spark):
     """One gene marks the tip's segment, one its sibling, one the parent against the other branch but not the tip."""
     joins = spark.createDataFrame([("r", "p"), ("r", "q"), ("p", "t"), ("p", "s")], "parent string, child string")

@@ -24,7 +24,9 @@ def comparisons(joins: DataFrame, limits: DataFrame, cell_segment: DataFrame, pt
         path = path.join(F.broadcast(end), F.col("end").isNull() | (F.col("depth") < F.col("end"))).drop("end")
     if skip:
         path = path.where(~F.col("segment").isin(skip))
-    pairs = path.join(tree.siblings(joins, include_self=False).withColumnRenamed("sibling", "opposing"), "segment")
+    # only of what lies on the way: all siblings of a wide tree are quadratic in its leaves
+    parents = path.join(joins.select(F.col("child").alias("segment"), "parent"), "segment")
+    pairs = parents.join(joins.select("parent", F.col("child").alias("opposing")), "parent").where("segment <> opposing").drop("parent")
     below = up.select(F.col("ancestor").alias("opposing"), F.col("segment").alias("at")).union(joins.select(F.col("child").alias("opposing"), F.col("child").alias("at")))
     first = pairs.join(cell_segment, "segment").select("depth", "segment", "opposing", "cell", F.lit(1).alias("side"))
     other = pairs.join(below, "opposing").join(cell_segment.toDF("cell", "at"), "at").join(limits, "segment").join(pt.select("cell", "pseudotime"), "cell")
