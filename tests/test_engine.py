@@ -1,6 +1,7 @@
 import glob
 import math
 import os
+import time
 import uuid
 
 import numpy as np
@@ -247,6 +248,37 @@ def test_spline_is_the_best_of_all_penalties():
     assert np.abs(curves.smoothing_spline(x, 2 * x + 1)[1] - (2 * u + 1)).max() < 1e-6
 
 
+def test_lowess_of_equal_x_equals_the_plain_one_and_is_quick():
+    def plain(x, y, f):
+        n, r = len(x), max(2, min(len(x), int(f * len(x) + 1e-7)))
+        robust, fit = np.ones(n), np.zeros(n)
+        for _ in range(4):
+            for i in range(n):
+                d = np.abs(x - x[i])
+                w = np.clip(1 - (d / max(np.sort(d)[r - 1], 1e-12)) ** 3, 0, None) ** 3 * robust
+                if w.sum() <= 0:
+                    fit[i] = y[i]
+                    continue
+                mx, my = (w * x).sum() / w.sum(), (w * y).sum() / w.sum()
+                v = (w * (x - mx) ** 2).sum()
+                fit[i] = my + ((w * (x - mx) * (y - my)).sum() / v * (x[i] - mx) if v > 1e-12 else 0)
+            res = np.abs(y - fit)
+            if 6 * np.median(res) < 1e-12:
+                break
+            robust = np.clip(1 - (res / (6 * np.median(res))) ** 2, 0, None) ** 2
+        return fit
+
+    rng = np.random.default_rng(5)
+    for n, decimals, f in ((7, 1, 0.5), (80, 1, 0.3), (120, 3, 2 / 3), (90, 9, 0.1)):
+        x = np.round(rng.normal(0, 1, n), decimals)
+        y = np.where(rng.random(n) < 0.2, 0, np.sin(x)) + rng.normal(0, 0.1, n)
+        assert np.abs(curves.lowess(x, y, f) - plain(x, y, f)).max() < 1e-9
+    x, began = np.round(rng.normal(0, 0.13, 20_000), 3), time.process_time()
+    assert np.abs(curves.lowess(x, 2 * x + 1) - (2 * x + 1)).max() < 1e-9
+    curves.lowess(x, np.sin(x) + rng.normal(0, 0.1, len(x)))
+    assert time.process_time() - began < 20
+
+
 def test_lowess():
     x = np.linspace(0, 1, 40)
     assert np.abs(curves.lowess(x, 2 * x + 1) - (2 * x + 1)).max() < 1e-9

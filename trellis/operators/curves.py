@@ -21,24 +21,43 @@ def window_means(expr: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def lowess(x: np.ndarray, y: np.ndarray, f: float = 2 / 3, rounds: int = 3) -> np.ndarray:
-    """Cleveland's robust locally weighted regression."""
+    """Cleveland's robust locally weighted regression. Equal x have one line, so points are added up by x and a
+    round is quadratic in the different x alone, in strips of bounded size."""
     n = len(x)
     if n < 3:
         return y.astype(float)
     r = max(2, min(n, int(f * n + 1e-7)))
-    robust, fit = np.ones(n), np.zeros(n)
+    u, at = np.unique(x.astype(float), return_inverse=True)
+    # the r nearest points of each x are a run of the sorted ones
+    points, low, start = np.sort(x.astype(float)), np.zeros(len(u), np.int64), 0
+    for k, v in enumerate(u):
+        while start + r < n and points[start + r] - v < v - points[start]:
+            start += 1
+        low[k] = start
+    h = np.maximum(np.maximum(u - points[low], points[low + r - 1] - u), 1e-12)
+    first, last = np.searchsorted(u, u - h, "left"), np.searchsorted(u, u + h, "right")
+    robust, line, empty = np.ones(n), np.zeros(len(u)), np.zeros(len(u), bool)
     for _ in range(rounds + 1):
-        for i in range(n):
-            d = np.abs(x - x[i])
-            h = max(np.partition(d, r - 1)[r - 1], 1e-12)
-            w = np.clip(1 - (d / h) ** 3, 0, None) ** 3 * robust
-            s = w.sum()
-            if s <= 0:
-                fit[i] = y[i]
-                continue
-            mx, my = (w * x).sum() / s, (w * y).sum() / s
-            v = (w * (x - mx) ** 2).sum()
-            fit[i] = my + ((w * (x - mx) * (y - my)).sum() / v * (x[i] - mx) if v > 1e-12 else 0)
+        some, total = np.bincount(at, robust, len(u)), np.bincount(at, robust * y, len(u))
+        k = 0
+        while k < len(u):
+            rows = slice(k, k + max(1, 500_000 // max(last[k] - first[k], 1)))
+            near = slice(first[rows].min(), last[rows].max())
+            d = (u[None, near] - u[rows, None]) / h[rows, None]
+            w = np.abs(d)
+            w = np.clip(1 - w * w * w, 0, None)
+            w = w * w * w
+            s = w @ some[near]
+            empty[rows] = s <= 0
+            s = np.where(empty[rows], 1, s)
+            my, mx = w @ total[near] / s, (w * d) @ some[near] / s
+            d -= mx[:, None]
+            v = (w * d * d) @ some[near]
+            cov = (w * d) @ total[near] - my * ((w * d) @ some[near])
+            flat = v * h[rows] ** 2 <= 1e-12
+            line[rows] = my - np.where(flat, 0, cov / np.where(flat, 1, v) * mx)
+            k = rows.stop
+        fit = np.where(empty[at], y, line[at])
         res = np.abs(y - fit)
         m = 6 * np.median(res)
         if m < 1e-12:
