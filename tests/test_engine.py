@@ -1,3 +1,4 @@
+import collections
 import glob
 import math
 import os
@@ -111,6 +112,20 @@ def test_diffusion_components(spark, tmp_path):
         assert np.allclose([got[i, k + 1] for i in range(12)], v, atol=1e-4)
 
 
+def test_siblings_are_dealt_by_what_comes_out(spark, monkeypatch):
+    """A small table of one segment with many children makes many pairs, which one task must not make alone."""
+    monkeypatch.setattr(tree, "SIBLINGS", 20, raising=False)
+    monkeypatch.setattr(tree, "PAIRS_A_TASK", 1000, raising=False)
+    rows = [("r", f"a{i}") for i in range(120)] + [("a1", "x"), ("a1", "y"), (None, "r")]
+    joins = spark.createDataFrame(rows, "parent string, child string")
+    found = tree.siblings(joins, include_self=False).withColumn("task", F.spark_partition_id()).collect()
+    want = sorted((a, b) for p, a in rows for q, b in rows if p is not None and p == q and a != b)
+    assert sorted((r.segment, r.sibling) for r in found) == want
+    counts = collections.Counter(r.task for r in found)
+    assert len(counts) >= 4 and max(counts.values()) < 0.6 * len(want)
+    assert tree.siblings(joins.where("parent = 'a1'")).count() == 4 and tree.siblings(joins.limit(0)).count() == 0
+
+
 def test_comparisons_join_the_siblings_of_the_path_only(spark, monkeypatch):
     """A tree of many leaves, whose siblings all with all are quadratic: these are not listed."""
     listed = []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from dataclasses import dataclass
 
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 from trellis.functions.stats import DIP_SIZES, dip, dip_p, ks_asymptotic
 from trellis.plans.order import ranked
 
+#: Children of one segment that meet all others in one group, and pairs that a task should make.
+SIBLINGS, PAIRS_A_TASK = 256, 2_000_000
+
 
 def ancestors(joins: DataFrame) -> DataFrame:
     """(segment, ancestor, depth) for all segments of (parent, child), a join for each level of the tree."""
@@ -28,8 +32,15 @@ def ancestors(joins: DataFrame) -> DataFrame:
 
 
 def siblings(joins: DataFrame, include_self: bool = True) -> DataFrame:
-    a, b = joins.toDF("parent", "segment"), joins.toDF("parent", "sibling")
-    out = a.join(b, "parent").select("segment", "sibling")
+    """(segment, sibling) of (parent, child): quadratic in the children of one segment, so these are dealt in blocks
+    over tasks by the rows that come out, not by the few that go in."""
+    sizes = joins.groupBy("parent").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / SIBLINGS).cast("int"))
+    total, groups = sizes.agg(F.sum(F.col("n") * F.col("n")), F.sum("blocks")).first()
+    tasks = max(1, min(math.ceil((total or 0) / PAIRS_A_TASK), groups or 1))
+    dealt = joins.select("parent", "child").join(sizes, "parent")
+    a = dealt.select("parent", F.col("child").alias("segment"), F.coalesce(F.pmod(F.xxhash64("child"), "blocks"), F.lit(0)).cast("int").alias("block")).repartition(tasks, "parent", "block")
+    b = dealt.select("parent", F.col("child").alias("sibling"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).repartition(tasks, "parent", "block")
+    out = a.join(b, ["parent", "block"]).select("segment", "sibling")
     return out if include_self else out.where("segment <> sibling")
 
 
